@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftstone.llm import gif
+from siftstone.llm import compression, gif, html, simhash
 from siftstone.llm.common import table
 
 
@@ -14,8 +15,21 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.judge(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_gif_media": op1_gif_media}
+    return {f.__name__: f for f in (op1_gif_media, op6_simhash, op7_compression_bands, op9_text_density)}
 
 
 def oracle_sql() -> dict[str, str]:
