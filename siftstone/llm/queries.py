@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import compression, gif, html, simhash
+from siftstone.llm import compression, gif, html, simhash, substrings
 from siftstone.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -29,7 +33,7 @@ def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif_media, op6_simhash, op7_compression_bands, op9_text_density)}
+    return {f.__name__: f for f in (op1_gif_media, op5_suffix_array_dedup, op6_simhash, op7_compression_bands, op9_text_density)}
 
 
 def oracle_sql() -> dict[str, str]:
