@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import compression, gif, html, simhash, substrings
+from siftstone.llm import compression, gif, html, mixing, simhash, substrings
 from siftstone.llm.common import table
 
 
@@ -32,8 +32,13 @@ def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
 
 
+def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif_media, op5_suffix_array_dedup, op6_simhash, op7_compression_bands, op9_text_density)}
+    return {f.__name__: f for f in (op1_gif_media, op5_suffix_array_dedup, op6_simhash, op7_compression_bands, op9_text_density, op10_pivotal_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
