@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import compression, gif, html, mixing, simhash, substrings
+from siftstone.llm import compression, gif, html, mixing, preference, sharding, simhash, substrings
 from siftstone.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.preference_turns(preference.adjacent_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,11 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.judge(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def op8_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
 
@@ -38,8 +47,8 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif_media, op5_suffix_array_dedup, op6_simhash, op7_compression_bands, op9_text_density, op10_pivotal_mixing)}
+    return {f.__name__: f for f in (op1_gif_media, op3_preference_pairs, op5_suffix_array_dedup, op6_simhash, op7_compression_bands, op8_sampled_splitters, op9_text_density, op10_pivotal_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_preference_pairs": preference.ORACLE_SQL}
