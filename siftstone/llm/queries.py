@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import compression, gif, html, mixing, preference, sharding, simhash, substrings
+from siftstone.llm import compression, gif, html, mixing, packing, preference, quality, sharding, simhash, substrings
 from siftstone.llm.common import table
 
 
@@ -15,10 +15,18 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_turns(preference.adjacent_pairs(table(spark, sf_dir, "conversations")))
 
 
+def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif_media, op3_preference_pairs, op5_suffix_array_dedup, op6_simhash, op7_compression_bands, op8_sampled_splitters, op9_text_density, op10_pivotal_mixing)}
+    return {f.__name__: f for f in (op1_gif_media, op2_length_buckets, op3_preference_pairs, op4_boosted_quality, op5_suffix_array_dedup, op6_simhash, op7_compression_bands, op8_sampled_splitters, op9_text_density, op10_pivotal_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
