@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,3 +40,11 @@ def n_words(text: Column) -> Column:
 def unit_hash(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns' values alone, so reruns agree."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
+
+
+def with_fields(carried: dict[str, DataType], ddl: str) -> StructType:
+    """A schema of carried columns, whatever their types and inner names, and those of the DDL string."""
+    out = StructType()
+    for name, kind in carried.items():
+        out = out.add(name, kind)
+    return StructType([*out.fields, *StructType.fromDDL(ddl).fields])

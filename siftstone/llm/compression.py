@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import utf8
+from siftstone.llm.common import utf8, with_fields
 
 LEVEL = 3
 CHUNK = 4096
@@ -135,5 +135,4 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             columns = zip(*rows, strict=True) if rows else [[]] * (len(FIELDS) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, (_, t) in zip(columns, FIELDS[1:], strict=True))], [n for n, _ in FIELDS])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), utf8(F.col(text)).alias("text")).mapInArrow(batches, f"key {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_bytes long, ratio double, least_chunk_ratio double, most_chunk_ratio double, reason string")
+    return docs.select(F.col(key).alias("key"), utf8(F.col(text)).alias("text")).mapInArrow(batches, with_fields({"key": docs.schema[key].dataType}, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_bytes long, ratio double, least_chunk_ratio double, most_chunk_ratio double, reason string"))

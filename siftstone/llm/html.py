@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.llm.common import with_fields
+
 TOKEN = re.compile(r"""<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -244,5 +246,4 @@ def main_text(pages: DataFrame, html: str = "html", key: str = "page_id") -> Dat
             out = [extract(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["key", "url", "text", "n_chars"])
 
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, "url")}
-    return pages.select(F.col(key).alias("key"), "url", F.col(html).alias("html")).mapInArrow(batches, f"key {kinds[key]}, url {kinds['url']}, text string, n_chars long")
+    return pages.select(F.col(key).alias("key"), "url", F.col(html).alias("html")).mapInArrow(batches, with_fields({"key": pages.schema[key].dataType, "url": pages.schema["url"].dataType}, "text string, n_chars long"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import utf8
+from siftstone.llm.common import utf8, with_fields
 
 MAX_ROWS, TREES, DEPTH, BINS, RATE, LEAST, L2 = 20_000, 120, 4, 64, 0.1, 8.0, 1.0
 HELD_OUT, THRESHOLD = 5, 0.3
@@ -171,7 +171,7 @@ def scored(docs: DataFrame, forest: Forest, keep: list[Column] | None = None) ->
             x = np.array([statistics(t.as_py()) for t in batch.column(1)]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.scores(x))], ["row", "score"])
 
-    return given.mapInArrow(read, f"row {given.schema['row'].dataType.simpleString()}, score double")
+    return given.mapInArrow(read, with_fields({"row": given.schema["row"].dataType}, "score double"))
 
 
 def predicted(score: Column) -> Column:

@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import utf8
+from siftstone.llm.common import checkpointed, utf8, with_fields
 from siftstone.llm.components import components
 
 SHINGLE, SEED, MAX_BITS, BLOCKS = 4, 42, 4, 7
@@ -61,8 +61,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             fp = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), utf8(F.col(text)).alias("text")).mapInArrow(batches, f"key {kind}, fp long")
+    return docs.select(F.col(key).alias("key"), utf8(F.col(text)).alias("text")).mapInArrow(batches, with_fields({"key": docs.schema[key].dataType}, "fp long"))
 
 
 def _masks(blocks: int, kept: int) -> list[int]:
@@ -117,8 +116,6 @@ def hex_fingerprint(fp: Column) -> Column:
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key reachable by links."""
-    from siftstone.llm.common import checkpointed
-
     prints = checkpointed(fingerprints(docs, text, key))  # the texts are hashed once
     first = prints.groupBy("fp").agg(F.min("key").alias("least"))
     labels = components(links(first.select("fp"), max_bits, blocks))
@@ -127,3 +124,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = grouped.join(least, "component").select(F.col("fp").alias("of"), "component_id")
     return prints.join(by_print, prints["fp"] == by_print["of"]).select("key", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one of the smallest doc_id (null first; of equal ones, by the text's hash)."""
+    names = docs.columns
+    row_id = F.xxhash64("text", "doc_id")
+    lean = docs.select(row_id.alias("id"), F.struct(F.col("doc_id"), row_id.alias("id")).alias("key"), "text")
+    found = near_duplicates(lean, key="key")
+    winners = found.select(F.col("component_id.id").alias("winner")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), row_id.alias("id")).join(winners, F.col("id") == F.col("winner"))
+    # rows alike in doc_id and text: one of them, by the other columns' hash
+    first = Window.partitionBy("id").orderBy(F.xxhash64("row"))
+    return rows.withColumn("number", F.row_number().over(first)).where("number = 1").select(*(F.col(f"row.`{c}`").alias(c) for c in names))
