@@ -19,10 +19,12 @@ import numpy as np
 END = 0
 
 
-def _symbol_order(bwt: np.ndarray) -> tuple[np.ndarray, int]:
-    """Places by (symbol, place), as one ascending key for each, and how many END symbols there are."""
+def _symbol_order(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places by (symbol, place), each place's number in that order, and how many END symbols there are."""
     order = np.argsort(bwt, kind="stable")
-    return bwt[order].astype(np.int64) * (len(bwt) + 1) + order, int(np.searchsorted(bwt[order], 1))
+    number = np.empty(len(bwt), dtype=np.int32)
+    number[order] = np.arange(len(bwt), dtype=np.int32)
+    return order, number, len(bwt) - int(np.count_nonzero(bwt))
 
 
 def _insert(stream: np.ndarray, places: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -44,18 +46,17 @@ def build(documents: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray]:
     places = active.copy()  # where each active document's longest suffix so far stands
     for k in range(longest):
         symbols = columns[k, active]
-        keys, ends = _symbol_order(bwt)
-        size = len(bwt) + 1
-        rank = np.searchsorted(keys, symbols.astype(np.int64) * size + places)
+        by_symbol, number, ends = _symbol_order(bwt)
+        rank = number[places].astype(np.int64)
         arrived = n + rank - ends  # the empty suffixes come first, then one suffix for each symbol but END
         # a suffix shares one symbol more with its neighbour than what follows in both shares, if the symbols agree
         padded = np.append(lcp, lcp[-1:])
 
-        def shared(near: np.ndarray, after: bool, rank: np.ndarray = rank, keys: np.ndarray = keys, size: int = size, padded: np.ndarray = padded, symbols: np.ndarray = symbols, places: np.ndarray = places) -> np.ndarray:
-            inside = (near >= 0) & (near < len(keys))
-            other = keys[np.where(inside, near, rank)]
-            alike = inside & (other // size == symbols)
-            at = np.where(alike, other % size, places)
+        def shared(near: np.ndarray, after: bool, rank: np.ndarray = rank, by_symbol: np.ndarray = by_symbol, bwt: np.ndarray = bwt, padded: np.ndarray = padded, symbols: np.ndarray = symbols, places: np.ndarray = places) -> np.ndarray:
+            inside = (near >= 0) & (near < len(bwt))
+            at = by_symbol[np.where(inside, near, rank)]
+            alike = inside & (bwt[at] == symbols)
+            at = np.where(alike, at, places)
             low, high = (places, at) if after else (at, places)
             cuts = np.empty(2 * len(places), dtype=np.int64)
             cuts[::2] = np.where(alike, low + 1, 0)
@@ -85,10 +86,8 @@ def repeated_starts(documents: list[bytes], weights: np.ndarray, width: int) ->
     again = lcp >= width
     again[:-1] |= again[1:]
     out = [np.zeros(max(0, m - width + 1), dtype=bool) for m in lengths.tolist()]
-    order = np.argsort(bwt, kind="stable")
-    ends = int((bwt == END).sum())
-    step = np.empty(len(bwt), dtype=np.int64)
-    step[order] = n + np.arange(len(bwt)) - ends
+    _, number, ends = _symbol_order(bwt)
+    step = n - ends + number.astype(np.int64)
     # from each document's empty suffix to ever longer ones
     places, live = np.arange(n), np.arange(n)
     flags = np.zeros((int(lengths.max(initial=0)) + 1, n), dtype=bool)

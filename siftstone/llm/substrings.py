@@ -30,11 +30,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import bwt, windows
-from siftstone.llm.common import utf8
+from siftstone.llm.common import utf8, with_fields
 
 WIDTH, GRAM = 200, 32
 #: Texts are hashed in stretches of so many bytes; blocks of classes are decided when they reach this size.
@@ -86,28 +86,36 @@ def class_keys(width: int, gram: int):
 
 
 def cut(width: int):
-    """Rows (key, d, h, c, at, hot, piece) of texts with the list of their pieces; the bytes come with a task's first one of a kind."""
+    """Rows (key, d, h, c, at, piece) of rows (id, h, c, text, found: its pieces); the bytes come with a task's first one of a kind."""
 
     def read(batches: Batches) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            for h, c, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                rows = []
-                for x in found:
-                    start, n = x["at"] >> 16, x["at"] & 0xFFFF
-                    piece = text[start : start + n + width - 1]
-                    if len(piece) < n + width - 1:
-                        continue  # another text's, of equal hash
-                    d = xxhash.xxh64_intdigest(piece) - (1 << 63)
-                    first = (x["key"], d) not in sent
-                    if first:
-                        if len(sent) >= 1 << 18:
-                            sent.clear()
-                        sent.add((x["key"], d))
-                    rows.append((x["key"], d, h, c, x["at"], x["hot"], piece if first else None))
-                if rows:
-                    kinds = (pa.int64(),) * 5 + (pa.bool_(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "d", "h", "c", "at", "hot", "piece"])
+            found = batch.column(4)
+            keys, ats = (found.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("key", "at"))
+            ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))
+            h, c = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            first = 0
+            for i, (text, end) in enumerate(zip(batch.column(3), ends.tolist(), strict=True)):
+                text, key, at = text.as_py(), keys[first:end], ats[first:end]
+                first = end
+                low = at >> 16
+                high = low + (at & 0xFFFF) + width - 1
+                own = high <= len(text)  # else another text's, of equal hash
+                key, at = key[own], at[own]
+                parts = [text[x:y] for x, y in zip(low[own].tolist(), high[own].tolist(), strict=True)]
+                d = [digest(x) - (1 << 63) for x in parts]
+                for j, kind in enumerate(zip(key.tolist(), d, strict=True)):
+                    if kind in sent:
+                        parts[j] = None
+                    else:
+                        sent.add(kind)
+                if len(sent) > 1 << 18:
+                    sent.clear()
+                if len(key):
+                    columns = (key, np.array(d, dtype=np.int64), np.full(len(key), h[i]), np.full(len(key), c[i]), at)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], ["key", "d", "h", "c", "at", "piece"])
 
     return read
 
@@ -284,22 +292,33 @@ def _by_string(kinds: DataFrame, width: int) -> DataFrame:
 
 
 def recurring_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, max_class: int = MAX_CLASS) -> DataFrame:
-    """(h, c, ranges): the byte ranges covered by recurring strings, for each text that has any. docs has h, c (hashes of the text) and text (bytes)."""
+    """(id, text, ranges): the byte ranges covered by recurring strings, null if none. docs has id, text (bytes), h and c (hashes of the text)."""
     pieces = docs.select("h", "text").mapInArrow(class_keys(width, gram), "key long, h long, at long")
     counts = pieces.groupBy("key").count().where("count > 1").select("key", (F.col("count") > hot).alias("hot"))
     by_text = pieces.join(counts, "key").groupBy("h").agg(F.collect_set(F.struct("key", "at", "hot")).alias("found"))
-    cuts = docs.select("h", "c", "text").join(by_text, "h").select("h", "c", "text", "found").mapInArrow(cut(width), "key long, d long, h long, c long, at long, hot boolean, piece binary")
-    rows = cuts.where("not hot").select("key", "d", "h", "c", "at", "piece").repartition("key").sortWithinPartitions("key").mapInArrow(decide_members(width), "h long, c long, low long, high long")
+    held = docs.join(by_text.withColumnRenamed("h", "of"), F.col("h") == F.col("of"))
+
+    def cuts(of: Column) -> DataFrame:
+        found = F.transform(F.filter("found", lambda x: of == x["hot"]), lambda x: F.struct(x["key"].alias("key"), x["at"].alias("at")))
+        some = held.select("id", "h", "c", "text", found.alias("found")).where(F.size("found") > 0)
+        return some.mapInArrow(cut(width), "key long, d long, h long, c long, at long, piece binary")
+
+    rows = cuts(F.lit(False)).repartition("key").sortWithinPartitions("key").mapInArrow(decide_members(width), "h long, c long, low long, high long")
     # hot classes: equal pieces are one before they meet
-    warm = cuts.where("hot")
+    warm = cuts(F.lit(True))
     kinds = warm.groupBy("key", "d").agg(F.count("*").alias("weight"), F.first("piece", ignorenulls=True).alias("piece"))
-    large = kinds.groupBy("key").count().where(F.col("count") > max_class).select("key")
+    # the piece is read, so that all uses of kinds share one exchange
+    large = kinds.where(F.length("piece") > 0).groupBy("key").count().where(F.col("count") > max_class).select("key")
     small = kinds.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key").select("key", "d", "weight", "piece")
     found = small.mapInArrow(decide_kinds(width), KINDS_DDL).unionByName(_by_string(kinds.join(large, "key", "left_semi"), width))
     found = found.groupBy("key", "d").agg(F.collect_list(F.struct("x", "y")).alias("runs"))
     start = F.shiftright("at", 16)
     of_hot = warm.select("key", "d", "h", "c", "at").join(found, ["key", "d"]).select("h", "c", start.alias("start"), F.explode("runs").alias("run")).select("h", "c", (F.col("start") + F.col("run.x")).alias("low"), (F.col("start") + F.col("run.y") + width - 1).alias("high"))
-    return rows.unionByName(of_hot).groupBy("h", "c").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    by_content = rows.unionByName(of_hot).groupBy("h", "c").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    # by h alone, so that the texts' exchange is the one that they met their pieces by
+    by_hash = by_content.groupBy("h").agg(F.collect_list(F.struct("c", "ranges")).alias("by_c")).withColumnRenamed("h", "of")
+    own = F.get(F.filter("by_c", lambda x: x["c"] == F.col("c")), F.lit(0))["ranges"]
+    return docs.join(by_hash, F.col("h") == F.col("of"), "left").select("id", "text", own.alias("ranges"))
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -320,15 +339,14 @@ def kept_bytes(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([text[a:b] for a, b in zip([0, *(r[1] for r in ranges)], [*(r[0] for r in ranges), len(text)], strict=True)])
 
 
-def _with_hashes(docs: DataFrame, text: str) -> DataFrame:
+def _with_hashes(docs: DataFrame, key: Column, text: str) -> DataFrame:
+    """id, text, h and c: rows for recurring_ranges."""
     body = utf8(F.col(text))
-    return docs.withColumns({"h": F.xxhash64(body), "c": F.crc32(body)})
+    return docs.select(key.alias("id"), body.alias("text"), F.xxhash64(body).alias("h"), F.crc32(body).alias("c"))
 
 
 def removal_digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, max_class: int = MAX_CLASS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row."""
-    base = _with_hashes(docs.select("doc_id", utf8(F.col("text")).alias("text")), "text")
-    ranges = recurring_ranges(base.select("h", "c", "text"), width, gram, hot, max_class)
 
     def digest(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,21 +360,21 @@ def removal_digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return base.join(ranges, ["h", "c"], "left").select("doc_id", "text", "ranges").mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    ranges = recurring_ranges(_with_hashes(docs, F.col("doc_id"), "text"), width, gram, hot, max_class)
+    return ranges.mapInArrow(digest, with_fields({"doc_id": docs.schema["doc_id"].dataType}, "n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def remove_recurring(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """docs with recurring byte ranges cut out of the text column (what is left of a cut character is dropped); a null text stays null."""
     names = docs.columns
-    # the given columns go through as one, so that none of their names can clash
-    base = _with_hashes(docs.select(F.struct(*docs.columns).alias("row"), utf8(F.col(text)).alias("text")), "text")
-    ranges = recurring_ranges(base.select("h", "c", "text"), width)
+    # the given columns but the text go through as one, so that none of their names can clash
+    row = F.struct(*(F.col(f"`{n}`") for n in names if n != text), F.col(f"`{text}`").isNull().alias("text is null"))
+    ranges = recurring_ranges(_with_hashes(docs, row, text), width)
 
     def clean(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [kept_bytes(t, merged(r)).decode("utf-8", "ignore") if r else None for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            out = [kept_bytes(t, merged(r)).decode("utf-8", "ignore") for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "left"])
 
-    cleaned = base.join(ranges, ["h", "c"], "left").select("row", "text", "ranges").mapInArrow(clean, f"row {docs.select(F.struct(*docs.columns).alias('row')).schema['row'].dataType.simpleString()}, left string")
-    return cleaned.select(*(F.coalesce("left", f"row.`{n}`").alias(n) if n == text else F.col(f"row.`{n}`").alias(n) for n in names))
+    cleaned = ranges.mapInArrow(clean, with_fields({"row": ranges.schema["id"].dataType}, "left string"))
+    return cleaned.select(*(F.when(~F.col("row.`text is null`"), F.col("left")).alias(n) if n == text else F.col(f"row.`{n}`").alias(n) for n in names))
