@@ -23,7 +23,7 @@ def routes(c: Column) -> Column:
     """The routes of a normalized source line: parted by commas, and before a method; the line itself if there is none."""
     starts = rf"(?=\b(?:{'|'.join(METHODS)})\b\s)"
     parts = F.flatten(F.transform(F.split(c, r"\s*,\s*"), lambda p: F.split(p, starts)))
-    found = F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    found = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(found) > 0, found).otherwise(F.array(c))
 
 

@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_SCAN = 1_000_000
 FENCE = re.compile(r"```(?:json)?\s*\n(.*?)```", re.S)
@@ -80,7 +81,7 @@ def extract_object(text: str | None) -> dict | None:
     return found if found is not None else repaired(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_object(reply: pd.Series) -> pd.Series:
     """The reply's JSON object as JSON text, null if there is none."""
     return reply.map(lambda x: None if (o := extract_object(x)) is None else json.dumps(o, ensure_ascii=False, separators=(",", ":")))
@@ -107,7 +108,7 @@ def symbol_span(text: str, symbol: str) -> tuple[int, int] | None:
     return first + 1, next(after, len(lines))
 
 
-@F.pandas_udf("struct<first:int,last:int>")
+@F.pandas_udf(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 def symbol_lines(text: pd.Series, symbol: pd.Series) -> pd.DataFrame:
     """The lines of a symbol's definition in a source text, nulls if it isn't found."""
     spans = [symbol_span(t or "", s or "") if s else None for t, s in zip(text, symbol, strict=True)]

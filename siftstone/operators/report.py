@@ -144,5 +144,5 @@ def poc_gaps(findings: DataFrame, pocs: DataFrame) -> DataFrame:
 
 def poc_for(findings: DataFrame, pocs: DataFrame) -> DataFrame:
     """(name, poc): the first proof file whose name is the finding's, or begins with it and a dot. They meet by the part before a dot."""
-    parts = pocs.select("file", F.explode(F.array_distinct(F.concat(F.array("file"), F.transform(F.sequence(F.lit(1), F.size(F.split("file", r"\."))), lambda i: F.substring_index("file", ".", i))))).alias("name"))
+    parts = pocs.select("file", F.explode(F.array_distinct(F.concat(F.array("file"), F.transform(F.sequence(F.lit(1), F.size(F.split("file", r"\."))), lambda i: F.array_join(F.slice(F.split("file", r"\."), F.lit(1), i), "."))))).alias("name"))
     return findings.select("name").distinct().join(parts, "name", "left").groupBy("name").agg(F.min("file").alias("poc"))

@@ -64,7 +64,7 @@ def verdicts(votes: DataFrame, confirmations: DataFrame) -> DataFrame:
 
 def totals(verified: DataFrame) -> DataFrame:
     """One row: confirmed, refuted, errors, incomplete."""
-    return verified.agg(F.count_if("real").alias("confirmed"), F.count_if(~F.col("real")).alias("refuted"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"), F.count_if(F.col("real") & F.col("incomplete")).alias("incomplete"))
+    return verified.agg(F.count_if(F.col("real")).alias("confirmed"), F.count_if(~F.col("real")).alias("refuted"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"), F.count_if(F.col("real") & F.col("incomplete")).alias("incomplete"))
 
 
 def route(findings: DataFrame, located: Column, verified: DataFrame, consensus: int = 2) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Explorer chain names and their ids.
 CHAINS = {"ethereum": 1, "bsc": 56, "polygon": 137, "arbitrum": 42161}
@@ -33,7 +34,7 @@ def safe_path(path: str) -> str:
     return plain
 
 
-@F.pandas_udf("array<struct<path:string,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])))
 def _files(code: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([[{"path": p, "text": c} for p, c in sorted(source_files(x, n).items())] for x, n in zip(code, name, strict=True)])
 
