@@ -42,6 +42,15 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
+def part(*keys: Column) -> Column:
+    """A function of the keys to group by along with them.
+
+    Groups by (keys, part) are the groups by keys, but are not laid out by keys alone. A join by the keys then gets an
+    exchange of its own on this side too, which is what lets adaptive execution split a hot key on the other side.
+    """
+    return F.pmod(F.hash(*keys), F.lit(64)).alias("_part")
+
+
 def with_fields(carried: dict[str, DataType], ddl: str) -> StructType:
     """A schema of carried columns, whatever their types and inner names, and those of the DDL string."""
     out = StructType()

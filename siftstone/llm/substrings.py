@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import bwt, windows
-from siftstone.llm.common import utf8, with_fields
+from siftstone.llm.common import part, utf8, with_fields
 
 WIDTH, GRAM = 200, 32
 #: Texts are hashed in stretches of so many bytes; blocks of classes are decided when they reach this size.
@@ -294,9 +294,9 @@ def _by_string(kinds: DataFrame, width: int) -> DataFrame:
 def recurring_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, max_class: int = MAX_CLASS) -> DataFrame:
     """(id, text, ranges): the byte ranges covered by recurring strings, null if none. docs has id, text (bytes), h and c (hashes of the text)."""
     pieces = docs.select("h", "text").mapInArrow(class_keys(width, gram), "key long, h long, at long")
-    counts = pieces.groupBy("key").count().where("count > 1").select("key", (F.col("count") > hot).alias("hot"))
-    by_text = pieces.join(counts, "key").groupBy("h").agg(F.collect_set(F.struct("key", "at", "hot")).alias("found"))
-    held = docs.join(by_text.withColumnRenamed("h", "of"), F.col("h") == F.col("of"))
+    counts = pieces.groupBy("key", part(F.col("key"))).count().where("count > 1").select("key", (F.col("count") > hot).alias("hot"))
+    by_text = pieces.join(counts, "key").groupBy("h", part(F.col("h"))).agg(F.collect_set(F.struct("key", "at", "hot")).alias("found"))
+    held = docs.join(by_text.select(F.col("h").alias("of"), "found"), F.col("h") == F.col("of"))
 
     def cuts(of: Column) -> DataFrame:
         found = F.transform(F.filter("found", lambda x: of == x["hot"]), lambda x: F.struct(x["key"].alias("key"), x["at"].alias("at")))
@@ -311,12 +311,12 @@ def recurring_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     large = kinds.where(F.length("piece") > 0).groupBy("key").count().where(F.col("count") > max_class).select("key")
     small = kinds.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key").select("key", "d", "weight", "piece")
     found = small.mapInArrow(decide_kinds(width), KINDS_DDL).unionByName(_by_string(kinds.join(large, "key", "left_semi"), width))
-    found = found.groupBy("key", "d").agg(F.collect_list(F.struct("x", "y")).alias("runs"))
+    found = found.groupBy("key", "d", part(F.col("key"), F.col("d"))).agg(F.collect_list(F.struct("x", "y")).alias("runs"))
     start = F.shiftright("at", 16)
-    of_hot = warm.select("key", "d", "h", "c", "at").join(found, ["key", "d"]).select("h", "c", start.alias("start"), F.explode("runs").alias("run")).select("h", "c", (F.col("start") + F.col("run.x")).alias("low"), (F.col("start") + F.col("run.y") + width - 1).alias("high"))
+    of_hot = warm.select("key", "d", "h", "c", "at").join(found.drop("_part"), ["key", "d"]).select("h", "c", start.alias("start"), F.explode("runs").alias("run")).select("h", "c", (F.col("start") + F.col("run.x")).alias("low"), (F.col("start") + F.col("run.y") + width - 1).alias("high"))
     by_content = rows.unionByName(of_hot).groupBy("h", "c").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     # by h alone, so that the texts' exchange is the one that they met their pieces by
-    by_hash = by_content.groupBy("h").agg(F.collect_list(F.struct("c", "ranges")).alias("by_c")).withColumnRenamed("h", "of")
+    by_hash = by_content.groupBy("h", part(F.col("h"))).agg(F.collect_list(F.struct("c", "ranges")).alias("by_c")).select(F.col("h").alias("of"), "by_c")
     own = F.get(F.filter("by_c", lambda x: x["c"] == F.col("c")), F.lit(0))["ranges"]
     return docs.join(by_hash, F.col("h") == F.col("of"), "left").select("id", "text", own.alias("ranges"))
 
