@@ -9,19 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import checkpointed
+from siftstone.llm.common import checkpointed, part
 
 MAX_ROUNDS = 50
 
 
 def _linked_to_least(edges: DataFrame, low: str, high: str) -> DataFrame:
     """least: for each node ``low``, the smallest of it and its neighbours ``high``; joined to its edges."""
-    least = edges.groupBy(low).agg(F.min(high).alias("least")).select(F.col(low).alias("node"), F.least(low, "least").alias("least"))
+    least = edges.groupBy(low, part(F.col(low))).agg(F.min(high).alias("least")).select(F.col(low).alias("node"), F.least(low, "least").alias("least"))
     return edges.join(least, edges[low] == least["node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of the edges (a, b); component: the smallest node reachable. Loops and repeats are allowed."""
+    """(node, component) for each node of the edges (a, b) but the smallest of its component, which is the component. Loops and repeats are allowed."""
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     last = None
     for _ in range(MAX_ROUNDS):

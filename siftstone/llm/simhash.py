@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import checkpointed, utf8, with_fields
+from siftstone.llm.common import checkpointed, part, utf8, with_fields
 from siftstone.llm.components import components
 
 SHINGLE, SEED, MAX_BITS, BLOCKS = 4, 42, 4, 7
@@ -95,6 +95,8 @@ def spanning_links(members: np.ndarray, max_bits: int) -> np.ndarray:
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """(a, b): verified links between the distinct fingerprints (fp), enough to connect each component."""
+    # 8 bytes a row become many: dealt out before, so that no few tasks make all of them
+    distinct = distinct.repartition(max(8, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
     masks = F.array(*(F.lit(_signed(m)) for m in _masks(blocks, blocks - max_bits)))
     keyed = distinct.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("block"))
     groups = keyed.groupBy("block").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
@@ -121,7 +123,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
     labels = components(links(first.select("fp"), max_bits, blocks))
     # each linked fingerprint with its component, then the least key of the component; unlinked ones are their own
     grouped = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = grouped.groupBy("component", part(F.col("component"))).agg(F.min("least").alias("component_id")).drop("_part")
     by_print = grouped.join(least, "component").select(F.col("fp").alias("of"), "component_id")
     return prints.join(by_print, prints["fp"] == by_print["of"]).select("key", "fp", "component_id")
 
