@@ -313,10 +313,10 @@ PALETTE = byte_palette()
 
 
 def store_payload(text: bytes) -> bytes:
-    """The GIF that holds the bytes, padded with zeros to a positive multiple of 64, as pixels; long ones in several frames."""
+    """The GIF that holds the bytes, padded with zeros to a positive multiple of 64, as pixels; long ones in several frames, each shown alone."""
     rows = max(1, -(-len(text) // WIDTH))
     pixels = np.frombuffer(text.ljust(rows * WIDTH, b"\0"), dtype=np.uint8).reshape(rows, WIDTH)
-    parts = [Frame(pixels[i : i + FRAME_ROWS], PALETTE, delay_cs=DELAY_CS, disposal=1) for i in range(0, rows, FRAME_ROWS)]
+    parts = [Frame(pixels[i : i + FRAME_ROWS], PALETTE, delay_cs=DELAY_CS, disposal=2) for i in range(0, rows, FRAME_ROWS)]
     return encode_gif(parts, WIDTH, min(rows, FRAME_ROWS), PALETTE)
 
 
