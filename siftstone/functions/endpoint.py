@@ -40,17 +40,21 @@ def segments(c: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def match_one(route: Column, entry: Column) -> Column:
-    """Whether two normalized routes agree: methods, and the shorter path with the end of the longer, ``*`` for any part but the first."""
-    m, n, a, b = method(route), method(entry), segments(route), segments(entry)
+def match_parts(m: Column, a: Column, n: Column, b: Column) -> Column:
+    """match_one of methods m and n and segments a and b."""
     short = F.when(F.size(a) <= F.size(b), a).otherwise(b)
     long = F.when(F.size(a) <= F.size(b), b).otherwise(a)
     tail = F.slice(long, -F.size(short), F.size(short))
-    agree = F.forall(F.zip_with(short, tail, lambda x, y: (x == y) | (x == "*") | (y == "*")), lambda x: x)
+    agree = ~F.exists(F.zip_with(short, tail, lambda x, y: (x != y) & (x != "*") & (y != "*")), lambda x: x)
     sized = (F.size(a) > 0) & (F.size(b) > 0)
     return ((m == "") | (n == "") | (m == n)) & sized & F.when(sized, (F.get(short, F.lit(0)) == F.get(tail, F.lit(0))) & agree).otherwise(False)
 
 
+def match_one(route: Column, entry: Column) -> Column:
+    """Whether two normalized routes agree: methods, and the shorter path with the end of the longer, ``*`` for any part but the first."""
+    return match_parts(method(route), segments(route), method(entry), segments(entry))
+
+
 def endpoint_match(report: Column, entry: Column) -> Column:
     """Whether any route of the report's source line is the entry's."""
     key = normalize(entry)
