@@ -16,6 +16,7 @@ one kind, every score is the share of label 1 (0.5 without any); an empty table
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,43 +31,42 @@ MAX_ROWS, TREES, DEPTH, BINS, RATE, LEAST, L2 = 20_000, 120, 4, 64, 0.1, 8.0, 1.
 HELD_OUT, THRESHOLD = 5, 0.3
 
 _KINDS = {"upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": b"0123456789", "space": b" \t\r\x0b\f", "line": b"\n", "stop": b".,;:", "shout": b"!?", "mark": b"#*$%&|<>", "bracket": b"()[]{}\"'", "joiner": b"-_/\\=+~^@`", "control": bytes(i for i in range(32) if i not in b"\t\n\r\x0b\f") + b"\x7f"}
-_SPACES = b" \t\n\r\x0b\f"
 STATISTICS = ("log_bytes", "log_words", "word_length", "word_length_spread", "distinct_words", "most_frequent_word", "repeated_pairs", "lines_repeated", "words_in_line", "compression", "entropy", "wide", "words_with_mark", "words_upper", "words_with_digit", "longest_word", *_KINDS)
 
 
+def _table(members: bytes) -> np.ndarray:
+    out = np.zeros(256, dtype=np.uint8)
+    out[list(members)] = 1
+    return out
+
+
+_IS_SPACE, _IS_MARK, _IS_DIGIT, _IS_UPPER, _IS_LOWER = (_table(x) for x in (b" \n\t\r\x0b\f", _KINDS["mark"], _KINDS["digit"], _KINDS["upper"], _KINDS["lower"]))
+
+
 def statistics(text: bytes) -> list[float]:
     """What the classifier knows of a text; all of it is read."""
     n = len(text)
     if not n:
         return [0.0] * len(STATISTICS)
-    by_byte = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
+    data = np.frombuffer(text, dtype=np.uint8)
+    by_byte = np.bincount(data, minlength=256)
     share = by_byte[by_byte > 0] / n
+    kinds = [float(by_byte[list(k)].sum()) / n for k in _KINDS.values()]
+    general = [len(zlib.compress(text, 1)) / n, -float((share * np.log2(share)).sum()), float(by_byte[128:].sum()) / n]
     words = text.split()
     w = len(words)
+    if not w:
+        return [float(np.log1p(n)), *[0.0] * 8, *general, *[0.0] * 4, *kinds]
+    edge = np.flatnonzero(np.diff(_IS_SPACE[data], prepend=1, append=1))
+    starts = edge[::2]
+    lengths = edge[1::2] - starts
+    marked, digits, upper, lower = (np.add.reduceat(t[data], starts, dtype=np.int64) > 0 for t in (_IS_MARK, _IS_DIGIT, _IS_UPPER, _IS_LOWER))
+    seen = Counter(words)
+    pairs = 1 - len(set(zip(words, words[1:], strict=False))) / (w - 1) if w > 1 else 0.0
     lines = [x for x in text.split(b"\n") if x.strip()]
-    kinds = [float(by_byte[list(k)].sum()) / n for k in _KINDS.values()]
-    out = [np.log1p(n), np.log1p(w)]
-    if w:
-        lengths = np.fromiter(map(len, words), np.int64, w)
-        seen: dict[bytes, int] = {}
-        for x in words:
-            seen[x] = seen.get(x, 0) + 1
-        ids = {x: i for i, x in enumerate(seen)}
-        number = np.fromiter((ids[x] for x in words), np.int64, w)
-        pairs = number[:-1] * len(ids) + number[1:]
-        longest = text.translate(_LINE_BREAKS)
-        out += [lengths.mean(), lengths.std(), len(seen) / w, max(seen.values()) / w, 1 - len(np.unique(pairs)) / len(pairs) if len(pairs) else 0.0]
-        out += [1 - len(set(lines)) / len(lines), w / len(lines), len(zlib.compress(text, 1)) / n, -float((share * np.log2(share)).sum()), float(by_byte[128:].sum()) / n]
-        flags = longest.split()
-        out += [sum(b"#" in x for x in flags) / w, sum(x.isupper() and len(x) > 1 for x in words) / w, sum(b"0" in x for x in flags) / w, float(lengths.max())]
-    else:
-        out += [0.0] * 7 + [0.0, len(zlib.compress(text, 1)) / n, -float((share * np.log2(share)).sum()), float(by_byte[128:].sum()) / n] + [0.0] * 4
-        out = out[:16]
-    return out + kinds
-
-
-#: Marks as "#" and digits as "0", other bytes as they are.
-_LINE_BREAKS = bytes(35 if i in b"#*$%&|<>" else 48 if i in b"0123456789" else i if i not in b"#0" else i for i in range(256))
+    by_word = [lengths.mean(), lengths.std(), len(seen) / w, max(seen.values()) / w, pairs, 1 - len(set(lines)) / len(lines), w / len(lines)]
+    shares = [marked.mean(), (upper & ~lower & (lengths > 1)).mean(), digits.mean(), lengths.max()]
+    return [*map(float, (np.log1p(n), np.log1p(w), *by_word, *general, *shares)), *kinds]
 
 
 @dataclass(frozen=True)
