@@ -82,3 +82,38 @@ def review_units(entrypoints: DataFrame, trace_targets: DataFrame, window: int =
     units = windowed(entrypoints, window, overlap).withColumn("top", top(F.col("path")))
     files = F.concat(F.array("path"), F.coalesce(F.filter("targets", lambda t: t != F.col("path")), F.array().cast("array<string>")))
     return units.join(lists, "top", "left").select("path", "window_no", "start", "end", "first", "last", files.alias("files"))
+
+
+def gather_fragments(fragments: DataFrame, files: DataFrame, group: list[str], total: int = TOTAL) -> DataFrame:
+    """One text a group: source slices (file, start, end) by file and place, within the budget; numbered from their own first lines."""
+    texts = files.select(F.col("path").alias("file"), "text")
+    part = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    block = F.concat(F.lit("### "), F.col("file"), F.lit("\n"), lines.numbered(part, lines.line_at(F.col("text"), F.col("start"))))
+    sized = fragments.join(texts, "file").withColumn("_size", F.col("end") - F.col("start")).withColumn("block", block)
+    kept = within_budget(sized, group, ["file", "start"], "_size", total, total)
+    ordered = F.array_sort(F.collect_list(F.struct("file", "start", "block")))
+    return kept.groupBy(*group).agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n").alias("text"))
+
+
+def without_test_fragments(units: DataFrame, is_test: Column) -> DataFrame:
+    """Units (unit, fragments) none of whose fragments' files is a test's; is_test judges the column ``file``."""
+    bad = units.select("unit", F.explode("fragments.file").alias("file")).where(is_test).select("unit").distinct()
+    return units.join(bad, "unit", "left_anti")
+
+
+def shared_context(parts: DataFrame, templates: DataFrame, cap: int = UNIT) -> DataFrame:
+    """One row: workspace parts (seq, text) that were edited, that is, differ from every template (text), in order under the cap."""
+    edited = parts.where(strip(F.col("text")) != "").join(templates.select(F.col("text")).distinct(), "text", "left_anti")
+    rows = edited.withColumn("_all", F.lit(1))
+    return capped_text(rows, ["_all"], ["seq"], "text", cap).select("text")
+
+
+def lens_header(lens: Column) -> Column:
+    """What a reviewer is told to look for; without a lens, everything."""
+    return F.when(F.coalesce(strip(lens), F.lit("")) == "", "Review for every class of defect.").otherwise(F.concat(F.lit("Review for: "), strip(lens), F.lit(".")))
+
+
+def unit_docs(units: DataFrame) -> DataFrame:
+    """(unit, doc): a work note for each unit (unit, path, first, last, files)."""
+    span = F.concat(F.lit("lines "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"))
+    return units.select("unit", F.concat_ws("\n", F.concat(F.lit("# "), "unit"), F.lit("- Status: open"), F.concat(F.lit("- Entry: `"), "path", F.lit("`, "), span), F.concat(F.lit("- Trace: "), F.array_join("files", ", "))).alias("doc"))

@@ -146,3 +146,44 @@ def poc_for(findings: DataFrame, pocs: DataFrame) -> DataFrame:
     """(name, poc): the first proof file whose name is the finding's, or begins with it and a dot. They meet by the part before a dot."""
     parts = pocs.select("file", F.explode(F.array_distinct(F.concat(F.array("file"), F.transform(F.sequence(F.lit(1), F.size(F.split("file", r"\."))), lambda i: F.array_join(F.slice(F.split("file", r"\."), F.lit(1), i), "."))))).alias("name"))
     return findings.select("name").distinct().join(parts, "name", "left").groupBy("name").agg(F.min("file").alias("poc"))
+
+
+def finding_entries(findings: DataFrame, pocs: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """Findings as stored entries: their fields, how many models found each, its proof, and the owner of its line if known.
+
+    owners: (file, line, owner), from a version history.
+    """
+    proofs = poc_for(findings, pocs)
+    rows = findings.join(proofs, "name", "left").withColumn("models", consensus(F.col("found_by")))
+    if owners is not None:
+        rows = rows.join(owners.select("file", "line", "owner"), ["file", "line"], "left")
+    else:
+        rows = rows.withColumn("owner", F.lit(None).cast("string"))
+    return rows.select("name", "title", "category", "severity", "file", "line", "endpoint", "symbol", "evidence", "status", "source", "models", "found_by", "poc", "owner")
+
+
+def refuted_list(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(key, place, category, reason) of findings that verification refuted."""
+    return findings.join(verdicts.where("not real").select("key", "reason"), "key").select("key", at_line(F.col("file"), F.col("line")).alias("place"), "category", "reason")
+
+
+def shown(items: Column, most: int) -> Column:
+    """The first of a list of texts, with an ellipsis if there are more."""
+    head = F.array_join(F.slice(items, 1, most), ", ")
+    return F.when(F.size(items) > most, F.concat(head, F.lit(" ..."))).otherwise(head)
+
+
+def result_json(outcomes: DataFrame) -> DataFrame:
+    """(target, report) of outcomes (target, id, outcome): found, missed, false positives, extra, recall and precision as JSON."""
+    ids = lambda o: F.array_sort(F.collect_list(F.when(F.col("outcome") == o, F.col("id")))).alias(o)
+    rows = outcomes.groupBy("target").agg(ids("found"), ids("missed"), ids("false_positive"), ids("extra"))
+    planted, known = F.size("found") + F.size("missed"), F.size("found") + F.size("false_positive")
+    rate = lambda of: F.when(of > 0, F.bround(F.size("found") / of, 4)).otherwise(1.0)
+    return rows.select("target", F.to_json(F.struct("target", "found", "missed", F.col("false_positive").alias("false_positives"), "extra", rate(planted).alias("recall"), rate(known).alias("precision_known"))).alias("report"))
+
+
+def flips_text(flips: DataFrame) -> DataFrame:
+    """One row: a line for each kind of flip with its ids."""
+    rows = flips.groupBy("flip").agg(F.array_sort(F.collect_list(F.col("id").cast("string"))).alias("ids"))
+    line = F.concat("flip", F.lit(": "), shown(F.col("ids"), 8))
+    return rows.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("report"))

@@ -55,3 +55,20 @@ def select_guides(files: DataFrame, manifests: DataFrame, sources: DataFrame, gu
     by_source = contained(sources.select(F.lower("text").alias("text")), of("import", "content")).select("guide_id")
     fired = by_path.unionByName(by_manifest).unionByName(by_source).distinct()
     return guides.join(fired, F.col("id") == F.col("guide_id"), "left_semi").orderBy("seq")
+
+
+def bodies(chosen: DataFrame, docs: DataFrame, group: str = "diff_id", order: str = "place", key: str = "vuln_id") -> DataFrame:
+    """(group, text): the bodies of the chosen notes (id, body), in order. A diff has few."""
+    rows = chosen.join(docs.select(F.col("id").alias(key), "body"), key)
+    ordered = F.array_sort(F.collect_list(F.struct(order, "body")))
+    return rows.groupBy(group).agg(F.array_join(F.transform(ordered, lambda x: x["body"]), "\n\n").alias("text"))
+
+
+def flattened(guides: DataFrame, column: str) -> DataFrame:
+    """(value) of the guides' lists in the order of guides (seq) and lists, each value once, where it comes first."""
+    rows = guides.select("seq", F.posexplode(column).alias("n", "value")).groupBy("value").agg(F.min(F.struct("seq", "n")).alias("first"))
+    return rows.orderBy("first").select("value")
+
+
+def allowed_categories(vulns: DataFrame) -> DataFrame:
+    return vulns.select("id").distinct()

@@ -67,3 +67,13 @@ def consensus(found_by: Column) -> Column:
 def kept_rows(candidates: DataFrame, by_file: bool = False) -> DataFrame:
     """The first row of each key, nothing folded."""
     return first_wins(candidates, [candidate_key(by_file)])
+
+
+def resume_key(*parts: Column) -> Column:
+    """A key as text; a missing part is ``None``, so that it stays in its place."""
+    return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("None")) for p in parts))
+
+
+def reloaded(saved: DataFrame) -> DataFrame:
+    """Saved candidates with the default severity where none was stored."""
+    return saved.withColumn("severity", F.coalesce(F.nullif("severity", F.lit("")), F.lit(severity.DEFAULT)))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from siftstone.functions.category import canonical
 from siftstone.operators import chunk, dedup, filters, passes, resolve, union, verify
+from siftstone.plans.seams import Provider, reviewed
+from siftstone.sources import checkpoint
 
 Rules = Mapping[str, Sequence[str]]
 
@@ -57,14 +59,42 @@ def finalize(candidates: DataFrame, aliases: DataFrame, by_file: bool = False) -
     return dedup.collapse_colocated(union.fold(canonical(candidates, "category", aliases), by_file))
 
 
-def resumed(units: DataFrame, reviewed: DataFrame, saved: DataFrame | None) -> DataFrame:
+def resumed(units: DataFrame, done: DataFrame, saved: DataFrame | None) -> DataFrame:
     """Units still open; reviewed units without a saved union raise ValueError."""
-    if saved is None and not reviewed.isEmpty():
+    if saved is None and not done.isEmpty():
         raise ValueError("units are marked reviewed, but there is no union")
-    return verify.open_items(units, reviewed, "unit")
+    return verify.open_items(units, done, "unit")
 
 
 def verified(findings: DataFrame, files: DataFrame, votes: DataFrame, confirmations: DataFrame, models: int = 2) -> DataFrame:
     """Findings with ``step`` (see verify.route) by their votes and confirmations."""
     located = resolve.resolve_paths(findings.withColumn("models", union.consensus(F.col("found_by"))), files)
     return verify.route(located, F.col("resolved").isNotNull(), verify.verdicts(votes, confirmations), models)
+
+
+def live(units: DataFrame, providers: dict[str, Provider], lenses: Sequence[str], path: str, by_file: bool = False, effort: str = "medium", quiet: int = passes.QUIET) -> tuple[DataFrame, dict]:
+    """Review units (unit, prompt) pass by pass until a run of clean passes adds nothing and every lens had its shots.
+
+    Each pass's candidates and reviews are written below ``path`` before the next begins; a pass that is there already
+    isn't made again, so a run that broke off goes on. Only counts come to the driver. Returns the union and the status.
+    """
+    spark, level, names = units.sparkSession, EFFORT[effort], list(providers)
+    most, state = level.max_passes(len(lenses)), {"converged": False, "passes": 0, "errors": 0}
+    still = 0
+    for n in range(1, most + 1):
+        lens, model = lenses[(n - 1) % len(lenses)], names[(n - 1) // len(lenses) % len(names)]
+        place = f"{path}/pass-{n:04d}"
+        if not checkpoint.exists(spark, f"{place}/reviews"):
+            asked = units.select("unit", F.lit(n).alias("pass_no"), F.concat(chunk.lens_header(F.lit(lens)), F.lit("\n\n"), "prompt").alias("prompt"))
+            found, reviews = reviewed(asked, providers[model])
+            found = found.withColumns({"status": F.lit("open"), "source": F.lit("review"), "found_by": F.array(F.lit(model))})
+            checkpoint.save(found.withColumn("seq", F.lit(n).cast("long") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40)), f"{place}/candidates")
+            checkpoint.save(reviews, f"{place}/reviews")
+        made = spark.read.parquet(*(f"{path}/pass-{i:04d}/candidates" for i in range(1, n + 1)))
+        failed = checkpoint.load(spark, f"{place}/reviews").where("not ok").count()
+        new = union.new_keys_per_pass(made, by_file).where(F.col("pass_no") == n).count()
+        still = still + 1 if not new and not failed else 0
+        state = {"converged": still >= quiet and n // len(lenses) >= level.shots, "passes": n, "errors": state["errors"] + failed}
+        if state["converged"]:
+            break
+    return union.fold(made, by_file), state

@@ -71,3 +71,29 @@ def confirmed(findings: DataFrame, providers: dict[str, Provider]) -> DataFrame:
 
 def reply_of(findings: list[dict]) -> str:
     return json.dumps({"findings": findings})
+
+
+class Retrying:
+    """A provider that asks again for replies that failed: a few times, each wait longer and drawn at random."""
+
+    def __init__(self, provider: Provider, retries: int = 2, wait: float = 1.0, most: float = 60.0) -> None:
+        self.provider, self.retries, self.wait, self.most = provider, retries, wait, most
+
+    def __call__(self, prompts: Sequence[str]) -> list[str | None]:
+        import random
+        import time
+
+        replies: list[str | None] = [None] * len(prompts)
+        open_ = list(range(len(prompts)))
+        for attempt in range(self.retries + 1):
+            try:
+                got = self.provider([prompts[i] for i in open_])
+            except Exception:  # a call that raises is a failed call
+                got = [None] * len(open_)
+            for i, r in zip(open_, got, strict=True):
+                replies[i] = r
+            open_ = [i for i in open_ if replies[i] is None]
+            if not open_ or attempt == self.retries:
+                break
+            time.sleep(random.uniform(0, min(self.most, self.wait * 2**attempt)))
+        return replies

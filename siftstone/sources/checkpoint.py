@@ -30,3 +30,10 @@ def load_timeline(spark: SparkSession, path: str) -> DataFrame:
 
 def append_timeline(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there whole, in any store that Spark can reach."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)

@@ -71,3 +71,16 @@ def merged_benchmarks(roots: list[tuple[int, DataFrame, bool]]) -> DataFrame:
 
 def entry_schema() -> T.StructType:
     return T.StructType.fromDDL(KEY)
+
+
+def suite(suites: DataFrame, name: str) -> dict:
+    """A suite's tags and kinds; an unknown name raises ValueError."""
+    row = suites.where(F.col("name") == name).first()
+    if row is None:
+        raise ValueError(f"unknown suite {name}")
+    return row.asDict()
+
+
+def knowledge_items(docs: DataFrame) -> DataFrame:
+    """(ref, kind) of knowledge files (ref, kind, path); a ref of two paths raises ValueError."""
+    return unique(docs.select("ref", "kind", "path").distinct(), ["ref"], "a ref").select("ref", "kind")

@@ -89,3 +89,23 @@ def guide_signals(docs: DataFrame) -> DataFrame:
     plain = lambda s, x: F.lower(x) if s in ("manifest", "content") else x
     parts = [rows.select(F.col("name").alias("guide_id"), F.lit(s).alias("signal"), F.explode(listed(F.col("meta"), k)).alias("x")).select("guide_id", "signal", plain(s, F.col("x")).alias("pattern")) for s, k in keys.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def guides(docs: DataFrame) -> DataFrame:
+    """(seq, id, kind, title, body) of guide notes: languages, then frameworks, then protocols, by id in each."""
+    from pyspark.sql import Window
+
+    rows = knowledge_docs(docs).select("id", "kind", "title", "body")
+    rank = F.when(F.col("kind") == "language", 0).when(F.col("kind") == "framework", 1).when(F.col("kind") == "protocol", 2).otherwise(3)
+    return rows.select((F.row_number().over(Window.orderBy(rank, "id")) - 1).alias("seq"), "id", "kind", "title", "body")
+
+
+def knowledge_refs(vulns, named):
+    """Refs of class ids and guide paths as ``vuln:x`` and ``guide:x``."""
+    return F.concat(F.transform(vulns, lambda x: F.concat(F.lit("vuln:"), x)), F.transform(named, lambda x: F.concat(F.lit("guide:"), x)))
+
+
+def usable(obj, key: str | None = None):
+    """Whether extracted JSON text is an object that isn't empty, and has the key, if one is asked for."""
+    there = obj.isNotNull() & (obj != "{}")
+    return F.coalesce(there & F.array_contains(F.json_object_keys(obj), key), F.lit(False)) if key else there

@@ -59,3 +59,19 @@ def provenance_rows(meta: DataFrame) -> DataFrame:
     names = [c for c in meta.columns if c != "address"]
     rows = meta.select("address", *(F.col(c).cast("string").alias(c) for c in names)).unpivot("address", names, "field", "value")
     return rows.where("value is not null and value <> ''")
+
+
+def chain_id(name: str) -> int:
+    """A chain's id; an unknown chain raises ValueError."""
+    if name not in CHAINS:
+        raise ValueError(f"unknown chain {name}; there are {', '.join(CHAINS)}")
+    return CHAINS[name]
+
+
+def is_blank(meta: DataFrame) -> Column:
+    """Whether all fields of a provenance row but its address are empty."""
+    names = [c for c in meta.columns if c != "address"]
+    blank = F.lit(True)
+    for c in names:
+        blank = blank & (F.coalesce(F.col(c).cast("string"), F.lit("")) == "")
+    return blank

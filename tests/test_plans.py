@@ -152,3 +152,62 @@ def test_streams(spark, tmp_path):
 def test_usage(spark):
     steps = spark.createDataFrame([("a", 0, 1.04), ("b", 1, 2.0), ("a", 2, 1.0), ("c", 3, 2.0)], "unit string, seq int, seconds double")
     assert [(r["unit"], r["seconds"]) for r in usage.slowest_units(steps, 2).collect()] == [("a", 2.0), ("b", 2.0)]
+
+
+def test_live_run_converges_and_goes_on(spark, tmp_path):
+    units = spark.createDataFrame([("u1", "one"), ("u2", "two")], "unit string, prompt string")
+    replies = {"one": seams.reply_of([{"title": "T", "file": "a.py", "symbol": "f", "category": "x", "evidence": "e"}])}
+    found, state = review_repository.live(units, {"m": seams.Canned(replies)}, ["auth"], str(tmp_path), effort="low")
+    assert state == {"converged": False, "passes": 2, "errors": 0}  # one pass for its finding, one quiet one
+    found, state = review_repository.live(units, {"m": seams.Canned({})}, ["auth"], str(tmp_path), effort="high")
+    assert state == {"converged": True, "passes": 3, "errors": 0}
+    assert [(r["title"], r["found_by"]) for r in found.collect()] == [("T", ["m"])]
+    _, state = review_repository.live(units, {"m": seams.Canned({"one": None})}, ["auth"], str(tmp_path / "bad"), effort="low")
+    assert state == {"converged": False, "passes": 2, "errors": 2}
+
+
+def test_adversarial_rounds(spark, tmp_path):
+    diffs = spark.createDataFrame([(0, "good"), (1, "broken"), (2, "moving")], "diff_id long, text string")
+    item = {"file": "a.py", "line": 1, "category": "x"}
+    other = {"file": "b.py", "line": 2, "category": "x"}
+    finder = seams.Canned({}, seams.reply_of([item, other]))
+    challenger = seams.Canned({"broken": json.dumps({"dismissed": ["a.py:1"], "findings": [{"file": "c.py", "category": "y"}], "mark": "broken"}), "moving": '{"mark": "moving"}'}, '{"mark": "good"}')
+    judge = seams.Canned({"good": json.dumps({"agreed": True, "investigate": [], "findings": [item]}), "moving": json.dumps({"agreed": False, "investigate": [], "findings": [other]}), "broken": None})
+    from siftstone.plans import adversarial
+
+    done = adversarial.rounds(diffs, finder, challenger, judge, str(tmp_path))
+    assert {r["diff_id"]: (r["rounds"], r["converged"], r["degraded"]) for r in done.status.collect()} == {0: (1, True, False), 1: (1, False, True), 2: (2, True, False)}
+    assert sorted((r["diff_id"], r["file"]) for r in done.findings.collect()) == [(0, "a.py"), (1, "b.py"), (1, "c.py"), (2, "b.py")]
+
+
+def test_retries():
+    calls = []
+
+    def provider(prompts):
+        calls.append(list(prompts))
+        if len(calls) == 1:
+            raise OSError
+        return ["ok" if len(calls) > 2 or p == "a" else None for p in prompts]
+
+    assert seams.Retrying(provider, 2, 0.0)(["a", "b"]) == ["ok", "ok"]
+    assert calls == [["a", "b"], ["a", "b"], ["b"]]
+
+
+def test_notes_in_order(spark):
+    from siftstone.operators import chunk, report
+    from siftstone.sources.notes import guides, knowledge_refs, usable
+
+    docs = spark.createDataFrame([("b", "---\nkind: language\n---\nB"), ("a", "---\nkind: framework\n---\nA"), ("c", "---\nkind: language\n---\nC")], "name string, text string")
+    assert [(r["seq"], r["id"]) for r in guides(docs).collect()] == [(0, "b"), (1, "c"), (2, "a")]
+    row = spark.range(1).select(knowledge_refs(F.array(F.lit("x")), F.array(F.lit("languages/go"))).alias("r"), usable(F.lit('{"a": 1}'), "a").alias("u"), usable(F.lit("{}")).alias("v"), report.shown(F.array(*map(F.lit, "abc")), 2).alias("s"), chunk.lens_header(F.lit(" ")).alias("l")).first()
+    assert (row["r"], row["u"], row["v"], row["s"]) == (["vuln:x", "guide:languages/go"], True, False, "a, b ...")
+    chosen = spark.createDataFrame([(0, 2, "b"), (0, 1, "a")], "diff_id int, place int, vuln_id string")
+    bodies = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, body string")
+    assert select.bodies(chosen, bodies).first()["text"] == "A\n\nB"
+    lists = spark.createDataFrame([(1, ["x", "y"]), (0, ["y", "z"])], "seq int, xs array<string>")
+    assert column(select.flattened(lists, "xs"), "value") == ["y", "z", "x"]
+    fragments = spark.createDataFrame([("u", "a.py", 4, 8), ("u", "a.py", 0, 3)], "unit string, file string, start int, end int")
+    tree = files.from_list(spark, [("a.py", "one\ntwo\n")])
+    assert chunk.gather_fragments(fragments, tree, ["unit"]).first()["text"] == "### a.py\n1 | one\n\n### a.py\n2 | two\n3 | "
+    parts = spark.createDataFrame([(0, "template"), (1, "edited"), (2, " ")], "seq int, text string")
+    assert chunk.shared_context(parts, spark.createDataFrame([("template",)], "text string")).first()["text"] == "edited"
