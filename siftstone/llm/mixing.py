@@ -5,13 +5,14 @@ what that leaves over is shared by weight among the others until none is above.
 cap / weight, the level at which the rest is shared follows from running sums, so no loop is needed.
 
 Rounding: each document of a source should be taken ``target / source words`` times. The whole copies are certain; the
-fraction is a probability. Two documents with fractional probabilities are paired: words of expectation move from one
-to the other, the way drawn at random so that both keep their expectations, until one is 0 or 1. The source's expected
-words never change by it. Documents are dealt into groups of about ``group`` by a hash; in each group one document at
-most stays fractional; those residuals meet in groups of the next level, and so on: a reduction tree of logarithmic
-depth, each level an aggregation over groups of bounded size, so a source with a third of all rows is just more groups.
-The last residual of a source is drawn by its probability; the source's words are then off its target by less than
-that document's words. Within a group larger documents are paired first, which leaves small residuals.
+fraction is a probability. Two sides with fractional probabilities are paired: words of expectation move from one to
+the other, the way drawn at random so that all keep their expectations, until one side is 0 or 1. The source's expected
+words never change by it. Documents are dealt into groups of about ``group`` by a hash, each of one probability. In a
+group the largest open document is paired with all smaller ones together, which share what moves evenly and so keep one
+probability: a long document is settled at once, and what stays fractional is small. Residuals, one a group at most,
+meet in groups of the next level, where they are paired one by one, and so on: a reduction tree of logarithmic depth,
+each level an aggregation over groups of bounded size, so a source with a third of all rows is just more groups. The
+last residual of a source is drawn by its probability; the source is off its target by less than that document's words.
 
 Draws are hashes of document ids, texts and the level: reruns agree.
 
@@ -31,7 +32,7 @@ from siftstone.llm.common import checkpointed, n_words, unit_hash
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_COPIES = 3.0
-GROUP = 64
+GROUP = 128
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES) -> DataFrame:
@@ -83,6 +84,30 @@ def _pair(level: int) -> Column:
     return F.aggregate(F.col("items"), start, step)
 
 
+def _pooled() -> Column:
+    """Fold a group of one probability, largest first: each item is paired with the rest, whose common probability is ``q``."""
+    start = F.struct(F.get("items", F.lit(0))["p"].alias("q"), F.col("words").alias("rest"), F.lit(None).cast(ITEM).alias("left"), F.array().cast(f"array<{ITEM}>").alias("done"))
+
+    def item(x: Column, p: Column) -> Column:
+        return F.struct(x["size"].alias("size"), x["u"].alias("u"), x["id"].alias("id"), x["n"].alias("n"), p.alias("p"))
+
+    def step(acc: Column, x: Column) -> Column:
+        q, a, left_words = acc["q"], x["size"].cast("double"), acc["rest"] - x["size"]
+        r = left_words.cast("double")
+        up, down = F.least(a * (1 - q), r * q), F.least(a * q, r * (1 - q))
+        rises = unit_hash(F.lit("pool"), x["id"], x["n"]) * (up + down) < down
+        new_p = F.when(rises, F.when(up >= a * (1 - q), 1.0).otherwise(F.least(q + up / a, F.lit(1.0)))).otherwise(F.when(down >= a * q, 0.0).otherwise(F.greatest(q - down / a, F.lit(0.0))))
+        new_q = F.when(rises, F.when(up >= r * q, 0.0).otherwise(F.greatest(q - up / r, F.lit(0.0)))).otherwise(F.when(down >= r * (1 - q), 1.0).otherwise(F.least(q + down / r, F.lit(1.0))))
+        put = lambda p: F.concat(acc["done"], F.array(item(x, p)))
+        over = F.struct(q.alias("q"), left_words.alias("rest"), acc["left"].alias("left"), put(q).alias("done"))  # the rest is settled
+        last = F.struct(q.alias("q"), left_words.alias("rest"), item(x, q).alias("left"), acc["done"].alias("done"))
+        settled = F.struct(new_q.alias("q"), left_words.alias("rest"), acc["left"].alias("left"), put(new_p).alias("done"))
+        open_ = F.struct(new_q.alias("q"), left_words.alias("rest"), item(x, new_p).alias("left"), acc["done"].alias("done"))
+        return F.when(q.isin(0.0, 1.0), over).when(left_words <= 0, last).when(new_p.isin(0.0, 1.0), settled).otherwise(open_)
+
+    return F.aggregate("items", start, step, lambda acc: F.struct(acc["left"].alias("left"), acc["done"].alias("done")))
+
+
 def rounded(items: DataFrame, group: int = GROUP) -> DataFrame:
     """(id, n, p): p is 0 or 1, drawn from rows (source, size > 0, id, n, p) so that each source's sum of size * p is kept."""
     drawn = F.struct(F.col("size"), unit_hash(F.col("id"), F.col("n"), F.lit("order")).alias("u"), "id", "n", "p").cast(ITEM)
@@ -91,11 +116,14 @@ def rounded(items: DataFrame, group: int = GROUP) -> DataFrame:
     level = 0
     while True:
         level += 1
-        counts = left.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
-        sized = left.join(counts, F.col("source").eqNullSafe(F.col("of")))  # a null source is one too
+        # on the first level a group is of one probability
+        kind = F.col("item.p") if level == 1 else F.lit(0.0)
+        rows = left.withColumn("kind", kind)
+        counts = rows.groupBy(F.col("source").alias("of"), F.col("kind").alias("k")).agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
+        sized = rows.join(counts, F.col("source").eqNullSafe(F.col("of")) & (F.col("kind") == F.col("k")))  # a null source is one too
         dealt = sized.withColumn("place", F.pmod(F.xxhash64("item.id", "item.n", F.lit(level)), F.col("groups")))
-        groups = dealt.groupBy("source", "place").agg(F.reverse(F.array_sort(F.collect_list("item"))).alias("items"))
-        folded = checkpointed(groups.select("source", _pair(level).alias("fold")))
+        groups = dealt.groupBy("source", "kind", "place").agg(F.reverse(F.array_sort(F.collect_list("item"))).alias("items"), F.sum("item.size").alias("words"))
+        folded = checkpointed(groups.select("source", (_pooled() if level == 1 else _pair(level)).alias("fold")))
         out.append(folded.select(F.explode("fold.done").alias("item")).select("item.id", "item.n", "item.p"))
         left = folded.where("fold.left is not null").select("source", F.col("fold.left").alias("item"))
         if left.groupBy("source").count().where("count > 1").isEmpty():
