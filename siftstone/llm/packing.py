@@ -104,3 +104,19 @@ def packed(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS, chunk_
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / length))
     placed = _numbered(rows.withColumn("bucket", bucket), chunks, ["doc_id", "n_tokens", "h"]).withColumns({"bucket_tokens": length, "room": room})
     return placed.select("doc_id", "n_tokens", "bucket", "bucket_tokens", F.floor(F.col("place") / F.col("room")).cast("long").alias("batch"), F.pmod("place", "room").cast("int").alias("slot"), (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"))
+
+
+#: packed(documents) in SQL, as far as no bucket has over CHUNK_ROWS rows, so that places follow doc_id.
+ORACLE_SQL = r"""
+WITH RECURSIVE tok AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS BIGINT) AS n_tokens FROM documents),
+h AS (SELECT n_tokens AS n, count(*) AS c FROM tok WHERE n_tokens <= 16384 GROUP BY n_tokens),
+bins AS (SELECT row_number() OVER w AS j, n, CAST(sum(c) OVER w AS BIGINT) AS cc, CAST(sum(n * c) OVER w AS BIGINT) AS ss FROM h WINDOW w AS (ORDER BY n)),
+dp AS (SELECT 0 AS k, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS cost, CAST(0 AS BIGINT) AS cut, CAST(0 AS BIGINT) AS cc, CAST(0 AS BIGINT) AS ss
+UNION ALL SELECT dp.k + 1, b.j, min(dp.cost + b.n * (b.cc - dp.cc) - (b.ss - dp.ss)), arg_min(dp.j, dp.cost + b.n * (b.cc - dp.cc) - (b.ss - dp.ss)), any_value(b.cc), any_value(b.ss) FROM dp JOIN bins b ON b.j > dp.j WHERE dp.k < 16 GROUP BY dp.k, b.j),
+best AS (SELECT k, j FROM dp WHERE k > 0 AND j = (SELECT max(j) FROM bins) ORDER BY cost, k LIMIT 1),
+tr AS (SELECT k, j FROM best UNION ALL SELECT dp.k - 1, dp.cut FROM tr JOIN dp ON dp.k = tr.k AND dp.j = tr.j WHERE tr.k > 1),
+bounds AS (SELECT b.n, CAST(row_number() OVER (ORDER BY b.n) - 1 AS INT) AS bucket FROM tr JOIN bins b ON b.j = tr.j),
+put AS (SELECT doc_id, n_tokens, coalesce((SELECT min(bucket) FROM bounds WHERE n >= n_tokens), (SELECT CAST(count(*) AS INT) FROM bounds)) AS bucket, coalesce((SELECT min(n) FROM bounds WHERE n >= n_tokens), n_tokens) AS bucket_tokens FROM tok),
+pl AS (SELECT *, greatest(1, 16384 // bucket_tokens) AS room, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS place FROM put)
+SELECT doc_id, n_tokens, bucket, bucket_tokens, CAST(place // room AS BIGINT) AS batch, CAST(place % room AS INT) AS slot, bucket_tokens - n_tokens AS padding FROM pl
+"""

@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference_pairs": preference.ORACLE_SQL}
+    return {"op2_length_buckets": packing.ORACLE_SQL, "op3_preference_pairs": preference.ORACLE_SQL, "op5_suffix_array_dedup": substrings.ORACLE_SQL, "op8_sampled_splitters": sharding.ORACLE_SQL}

@@ -81,3 +81,16 @@ def sharded(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS,
     # one row for each shard
     firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))
     return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first")).cast("long").alias("slot"))
+
+
+#: sharded(documents) and the query's fixed columns in SQL, as far as no range is subdivided; CRC-32 byte by byte.
+ORACLE_SQL = """
+WITH RECURSIVE bit AS (SELECT i, i AS v, 0 AS k FROM (SELECT unnest(range(0, 256)) AS i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bit WHERE k < 8),
+tbl AS (SELECT list(v ORDER BY i) AS t FROM bit WHERE k = 8),
+hexed AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x FROM documents),
+bytes AS (SELECT doc_id, source, CAST(length(x) // 2 + 1 AS BIGINT) AS size, list_transform(range(0, length(x) // 2), lambda j: CAST(strpos('123456789ABCDEF', substr(x, 2 * j + 1, 1)) * 16 + strpos('123456789ABCDEF', substr(x, 2 * j + 2, 1)) AS BIGINT)) AS bs FROM hexed),
+sized AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM bytes, tbl),
+run AS (SELECT *, coalesce(sum(size) OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM sized),
+cut AS (SELECT *, CAST(least(7, ((2 * before + size) * 8) // (2 * total)) AS INT) AS shard FROM run)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY source NULLS FIRST, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM cut
+"""

@@ -378,3 +378,19 @@ def remove_recurring(docs: DataFrame, text: str = "text", width: int = WIDTH) ->
 
     cleaned = ranges.mapInArrow(clean, with_fields({"row": ranges.schema["id"].dataType}, "left string"))
     return cleaned.select(*(F.when(~F.col("row.`text is null`"), F.col("left")).alias(n) if n == text else F.col(f"row.`{n}`").alias(n) for n in names))
+
+
+#: removal_digests(documents) in SQL, by counting every string of 200 bytes, in hexadecimal.
+ORACLE_SQL = """
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, substr(x, 2 * i + 1, 400) AS s FROM (SELECT r, x, unnest(range(0, greatest(0, length(x) // 2 - 199))) AS i FROM b)),
+o AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+m AS (SELECT r, i FROM w SEMI JOIN o ON w.s = o.s),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS first FROM m),
+n AS (SELECT r, i, sum(first) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
+q AS (SELECT r, k, min(i) AS low, max(i) + 200 AS high FROM n GROUP BY r, k),
+p AS (SELECT r, list(low ORDER BY low) AS lows, list(high ORDER BY low) AS highs FROM q GROUP BY r),
+t AS (SELECT doc_id, x, coalesce(len(lows), 0) AS spans, coalesce(list_sum(highs) - list_sum(lows), 0) AS gone,
+CASE WHEN lows IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(lows) + 1), lambda j: substr(x, 2 * coalesce(highs[j], 0) + 1, 2 * (coalesce(lows[j + 1], length(x) // 2) - coalesce(highs[j], 0)))), '') END AS kept FROM b LEFT JOIN p USING (r))
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t
+"""
