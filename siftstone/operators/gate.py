@@ -7,20 +7,33 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import severity
 from siftstone.functions.text import folded
+from siftstone.operators.select import contained
+
+
+#: Lengths of the strings that paths and tokens meet by.
+GRAMS = (12, 6, 3, 1)
 
 
 def unowned(inventory: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Inventory paths that no artifact text contains.
 
-    A path can stand anywhere in a text. Path-like tokens of the texts, and all their suffixes at a separator, are looked
-    up first, which settles nearly all; only paths that no token is are searched for in the texts, and what is searched
-    is checked to be small before it is sent along.
+    A path without white space lies within one token of a text. Different tokens are cut into all their strings of a few
+    lengths; a path is looked up by its own last characters, of the longest such length that it has, and then compared
+    with the tokens found. So this is an equi-join, and a common token counts once. Paths with white space are few: that
+    is checked before they are searched for in the texts.
     """
-    tokens = artifacts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\s`|,;()\[\]<>\"']+"), F.lit(0))).alias("token"))
-    token = F.regexp_replace("token", r"[:.]\d*$|[.:]+$", "")
-    left = inventory.select("path").distinct().join(tokens.select(token.alias("path")).distinct(), "path", "left_anti")
-    left = left.join(tokens.select(F.col("token").alias("path")).distinct(), "path", "left_anti")
-    return left.join(artifacts.select("text"), F.contains("text", "path"), "left_anti")
+    paths = inventory.select("path").distinct()
+    plain, odd = paths.where(~F.rlike("path", F.lit(r"\s"))), paths.where(F.rlike("path", F.lit(r"\s")))
+    tokens = artifacts.select(F.explode(F.split("text", r"\s+")).alias("token")).distinct()
+    owned = None
+    for g, longer in zip(GRAMS, (1 << 30, *GRAMS), strict=False):
+        grams = F.transform(F.sequence(F.lit(1), F.length("token") - g + 1), lambda i: F.substring(F.col("token"), i, F.lit(g)))  # noqa: B023
+        found = tokens.where(F.length("token") >= g).select("token", F.explode(F.array_distinct(grams)).alias("gram"))
+        keyed = plain.where((F.length("path") >= g) & (F.length("path") < longer)).withColumn("gram", F.right("path", F.lit(g)))
+        hit = keyed.join(found, "gram").where(F.contains("token", "path")).select("path")
+        owned = hit if owned is None else owned.unionByName(hit)
+    left = plain.join(owned.distinct(), "path", "left_anti")
+    return left.unionByName(odd.join(contained(artifacts.select("text"), odd.withColumnRenamed("path", "needle")).select(F.col("needle").alias("path")).distinct(), "path", "left_anti"))
 
 
 def completeness(units: DataFrame, candidates: DataFrame, n_surface: int | None, converged: bool | None, unowned_files: DataFrame | None = None, strict: bool = False) -> DataFrame:

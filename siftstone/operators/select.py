@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 from siftstone.functions.text import glob_regex_sql
 
 TOP = 6
+#: Rows of knowledge that may be broadcast.
+LIMIT = 10_000
 #: Impact ranks; an unknown impact ranks 1.
 IMPACT = {"critical": 3, "high": 2, "medium": 1, "low": 0}
 
 
-def contained(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", limit: int = 10_000) -> DataFrame:
+def checked(small: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """A table that is about to be broadcast, once it is known to have no more rows than the limit; more raise ValueError."""
+    if small.limit(limit + 1).count() > limit:
+        raise ValueError(f"over {limit} rows to broadcast; cut them by a key first")
+    return F.broadcast(small)
+
+
+def contained(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", limit: int = LIMIT) -> DataFrame:
     """(text rows) x (needles that the text contains), rows of needles added.
 
     Containment has no key to join on. Needles are knowledge, a small fixed table: its size is checked against
     ``limit`` before it is broadcast; each text is scanned once where it lies.
     """
-    if needles.limit(limit + 1).count() > limit:
-        raise ValueError(f"over {limit} needles; cut them by a key first")
-    return texts.join(F.broadcast(needles.where(F.col(needle) != "")), F.contains(F.col(text), F.col(needle)))
+    return texts.join(checked(needles.where(F.col(needle) != ""), limit), F.contains(F.col(text), F.col(needle)))
 
 
 def triggered(diffs: DataFrame, triggers: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def select_guides(files: DataFrame, manifests: DataFrame, sources: DataFrame, gu
     """
     of = lambda *kinds: signals.where(F.col("signal").isin(*kinds)).select("guide_id", F.col("pattern").alias("needle"))
     globs = of("file").withColumn("needle", glob_regex_sql(F.col("needle")))
-    by_path = files.select("path").join(F.broadcast(globs), F.rlike(F.col("path"), F.col("needle")), "inner").select("guide_id")
+    by_path = files.select("path").join(checked(globs), F.rlike(F.col("path"), F.col("needle")), "inner").select("guide_id")
     by_manifest = contained(manifests.select(F.lower("text").alias("text")), of("manifest")).select("guide_id")
     by_source = contained(sources.select(F.lower("text").alias("text")), of("import", "content")).select("guide_id")
     fired = by_path.unionByName(by_manifest).unionByName(by_source).distinct()

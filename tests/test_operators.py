@@ -186,8 +186,10 @@ def test_gate(spark):
 
 def test_unowned_paths_stand_anywhere(spark):
     inventory = spark.createDataFrame([(p,) for p in ("a/x.py", "b/y.py", "c/z.py", "d.py")], "path string")
-    artifacts = spark.createDataFrame([("see `a/x.py:12`",), ("prefix/b/y.pyc and d.py",)], "text string")
+    artifacts = spark.createDataFrame([("see `a/x.py:12`",), ("prefix/b/y.pyc and d.py",), ("an a b.py",), (None,)], "text string")
     assert column(gate.unowned(inventory, artifacts), "path") == ["c/z.py"]
+    odd = inventory.union(spark.createDataFrame([("a b.py",), ("c d.py",), ("q",), ("",)], "path string"))
+    assert sorted(column(gate.unowned(odd, artifacts), "path")) == ["", "c d.py", "c/z.py", "q"]
 
 
 def test_reports(spark):
