@@ -3,7 +3,7 @@
 A page becomes a tree of elements. For each node, C is its characters, T its tags, LC and LT those of links; its
 density is C/T, adjusted by how much of it is links against the whole body. A node's sum is that of its children's
 densities. The node with the largest sum is the core of the content; the least density on its path to the body is the
-threshold, and every other node at or above the threshold adds its own largest-sum descendant. Where the core lies in
+threshold, and every other node at or above the threshold adds its own largest-sum descendant, as do headings beside the core. Where the core lies in
 an ``article`` or ``main`` element, or holds the page's only one, that element is the content, as its author says so.
 Scripts, styles, navigation, forms, adverts, notices and reader comments are cut out before densities are computed.
 
@@ -42,6 +42,7 @@ CUT_ALWAYS = frozenset("ad ads advert adverts advertisement advertisements adver
 #: ... and of what isn't, unless it holds most of the page's text.
 CUT_SMALL = frozenset("promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars side footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager skip paywall copyright legal topbar".split())
 LANDMARKS = ("article", "main")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 class Tree:
@@ -193,11 +194,10 @@ def extract(page: str | None) -> str:
     def density(i: int) -> float:
         if not keep[i] or not c[i]:
             return 0.0
+        # a node without links counts as if it had one of one character, which keeps the logarithm's base above one
         tags_in, links, linked = max(1, t_[i]), max(1, lt[i]), max(1, lc[i])
-        per_tag = c[i] / tags_in
-        plain = max(1, c[i] - lc[i])
-        base = math.log(c[i] / plain * lc[i] + share * c[i] + math.e)
-        return per_tag * math.log(max(1.0, c[i] / linked * tags_in / links)) / math.log(base) if base > 1.0 + 1e-9 and math.log(base) > 1e-9 else per_tag * max(1.0, math.log(max(1.0, c[i] / linked * tags_in / links)))
+        base = math.log(c[i] / max(1, c[i] - lc[i]) * linked + share * c[i] + math.e)
+        return c[i] / tags_in * math.log(max(1.0, c[i] / linked * tags_in / links)) / math.log(base)
 
     d = [density(i) for i in range(n)]
     sums = [0.0] * n
@@ -225,6 +225,8 @@ def extract(page: str | None) -> str:
             if keep[i] and (sums[best[i]], d[best[i]]) > (sums[best[p]], d[best[p]]):
                 best[p] = best[i]
         chosen = {core} | {best[i] for i in range(n) if below[i] and i != body and keep[i] and d[i] >= threshold > 0}
+        # a heading beside the core is its own, however short
+        chosen |= {i for i in range(1, n) if tags[i] in HEADINGS and keep[i] and core and parents[i] == parents[core]}
     taken = [False] * n
     for i in range(n):
         taken[i] = keep[i] and (i in chosen or i > 0 and taken[parents[i]])

@@ -21,6 +21,8 @@ def page(body):
     (page(f"<article><p>{P}</p><section class='comments'><p>{P * 4}</p></section><form>{P}<button>Go</button></form><aside>{P}</aside></article><div class='comment'>{P}</div>"), P.strip()),
     (page(f"<main><article><header><h1>Head</h1></header><p>{P}</p><p>{P}</p></article></main><div role=dialog>{P}</div><div hidden>{P}</div>"), f"Head {P}{P}".strip()),
     (page(f"<table><tr><td><ul class=menu><li><a>a</a><li><a>b</a></ul><td><p>{P}<p>{P}</table><div class='cookie-notice'>Cookies</div>"), f"{P}{P}".strip()),
+    (page(f"<div class='topbar'>Site</div><div><h1>Hi</h1><div class='story'><p>{P}</p><blockquote>{P}</blockquote><ul><li>one</li><li>two</li></ul><p>{P}</p></div></div><div id='related-links'>{P}</div><section id='comments'><h3>Comments</h3><div><p>{P}</p></div></section>"), f"Hi {P}{P} one two {P}".strip()),
+    (page(f"<div id=a><div id=b><p>{P * 2}</p><p>{P}</p><pre>x  =  1</pre><table><tr><td>k</td><td>v</td></tr></table></div><p>See <a href=x>more</a></p></div><div>Call us</div>"), f"{P * 3} x = 1 k v".strip()),
     (page(f"<div><ul>{'<li><a href=x>link text here</a></li>' * 30}</ul></div><div><p>{P * 3}</p><p>{P * 2}</p></div>"), (P * 5).strip()),
 ])
 def test_pages(given, want):
