@@ -1,10 +1,13 @@
 """Reports of findings: order, counts, and text, markdown, JSON and SARIF renderings.
 
-A rendering is one document. Findings of a report are few; their rows are gathered into one value on an executor.
+A rendering is one document: the findings of one report are gathered into one value on an executor. ``by`` names the
+columns that tell reports apart (a target, a run), so any number of reports is rendered at once, each where its rows meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +41,11 @@ def severity_counts(findings: DataFrame, level: Column | None = None) -> DataFra
     return levels.join(counts, "severity", "left").fillna(0, ["n"])
 
 
-def _rows(findings: DataFrame, *shown: Column) -> DataFrame:
-    """One row: ``xs``, the findings in report order with their shown columns."""
+def _rows(findings: DataFrame, by: Sequence[str], *shown: Column) -> DataFrame:
+    """One row a report: ``xs``, its findings in report order with their shown columns. Without ``by`` there is one, empty or not."""
     order = [c.alias(f"_{i}") for i, c in enumerate(report_order())]
     xs = F.array_sort(F.collect_list(F.struct(*order, F.struct(*shown).alias("x"))))
-    return findings.agg(F.transform(xs, lambda r: r["x"]).alias("xs"))
+    return findings.groupBy(*by).agg(F.transform(xs, lambda r: r["x"]).alias("xs"))
 
 
 def _counts(xs: Column) -> Column:
@@ -51,63 +54,63 @@ def _counts(xs: Column) -> Column:
     return F.concat_ws(", ", *(F.when(n(level) > 0, F.concat_ws(" ", n(level).cast("string"), F.lit(level))) for level in severity.LEVELS))
 
 
-def as_text(findings: DataFrame) -> DataFrame:
-    """One row: a line for each finding, its description below."""
+def as_text(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row a report: a line for each finding, its description below."""
     place = at_line(F.col("file"), F.col("line"))
     line = F.concat(F.lit("["), "severity", F.lit("] "), place, F.lit(" "), "category", F.lit("\n  "), "description")
-    return _rows(findings, line.alias("line")).select(F.when(F.size("xs") == 0, "no findings").otherwise(F.array_join(F.transform("xs", lambda x: x["line"]), "\n")).alias("report"))
+    return _rows(findings, by, line.alias("line")).select(*by, F.when(F.size("xs") == 0, "no findings").otherwise(F.array_join(F.transform("xs", lambda x: x["line"]), "\n")).alias("report"))
 
 
-def as_markdown(findings: DataFrame) -> DataFrame:
-    """One row: a header with counts, then a section for each finding."""
+def as_markdown(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row a report: a header with counts, then a section for each finding."""
     title = F.concat(F.lit("## "), "severity", F.lit(": "), "category", F.lit(" at `"), at_line(F.col("file"), F.col("line")), F.lit("`"))
     part = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(f"{name}: "), c))
     section = F.concat_ws("\n\n", title, F.nullif("description", F.lit("")), part("Scenario", "exploit_scenario"), part("Fix", "recommendation"))
-    rows = _rows(findings, F.col("severity"), section.alias("section"))
+    rows = _rows(findings, by, F.col("severity"), section.alias("section"))
     head = F.concat(F.lit("# Review: "), F.size("xs").cast("string"), F.lit(" findings"), F.when(F.size("xs") > 0, F.concat(F.lit(" ("), _counts(F.col("xs")), F.lit(")"))).otherwise(""))
-    return rows.select(F.concat_ws("\n\n", head, F.array_join(F.transform("xs", lambda x: x["section"]), "\n\n")).alias("report"))
+    return rows.select(*by, F.concat_ws("\n\n", head, F.array_join(F.transform("xs", lambda x: x["section"]), "\n\n")).alias("report"))
 
 
-def as_json(findings: DataFrame) -> DataFrame:
-    """One row: ``{"findings": [...], "summary": {level: n}}``."""
-    rows = _rows(findings, *(F.col(c) for c in FIELDS))
+def as_json(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row a report: ``{"findings": [...], "summary": {level: n}}``."""
+    rows = _rows(findings, by, *(F.col(c) for c in FIELDS))
     count = lambda level: F.size(F.filter("xs", lambda x: x["severity"] == level)).alias(level)
-    return rows.select(F.to_json(F.struct(F.col("xs").alias("findings"), F.struct(*map(count, severity.LEVELS)).alias("summary")), {"ignoreNullFields": "false"}).alias("report"))
+    return rows.select(*by, F.to_json(F.struct(F.col("xs").alias("findings"), F.struct(*map(count, severity.LEVELS)).alias("summary")), {"ignoreNullFields": "false"}).alias("report"))
 
 
-def sarif_rules(findings: DataFrame) -> DataFrame:
-    """(rule_id, rule_index): categories of findings with a file, numbered by first appearance in report order."""
+def sarif_rules(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, rule_id, rule_index): categories of findings with a file, numbered by first appearance in report order. One row a rule."""
     placed = findings.where("file <> ''").withColumn("rule_id", F.when(F.coalesce("category", F.lit("")) == "", "security").otherwise(F.col("category")))
-    first = placed.groupBy("rule_id").agg(F.min(F.struct(*(c.alias(f"_{i}") for i, c in enumerate(report_order())))).alias("first"))
-    return first.select("rule_id", (F.row_number().over(Window.orderBy("first")) - 1).alias("rule_index"))
+    first = placed.groupBy(*by, "rule_id").agg(F.min(F.struct(*(c.alias(f"_{i}") for i, c in enumerate(report_order())))).alias("first"))
+    return first.select(*by, "rule_id", (F.row_number().over(Window.partitionBy(*by).orderBy("first")) - 1).alias("rule_index"))
 
 
-def as_sarif(findings: DataFrame) -> DataFrame:
-    """One row: a SARIF 2.1.0 log."""
+def as_sarif(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row a report: a SARIF 2.1.0 log."""
     placed = findings.where("file <> ''").withColumn("rule_id", F.when(F.coalesce("category", F.lit("")) == "", "security").otherwise(F.col("category")))
-    rules = sarif_rules(findings)
+    rules = sarif_rules(findings, by)
     region = F.when(F.coalesce("line", F.lit(0)) > 0, F.struct(F.col("line").alias("startLine")))
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     message = F.coalesce(F.nullif("description", F.lit("")), F.nullif("category", F.lit("")), F.lit("security finding"))
     result = (F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), severity.sarif_level(F.col("severity")).alias("level"), F.struct(message.alias("text")).alias("message"), F.array(place).alias("locations"), F.struct("severity", "category", "confidence", F.col("exploit_scenario").alias("exploitScenario")).alias("properties"))
-    results = _rows(placed.join(rules, "rule_id"), *result)
+    results = _rows(placed.join(rules, [*by, "rule_id"]), by, *result)
     rule = F.struct(F.col("rule_id").alias("id"), F.col("rule_id").alias("name"), F.struct(F.col("rule_id").alias("text")).alias("shortDescription"))
-    named = rules.agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_index", rule.alias("r")))), lambda x: x["r"]).alias("rules"))
+    named = rules.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_index", rule.alias("r")))), lambda x: x["r"]).alias("rules"))
     driver = F.struct(F.struct(F.lit(TOOL).alias("name"), F.col("rules")).alias("driver"))
     run = F.struct(driver.alias("tool"), F.col("xs").alias("results"))
     log = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
-    # two single rows meet on a constant
-    both = results.withColumn("_one", F.lit(1)).join(named.withColumn("_one", F.lit(1)), "_one")
-    return both.select(F.to_json(log).alias("report"))
+    # without by, two single rows meet on a constant
+    both = results.withColumn("_one", F.lit(1)).join(named.withColumn("_one", F.lit(1)), [*by, "_one"])
+    return both.select(*by, F.to_json(log).alias("report"))
 
 
 FORMATS = {"text": as_text, "markdown": as_markdown, "json": as_json, "sarif": as_sarif}
 
 
-def render(findings: DataFrame, kind: str) -> DataFrame:
+def render(findings: DataFrame, kind: str, by: Sequence[str] = ()) -> DataFrame:
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind}; there are {', '.join(FORMATS)}")
-    return FORMATS[kind](findings)
+    return FORMATS[kind](findings, by)
 
 
 def finding_names(findings: DataFrame, stem: Column | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ RELATIONS: dict[str, tuple[str, dict[str, str]]] = {
         "severity": LEVEL.format("event_id"), "evidence": f"'k' || CAST({K} AS VARCHAR(20))", "status": "CASE WHEN event_id % 3 = 0 THEN 'confirmed' ELSE 'open' END", "source": "'review'", "model": "'m' || CAST(user_id % 3 AS VARCHAR(20))",
     }),
     "findings": ("events", {
-        "seq": "event_id", "file": "CASE WHEN event_id % 13 = 0 THEN 'tests/' || event_type || '.py' WHEN event_id % 17 = 0 THEN 'vendored/' || event_type || '.py' ELSE 'src/' || event_type || '.py' END", "line": f"NULLIF({K}, 0)",
+        "seq": "event_id", "reviewer": "'u' || CAST(user_id AS VARCHAR(20))", "file": "CASE WHEN event_id % 13 = 0 THEN 'tests/' || event_type || '.py' WHEN event_id % 17 = 0 THEN 'vendored/' || event_type || '.py' ELSE 'src/' || event_type || '.py' END", "line": f"NULLIF({K}, 0)",
         "severity": LEVEL.format("event_id"), "category": "CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END", "description": "'user ' || CAST(user_id % 20 AS VARCHAR(20))", "exploit_scenario": "'k'", "recommendation": "''", "confidence": "value / 500",
     }),
     "files": ("documents", {

@@ -163,19 +163,19 @@ def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.as_json(relation(spark, sf_dir, "findings").where("seq < 200"))
+    return report.as_json(relation(spark, sf_dir, "findings"), ["reviewer"])
 
 
 def report_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.as_sarif(relation(spark, sf_dir, "findings").where("seq < 200"))
+    return report.as_sarif(relation(spark, sf_dir, "findings"), ["reviewer"])
 
 
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.as_text(relation(spark, sf_dir, "findings").where("seq < 200"))
+    return report.as_text(relation(spark, sf_dir, "findings"), ["reviewer"])
 
 
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.as_markdown(relation(spark, sf_dir, "findings").where("seq < 200"))
+    return report.as_markdown(relation(spark, sf_dir, "findings"), ["reviewer"])
 
 
 def finding_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +239,11 @@ d AS (SELECT *, refuted AND coalesce(NOT done, false) AS broken, refuted AND coa
 verdicts AS (SELECT key, NOT dropped AS real, n_completed = 0 OR broken AS incomplete, errors + CAST(broken AS INT) AS errors, CASE WHEN dropped THEN coalesce(reason, '') ELSE '' END AS reason FROM d)"""
 _FINDINGS_ORDER = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END"
 
+_PLACE = "CASE WHEN coalesce(line, 0) <> 0 THEN file || ':' || CAST(line AS VARCHAR) ELSE file END"
+_SHOWN = f"x AS (SELECT *, {_PLACE} AS place, row_number() OVER (ORDER BY {_FINDINGS_ORDER}, file, coalesce(line, 0), seq) AS n FROM findings)"
+_COUNTS = ", ".join(f"(CASE WHEN count(*) FILTER (severity = '{x}') > 0 THEN CAST(count(*) FILTER (severity = '{x}') AS VARCHAR) || ' {x}' END)" for x in severity.LEVELS)
+_SLUGGED = "left(lower(regexp_replace(regexp_replace({}, '[^A-Za-z0-9]', '-', 'g'), '^-+|-+$', '', 'g')), 80)"
+
 SQL = {
     "severity_breakdown": f"WITH {ORDERS}, ls AS (SELECT * FROM (VALUES {LEVELS}) t(severity)) SELECT ls.severity, count(o_orderkey) AS n FROM ls LEFT JOIN lv ON lv.severity = ls.severity GROUP BY ls.severity",
     "severity_gate": f"WITH {ORDERS} SELECT 'critical' AS threshold, bool_or(severity = 'CRITICAL') AS failed FROM lv UNION ALL SELECT 'HIGH', bool_or(severity IN ('CRITICAL', 'HIGH')) FROM lv UNION ALL SELECT '', false UNION ALL SELECT 'urgent', false",
@@ -272,4 +277,7 @@ SQL = {
     "verify_verdicts": f"WITH {_VERDICTS} SELECT * FROM verdicts",
     "verify_totals": f"WITH {_VERDICTS} SELECT count(*) FILTER (real) AS confirmed, count(*) FILTER (NOT real) AS refuted, CAST(sum(errors) AS BIGINT) AS errors, count(*) FILTER (real AND incomplete) AS incomplete FROM verdicts",
     "verify_route": f"WITH {_VERDICTS} SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(o_orderkey % 3 AS INT) AS models, CASE WHEN o_orderkey % 3 >= 2 THEN 'consensus' WHEN o_orderkey % 10 = 0 THEN 'unlocatable' WHEN NOT coalesce(real, true) THEN 'refuted' WHEN coalesce(incomplete, true) THEN 'kept' ELSE 'verified' END AS step FROM orders LEFT JOIN verdicts ON verdicts.key = CAST(o_orderkey AS VARCHAR)",
+    "report_text": f"WITH {cte('findings')}, {_SHOWN} SELECT reviewer, string_agg('[' || severity || '] ' || place || ' ' || category || chr(10) || '  ' || description, chr(10) ORDER BY n) AS report FROM x GROUP BY reviewer",
+    "report_markdown": f"WITH {cte('findings')}, {_SHOWN} SELECT reviewer, '# Review: ' || CAST(count(*) AS VARCHAR) || ' findings (' || concat_ws(', ', {_COUNTS}) || ')' || chr(10) || chr(10) || string_agg('## ' || severity || ': ' || category || ' at `' || place || '`' || chr(10) || chr(10) || description || chr(10) || chr(10) || 'Scenario: ' || exploit_scenario, chr(10) || chr(10) ORDER BY n) AS report FROM x GROUP BY reviewer",
+    "finding_names": f"WITH {cte('candidates')}, b AS (SELECT seq, severity, {_SLUGGED.format('(' + _PLACE + ") || '-' || category")} AS base FROM candidates), r AS (SELECT seq, base, row_number() OVER (PARTITION BY base ORDER BY {_FINDINGS_ORDER}, seq) AS n FROM b), m AS (SELECT seq, n, CASE WHEN n = 1 THEN base ELSE base || '-' || CAST(n AS VARCHAR) END AS name FROM r), a AS (SELECT seq, name, row_number() OVER (PARTITION BY name ORDER BY n, seq) AS k FROM m) SELECT seq, CASE WHEN k = 1 THEN name ELSE name || '-' || CAST(seq AS VARCHAR) END AS name FROM a",
 }

@@ -43,7 +43,7 @@ def guide_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     guides = spark.createDataFrame([(0, "python"), (1, "go"), (2, "flask"), (3, "oauth"), (4, "capital"), (5, "none")], "seq int, id string")
     rows = [("python", "file", "src1*/*.py"), ("go", "manifest", "zzz"), ("go", "file", "*.xyz"), ("flask", "manifest", "and"), ("oauth", "content", "the was"), ("capital", "import", "The"), ("none", "content", "zzzz"), ("none", "file", "")]
     signals = spark.createDataFrame(rows, "guide_id string, signal string, pattern string")
-    return select.select_guides(files, files.where("doc_id < 20").select("text"), files.select("text"), guides, signals)
+    return select.select_guides(files, files.where("path like '%.lock'").select("text"), files.select("text"), guides, signals)
 
 
 def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def suite_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = relation(spark, sf_dir, "functions").groupBy("contract", "fn").agg(F.max(F.col("flag") == "R").alias("external_call"), F.max(F.col("line") == 7).alias("sends_eth"), F.lit(False).alias("can_reenter"), F.sum("quantity").cast("int").alias("n"))
-    start = F.pmod(F.crc32(F.col("fn").cast("binary")), F.lit(1000)).cast("int")
+    start = F.pmod(F.col("n") * 7, F.lit(1000)).cast("int")
     return rows.select("contract", "fn", F.concat(F.lit("src/"), "contract", F.lit(".sol")).alias("file"), F.lit("public").alias("visibility"), "external_call", "sends_eth", "can_reenter", F.when(F.col("n") % 10 != 0, start).alias("start"), F.when(F.col("n") % 10 != 0, start + F.col("n") * 10).alias("end"), "n")
 
 
@@ -167,11 +167,15 @@ _UNITS = f"""{_FN}, ord AS (SELECT *, row_number() OVER (PARTITION BY contract,
 fold AS (SELECT contract, anchor, rn, CAST(size AS BIGINT) AS total, [fn] AS fs FROM ord WHERE rn = 1 UNION ALL SELECT o.contract, o.anchor, o.rn, CASE WHEN f.total + o.size <= 2500 THEN f.total + o.size ELSE f.total END, CASE WHEN f.total + o.size <= 2500 THEN list_append(f.fs, o.fn) ELSE f.fs END FROM fold f JOIN ord o ON o.contract = f.contract AND o.anchor = f.anchor AND o.rn = f.rn + 1),
 un AS (SELECT contract, anchor, list_sort(arg_max(fs, rn)) AS fs, arg_max(total, rn) AS chars FROM fold GROUP BY contract, anchor)"""
 
+_BLOCKS = f"""{_FN}, ce AS (SELECT contract, caller AS fn, array_to_string(list_sort(list_distinct(list(callee))), ', ') AS cs FROM cl GROUP BY ALL),
+ln AS (SELECT f.contract, f.fn, '- ' || f.fn || ' public' || CASE WHEN external_call THEN ' external-call' ELSE '' END || CASE WHEN sends_eth THEN ' sends-eth' ELSE '' END || coalesce(' calls ' || cs, '') AS line FROM fns f LEFT JOIN ce ON ce.contract = f.contract AND ce.fn = f.fn),
+bk AS (SELECT contract, 'src/' || contract || '.sol' AS file, string_agg(line, chr(10) ORDER BY fn) AS block FROM ln GROUP BY contract)"""
+
 SQL = {
     "trigger_hits": f"WITH {_TRIGGERS} SELECT diff_id, vuln_id FROM hits",
     "trigger_topk": f"WITH {_TRIGGERS}, {_IMPACT}, r AS (SELECT diff_id, vuln_id, rank, row_number() OVER (PARTITION BY diff_id ORDER BY rank DESC, vuln_id DESC) AS place FROM hits JOIN imp USING (vuln_id)) SELECT diff_id, CAST(place AS INT) AS place, vuln_id, CAST(rank AS INT) AS rank FROM r WHERE place <= 3",
     "benchmark_passages": "SELECT doc_id, item_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(d.text, b.text)",
-    "guide_match": f"WITH {cte('files')} SELECT CAST(seq AS INT) AS seq, id FROM (VALUES (0, 'python', (SELECT bool_or(path LIKE 'src1%/%.py') FROM files)), (2, 'flask', (SELECT bool_or(contains(lower(text), 'and')) FROM files WHERE doc_id < 20)), (3, 'oauth', (SELECT bool_or(contains(lower(text), 'the was')) FROM files))) t(seq, id, ok) WHERE ok",
+    "guide_match": f"WITH {cte('files')} SELECT CAST(seq AS INT) AS seq, id FROM (VALUES (0, 'python', (SELECT bool_or(path LIKE 'src1%/%.py') FROM files)), (2, 'flask', (SELECT bool_or(contains(lower(text), 'and')) FROM files WHERE path LIKE '%.lock')), (3, 'oauth', (SELECT bool_or(contains(lower(text), 'the was')) FROM files))) t(seq, id, ok) WHERE ok",
     "coverage_matrix": f"WITH {_MATRIX} SELECT * FROM mx",
     "coverage_problems": f"WITH {_MATRIX}, en AS (SELECT 'e' || CAST(id AS VARCHAR) AS id, ref, id % 9 = 0 AS bare FROM items WHERE id % 2 = 1) SELECT 'missing-positive' AS kind, ref, '' AS detail FROM mx WHERE kind = 'vulnerability' AND diff_positive = 0 UNION ALL SELECT 'missing-safe', ref, '' FROM mx WHERE kind = 'vulnerability' AND diff_safe = 0 UNION ALL SELECT 'missing-repository-target', ref, '' FROM mx WHERE kind = 'vulnerability' AND repository_planted = 0 UNION ALL SELECT 'unresolved-reference', ref, 'entry b ' || id FROM en WHERE NOT bare AND ref NOT IN (SELECT ref FROM mx) UNION ALL SELECT 'unresolved-reference', ref, 'manifest b' FROM (VALUES ('vuln:brand-11'), ('vuln:nowhere')) t(ref) WHERE ref NOT IN (SELECT ref FROM mx) UNION ALL SELECT 'entry-without-knowledge', id, '' FROM en WHERE bare",
     "case_refs": f"WITH {cte('items')} SELECT id, CASE id % 3 WHEN 0 THEN ref WHEN 1 THEN 'vuln:' || regexp_replace(tag, '[\\s_]+', '-', 'g') ELSE '' END AS refs FROM items",
@@ -183,4 +187,7 @@ SQL = {
     "usage_by_role": f"WITH {cte('calls')} SELECT role, count(*) AS calls, CAST(sum(n) AS BIGINT) AS input_tokens, CAST(sum(n // 4) AS BIGINT) AS output_tokens, CAST(coalesce(sum(CASE WHEN seq > 0 THEN n - 1 END), 0) AS BIGINT) AS cache_read_tokens, CAST(0 AS BIGINT) AS cache_write_tokens FROM calls GROUP BY role",
     "slowest_units": f"WITH {cte('calls')} SELECT unit, round_even(sum(round_even(n / 16, 1)), 1) AS seconds, count(*) AS steps, min(conv_id * 100 + seq) AS seq FROM calls GROUP BY unit ORDER BY seconds DESC, seq LIMIT 5",
     "timeline_total": f"WITH {cte('calls')} SELECT count(*) AS stages, round_even(sum(n / 8), 1) AS seconds, count(*) FILTER (seq >= 5) AS failed FROM calls",
+    "call_fragments": f"WITH RECURSIVE {_UNITS}, x AS (SELECT contract, anchor, unnest(fs) AS fn FROM un) SELECT x.contract, anchor, 'src/' || x.contract || '.sol' AS file, CAST(n * 7 % 1000 AS INT) AS \"start\", CAST(n * 7 % 1000 + n * 10 AS INT) AS \"end\" FROM x JOIN fns ON fns.contract = x.contract AND fns.fn = x.fn",
+    "facts_blocks": f"WITH {_BLOCKS} SELECT contract, file, sha256(block) AS digest FROM bk",
+    "facts_for_units": f"WITH {_BLOCKS} SELECT 'u-' || file AS unit, CASE WHEN length(file) = 10 THEN file ELSE 'lib/' || split_part(file, '/', 2) END AS path, CAST(length(block) AS INT) AS n FROM bk",
 }

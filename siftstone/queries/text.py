@@ -75,7 +75,7 @@ def capped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _files(spark, sf_dir)
-    units = chunk.review_units(rows.where("doc_id % 6 = 0").select("path", "text"), rows.where("doc_id % 6 = 1").select("path"), 2000, 200)
+    units = chunk.review_units(rows.where("path like '%.py'").select("path", "text"), rows.where("path like '%.go'").select("path"), 2000, 200)
     return units.select("path", "window_no", "start", "end", F.array_join("files", ",").alias("files"))
 
 
@@ -145,6 +145,10 @@ _WINDOWS = """b AS (SELECT path, text, length(text) AS size, list_filter(list_tr
 w AS (SELECT path, size, bs, 0 AS no, 0 AS s, CAST(CASE WHEN size <= {w} THEN size ELSE coalesce(list_max(list_filter(bs, lambda x: x > 0 AND x <= {w})), {w}) END AS BIGINT) AS e, CAST(CASE WHEN size <= {w} THEN -1 ELSE coalesce(list_max(list_filter(bs, lambda x: x > 0 AND x <= {w})), {w} - {o}) END AS BIGINT) AS nx FROM b
 UNION ALL SELECT path, size, bs, no + 1, CAST(nx AS INT), CAST(CASE WHEN nx + {w} >= size THEN size ELSE coalesce(list_max(list_filter(bs, lambda x: x > nx AND x <= nx + {w})), nx + {w}) END AS BIGINT), CAST(CASE WHEN nx + {w} >= size THEN -1 ELSE coalesce(list_max(list_filter(bs, lambda x: x > nx AND x <= nx + {w})), nx + {w} - {o}) END AS BIGINT) FROM w WHERE nx >= 0)"""
 
+_NUMBERED = "array_to_string(list_transform(range(1, len(string_split({0}, chr(10))) + 1), lambda i: lpad(CAST(i AS VARCHAR), CAST(length(CAST(len(string_split({0}, chr(10))) AS VARCHAR)) AS INT), ' ') || ' | ' || string_split({0}, chr(10))[i]), chr(10))"
+_SPANS = 'w.path, CAST(no AS INT) AS window_no, CAST(s AS INT) AS "start", CAST(e AS INT) AS "end"'
+_LINES = "CAST(len(string_split(b.text[1:s], chr(10))) AS INT) AS first, CAST(len(string_split(b.text[1:greatest(s, e - 1)], chr(10))) AS INT) AS last"
+
 SQL = {
     "endpoint_normalize": f"WITH {cte('endpoints')} SELECT page_id, {_NORM('entry')} AS entry, {_NORM('report')} AS report FROM endpoints",
     "endpoint_match": f"""WITH {cte('endpoints')}, {_ROUTES}, x AS (SELECT page_id, entry, unnest(routes) AS r, true AS own FROM rt UNION ALL SELECT page_id, entry, unnest(['put /x/en/*', 'get /y']), false FROM rt),
@@ -160,4 +164,12 @@ SELECT page_id, bool_or(own AND {_ONE}) AS same, bool_or(NOT own AND {_ONE}) AS
     "finding_coerce": f"WITH {cte('findings')} SELECT seq, file, CASE WHEN seq % 5 IN (0, 1, 2) THEN NULL ELSE line END AS line, CASE WHEN seq % 3 = 1 THEN 'MEDIUM' ELSE severity END AS severity, category, CASE seq % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.7 WHEN 2 THEN 0.5 ELSE 0.25 END::DOUBLE AS confidence FROM findings WHERE seq % 6 <> 0",
     "json_extract": f"WITH {cte('findings')} SELECT seq, seq % 4 <> 3 AS ok, CASE WHEN seq % 4 <> 3 THEN category END AS category FROM findings",
     "reply_candidates": f"WITH {cte('candidates')} SELECT seq, CASE WHEN seq % 3 = 0 THEN 'described' ELSE title END AS title, CASE WHEN seq % 4 = 0 THEN '' ELSE file END AS file, line, severity FROM candidates",
+    "chunk_windows_full": f"WITH RECURSIVE {cte('files')}, {_WINDOWS.format(w=24000, o=2000)} SELECT {_SPANS}, {_LINES} FROM w JOIN b ON b.path = w.path",
+    "review_units": f"""WITH RECURSIVE {cte('files')}, {_WINDOWS.format(w=2000, o=200).replace('FROM files)', "FROM files WHERE path LIKE '%.py')")},
+tg AS (SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY path) AS n FROM files WHERE path LIKE '%.go'), tl AS (SELECT source, string_agg(path, ',' ORDER BY path) AS ts FROM tg WHERE n <= 20 GROUP BY source)
+SELECT {_SPANS}, w.path || coalesce(',' || ts, '') AS files FROM w LEFT JOIN tl ON tl.source = split_part(w.path, '/', 1)""",
+    "gather_text": f"WITH {cte('files')}, c AS (SELECT source, path, text, least(length(text), 600) AS taken FROM files), s AS (SELECT *, coalesce(sum(taken) OVER (PARTITION BY source ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c), t AS (SELECT source, path, text[1:taken] AS t FROM s WHERE before < 3000), j AS (SELECT source, string_agg('### ' || path || chr(10) || {_NUMBERED.format('t')}, chr(10) || chr(10) ORDER BY path) AS t FROM t GROUP BY source) SELECT source, sha256(t) AS digest, CAST(length(t) AS INT) AS n FROM j",
+    "capped_blocks": f"WITH {cte('files')}, d AS (SELECT source, text[1:300] AS block, min(doc_id) AS doc_id FROM files GROUP BY ALL), s AS (SELECT *, coalesce(sum(least(length(block), 2000)) OVER (PARTITION BY source ORDER BY doc_id, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d), j AS (SELECT source, string_agg(block, chr(10) || chr(10) ORDER BY doc_id, block) AS t FROM s WHERE before < 2000 GROUP BY source), c AS (SELECT source, CASE WHEN length(t) > 2000 THEN t[1:2000] || chr(10) || '... truncated' ELSE t END AS t FROM j) SELECT source, sha256(t) AS digest, CAST(length(t) AS INT) AS n FROM c",
+    "line_numbers": f"WITH {cte('files')}, h AS (SELECT doc_id, text, text[1:2000] AS t FROM files) SELECT doc_id, sha256({_NUMBERED.format('t')}) AS digest, CAST(len(string_split(text[1:500], chr(10))) AS INT) AS line, CAST(len(string_split(text[1:899], chr(10))) AS INT) AS last, CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\S'))) AS INT) AS starts FROM h",
+    "finding_reports": f"WITH {cte('candidates')}, r AS (SELECT *, seq % 11 > 1 AND line IS NOT NULL AS pinned FROM candidates) SELECT CAST(seq AS VARCHAR) AS name, CASE category WHEN 'SQL_Injection' THEN 'sql-injection' WHEN 'missing auth' THEN 'missing-authorization' ELSE category END AS category, array_to_string(list_sort(list_distinct(list_concat(['src/view.py', file], CASE WHEN seq % 11 = 1 THEN ['/etc/x.py'] ELSE [file] END))), ',') AS files, array_to_string(list_sort(list_distinct(CASE WHEN pinned THEN [7, 12, line] ELSE [7, 12] END)), ',') AS lines FROM r",
 }

@@ -204,6 +204,8 @@ def test_reports(spark):
     data = json.loads(report.as_json(rows).first()["report"])
     assert data["summary"] == {"CRITICAL": 1, "HIGH": 1, "MEDIUM": 0, "LOW": 2} and len(data["findings"]) == 4
     assert report.as_text(rows.limit(0)).first()["report"] == "no findings"
+    by_class = {r["category"]: json.loads(r["report"]) for r in report.as_sarif(rows, ["category"]).collect()}
+    assert by_class.keys() == {"", "idor", "replay"} and all(len(x["runs"][0]["tool"]["driver"]["rules"]) == 1 for x in by_class.values())
     assert report.as_markdown(rows).first()["report"].startswith("# Review: 4 findings (1 CRITICAL, 1 HIGH, 2 LOW)")
 
 
