@@ -43,8 +43,7 @@ def stop_pass(state: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
 def replay(candidates: DataFrame, passes: DataFrame, by_file: bool = False, quiet: int = QUIET, n_lenses: int = 1, shots: int = 0, max_passes: int = MAX_PASSES) -> DataFrame:
     """The candidates of the passes that a live run would have made before it stopped."""
     state = convergence(new_keys_per_pass(candidates, by_file), passes, quiet, n_lenses, shots)
-    stop = F.broadcast(stop_pass(state, max_passes).select("stop_at"))  # one row
-    return candidates.join(stop, F.col("pass_no") <= F.col("stop_at")).drop("stop_at")
+    return candidates.where(F.col("pass_no") <= stop_pass(state, max_passes).select("stop_at").scalar())
 
 
 def failed_units(reviews: DataFrame) -> DataFrame:

@@ -124,8 +124,8 @@ def _passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def convergence_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = passes.convergence(union.new_keys_per_pass(_candidates(spark, sf_dir)), _passes(spark, sf_dir), 2, 3, 2)
-    stop = F.broadcast(passes.stop_pass(state, 24))  # one row
-    return state.join(stop.withColumnRenamed("converged", "run_converged"), F.lit(True)).select("pass_no", "n_new", "clean", "converged", "covered", "stop_at", "run_converged")
+    stop = passes.stop_pass(state, 24)
+    return state.select("pass_no", "n_new", "clean", "converged", "covered", stop.select("stop_at").scalar().alias("stop_at"), stop.select("converged").scalar().alias("run_converged"))
 
 
 def lens_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
