@@ -95,8 +95,9 @@ def spanning_links(members: np.ndarray, max_bits: int) -> np.ndarray:
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """(a, b): verified links between the distinct fingerprints (fp), enough to connect each component."""
-    # 8 bytes a row become many: dealt out before, so that no few tasks make all of them
-    distinct = distinct.repartition(max(8, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
+    # 8 bytes a row become many: dealt out before, so that no few tasks make all of them; by a hash of fp, as an exchange
+    # by fp itself would be taken for the one below it, whose small partitions are merged
+    distinct = distinct.repartition(max(8, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("fp"))
     masks = F.array(*(F.lit(_signed(m)) for m in _masks(blocks, blocks - max_bits)))
     keyed = distinct.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("block"))
     groups = keyed.groupBy("block").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
