@@ -25,13 +25,14 @@ def unowned(inventory: DataFrame, artifacts: DataFrame) -> DataFrame:
     paths = inventory.select("path").distinct()
     plain, odd = paths.where(~F.rlike("path", F.lit(r"\s"))), paths.where(F.rlike("path", F.lit(r"\s")))
     tokens = artifacts.select(F.explode(F.split("text", r"\s+")).alias("token")).distinct()
-    owned = None
-    for g, longer in zip(GRAMS, (1 << 30, *GRAMS), strict=False):
+    own = F.coalesce(*(F.when(F.length("path") >= g, g) for g in GRAMS), F.lit(0))
+    used = {r["g"] for r in plain.select(own.alias("g")).distinct().collect()}  # one of each length at most
+    owned = plain.limit(0)
+    for g in sorted(used & set(GRAMS)):
         grams = F.transform(F.sequence(F.lit(1), F.length("token") - g + 1), lambda i: F.substring(F.col("token"), i, F.lit(g)))  # noqa: B023
         found = tokens.where(F.length("token") >= g).select("token", F.explode(F.array_distinct(grams)).alias("gram"))
-        keyed = plain.where((F.length("path") >= g) & (F.length("path") < longer)).withColumn("gram", F.right("path", F.lit(g)))
-        hit = keyed.join(found, "gram").where(F.contains("token", "path")).select("path")
-        owned = hit if owned is None else owned.unionByName(hit)
+        keyed = plain.where(own == g).withColumn("gram", F.right("path", F.lit(g)))
+        owned = owned.unionByName(keyed.join(found, "gram").where(F.contains("token", "path")).select("path"))
     left = plain.join(owned.distinct(), "path", "left_anti")
     return left.unionByName(odd.join(contained(artifacts.select("text"), odd.withColumnRenamed("path", "needle")).select(F.col("needle").alias("path")).distinct(), "path", "left_anti"))
 
