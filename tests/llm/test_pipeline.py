@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from siftstone.llm import mixing, quality, queries
 from tests.llm.test_quality import corpus
+from tests.llm.test_simhash import brute as fingerprints
+from tests.llm.test_simhash import groups
+from tests.llm.test_substrings import brute as removed
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,9 +53,14 @@ def test_stages_one_by_one(spark, folder):
     scores = quality.classified(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
     assert Counter(kept.keys()) == Counter(r["doc_id"] for r in scores.where("predicted = 1").collect())
     single = {r["doc_id"] for r in held["simhash_near_dedup"]}
+    ids = sorted(kept)
+    assert single == set(groups(ids, fingerprints([kept[i] for i in ids])))
     assert len(single & {2000, 2001, 2002}) == 1 and single <= kept.keys()
     cleaned = {r["doc_id"]: (r["text"], r["n_chars"]) for r in held["suffix_array_dedup"]}
     assert cleaned.keys() == single
+    order = sorted(single)
+    want = {i: b.decode("utf-8", "ignore") for i, (_, _, b) in zip(order, removed([kept[i] for i in order], 200), strict=True)}
+    assert {i: t or "" for i, (t, _) in cleaned.items()} == want
     assert all(passage not in (t or "") and len(t or "") == n for t, n in cleaned.values())
     mixed = Counter(r["doc_id"] for r in held["source_mixing"])
     assert mixed.keys() <= cleaned.keys() and max(mixed.values()) <= 3
