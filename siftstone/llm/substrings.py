@@ -39,8 +39,8 @@ from siftstone.llm.common import part, utf8, with_fields
 WIDTH, GRAM = 200, 32
 #: Texts are hashed in stretches of so many bytes; blocks of classes are decided when they reach this size.
 STRETCH, LONGEST, BLOCK = 1 << 18, 1 << 22, 1 << 21
-#: Members above which a class's pieces are aggregated first, and different pieces above which it is split.
-HOT, MAX_CLASS = 20_000, 32_768
+#: Members above which a class's pieces are aggregated first (so many rows are some 10 MB in a task), and different pieces above which it is split.
+HOT, MAX_CLASS = 100_000, 32_768
 
 Batches = Iterable[pa.RecordBatch]
 
