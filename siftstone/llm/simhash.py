@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import checkpointed, part, utf8, with_fields
 from siftstone.llm.components import components
+from siftstone.llm.jaccard import near_copies
 
 SHINGLE, SEED, MAX_BITS, BLOCKS = 4, 42, 4, 7
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -130,11 +131,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near duplicates: the one of the smallest doc_id (null first; of equal ones, by the text's hash)."""
+    """docs with one row of each group of near copies (``jaccard``): the one of the smallest doc_id (null first; of equal ones, by the text's hash)."""
     names = docs.columns
     row_id = F.xxhash64("text", "doc_id")
     lean = docs.select(row_id.alias("id"), F.struct(F.col("doc_id"), row_id.alias("id")).alias("key"), "text")
-    found = near_duplicates(lean, key="key")
+    found = near_copies(lean)
     winners = found.select(F.col("component_id.id").alias("winner")).distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), row_id.alias("id")).join(winners, F.col("id") == F.col("winner"))
     # rows alike in doc_id and text: one of them, by the other columns' hash
