@@ -1,8 +1,9 @@
 """Quality rules: compression bands.
 
 A text's zstandard ratio (its bytes over its compressed bytes) says how repetitive it is. Each text is measured whole
-and in fixed chunks; a repetitive text compresses too well, random or encoded bytes too badly. Short texts compress
-worse than long ones of the same kind, so the limits depend on length, and chunks, all of one length, have their own.
+and in fixed chunks, the rest after the last full one too; a repetitive text compresses too well, random or encoded bytes too badly. Short texts compress
+worse than long ones of the same kind, so the limits depend on length, and full chunks of long texts have their own.
+Texts below ``CHUNK`` bytes are cut into smaller chunks, and these and the rest have the limits of texts of their length.
 
 Defined cases: a null text is an empty one, has no words and fails the base rules; ratios of an empty text are null;
 texts below ``SHORTEST`` bytes are judged by the base rules alone, as a frame's overhead outweighs them; equal texts
@@ -36,10 +37,12 @@ class Band:
     high: float
 
 
-#: Limits on the whole text's ratio by its length, and on that of full chunks.
+#: Limits on the whole text's ratio by its length, and on that of chunks of CHUNK bytes.
 WHOLE = (Band(512, 1.05, 3.0), Band(1024, 1.3, 3.8), Band(2048, 1.36, 4.4), Band(4096, 1.4, 5.0), Band(16384, 1.5, 5.5), Band(1 << 62, 1.5, 6.5))
 CHUNKS = Band(CHUNK + 1, 1.4, 6.0)
-#: A text fails if over this share of its full chunks lies outside the chunk band.
+#: Bytes of a chunk for texts of so many bytes or more, and the least that the rest is measured with, from the text's end back.
+UNITS = ((CHUNK, CHUNK, 512), (2048, 1024, 512), (1024, 512, 512), (512, 256, 256))
+#: A text fails if over this share of its bytes lies in chunks outside their band, on whichever side.
 MAX_BAD_CHUNKS = 0.25
 SYMBOLS = b"#*$%&|<>"
 NOT_SYMBOLS = bytes(i for i in range(256) if i not in SYMBOLS)
@@ -92,26 +95,53 @@ def base(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(text.translate(None, NOT_SYMBOLS)), repeated, repeated_words(words)
 
 
+def unit(n_bytes: int) -> tuple[int, int]:
+    """Bytes of a chunk of a text, and the least of what the rest is measured with; a text below all is one chunk."""
+    return next(((size, least) for at, size, least in UNITS if n_bytes >= at), (max(1, n_bytes), 0))
+
+
 def ratios(text: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float | None, list[float]]:
     """The ratio of the whole text and of each full chunk."""
     if not text:
         return None, []
     whole = len(text) / len(squeeze.compress(text))
-    return whole, [CHUNK / len(squeeze.compress(text[i : i + CHUNK])) for i in range(0, len(text) - CHUNK + 1, CHUNK)]
+    size, _ = unit(len(text))
+    if size == len(text):
+        return whole, [whole]
+    return whole, [size / len(squeeze.compress(text[i : i + size])) for i in range(0, len(text) - size + 1, size)]
+
+
+def rest_ratio(text: bytes, squeeze: zstandard.ZstdCompressor) -> float | None:
+    """The ratio of what follows the last full chunk, if anything does; a short rest is measured with what precedes it."""
+    size, least = unit(len(text))
+    if not len(text) % size:
+        return None
+    end = text[-max(least, len(text) % size) :]
+    return len(end) / len(squeeze.compress(end))
+
+
+def _band(n_bytes: int) -> Band:
+    return next(b for b in WHOLE if n_bytes < b.below)
 
 
-def verdict(n_bytes: int, whole: float | None, chunks: list[float]) -> str | None:
+def verdict(n_bytes: int, whole: float | None, chunks: list[float], rest: float | None = None) -> str | None:
     """Why the text is rejected, if it is."""
     if whole is None or n_bytes < SHORTEST:
         return None
-    band = next(b for b in WHOLE if n_bytes < b.below)
+    band = _band(n_bytes)
     if whole > band.high:
         return "whole text repetitive"
     if whole < band.low:
         return "whole text incompressible"
-    for why, bad in (("chunks repetitive", sum(r > CHUNKS.high for r in chunks)), ("chunks incompressible", sum(r < CHUNKS.low for r in chunks))):
-        if bad > MAX_BAD_CHUNKS * len(chunks):
-            return why
+    size, least = unit(n_bytes)
+    band = CHUNKS if size == CHUNK else _band(size)
+    parts = [(size, r, band) for r in chunks]
+    if rest is not None:
+        parts.append((n_bytes % size, rest, _band(max(least, n_bytes % size))))
+    high = sum(n for n, r, b in parts if r > b.high)
+    low = sum(n for n, r, b in parts if r < b.low)
+    if high + low > MAX_BAD_CHUNKS * sum(n for n, _, _ in parts):
+        return "chunks repetitive" if high >= low else "chunks incompressible"
     return None
 
 
@@ -129,9 +159,11 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
                 body = x.as_py()
                 counts = base(body)
                 whole, chunks = ratios(body, squeeze)
+                rest = rest_ratio(body, squeeze) if body else None
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
-                why = "base rules" if failed else verdict(len(body), whole, chunks)
-                rows.append((*counts, failed, why is None, len(body), whole, min(chunks, default=None), max(chunks, default=None), why))
+                why = "base rules" if failed else verdict(len(body), whole, chunks, rest)
+                parts = chunks if rest is None else [*chunks, rest]
+                rows.append((*counts, failed, why is None, len(body), whole, min(parts, default=None), max(parts, default=None), why))
             columns = zip(*rows, strict=True) if rows else [[]] * (len(FIELDS) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, (_, t) in zip(columns, FIELDS[1:], strict=True))], [n for n, _ in FIELDS])
 

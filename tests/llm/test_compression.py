@@ -64,3 +64,21 @@ def test_chunks_are_judged_apart():
 
 def test_empty(spark):
     assert judged(spark, []) == []
+
+
+def test_the_whole_text_is_judged_in_chunks(spark):
+    rng = random.Random(3)
+    prose = " ".join("".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 3))) for _ in range(1500))
+    noise = lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n]
+    clean = [prose[:n] for n in (700, 1500, 3000, 4096, 7996)]
+    tails = [prose[:a] + noise(b) for a, b in ((4096, 3900), (4096, 1500), (1500, 1500), (800, 700))]
+    repeats = prose[:4096] + " ".join(["again and again"] * 250)
+    rows = judged(spark, [*clean, *tails, repeats])
+    assert [r["reason"] for r in rows[:5]] == [None] * 5 and all(r["least_chunk_ratio"] for r in rows)
+    assert [r["reason"] for r in rows[5:9]] == ["chunks incompressible"] * 4
+    assert not rows[9]["kept"]
+
+
+def test_both_sides_count_together():
+    assert compression.verdict(8 * compression.CHUNK, 2.0, [2.0] * 4 + [9.0] * 2 + [1.0] * 2) == "chunks repetitive"
+    assert compression.verdict(8 * compression.CHUNK, 2.0, [2.0] * 6 + [9.0, 1.0]) is None
