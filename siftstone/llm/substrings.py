@@ -191,7 +191,7 @@ def _blocks(batches: Batches) -> Iterator[pa.RecordBatch]:
             held.append(batch.slice(at, to - at))
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, at = [], to
-        if last == 0:  # the batch is of one class, another than what is held
+        if last == 0 and held:  # the batch is of one class, another than what is held
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held = []
         held.append(batch.slice(last))

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftstone.llm import bwt, substrings, windows
@@ -133,3 +134,19 @@ def test_blocks_hold_whole_classes(monkeypatch):
         blocks = [b.column(0).to_pylist() for b in substrings._blocks(iter(batches))]
         assert [k for b in blocks for k in b] == keys
         assert all(a[-1] != b[0] for a, b in zip(blocks, blocks[1:], strict=False))
+
+
+@pytest.mark.parametrize("more", [[], [5, 5, 9]])
+def test_a_first_batch_above_a_block_may_be_of_one_class(monkeypatch, more):
+    rng = random.Random(6)
+    monkeypatch.setattr(substrings, "BLOCK", 1000)
+    texts = [rng.randbytes(150) for _ in range(20)]
+    keys = [5] * 20 + more
+    texts += [texts[0]] * len(more)
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(range(a, b), pa.int64()), pa.array([1] * (b - a), pa.int64()), pa.array(texts[a:b], pa.binary())], ["key", "d", "weight", "piece"])
+    assert batch(0, 20).nbytes > substrings.BLOCK
+    batches = [batch(0, 20), *([batch(20, len(keys))] if more else [])]
+    blocks = [b.column(0).to_pylist() for b in substrings._blocks(iter(batches))]
+    assert [x for b in blocks for x in b] == keys and len(set(map(max, blocks))) == len(blocks)
+    found = [r for b in substrings.decide_kinds(100)(iter(batches)) for r in b.to_pylist()]
+    assert {r["d"] for r in found} == ({0, 20, 21} if more else set())
