@@ -37,7 +37,7 @@ CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr
 SCOPE = frozenset("html body div article section main table ul ol dl td th blockquote aside nav header footer form figure".split())
 CUT = frozenset("head script style noscript template title nav aside footer form button select textarea input iframe noembed noframes svg canvas object embed dialog menu audio video xmp".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
-#: Words in class or id of what isn't the article, whatever its size ...
+#: Words in class or id of what isn't the article, unless it holds a landmark, or most of the text of a page without one outside it ...
 CUT_ALWAYS = frozenset("ad ads advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored comment comments commentlist disqus respond replies reply discussion".split())
 #: ... and of what isn't, unless it holds most of the page's text.
 CUT_SMALL = frozenset("promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars side footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager skip paywall copyright legal topbar".split())
@@ -156,18 +156,26 @@ def extract(page: str | None) -> str:
         if marked[i] or tags[i] in LANDMARKS:
             marked[parents[i]] = True
     keep, inside = [True] * n, [False] * n  # inside: of a landmark
+    outer = [0] * n  # the nearest landmark around, or the page
+    landmarks = any(t in LANDMARKS for t in tags)
     for i in range(1, n):
         p, tag = parents[i], tags[i]
         inside[i] = inside[p] or tag in LANDMARKS
-        if not keep[p] or tag in CUT or tag == "header" and not inside[i]:
+        outer[i] = p if tags[p] in LANDMARKS else outer[p]
+        most = 2 * all_chars[i] > all_chars[0]
+        body_like = marked[i] or most and not landmarks  # what its name or kind alone doesn't cut
+        if not keep[p] or tag in CUT and not (tag == "form" and (body_like or most and not inside[p])) or tag == "header" and not inside[i]:
             keep[i] = False
         elif tree.attrs[i] and tag != "body":
             words, role, hidden = _names(tree.attrs[i])
-            if hidden or role in CUT_ROLES and not marked[i]:
+            if hidden or role in CUT_ROLES and not marked[i] and not (role == "form" and body_like):
                 keep[i] = False
             elif words and not marked[i]:
-                most = 2 * all_chars[i] > all_chars[0]
-                if words & CUT_ALWAYS or not most and tag not in LANDMARKS and (words & CUT_SMALL or "header" in words and not inside[i]):
+                if tag in LANDMARKS:  # one in another, as of a comment, unless it holds most of that
+                    named = inside[p] and 2 * all_chars[i] <= all_chars[outer[i]]
+                else:
+                    named = not body_like
+                if named and words & CUT_ALWAYS or not most and tag not in LANDMARKS and (words & CUT_SMALL or "header" in words and not inside[i]):
                     keep[i] = False
     body = next((i for i in range(n) if tags[i] == "body"), 0)
     c = chars(keep)

@@ -48,3 +48,15 @@ def test_tables(spark):
     got = html.main_text(spark.createDataFrame(rows, PAGES)).collect()
     assert sorted((tuple(r) for r in got), key=repr) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (2, "v", "", 0)], key=repr)
     assert html.main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize(("given", "want"), [
+    (f"<form action='./p.aspx'><input type=hidden value=x><div><h1>Head</h1><p>{P}</p><p>{P}</p></div><select><option>a</select><button>Go</button></form>", f"Head {P}{P}"),
+    (f"<form><nav><a>Home</a></nav><article><p>{P}</p></article><div>{P * 3}</div></form>", P),
+    (f"<article class='post has-comments'><h1>Head</h1><p>{P}</p></article>", f"Head {P}"),
+    (f"<main><article class='post has-comments'><p>{P * 2}</p><article class=comment><p>{P}</p></article></article></main>", P * 2),
+    (f"<div class='post has-comments'><h1>Head</h1><p>{P}</p><p>{P}</p></div><div>Call us</div>", f"Head {P}{P}"),
+    (f"<article><p>{P}</p><section class=comments><p>{P * 9}</p></section><form>{P}</form></article>", P),
+])
+def test_articles_are_not_cut_by_name(given, want):
+    assert html.extract(page(given)) == " ".join(want.split())
