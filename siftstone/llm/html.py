@@ -1,15 +1,21 @@
 """HTML extraction by composite text density.
 
-A page becomes a tree of elements. For each node, C is its characters, T its tags, LC and LT those of links; its
-density is C/T, adjusted by how much of it is links against the whole body. A node's sum is that of its children's
-densities. The node with the largest sum is the core of the content; the least density on its path to the body is the
-threshold, and every other node at or above the threshold adds its own largest-sum descendant, as do headings beside the core. Where the core lies in
-an ``article`` or ``main`` element, or holds the page's only one, that element is the content, as its author says so.
-Scripts, styles, navigation, forms, adverts, notices and reader comments are cut out before densities are computed.
+A page becomes a tree of elements. For each node, C is its characters, T its tags (its own and those below it that
+aren't text-level), LC and LT the characters and tags of links; its density is C/T, adjusted by how much of it is links
+against the whole body. A node's sum is that of its children's densities. The node with the largest sum is the core of
+the content; the least density on its path to the body is the threshold, and every other node at or above the threshold
+adds its own largest-sum descendant, as do headings beside the core. In what is chosen, nodes below the threshold that
+are mostly links go. Nothing else chooses: menus and lists of links are told from text by their densities alone, and an
+``article`` or ``main`` element counts as any other.
+
+Before, what density can't tell from the article, as it reads like text, is cut out: scripts, styles, what is hidden,
+forms, headers, footers, sidebars, adverts, notices and reader comments, by their elements, roles and names. An element
+that holds an ``article`` or ``main``, or most of the text of a page without one, isn't cut for a name.
 
 Defined cases: a null, empty or tagless page works (its text is the content; none gives an empty string); unclosed
-elements, comments and raw-text elements end where HTML ends them; a repeated page gives its row again; parsing is
-iterative, so depth and length have no limit.
+elements, comments and raw-text elements end where HTML ends them; equal sums go to the denser, then the earlier node; a
+repeated page gives its row again; an empty table gives an empty result; other columns of the table aren't read,
+whatever their names; parsing is iterative, so depth and length have no limit.
 """
 
 from __future__ import annotations
@@ -35,12 +41,12 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "thead": ("tbody", "thead"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 #: Search for an open element to close stops here.
 SCOPE = frozenset("html body div article section main table ul ol dl td th blockquote aside nav header footer form figure".split())
-CUT = frozenset("head script style noscript template title nav aside footer form button select textarea input iframe noembed noframes svg canvas object embed dialog menu audio video xmp".split())
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
+CUT = frozenset("head script style noscript template title aside footer form button select textarea input iframe noembed noframes svg canvas object embed dialog audio video xmp".split())
+CUT_ROLES = frozenset("banner contentinfo complementary search form dialog alert alertdialog toolbar note".split())
 #: Words in class or id of what isn't the article, unless it holds a landmark, or most of the text of a page without one outside it ...
 CUT_ALWAYS = frozenset("ad ads advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored comment comments commentlist disqus respond replies reply discussion".split())
 #: ... and of what isn't, unless it holds most of the page's text.
-CUT_SMALL = frozenset("promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars side footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager skip paywall copyright legal topbar".split())
+CUT_SMALL = frozenset("promo promotion banner sidebar sidebars side footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar paywall copyright legal topbar".split())
 LANDMARKS = ("article", "main")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
@@ -59,6 +65,7 @@ def parse(page: str) -> Tree:
     tree = Tree()
     tags, attrs, parents, pieces = tree.tags, tree.attrs, tree.parents, tree.pieces
     stack = [0]
+    has_body = False
 
     def close(names: Iterable[str], scope: bool) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -90,11 +97,12 @@ def parse(page: str) -> Tree:
             close((tag,), tag in INLINE or tag == "p")
             continue
         rest = m["attrs"] if m["tag"] else m["attrs2"]
-        if tag == "html" or tag == "body" and "body" in (tags[i] for i in stack):
+        if tag == "html" or tag == "body" and has_body:
             if rest and tag == "html":
                 attrs[0] = rest
             continue
         if tag == "body":
+            has_body = True
             close(("head",), False)
         elif tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
@@ -132,25 +140,21 @@ def _names(attrs: str) -> tuple[set[str], str, bool]:
     return words, role, hidden
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page."""
-    if not page:
-        return ""
-    tree = parse(page)
-    tags, parents, n = tree.tags, tree.parents, len(tree.tags)
-    texts = [(i, entities.unescape(t) if "&" in t and (i < 0 or tags[i] not in ("script", "style")) else t) for i, t in tree.pieces]
+def _per_node(tree: Tree, texts: list[tuple[int, str]], counts: list[bool]) -> list[int]:
+    """Characters but white space in each node and below it, of the nodes that count."""
+    out = [0] * len(tree.tags)
+    for i, t in texts:
+        if i >= 0 and counts[i]:
+            out[i] += len("".join(t.split()))
+    for i in range(len(out) - 1, 0, -1):
+        out[tree.parents[i]] += out[i]
+    return out
+
 
-    def chars(keep: list[bool]) -> list[int]:
-        count = [0] * n
-        for i, t in texts:
-            if i >= 0 and keep[i]:
-                count[i] += len("".join(t.split()))
-        for i in range(n - 1, 0, -1):
-            count[parents[i]] += count[i]
-        return count
-
-    raw = [t not in RAW for t in tags]
-    all_chars = chars(raw)
+def pruned(tree: Tree, texts: list[tuple[int, str]]) -> list[bool]:
+    """Which nodes stay: not scripts, forms, headers, footers, sidebars, adverts, notices and comments."""
+    tags, parents, n = tree.tags, tree.parents, len(tree.tags)
+    all_chars = _per_node(tree, texts, [t not in RAW for t in tags])
     marked = [False] * n  # holds a landmark
     for i in range(n - 1, 0, -1):
         if marked[i] or tags[i] in LANDMARKS:
@@ -177,75 +181,90 @@ def extract(page: str | None) -> str:
                     named = not body_like
                 if named and words & CUT_ALWAYS or not most and tag not in LANDMARKS and (words & CUT_SMALL or "header" in words and not inside[i]):
                     keep[i] = False
-    body = next((i for i in range(n) if tags[i] == "body"), 0)
-    c = chars(keep)
-    if not c[0]:
-        return ""
-    if not c[body]:
-        body = 0
-    t_, lc, lt, link = [0] * n, [0] * n, [0] * n, [False] * n
+    return keep
+
+
+def density(chars: int, tags: int, link_chars: int, links: int, body_chars: int, body_link_chars: int) -> float:
+    """Composite density of a node: characters per tag, its own among them, raised by how few of the characters and of the tags below are links'.
+
+    A node without links counts as if it had one of one character, which keeps the logarithm's base above one.
+    """
+    if not chars:
+        return 0.0
+    linked, n = max(1, link_chars), max(1, links)
+    base = math.log(chars / max(1, chars - link_chars) * linked + body_link_chars / max(1, body_chars) * chars + math.e)
+    return chars / tags * math.log(max(1.0, chars / linked * max(1, tags - 1) / n)) / math.log(base)
+
+
+def measures(tree: Tree, texts: list[tuple[int, str]], keep: list[bool], body: int) -> tuple[list[int], list[int], list[float]]:
+    """Characters, link characters and density of each node; text-level elements have no density of their own, but links count as tags."""
+    tags, parents, n = tree.tags, tree.parents, len(tree.tags)
+    link = [False] * n
     for i in range(1, n):
         link[i] = link[parents[i]] or tags[i] == "a"
-    own = [0] * n
-    for i, t in texts:
-        if i >= 0 and keep[i] and link[i]:
-            own[i] += len("".join(t.split()))
-    lc = own
+    c = _per_node(tree, texts, keep)
+    lc = _per_node(tree, texts, [k and x for k, x in zip(keep, link, strict=True)])
+    t, lt = [1] * n, [0] * n
     for i in range(n - 1, 0, -1):
-        p = parents[i]
-        lc[p] += lc[i]
-        if keep[i]:
-            t_[p] += t_[i] + 1
-            lt[p] += lt[i] + link[i]
-    share = lc[body] / max(1, c[body])
-
-    def density(i: int) -> float:
-        if not keep[i] or not c[i]:
-            return 0.0
-        # a node without links counts as if it had one of one character, which keeps the logarithm's base above one
-        tags_in, links, linked = max(1, t_[i]), max(1, lt[i]), max(1, lc[i])
-        base = math.log(c[i] / max(1, c[i] - lc[i]) * linked + share * c[i] + math.e)
-        return c[i] / tags_in * math.log(max(1.0, c[i] / linked * tags_in / links)) / math.log(base)
-
-    d = [density(i) for i in range(n)]
+        if not keep[i]:
+            continue
+        t[parents[i]] += t[i] - (tags[i] in INLINE and tags[i] != "a" or tags[i] == "br")
+        lt[parents[i]] += lt[i] + (tags[i] == "a")
+    return c, lc, [density(c[i], t[i], lc[i], lt[i], c[body], lc[body]) if keep[i] and (tags[i] not in INLINE or i == body) else 0.0 for i in range(n)]
+
+
+def chosen(tree: Tree, c: list[int], lc: list[int], d: list[float], keep: list[bool], body: int) -> list[bool]:
+    """Which nodes belong to the main text."""
+    tags, parents, n = tree.tags, tree.parents, len(tree.tags)
     sums = [0.0] * n
     for i in range(1, n):
         sums[parents[i]] += d[i]
     below = [False] * n
     for i in range(n):
         below[i] = i == body or i > 0 and below[parents[i]]
-    core = max((i for i in range(n) if below[i] and keep[i]), key=lambda i: (sums[i], d[i], -i))
-    path = [core]
-    while path[-1] != body:
-        path.append(parents[path[-1]])
-    threshold = min(d[i] for i in path)
-    own_mark = next((i for i in path if tags[i] in LANDMARKS), None)
-    within = [i for i in range(n) if tags[i] in LANDMARKS and keep[i] and c[i]]
-    top = [i for i in within if not any(x in within for x in _above(parents, i))]
-    if own_mark is not None:
-        chosen = {own_mark}
-    elif len(top) == 1 and core in _above(parents, top[0]):
-        chosen = {top[0]}
-    else:
-        best = list(range(n))  # of each subtree
-        for i in range(n - 1, 0, -1):
-            p = parents[i]
-            if keep[i] and (sums[best[i]], d[best[i]]) > (sums[best[p]], d[best[p]]):
-                best[p] = best[i]
-        chosen = {core} | {best[i] for i in range(n) if below[i] and i != body and keep[i] and d[i] >= threshold > 0}
-        # a heading beside the core is its own, however short
-        chosen |= {i for i in range(1, n) if tags[i] in HEADINGS and keep[i] and core and parents[i] == parents[core]}
+    able = [below[i] and keep[i] and (tags[i] not in INLINE or i == body) for i in range(n)]
+    best = list(range(n))  # of each subtree, the node of the largest sum
+    rank = lambda i: (sums[i], d[i], -i)
+    for i in range(n - 1, 0, -1):
+        p = parents[i]
+        if able[best[i]] and (not able[best[p]] or rank(best[i]) > rank(best[p])):
+            best[p] = best[i]
+    core = best[body]
+    threshold, i = d[core], core
+    while i != body:
+        i = parents[i]
+        threshold = min(threshold, d[i])
+    picked = [False] * n
+    for i in range(n):
+        if able[i] and i != body and d[i] >= threshold > 0:
+            picked[best[i]] = True
+        elif tags[i] in HEADINGS and keep[i] and core and parents[i] == parents[core]:
+            picked[i] = True  # a heading beside the core is its own, however short
+    picked[core] = True
     taken = [False] * n
     for i in range(n):
-        taken[i] = keep[i] and (i in chosen or i > 0 and taken[parents[i]])
-    return " ".join("".join(" " if i < 0 else t if taken[i] else "" for i, t in texts).split())
+        links_only = d[i] < threshold and 2 * lc[i] > c[i] and tags[i] not in INLINE and i != core
+        taken[i] = keep[i] and (picked[i] or i > 0 and taken[parents[i]]) and not links_only
+    return taken
 
 
-def _above(parents: list[int], i: int) -> list[int]:
-    out = []
-    while (i := parents[i]) >= 0:
-        out.append(i)
-    return out
+def extract(page: str | None) -> str:
+    """The main text of a page."""
+    if not page:
+        return ""
+    tree = parse(page)
+    tags, n = tree.tags, len(tree.tags)
+    texts = [(i, entities.unescape(t) if "&" in t and (i < 0 or tags[i] not in ("script", "style")) else t) for i, t in tree.pieces]
+    keep = pruned(tree, texts)
+    body = next((i for i in range(n) if tags[i] == "body"), 0)
+    c, lc, d = measures(tree, texts, keep, body)
+    if body and not c[body]:
+        body = 0
+        c, lc, d = measures(tree, texts, keep, body)
+    if not c[body]:
+        return ""
+    taken = chosen(tree, c, lc, d, keep, body)
+    return " ".join("".join(" " if i < 0 else t if taken[i] else "" for i, t in texts).split())
 
 
 def main_text(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
