@@ -1,8 +1,11 @@
 import base64
+import math
 import os
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+
+import zstandard
 
 from siftstone.llm import compression
 
@@ -51,15 +54,13 @@ def test_bands(spark):
     assert "repetitive" in repetitive["reason"]
 
 
-def test_chunks_are_judged_apart():
-    import zstandard
-
+def test_chunks_are_measured_to_the_end():
     squeeze = zstandard.ZstdCompressor(level=compression.LEVEL)
-    whole, chunks = compression.ratios(b"a" * compression.CHUNK + os.urandom(2 * compression.CHUNK) + b"rest", squeeze)
-    assert len(chunks) == 3 and chunks[0] > 50 and max(chunks[1:]) < 1.01
-    assert compression.verdict(5000, 2.0, [2.0, 2.0, 9.0]) == "chunks repetitive"
-    assert compression.verdict(50_000, 2.0, [2.0] * 9 + [9.0]) is None
-    assert compression.verdict(100, 0.5, []) is None and compression.verdict(0, None, []) is None
+    noise = random.Random(1).randbytes(2 * compression.CHUNK)
+    whole, chunks = compression.ratios(b"a" * compression.CHUNK + noise + b"rest", squeeze)
+    assert len(chunks) == 4 and chunks[0] > 50 and max(chunks[1:]) < 1.01 and 1.3 < whole < 2
+    assert compression.ratios(b"", squeeze) == (None, [])
+    assert [len(compression.ratios(b"x" * n, squeeze)[1]) for n in (1, 255, 511, 512, 513, 1024, 2047, 2048, 4096, 4097)] == [1, 1, 1, 2, 3, 2, 4, 2, 1, 2]
 
 
 def test_empty(spark):
@@ -79,6 +80,80 @@ def test_the_whole_text_is_judged_in_chunks(spark):
     assert not rows[9]["kept"]
 
 
-def test_both_sides_count_together():
-    assert compression.verdict(8 * compression.CHUNK, 2.0, [2.0] * 4 + [9.0] * 2 + [1.0] * 2) == "chunks repetitive"
-    assert compression.verdict(8 * compression.CHUNK, 2.0, [2.0] * 6 + [9.0, 1.0]) is None
+def prose(rng, n):
+    out = " ".join("".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "", ",", "."]) for _ in range(n // 5 + 10))
+    return out[:n]
+
+
+def verdicts(texts):
+    """Each text's reason, by plain loops over all texts."""
+    squeeze = zstandard.ZstdCompressor(level=compression.LEVEL)
+    rows = []
+    for t in texts:
+        body = (t or "").encode()
+        n_words, _, _, _, repeated = brute(t)
+        size = next((u for at, u in ((4096, 4096), (2048, 1024), (1024, 512), (512, 256)) if len(body) >= at), len(body))
+        parts = [(body[i : i + size], size) for i in range(0, len(body) - size + 1, size)] if body else []
+        if body and len(body) % size:
+            parts.append((body[-max(min(512, size), len(body) % size) :], len(body) % size))
+        ratio = lambda x: len(x) / len(squeeze.compress(x))
+        rows.append((len(body), size, n_words < 50 or 100 * repeated > 50 * n_words, ratio(body) if body else None, [(ratio(x), len(x), b) for x, b in parts]))
+    quarter = lambda n: (n.bit_length(), f"{n:b}00"[1:3])
+    bands = defaultdict(list)
+    for n, size, whole, parts in {(n, size, whole, tuple(parts)) for n, size, failed, whole, parts in rows if not failed}:
+        bands[quarter(n)].append(whole)
+        for r, m, _ in parts:
+            bands["chunk", quarter(m)].append(r)
+    limits = {}
+    for k, rs in bands.items():
+        rs = sorted(round(math.log(r) * 2000) for r in rs)
+        q1, q2, q3 = (math.exp(rs[math.ceil(len(rs) * s) - 1] / 2000) for s in (0.25, 0.5, 0.75))
+        below, above = (max(4 * (q3 - q1), share * q2 * (1 + 20 / len(rs))) for share in (0.15, 0.08))
+        limits[k] = q2 - below, q2 + above
+    outer = lambda n: next(b[1:] for b in compression.WHOLE if n < b[0])
+    out = []
+    for n, size, failed, whole, parts in rows:
+        if failed:
+            out.append("base rules")
+            continue
+        low, high = max(limits[quarter(n)][0], outer(n)[0]), min(limits[quarter(n)][1], outer(n)[1])
+        above = below = 0
+        for r, m, b in parts:
+            c_outer = compression.CHUNKS if m == 4096 else outer(m)
+            above += b * (r > min(limits["chunk", quarter(m)][1], c_outer[1]))
+            below += b * (r < max(limits["chunk", quarter(m)][0], c_outer[0]))
+        why = "whole text repetitive" if whole > high else "whole text incompressible" if whole < low else None
+        if why is None and above + below > 0.25 * n:
+            why = "chunks repetitive" if above >= below else "chunks incompressible"
+        out.append(why)
+    return out
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(11)
+    noise = lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n]
+    spaced = lambda n: " ".join(noise(7) for _ in range(n // 8 + 1))[:n]
+    marks = lambda n: " ".join(w + "#####" for w in prose(rng, n).split())[:n]
+    lengths = [600, 700, 900, 1500, 3000, 5000, 9000]
+    clean = [prose(rng, rng.randint(n, n + n // 8)) for n in lengths for _ in range(60)]
+    bad = [f(n) for n in lengths[2:] for f in (spaced, marks)] + [prose(rng, 3000) + spaced(2400), prose(rng, 5000) + marks(4000)]
+    odd = [None, "", "a", " ", prose(rng, 300_000), "w " * 100_000, *[clean[-1]] * 300]
+    texts = [*clean, *bad, *odd]
+    want = verdicts(texts)
+    assert [r["reason"] for r in judged(spark, texts)] == want
+    assert not any(want[: len(clean)])
+    assert all(want[len(clean) : len(clean) + len(bad)])
+    assert {"whole text repetitive", "whole text incompressible"} <= set(want)
+    # copies don't set the limits, and equal texts get equal verdicts
+    assert set(want[-300:]) == {want[len(clean) - 1]}
+
+
+def test_both_sides_count_together(spark):
+    rng = random.Random(5)
+    squeezed = lambda n: " ".join(f"{i} qwerty asdfgh zxcvbn" for i in range(n // 20))[:n]
+    noise = lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n]
+    size = compression.CHUNK
+    some = prose(rng, 14 * size) + noise(size) + squeezed(size)
+    many = prose(rng, 6 * size) + noise(size) + squeezed(2 * size)
+    got = judged(spark, [prose(rng, 9 * size) for _ in range(40)] + [some, many])
+    assert got[-2]["reason"] is None and got[-1]["reason"] is not None and not any(r["reason"] for r in got[:40])
