@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +17,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut; a lost executor costs nothing that was finished.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Only a local session, as in tests, gets a temporary one where it is unset."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siftstone-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="siftstone-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut; a lost executor costs nothing that was finished."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def snapshot(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read again: columns can be read apart, and made ids hold."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def col(name: str) -> Column:
+    """A column by its name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def utf8(text: Column) -> Column:
     """The text's UTF-8 bytes; a null text is empty."""
     return F.coalesce(text.cast("binary"), F.lit(b""))

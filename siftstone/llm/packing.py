@@ -1,28 +1,32 @@
 """Packing: optimal length buckets, and token-budget batches in each.
 
-The histogram of lengths over all documents (partial counts before the shuffle; at most ``budget`` bins, as longer
-documents are batches of their own) goes through dynamic programming: among all ways to cut it into ``buckets`` ranges,
-the one with the least padding when every document is padded to its bucket's largest length. The recurrence's cost is
-linear in the prefix counts, so each layer is a lower envelope of lines and the whole takes buckets times bins steps.
+The histogram of lengths over all documents (partial counts before the shuffle; at most ``budget`` bins) goes through
+dynamic programming: among all ways to cut it into ``buckets`` ranges, the one with the least padding when every
+document is padded to its bucket's largest length. The recurrence's cost is linear in the prefix counts, so each layer
+is a lower envelope of lines and the whole takes buckets times bins steps. A document longer than the budget is alone in
+its batch and never padded, whatever the buckets are, so it adds nothing to any sum and has no bin: the buckets are the
+best for all documents.
 
 A batch has as many documents of one bucket as fit the budget at the bucket's length. Documents of a bucket are numbered
-without gaps: they are dealt into chunks by a hash, chunks are counted, and a running sum over the counts, one row a
-chunk, gives each chunk's first number, so no task holds a bucket.
+in the order of doc_id by key ranges (``siftstone.llm.order``), at any size alike, so no task holds a bucket.
 
 A document's length is its words plus one end mark. Defined cases: null and empty texts have length 1; documents longer
-than the budget are alone in their batch; repeated rows are packed each for itself; an empty table gives an empty result.
+than the budget are alone in their batch; repeated rows are packed each for itself, those alike in doc_id and text in
+any order; a null doc_id comes first; an empty table gives an empty result; other columns of the table go along in
+``packed_rows`` whatever their names, and aren't read by ``packed``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import checkpointed, n_words
+from siftstone.llm.common import checkpointed, col, n_words, snapshot
+from siftstone.llm.order import in_order
 
-BUDGET, BUCKETS, CHUNK_ROWS = 16_384, 16, 50_000
+BUDGET, BUCKETS = 16_384, 16
 
 
 @dataclass(frozen=True)
@@ -78,35 +82,40 @@ def optimal_bounds(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     return bounds[::-1]
 
 
-def _numbered(rows: DataFrame, chunks: Column, order: list[str]) -> DataFrame:
-    """rows with ``place``, their number in their bucket from 0."""
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*order), chunks).cast("int"))
-    sizes = dealt.groupBy(F.col("bucket").alias("b"), F.col("chunk").alias("k")).agg(F.count("*").alias("in_chunk"))
-    before = Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("b", "k", F.coalesce(F.sum("in_chunk").over(before), F.lit(0)).alias("start"))
-    inside = dealt.withColumn("row", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy(*order)) - 1)
-    return inside.join(starts, (F.col("bucket") == F.col("b")) & (F.col("chunk") == F.col("k"))).withColumn("place", F.col("start") + F.col("row"))
-
-
-def packed(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """doc_id, n_tokens, bucket, bucket_tokens, batch (in its bucket), slot and padding of each row."""
-    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (n_words(F.col("text")) + 1).alias("n_tokens"), F.xxhash64("text").alias("h")))
+def placed(rows: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
+    """rows (written ones, with doc_id, n_tokens and h) with bucket, bucket_tokens, batch (in its bucket), slot and padding."""
     # one row for each length up to the budget, and one for all above
     histogram = rows.groupBy(F.least("n_tokens", F.lit(budget + 1)).alias("n")).count().collect()
-    over = sum(r["count"] for r in histogram if r["n"] > budget)
-    kept = [(r["n"], r["count"]) for r in histogram if r["n"] <= budget]
-    bounds = optimal_bounds(kept, buckets)
-    totals = [sum(c for n, c in kept if low < n <= high) for low, high in zip([0, *bounds], bounds, strict=False)] + [over]
-    longs = lambda xs: F.array(*(F.lit(int(x)) for x in xs)).cast("array<bigint>")
-    bucket = F.size(F.filter(longs(bounds), lambda b: b < F.col("n_tokens")))
-    chunks = F.get(longs(max(1, -(-t // chunk_rows)) for t in totals), F.col("bucket"))
-    length = F.coalesce(F.get(longs(bounds), F.col("bucket")), F.col("n_tokens"))
+    bounds = optimal_bounds([(r["n"], r["count"]) for r in histogram if r["n"] <= budget], buckets)
+    bounds_ = F.array(*(F.lit(int(x)) for x in bounds)).cast("array<bigint>")
+    bucket = F.size(F.filter(bounds_, lambda b: b < F.col("n_tokens")))
+    length = F.coalesce(F.get(bounds_, F.col("bucket")), F.col("n_tokens"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / length))
-    placed = _numbered(rows.withColumn("bucket", bucket), chunks, ["doc_id", "n_tokens", "h"]).withColumns({"bucket_tokens": length, "room": room})
-    return placed.select("doc_id", "n_tokens", "bucket", "bucket_tokens", F.floor(F.col("place") / F.col("room")).cast("long").alias("batch"), F.pmod("place", "room").cast("int").alias("slot"), (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"))
+    numbered = in_order(rows.withColumn("bucket", bucket), ["doc_id", "n_tokens", "h"], within=["bucket"]).withColumns({"bucket_tokens": length, "room": room})
+    out = numbered.withColumns({"batch": F.floor(F.col("place") / F.col("room")).cast("long"), "slot": F.pmod("place", "room").cast("int"), "padding": F.col("bucket_tokens") - F.col("n_tokens")})
+    return out.select(*rows.columns, "bucket", "bucket_tokens", "batch", "slot", "padding")
+
+
+def _lean(doc_id: Column, text: Column) -> list[Column]:
+    return [doc_id.cast("long").alias("doc_id"), (n_words(text) + 1).alias("n_tokens"), F.xxhash64(text).alias("h")]
+
+
+def packed(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, n_tokens, bucket, bucket_tokens, batch (in its bucket), slot and padding of each row."""
+    return placed(checkpointed(docs.select(*_lean(F.col("doc_id"), F.col("text")))), budget, buckets).drop("h")
+
+
+def packed_rows(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
+    """docs with n_tokens, bucket, bucket_tokens, batch, slot and padding after the given columns; a given column of such a name gives way."""
+    added = ("n_tokens", "bucket", "bucket_tokens", "batch", "slot", "padding")
+    names = [n for n in docs.columns if n.lower() not in added]
+    kept = snapshot(docs.select(F.struct(*(col(n).alias(n) for n in names)).alias("row"), F.monotonically_increasing_id().alias("id")))
+    lean = kept.select("id", *_lean(F.col("row.doc_id"), F.col("row.text")))
+    found = placed(checkpointed(lean), budget, buckets).select(F.col("id").alias("of"), *added)
+    return kept.join(found, F.col("id") == F.col("of")).select(*(F.col("row")[n].alias(n) for n in names), *added)
 
 
-#: packed(documents) in SQL, as far as no bucket has over CHUNK_ROWS rows, so that places follow doc_id.
+#: packed(documents) in SQL.
 ORACLE_SQL = r"""
 WITH RECURSIVE tok AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS BIGINT) AS n_tokens FROM documents),
 h AS (SELECT n_tokens AS n, count(*) AS c FROM tok WHERE n_tokens <= 16384 GROUP BY n_tokens),
