@@ -2,33 +2,42 @@
 
 Targets: source weights share all of the corpus's words; a target stops at ``max_copies`` times its source's words, and
 what that leaves over is shared by weight among the others until none is above. With sources in the order of
-cap / weight, the level at which the rest is shared follows from running sums, so no loop is needed.
+cap / weight, the level at which the rest is shared follows from running sums, so no loop is needed; numbers and sums go
+by key ranges (``siftstone.llm.order``), so sources may be as many as hosts.
 
 Rounding: each document of a source should be taken ``target / source words`` times. The whole copies are certain; the
 fraction is a probability. Two sides with fractional probabilities are paired: words of expectation move from one to
-the other, the way drawn at random so that all keep their expectations, until one side is 0 or 1. The source's expected
-words never change by it. Documents are dealt into groups of about ``group`` by a hash, each of one probability. In a
-group the largest open document is paired with all smaller ones together, which share what moves evenly and so keep one
-probability: a long document is settled at once, and what stays fractional is small. Residuals, one a group at most,
-meet in groups of the next level, where they are paired one by one, and so on: a reduction tree of logarithmic depth,
-each level an aggregation over groups of bounded size, so a source with a third of all rows is just more groups. The
-last residual of a source is drawn by its probability; the source is off its target by less than that document's words.
-
-Draws are hashes of document ids, texts and the level: reruns agree.
+the other, the way drawn at random, until one side is 0 or 1. With a words at p and b words at q, ``up`` = min(a(1-p),
+bq) words can move to the first and ``down`` = min(ap, b(1-q)) to the second; it rises with the chance
+down / (up + down), so both keep their expectations, and ap + bq never changes.
+
+Documents are dealt into groups of about ``group`` by a hash, each of one probability. On the first level the second side
+of a pair is all smaller documents of the group together, of b words in all at one probability q: what moves is shared by
+them in proportion to their words, so all go to the same new q, and each one's expectation is kept as that of the side
+is. This is a pivotal step between a document and a unit of several; pairing single documents instead leaves a long one
+fractional to the end (on the tables here a source then misses its target by up to 12 %). What stays fractional, one
+small document a group at most, meets in groups of the next level, where documents are paired one by one, and so on: a
+reduction tree of logarithmic depth, each level an aggregation over groups of bounded size, so a source with a third of
+all rows is just more groups. The last residual of a source is drawn by its probability; the source is off its target by
+less than that document's words.
+
+Draws are hashes of document ids, texts, the level and, for rows alike in both, their number: reruns agree.
 
 Defined cases: a null source is a source of its own, the last; a null or empty text has no words and 0 taken; a source
-without words has target 0; repeated rows are drawn each for itself (copies are told apart by a running number, as
-ties of equal keys have no order, only their sum is defined); an empty table gives an empty result.
+without words has target 0; very long texts are counted whole; repeated rows are drawn each for itself (rows alike are
+numbered in any order, so only their sum is defined); an empty table gives an empty result; ``mix`` carries all other
+columns along, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import checkpointed, n_words, unit_hash
+from siftstone.llm.common import checkpointed, col, n_words, snapshot, unit_hash
+from siftstone.llm.order import in_order
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_COPIES = 3.0
@@ -39,19 +48,17 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_c
     """(source, source_size, target) from rows (source, size). One row a source; sums are partial before the shuffle."""
     sources = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     # by code point, null last; strings compare by their UTF-8 bytes
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    number = F.row_number().over(order) - 1
-    weighed = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (number % len(weights) + 1).cast("int")))
-    weighed = weighed.withColumn("cap", F.col("source_size") * max_copies)
-    total = F.sum("source_size").over(Window.partitionBy())
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    earlier = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = in_order(sources.withColumn("last", F.col("source").isNull()), ["last", "source"])
+    weighed = numbered.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")))
+    weighed = weighed.withColumn("cap", F.col("source_size") * F.lit(max_copies)).withColumn("ratio", F.col("cap") / F.col("weight"))
+    totals = weighed.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    words, weight = totals["words"] or 0, totals["weight"] or 0.0
+    by_ratio = in_order(weighed.drop("place"), ["ratio", "last", "source"], sums=["cap", "weight"])
     # level: words for each unit of weight if this source and the later ones share what the earlier ones, at their caps, leave
-    shared = weighed.withColumns({"total": total, "capped": F.coalesce(F.sum("cap").over(earlier), F.lit(0.0)), "rest": F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))})
-    shared = shared.withColumn("level", (F.col("total") - F.col("capped")) / F.col("rest"))
-    # the first source whose cap is not below its share sets the level of all later ones
-    level = F.max(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(Window.partitionBy())
-    return shared.select("source", "source_size", F.least("cap", F.coalesce(level, F.col("level")) * F.col("weight")).alias("target"))
+    shared = by_ratio.withColumn("level", (F.lit(words) - F.col("cap_before")) / (F.lit(weight) - F.col("weight_before")))
+    # the first source whose cap is not below its share sets the level of all later ones; none can be without one but for rounding
+    level = shared.agg(F.max(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).alias("level")).first()["level"]
+    return shared.select("source", "source_size", F.least("cap", F.coalesce(F.lit(level).cast("double"), F.col("level")) * F.col("weight")).alias("target"))
 
 
 ITEM = "struct<size:bigint,u:double,id:bigint,n:bigint,p:double>"
@@ -133,34 +140,25 @@ def rounded(items: DataFrame, group: int = GROUP) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-#: Rows alike in id get running numbers in this order.
-ALIKE = ("doc_id", "size", "source")
-
-
-def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, source, size in words, and id: a hash of doc_id and text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text", "doc_id").alias("id"), *more)
-
-
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES, group: int = GROUP) -> DataFrame:
-    """(doc_id, id, n, size, source_size, target, copies) for each row; n numbers rows of equal id."""
-    number = F.row_number().over(Window.partitionBy("id").orderBy(*ALIKE)).cast("long")
-    numbered = checkpointed(_keyed(docs).withColumn("n", number))
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES, group: int = GROUP, row: str | None = None) -> DataFrame:
+    """(doc_id, id, n, size, source_size, target, copies[, row]) for each row; n is its number in the order of id, a hash of text and doc_id; row a column to carry."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text", "doc_id").alias("id"), *([F.col(row).alias("_row")] if row else []))
+    numbered = in_order(keyed, ["id", "doc_id", "size", "source"]).withColumnRenamed("place", "n")
     targets = source_targets(numbered, weights, max_copies).withColumnRenamed("source", "of")
     share = F.when(F.col("source_size") > 0, F.least(F.lit(max_copies), F.col("target") / F.col("source_size"))).otherwise(0.0)
     aimed = numbered.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("share", share).withColumn("whole", F.floor("share"))
     items = aimed.where("size > 0").select("source", "size", "id", "n", (F.col("share") - F.col("whole")).alias("p"))
-    draws = rounded(items, group)
+    draws = rounded(items, group).select(F.col("n").alias("drawn"), "p")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(F.col("p"), F.lit(0.0))).otherwise(0).cast("long")
-    return aimed.join(draws, ["id", "n"], "left").select("doc_id", "id", "n", "size", "source_size", "target", copies.alias("copies"))
+    return aimed.join(draws, F.col("n") == F.col("drawn"), "left").select("doc_id", "id", "n", "size", "source_size", "target", copies.alias("copies"), *(["_row"] if row else []))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES) -> DataFrame:
     """docs with each row as often as it is drawn, columns as given."""
     names = docs.columns
-    drawn = mixed(docs, weights, max_copies).where("copies > 0").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("n", "copies"))).alias("by_number"))
-    rows = _keyed(docs, F.struct(*names).alias("row")).join(drawn, "id")  # texts are shuffled once
-    number = F.row_number().over(Window.partitionBy("id").orderBy(*ALIKE)).cast("long")
-    counted = rows.withColumn("n", number).withColumn("copies", F.coalesce(F.try_element_at("by_number", F.col("n")), F.lit(0)))
-    repeated = counted.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*(F.col(f"row.`{c}`").alias(c) for c in names))
+    # rows get ids of their own, written with them, so that rows alike in all columns are told apart without a task that holds them
+    kept = snapshot(docs.select(F.struct(*(col(c).alias(c) for c in names)).alias("row"), F.monotonically_increasing_id().alias("of")))
+    lean = kept.select("row.doc_id", "row.source", "row.text", "of")
+    drawn = mixed(lean, weights, max_copies, row="of").where("copies > 0").select("_row", "copies")
+    repeated = kept.join(drawn, F.col("of") == F.col("_row")).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*(F.col("row")[c].alias(c) for c in names))

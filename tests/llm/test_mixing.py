@@ -82,3 +82,71 @@ def test_odd_documents(spark):
     assert mixed.columns == docs(spark, []).columns
     assert mixed.count() == sum(r["copies"] for r in got)
     assert mixing.mixed(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_each_document_keeps_its_chance(spark):
+    """The same documents in many sources: each one is taken about as often as its chance, and the words taken stay near the target."""
+    sizes, sources = [1, 2, 3, 5, 8, 13, 40, 400], 600
+    items = spark.createDataFrame([(f"s{k}", n, 1000 * k + i, 0, 0.37) for k in range(sources) for i, n in enumerate(sizes)], "source string, size long, id long, n long, p double")
+    got = mixing.rounded(items).collect()
+    taken = defaultdict(float)
+    words = defaultdict(float)
+    for r in got:
+        taken[r["id"] % 1000] += r["p"] / sources
+        words[r["id"] // 1000] += r["p"] * sizes[r["id"] % 1000]
+    assert len(got) == len(items.collect()) and all(abs(taken[i] - 0.37) < 0.08 for i in range(len(sizes)))
+    target = 0.37 * sum(sizes)
+    assert abs(sum(words.values()) / sources - target) < 0.1 * target
+    assert all(abs(w - target) < max(sizes) for w in words.values())
+
+
+def fold(items, level, draw):
+    """Pairs of single documents, one after the other, by the definition: what one side gains the other loses, until one is 0 or 1."""
+    left, done = None, {}
+    for key, size, p in items:
+        if left is None:
+            left = [key, size, p]
+            continue
+        k, a, q = left
+        up, down = min(a * (1 - q), size * p), min(a * q, size * (1 - p))
+        if draw(level, k, key) * (up + down) < down:
+            q, p = q + up / a, p - up / size
+        else:
+            q, p = q - down / a, p + down / size
+        open_ = []
+        for k_, n, x in ((k, a, q), (key, size, p)):
+            if min(abs(x), abs(x - 1)) < 1e-9:
+                done[k_] = float(round(x))
+            else:
+                open_.append([k_, n, x])
+        left = open_[0] if open_ else None
+    return left, done
+
+
+def test_pairs_against_plain_loops(spark):
+    rng = random.Random(9)
+    for case in range(6):
+        items = [((i, 10 + i), rng.choice([1, 2, 5, 9]), rng.choice([0.2, 0.5, 0.9])) for i in range(rng.randint(1, 25))]
+        pairs = spark.createDataFrame([(2, *a[0], *b[0]) for a in items for b in items], "level int, a long, b long, c long, d long")
+        draws = {((r["a"], r["b"]), (r["c"], r["d"])): r["u"] for r in pairs.withColumn("u", mixing.unit_hash(F.lit(2), "a", "b", "c", "d")).collect()}
+        rows = spark.createDataFrame([([(n, 0.0, k[0], k[1], p) for k, n, p in items],)], f"items array<{mixing.ITEM}>")
+        got = rows.select(mixing._pair(2).alias("f")).first()["f"]
+        left, done = fold(items, 2, lambda _, a, b: draws[a, b])
+        assert {(r["id"], r["n"]): r["p"] for r in got["done"]} == done, case
+        assert (got["left"] is None) == (left is None)
+        if left:
+            assert (got["left"]["id"], got["left"]["n"]) == left[0] and abs(got["left"]["p"] - left[2]) < 1e-9
+
+
+def test_many_copies_and_odd_columns(spark):
+    """20,000 rows alike: each is drawn for itself, and columns with any name come back."""
+    base = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), F.lit("v").alias("a.b"), F.lit(1).alias("n"))
+    other = spark.createDataFrame([(i, "w " * 50, f"t{i % 3}", "u", 2) for i in range(60)], "doc_id long, text string, source string, `a.b` string, n int")
+    docs_ = base.union(other)
+    out = mixing.mix(docs_)
+    assert out.columns == docs_.columns
+    counts = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    by_row = mixing.mixed(docs_)
+    share = by_row.where("doc_id = 5").select(F.first("target") / F.first("source_size")).first()[0]
+    assert abs(counts[5] - share * 20_000) <= 20
+    assert out.where("doc_id = 5").select("`a.b`").distinct().collect()[0][0] == "v"
