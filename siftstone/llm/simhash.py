@@ -5,32 +5,39 @@ fingerprint is set if it is set in over half the hashes. Two fingerprints within
 ``blocks - max_bits`` of ``blocks`` blocks, so a table for each choice of that many blocks brings every such pair
 together once at least.
 
-Copies and equal fingerprints are collapsed first; only 8-byte distinct fingerprints travel to the blocks. Inside a
-block the search takes one member, removes what it links to from the unseen ones, and goes on from there, so a dense
+Copies and equal fingerprints are collapsed first; only 8-byte distinct fingerprints travel to the blocks. Blocks are
+counted before they meet, and one of over ``hot`` members is cut again by the same pigeonhole: its members agree in the
+block's bits, so those within ``max_bits`` agree in one of ``max_bits + 1`` parts of the other bits, too. This is repeated
+until no block is hot or so few bits are left that a block is small by itself, so no task holds a popular block whole and
+no pair is lost. Inside a block the search takes one member, removes what it links to from the unseen ones, and goes on from there, so a dense
 group of n near copies costs about n comparisons and gives n - 1 links, never all pairs; a group that shares a block
 without being alike gives none. Components of the links follow by distributed star steps.
 
 Defined cases: null and empty texts (and those without a word) have fingerprint zero and are linked like any other;
 fewer than four words make one shingle; repeated rows stay, with the same result; a null doc_id gets no say in the
-component's id but gets one; an empty table gives an empty result.
+component's id but gets one; very long texts are hashed whole; an empty table gives an empty result; other columns of
+the table aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import checkpointed, part, utf8, with_fields
+from siftstone.llm.common import checkpointed, col, part, utf8, with_fields
 from siftstone.llm.components import components
 from siftstone.llm.jaccard import near_copies
 
 SHINGLE, SEED, MAX_BITS, BLOCKS = 4, 42, 4, 7
+#: Members above which a block is cut again, and free bits below which it needs no cut (2 ** 12 members at most).
+HOT, FREE_BITS = 4096, 12
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -94,16 +101,29 @@ def spanning_links(members: np.ndarray, max_bits: int) -> np.ndarray:
     return np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.uint64)
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b): verified links between the distinct fingerprints (fp), enough to connect each component."""
-    # 8 bytes a row become many: dealt out before, so that no few tasks make all of them; by a hash of fp, as an exchange
-    # by fp itself would be taken for the one below it, whose small partitions are merged
-    distinct = distinct.repartition(max(8, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("fp"))
-    masks = F.array(*(F.lit(_signed(m)) for m in _masks(blocks, blocks - max_bits)))
-    keyed = distinct.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("block"))
-    groups = keyed.groupBy("block").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+def _parts(mask: int, n: int) -> list[int]:
+    """The mask with each of n parts of its free bits."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    cuts = [len(free) * i // n for i in range(n + 1)]
+    return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _cut(n: int):
+    """Rows (fp, mask, block, t) of rows (fp, mask, block): one for each of n parts of the mask's free bits."""
+
+    def read(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[int]] = {}
+        for batch in it:
+            masks = batch.column(1).to_pylist()
+            parts = [known.get(m) or known.setdefault(m, [_signed(p) for p in _parts(m & (1 << 64) - 1, n)]) for m in masks]
+            again = pa.array(np.repeat(np.arange(len(masks)), n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), pa.array([p for ps in parts for p in ps], pa.int64()), batch.column(2).take(again), pa.array(np.tile(np.arange(n, dtype=np.int32), len(masks)))], ["fp", "mask", "block", "t"])
 
-    def verify(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return read
+
+
+def _verify(max_bits: int):
+    def read(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             lists = batch.column(0)
             values, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -111,18 +131,38 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -
             a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return groups.mapInArrow(verify, "a long, b long").distinct()
+    return read
+
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
+    """(a, b): verified links between the distinct fingerprints (fp), enough to connect each component."""
+    # 8 bytes a row become many: dealt out before, so that no few tasks make all of them; by a hash of fp, as an exchange
+    # by fp itself would be taken for the one below it, whose small partitions are merged
+    distinct = distinct.repartition(max(8, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("fp"))
+    masks = F.array(*(F.lit(_signed(m)) for m in _masks(blocks, blocks - max_bits)))
+    keyed = distinct.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", "mask", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("block"))
+    out = []
+    while True:
+        able = keyed.where(F.lit(64) - F.bit_count("mask") > FREE_BITS)
+        crowded = checkpointed(able.groupBy("block", part(F.col("block"))).count().where(F.col("count") > hot).select(F.col("block").alias("of")))
+        some = not crowded.isEmpty()
+        cool = keyed.join(crowded, F.col("block") == F.col("of"), "left_anti") if some else keyed
+        out.append(cool.groupBy("block").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps").mapInArrow(_verify(max_bits), "a long, b long"))
+        if not some:
+            return reduce(DataFrame.unionByName, out).distinct()
+        finer = keyed.join(crowded, F.col("block") == F.col("of")).select("fp", "mask", "block").mapInArrow(_cut(max_bits + 1), "fp long, mask long, block long, t int")
+        keyed = checkpointed(finer.select("fp", "mask", F.xxhash64("block", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("block")))
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key reachable by links."""
     prints = checkpointed(fingerprints(docs, text, key))  # the texts are hashed once
     first = prints.groupBy("fp").agg(F.min("key").alias("least"))
-    labels = components(links(first.select("fp"), max_bits, blocks))
+    labels = components(links(first.select("fp"), max_bits, blocks, hot))
     # each linked fingerprint with its component, then the least key of the component; unlinked ones are their own
     grouped = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = grouped.groupBy("component", part(F.col("component"))).agg(F.min("least").alias("component_id")).drop("_part")
@@ -133,11 +173,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies (``jaccard``): the one of the smallest doc_id (null first; of equal ones, by the text's hash)."""
     names = docs.columns
-    row_id = F.xxhash64("text", "doc_id")
-    lean = docs.select(row_id.alias("id"), F.struct(F.col("doc_id"), row_id.alias("id")).alias("key"), "text")
-    found = near_copies(lean)
-    winners = found.select(F.col("component_id.id").alias("winner")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), row_id.alias("id")).join(winners, F.col("id") == F.col("winner"))
-    # rows alike in doc_id and text: one of them, by the other columns' hash
-    first = Window.partitionBy("id").orderBy(F.xxhash64("row"))
-    return rows.withColumn("number", F.row_number().over(first)).where("number = 1").select(*(F.col(f"row.`{c}`").alias(c) for c in names))
+    # a row is told by its id and its text's MD5; only rows alike in both can be taken for one another
+    key = F.struct(F.col("doc_id").alias("doc_id"), F.md5(utf8(F.col("text"))).alias("text_md5"), F.col("text").isNull().alias("null"))
+    winners = near_copies(docs.select(key.alias("key"), "text")).select(F.col("component_id").alias("winner")).distinct()
+    rows = docs.select(F.struct(*(col(c).alias(c) for c in names)).alias("row"), key.alias("key")).join(winners, F.col("key") == F.col("winner"), "left_semi")
+    # rows alike: one of them, by the other columns' hash; a partial aggregate, so any number of them is no task's alone
+    kept = rows.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in names))

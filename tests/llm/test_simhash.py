@@ -90,3 +90,36 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())[:2] == [(False, 3), (False, 9)]
     assert sum(r["text"] in (None, "") for r in kept.collect()) == 1
     assert simhash.one_of_each(rows.limit(0)).count() == 0
+
+
+def test_crowded_blocks_are_cut_and_lose_no_pair(spark):
+    """Thousands of fingerprints share blocks without being alike; a few pairs among them are."""
+    rng = np.random.default_rng(8)
+    fixed = 0x5A5A5A5 << 36
+    members = {fixed | int(x) for x in rng.integers(0, 1 << 36, 3000)}
+    near = [(m, m ^ sum(1 << int(b) for b in rng.choice(36, rng.integers(1, 5), replace=False))) for m in list(members)[:40]]
+    fps = sorted(members | {b for _, b in near})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    want = {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4}
+    for hot in (10**6, 1000, 40):
+        labels = {r["node"]: r["component"] for r in components.components(simhash.links(df, hot=hot)).collect()}
+        of = lambda x: labels.get(x, x)
+        assert len(want) >= 40 and all(of(a) == of(b) for a, b in want)
+        assert all((r["a"] ^ r["b"]) & (1 << 64) - 1 and ((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 4 for r in simhash.links(df, hot=hot).collect())
+
+
+def test_parts_cover_the_free_bits():
+    for mask in (0, 1, (1 << 63) | 0xFF00, (1 << 52) - 1):
+        parts = simhash._parts(mask, 5)
+        assert [p & mask for p in parts] == [mask] * 5
+        free = [p & ~mask for p in parts]
+        assert sum(free) == ~mask & (1 << 64) - 1 and max(x.bit_count() for x in free) - min(x.bit_count() for x in free) <= 1
+
+
+def test_rows_alike_and_odd_columns(spark):
+    """20,000 rows alike but for a column with an odd name: one stays."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, text, i % 7, "r") for i in range(20_000)] + [(2, "other words entirely here now", 1, "r")], "doc_id long, text string, `a.b` int, `row` string")
+    kept = simhash.one_of_each(rows)
+    assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
