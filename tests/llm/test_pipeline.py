@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftstone.llm import mixing, quality, queries
+from tests.llm.test_jaccard import brute as near_groups
 from tests.llm.test_quality import corpus
-from tests.llm.test_simhash import brute as fingerprints
-from tests.llm.test_simhash import groups
 from tests.llm.test_substrings import brute as removed
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -54,7 +53,7 @@ def test_stages_one_by_one(spark, folder):
     assert Counter(kept.keys()) == Counter(r["doc_id"] for r in scores.where("predicted = 1").collect())
     single = {r["doc_id"] for r in held["simhash_near_dedup"]}
     ids = sorted(kept)
-    assert single == set(groups(ids, fingerprints([kept[i] for i in ids])))
+    assert single == {ids[i] for i in near_groups([kept[i] for i in ids])}
     assert len(single & {2000, 2001, 2002}) == 1 and single <= kept.keys()
     cleaned = {r["doc_id"]: (r["text"], r["n_chars"]) for r in held["suffix_array_dedup"]}
     assert cleaned.keys() == single
@@ -67,6 +66,9 @@ def test_stages_one_by_one(spark, folder):
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     assert sum(n * words(cleaned[i][0]) for i, n in mixed.items()) == pytest.approx(sum(words(t) for t, _ in cleaned.values()), rel=0.2)
     packed = held["length_packing"]
+    # what was cleaned comes out whole
+    assert all((r["text"], r["n_chars"]) == cleaned[r["doc_id"]] for r in packed)
+    assert {r["doc_id"]: (r["lang"], r["source"]) for r in packed}.items() <= {r["doc_id"]: (r["lang"], r["source"]) for r in held["suffix_array_dedup"]}.items()
     assert Counter(r["doc_id"] for r in packed) == mixed
     assert all(r["n_tokens"] == words(cleaned[r["doc_id"]][0]) + 1 for r in packed)
 
@@ -82,10 +84,13 @@ def test_run_is_the_stages(spark, folder):
 
 def test_stages_take_empty_and_wider_tables(spark, folder):
     path, _ = folder
-    docs = spark.read.parquet(f"{path}/documents.parquet").limit(0).withColumn("row", F.lit("x")).withColumn("copies", F.lit(1))
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, path)
-        assert docs.count() == 0
+    wide = spark.read.parquet(f"{path}/documents.parquet").withColumn("row", F.lit("x")).withColumn("copies", F.lit(1)).withColumn("a.b", F.lit("y")).withColumn("id", F.lit(2)).withColumn("key", F.lit(3))
+    for docs in (wide.limit(0), wide):
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs.columns, stage(spark, docs, path)
+            assert docs.columns[: len(before)] == before
+        rows = docs.select("row", "copies", "`a.b`", "id", "key").distinct().collect()
+        assert [tuple(r) for r in rows] in ([], [("x", 1, "y", 2, 3)])
 
 
 def test_mix_target_is_a_fair_share(spark):
