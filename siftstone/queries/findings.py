@@ -50,7 +50,7 @@ def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def severity_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = severity.normalize(F.col("severity"))
-    return _orders(spark, sf_dir).groupBy("o_custkey").agg(severity.median_level(level).alias("median"), severity.upper_median(F.collect_list(severity.rank(level))).alias("by_list"), F.count("*").alias("n"))
+    return _orders(spark, sf_dir).groupBy("o_custkey").agg(severity.median_level(level).alias("median"), F.count("*").alias("n"))
 
 
 def severity_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,12 +150,12 @@ def round_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = report.sorted_findings(relation(spark, sf_dir, "findings")).limit(100)
+    rows = report.sorted_findings(relation(spark, sf_dir, "findings"))
     return rows.select("seq", "severity", "file", "line")
 
 
 def consensus_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.ranked(union.fold(_candidates(spark, sf_dir))).limit(50).select("key", "severity", "seq")
+    return report.ranked(union.fold(_candidates(spark, sf_dir))).select("key", "severity", "seq")
 
 
 def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ def confirmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = relation(spark, sf_dir, "votes")
-    confirmed = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").cast("string").alias("key"), F.lit("").alias("label"), (F.col("o_orderkey") % 7 != 0).alias("completed"), (F.col("o_orderkey") % 3 != 0).alias("holds"))
+    confirmed = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("key"), F.lit("").alias("label"), (F.col("o_orderkey") % 7 != 0).alias("completed"), (F.col("o_orderkey") % 3 != 0).alias("holds"))
     return verify.verdicts(votes, confirmed)
 
 
@@ -233,7 +233,7 @@ lines AS (SELECT key, line FROM keyed k WHERE seq = (SELECT min(seq) FROM keyed
 ev AS (SELECT key, list_reduce(list_prepend('', list(evidence ORDER BY seq)), lambda a, x: CASE WHEN x = '' OR contains(a, x) THEN a WHEN a = '' THEN x ELSE a || '; ' || x END) AS evidence FROM keyed GROUP BY key),
 folded AS (SELECT key, seq, title, file, line, {BY_RANK.format('ranks[CAST(floor(len(ranks) / 2) AS INT) + 1]')} AS severity, evidence, CASE WHEN conf THEN 'confirmed' ELSE st END AS status, array_to_string(models, ',') AS found_by, CAST(len(models) AS INT) AS models, n_rows, models AS model_list FROM heads JOIN lines USING (key) JOIN ev USING (key))"""
 _TALLY = "tally AS (SELECT key, count(*) FILTER (completed) AS n_completed, coalesce(bool_or(real) FILTER (completed), false) AS any_real, count(*) FILTER (NOT completed) AS errors, arg_min(reason, vote_no) FILTER (completed AND NOT real) AS reason FROM votes GROUP BY key)"
-_VERDICTS = f"""{cte('votes')}, {_TALLY}, cf AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderkey % 7 <> 0 AS completed, o_orderkey % 3 <> 0 AS holds FROM orders WHERE o_orderkey % 5 <> 0),
+_VERDICTS = f"""{cte('votes')}, {_TALLY}, cf AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderkey % 7 <> 0 AS completed, o_orderkey % 3 <> 0 AS holds FROM orders WHERE o_orderstatus <> 'P'),
 j AS (SELECT t.*, c.completed AS done, c.completed AND c.holds AS hold, n_completed > 0 AND NOT any_real AS refuted FROM tally t LEFT JOIN cf c USING (key)),
 d AS (SELECT *, refuted AND coalesce(NOT done, false) AS broken, refuted AND coalesce(done, true) AND coalesce(hold, false) AS dropped FROM j),
 verdicts AS (SELECT key, NOT dropped AS real, n_completed = 0 OR broken AS incomplete, errors + CAST(broken AS INT) AS errors, CASE WHEN dropped THEN coalesce(reason, '') ELSE '' END AS reason FROM d)"""
@@ -247,7 +247,7 @@ _SLUGGED = "left(lower(regexp_replace(regexp_replace({}, '[^A-Za-z0-9]', '-', 'g
 SQL = {
     "severity_breakdown": f"WITH {ORDERS}, ls AS (SELECT * FROM (VALUES {LEVELS}) t(severity)) SELECT ls.severity, count(o_orderkey) AS n FROM ls LEFT JOIN lv ON lv.severity = ls.severity GROUP BY ls.severity",
     "severity_gate": f"WITH {ORDERS} SELECT 'critical' AS threshold, bool_or(severity = 'CRITICAL') AS failed FROM lv UNION ALL SELECT 'HIGH', bool_or(severity IN ('CRITICAL', 'HIGH')) FROM lv UNION ALL SELECT '', false UNION ALL SELECT 'urgent', false",
-    "severity_median": f"WITH {ORDERS}, r AS (SELECT o_custkey, list_sort(list({RANK})) AS xs FROM lv GROUP BY o_custkey), m AS (SELECT *, {BY_RANK.format('xs[CAST(floor(len(xs) / 2) AS INT) + 1]')} AS med FROM r) SELECT o_custkey, med AS median, med AS by_list, CAST(len(xs) AS BIGINT) AS n FROM m",
+    "severity_median": f"WITH {ORDERS}, r AS (SELECT o_custkey, list_sort(list({RANK})) AS xs FROM lv GROUP BY o_custkey), m AS (SELECT *, {BY_RANK.format('xs[CAST(floor(len(xs) / 2) AS INT) + 1]')} AS med FROM r) SELECT o_custkey, med AS median, CAST(len(xs) AS BIGINT) AS n FROM m",
     "severity_ranks": f"WITH {ORDERS} SELECT lv.o_orderkey, severity, 'MEDIUM' AS exact, CAST({_FINDINGS_ORDER} AS INT) AS idx, CAST({RANK} AS INT) AS rank, CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END AS sarif FROM lv",
     "category_slug": f"WITH {cte('candidates')} SELECT seq, {_SLUG.format(chr(39) + ' ' + chr(39) + ' || title || ' + chr(39) + '_X ' + chr(39))} AS slug FROM candidates",
     "category_of": f"WITH {cte('candidates')}, r AS (SELECT seq, CASE WHEN seq % 2 = 0 THEN 'broken Access control ' || category ELSE '_' || category || ' x' END AS raw FROM candidates), l AS (SELECT seq, lower(trim(raw)) AS t FROM r) SELECT seq, CASE WHEN contains(t, 'missing auth') OR contains(t, 'authorization') OR contains(t, 'authz') OR contains(t, 'access control') OR contains(t, 'broken access') THEN 'missing-authorization' ELSE trim(regexp_replace(t, '[\\s_]+', '-', 'g'), '-') END AS category FROM l",
@@ -267,8 +267,8 @@ SQL = {
     "pass_replay": f"WITH {_STATE}, sp AS (SELECT coalesce(min(pass_no) FILTER (converged AND pass_no <= 12), least(max(pass_no), 12)) AS stop_at FROM st) SELECT pass_no, count(*) AS n FROM candidates, sp WHERE pass_no <= stop_at GROUP BY pass_no",
     "failed_units": f"WITH {cte('candidates')} SELECT unit || ':' || file AS unit FROM candidates GROUP BY unit, file HAVING NOT coalesce(bool_or(line > 98), false)",
     "round_convergence": f"WITH {cte('candidates')}, ks AS (SELECT DISTINCT pass_no AS round, file FROM candidates WHERE file <> 'src/purchase.py' OR pass_no % 3 = 0), s AS (SELECT round, list_sort(list(file)) AS fs, count(*) AS n_keys FROM ks GROUP BY round), v AS (SELECT pass_no AS round, max(seq) % 4 = 0 AS agreed, min(seq) % 2 AS n_open FROM candidates GROUP BY pass_no), j AS (SELECT v.*, coalesce(n_keys, 0) AS n_keys, coalesce(lag(fs) OVER (ORDER BY v.round) = fs, false) AS same FROM v LEFT JOIN s ON s.round = v.round) SELECT round, n_keys, (agreed OR same) AND n_open = 0 AS final FROM j",
-    "report_sort": f"WITH {cte('findings')} SELECT seq, severity, file, line FROM findings ORDER BY {_FINDINGS_ORDER}, file, coalesce(line, 0), seq LIMIT 100",
-    "consensus_order": f"WITH {_FOLDED} SELECT key, severity, seq FROM folded ORDER BY models DESC, {_FINDINGS_ORDER}, seq LIMIT 50",
+    "report_sort": f"WITH {cte('findings')} SELECT seq, severity, file, line FROM findings ORDER BY {_FINDINGS_ORDER}, file, coalesce(line, 0), seq",
+    "consensus_order": f"WITH {_FOLDED} SELECT key, severity, seq FROM folded ORDER BY models DESC, {_FINDINGS_ORDER}, seq",
     "sarif_rules": f"WITH {cte('findings')}, r AS (SELECT CASE WHEN category = '' THEN 'security' ELSE category END AS rule_id, row_number() OVER (ORDER BY {_FINDINGS_ORDER}, file, coalesce(line, 0), seq) AS n FROM findings WHERE file <> ''), f AS (SELECT rule_id, min(n) AS n FROM r GROUP BY rule_id) SELECT rule_id, CAST(row_number() OVER (ORDER BY n) - 1 AS INT) AS rule_index FROM f",
     "surface_status": f"WITH {cte('candidates')} SELECT unit || ':' || file AS unit, CASE WHEN coalesce(bool_or(line > 98), false) THEN 'reviewed' ELSE 'open' END AS status FROM candidates GROUP BY unit, file",
     "poc_gaps": f"WITH {cte('candidates')}, f AS (SELECT DISTINCT unit || '-' || CAST(line AS VARCHAR) AS name FROM candidates WHERE line IS NOT NULL), p AS (SELECT DISTINCT replace(name, 'unit_9', 'unit_99') AS name FROM f WHERE name LIKE '%0') SELECT name, 'no proof' AS gap FROM f WHERE name NOT IN (SELECT name FROM p) UNION ALL SELECT name, 'no finding' FROM p WHERE name NOT IN (SELECT name FROM f WHERE name IS NOT NULL)",

@@ -62,7 +62,7 @@ def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relation(spark, sf_dir, "items").where("id % 2 = 1")
+    rows = relation(spark, sf_dir, "items")
     entries = rows.select(F.concat(F.lit("e"), "id").alias("id"), F.lit("b").alias("benchmark"), F.when(F.col("id") % 9 == 0, F.array().cast("array<string>")).otherwise(F.array("ref")).alias("refs"))
     manifests = spark.createDataFrame([("b", ["vuln:brand-11", "vuln:nowhere"])], "id string, refs array<string>")
     return coverage.problems(coverage_matrix(spark, sf_dir), coverage.referenced(manifests, entries), entries)
@@ -177,7 +177,7 @@ SQL = {
     "benchmark_passages": "SELECT doc_id, item_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(d.text, b.text)",
     "guide_match": f"WITH {cte('files')} SELECT CAST(seq AS INT) AS seq, id FROM (VALUES (0, 'python', (SELECT bool_or(path LIKE 'src1%/%.py') FROM files)), (2, 'flask', (SELECT bool_or(contains(lower(text), 'and')) FROM files WHERE path LIKE '%.lock')), (3, 'oauth', (SELECT bool_or(contains(lower(text), 'the was')) FROM files))) t(seq, id, ok) WHERE ok",
     "coverage_matrix": f"WITH {_MATRIX} SELECT * FROM mx",
-    "coverage_problems": f"WITH {_MATRIX}, en AS (SELECT 'e' || CAST(id AS VARCHAR) AS id, ref, id % 9 = 0 AS bare FROM items WHERE id % 2 = 1) SELECT 'missing-positive' AS kind, ref, '' AS detail FROM mx WHERE kind = 'vulnerability' AND diff_positive = 0 UNION ALL SELECT 'missing-safe', ref, '' FROM mx WHERE kind = 'vulnerability' AND diff_safe = 0 UNION ALL SELECT 'missing-repository-target', ref, '' FROM mx WHERE kind = 'vulnerability' AND repository_planted = 0 UNION ALL SELECT 'unresolved-reference', ref, 'entry b ' || id FROM en WHERE NOT bare AND ref NOT IN (SELECT ref FROM mx) UNION ALL SELECT 'unresolved-reference', ref, 'manifest b' FROM (VALUES ('vuln:brand-11'), ('vuln:nowhere')) t(ref) WHERE ref NOT IN (SELECT ref FROM mx) UNION ALL SELECT 'entry-without-knowledge', id, '' FROM en WHERE bare",
+    "coverage_problems": f"WITH {_MATRIX}, en AS (SELECT 'e' || CAST(id AS VARCHAR) AS id, ref, id % 9 = 0 AS bare FROM items) SELECT 'missing-positive' AS kind, ref, '' AS detail FROM mx WHERE kind = 'vulnerability' AND diff_positive = 0 UNION ALL SELECT 'missing-safe', ref, '' FROM mx WHERE kind = 'vulnerability' AND diff_safe = 0 UNION ALL SELECT 'missing-repository-target', ref, '' FROM mx WHERE kind = 'vulnerability' AND repository_planted = 0 UNION ALL SELECT 'unresolved-reference', ref, 'entry b ' || id FROM en WHERE NOT bare AND ref NOT IN (SELECT ref FROM mx) UNION ALL SELECT 'unresolved-reference', ref, 'manifest b' FROM (VALUES ('vuln:brand-11'), ('vuln:nowhere')) t(ref) WHERE ref NOT IN (SELECT ref FROM mx) UNION ALL SELECT 'entry-without-knowledge', id, '' FROM en WHERE bare",
     "case_refs": f"WITH {cte('items')} SELECT id, CASE id % 3 WHEN 0 THEN ref WHEN 1 THEN 'vuln:' || regexp_replace(tag, '[\\s_]+', '-', 'g') ELSE '' END AS refs FROM items",
     "suite_select": f"WITH {cte('items')} SELECT id, 'some' AS suite FROM items WHERE kind = 'guide' AND (list_contains(string_split(tag, ' '), 'small') OR list_contains(string_split(tag, ' '), 'promo')) UNION ALL SELECT id, 'all tags' FROM items WHERE kind = 'vulnerability'",
     "call_neighbours": f"WITH {_FN} SELECT contract, anchor, fn, hop, seq, size FROM nb",

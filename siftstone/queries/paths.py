@@ -75,7 +75,7 @@ def basename_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.verify_text(_refs(spark, sf_dir), _files(spark, sf_dir), 400).select("doc_id", "resolved", F.length("code").alias("n"))
+    return resolve.verify_text(_refs(spark, sf_dir), _files(spark, sf_dir)).select("doc_id", "resolved", F.length("code").alias("n"))
 
 
 def contained_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,29 +84,29 @@ def contained_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_unowned(spark: SparkSession, sf_dir: str) -> DataFrame:
     inventory = _files(spark, sf_dir).where(filters.in_inventory(F.col("path"), DEFAULT)).select("path")
-    artifacts = _files(spark, sf_dir).where("doc_id % 3 <> 1").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("- Files: `"), "path", F.lit(":12`, x"))).otherwise(F.concat(F.lit("see-"), "path", F.lit("."))).alias("text"))
+    artifacts = _files(spark, sf_dir).where("path not like '%/de/%'").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("- Files: `"), "path", F.lit(":12`, x"))).otherwise(F.concat(F.lit("see-"), "path", F.lit("."))).alias("text"))
     return gate.unowned(inventory, artifacts)
 
 
 def completeness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
     units = files.select(F.col("path").alias("unit"), F.when(F.col("doc_id") % 50 == 0, "open").otherwise(" Reviewed").alias("status"))
-    candidates = files.where("doc_id % 9 = 0").select(F.col("path").alias("name"), F.when(F.col("doc_id") % 18 == 0, "likely high").alias("risk"))
+    candidates = files.where("path like '%.sol'").select(F.col("path").alias("name"), F.when(F.col("path").like("%/en/%"), "likely high").alias("risk"))
     return gate.completeness(units, candidates, 3, False, coverage_unowned(spark, sf_dir), strict=True)
 
 
 def worklist_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     slug = location.unit_slug(F.col("path"))
     files = _files(spark, sf_dir)
-    work = files.where("doc_id % 3 <> 0").select(slug.alias("slug"), F.when(F.col("doc_id") % 2 == 0, "reviewed").otherwise("open").alias("status"))
-    return gate.reconcile(work, files.where("doc_id % 4 <> 0").select(slug.alias("slug")))
+    work = files.where("path not like '%/fr/%'").select(slug.alias("slug"), F.when(F.col("doc_id") % 2 == 0, "reviewed").otherwise("open").alias("status"))
+    return gate.reconcile(work, files.where("path not like '%.md'").select(slug.alias("slug")))
 
 
 def mark_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     slug = location.unit_slug(F.col("path"))
     files = _files(spark, sf_dir)
     work = files.select(slug.alias("slug"), F.when(F.col("doc_id") % 2 == 0, "open").when(F.col("doc_id") % 3 == 0, "blocked").otherwise("reviewed").alias("status"))
-    return gate.mark_reviewed(work, files.where("doc_id % 3 = 0").select(slug.alias("slug")))
+    return gate.mark_reviewed(work, files.where("path like '%.py'").select(slug.alias("slug")))
 
 
 def unit_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ def unit_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sources.source_sample(_files(spark, sf_dir), DEFAULT["source_ext"], 500, 3000, ["source"])
+    rows = sources.source_sample(_files(spark, sf_dir), DEFAULT["source_ext"], group=["source"])
     return rows.select("source", "path", F.length("text").alias("n"))
 
 
@@ -125,7 +125,7 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def poc_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _files(spark, sf_dir).select(F.concat(F.lit("doc_"), "doc_id").alias("name"))
-    pocs = _files(spark, sf_dir).where("doc_id % 4 <> 1").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("doc_"), "doc_id", F.lit(".t.sol"))).otherwise(F.concat(F.lit("doc_"), "doc_id")).alias("file"))
+    pocs = _files(spark, sf_dir).where("path not like '%/es/%'").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("doc_"), "doc_id", F.lit(".t.sol"))).otherwise(F.concat(F.lit("doc_"), "doc_id")).alias("file"))
     return report.poc_for(names, pocs)
 
 
@@ -139,7 +139,7 @@ _SOURCE = f"{_SUFFIX} IN {_IN('source_ext')}"
 _NAME = "list_last(string_split(path, '/'))"
 _INVENTORY = f"inv AS (SELECT path, size FROM files WHERE {_SOURCE} AND NOT {_TEST})"
 _REFS = f"refs AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN path WHEN 1 THEN {_NAME} WHEN 2 THEN '../' || path WHEN 3 THEN 'x/' || {_NAME} ELSE 'missing.py' END AS file FROM files)"
-_UNOWNED = "art AS (SELECT CASE WHEN doc_id % 2 = 0 THEN '- Files: `' || path || ':12`, x' ELSE 'see-' || path || '.' END AS text FROM files WHERE doc_id % 3 <> 1), un AS (SELECT DISTINCT path FROM inv WHERE NOT EXISTS (SELECT 1 FROM art WHERE contains(art.text, inv.path)))"
+_UNOWNED = "art AS (SELECT CASE WHEN doc_id % 2 = 0 THEN '- Files: `' || path || ':12`, x' ELSE 'see-' || path || '.' END AS text FROM files WHERE path NOT LIKE '%/de/%'), un AS (SELECT DISTINCT path FROM inv WHERE NOT EXISTS (SELECT 1 FROM art WHERE contains(art.text, inv.path)))"
 _SLUGGED = r"lower(regexp_replace(regexp_replace(regexp_replace(path, '\.py$', ''), '[^A-Za-z0-9]', '-', 'g'), '^-+|-+$', '', 'g'))"
 
 SQL = {
@@ -153,14 +153,14 @@ SQL = {
     "path_safety": "SELECT page_id, page_id % 4 <> 3 AS unsafe FROM pages",
     "resolve_location": f"WITH {cte('files')}, {_REFS}, allf AS (SELECT path FROM files UNION ALL SELECT 'copy/' || {_NAME} FROM files WHERE path LIKE '%1.py'), ix AS (SELECT {_NAME} AS name, min(path) AS path FROM allf GROUP BY 1 HAVING count(*) = 1) SELECT doc_id, file, CASE WHEN file LIKE '../%' THEN NULL ELSE coalesce((SELECT min(path) FROM allf WHERE path = file), (SELECT path FROM ix WHERE name = list_last(string_split(file, '/')))) END AS resolved FROM refs",
     "basename_index": f"WITH {cte('files')}, r AS (SELECT regexp_replace(path, 'doc_[0-9]*([0-9])', 'doc_\\1') AS path FROM files) SELECT {_NAME} AS name, count(*) AS n, min(path) AS path FROM r GROUP BY 1",
-    "verify_text": f"WITH {cte('files')}, {_REFS}, ix AS (SELECT {_NAME} AS name, min(path) AS path FROM files GROUP BY 1 HAVING count(*) = 1), v AS (SELECT doc_id, CASE WHEN file LIKE '../%' THEN NULL ELSE coalesce((SELECT path FROM files f WHERE f.path = file), (SELECT path FROM ix WHERE name = list_last(string_split(file, '/')))) END AS resolved FROM refs) SELECT v.doc_id, resolved, CAST(CASE WHEN text IS NULL THEN 0 ELSE least(length(text), 400) END AS INT) AS n FROM v LEFT JOIN files f ON f.path = resolved",
+    "verify_text": f"WITH {cte('files')}, {_REFS}, ix AS (SELECT {_NAME} AS name, min(path) AS path FROM files GROUP BY 1 HAVING count(*) = 1), v AS (SELECT doc_id, CASE WHEN file LIKE '../%' THEN NULL ELSE coalesce((SELECT path FROM files f WHERE f.path = file), (SELECT path FROM ix WHERE name = list_last(string_split(file, '/')))) END AS resolved FROM refs) SELECT v.doc_id, resolved, CAST(CASE WHEN text IS NULL THEN 0 ELSE least(length(text), 40000) END AS INT) AS n FROM v LEFT JOIN files f ON f.path = resolved",
     "contained_paths": f"WITH {cte('files')}, {_REFS} SELECT doc_id, file FROM refs WHERE file IN (SELECT path FROM files)",
     "coverage_unowned": f"WITH {cte('files')}, {_INVENTORY}, {_UNOWNED} SELECT path FROM un",
-    "completeness_gate": f"WITH {cte('files')}, {_INVENTORY}, {_UNOWNED} SELECT * FROM (SELECT 'surface enumerated' AS \"check\", 'failure' AS level, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'units exist', 'failure', 0 UNION ALL SELECT 'units reviewed', 'failure', count(*) FILTER (doc_id % 50 = 0) FROM files UNION ALL SELECT 'candidates graded', 'failure', count(*) FILTER (doc_id % 9 = 0 AND doc_id % 18 <> 0) FROM files UNION ALL SELECT 'run converged', 'failure', 1 UNION ALL SELECT 'inventory owned', 'failure', count(*) FROM un)",
-    "worklist_reconcile": f"WITH {cte('files')} SELECT {_SLUGGED} AS slug, CASE WHEN doc_id % 3 <> 0 AND doc_id % 2 = 0 THEN 'reviewed' ELSE 'open' END AS status, CASE WHEN doc_id % 4 = 0 THEN 'stale' WHEN doc_id % 3 = 0 THEN 'added' ELSE 'kept' END AS change FROM files WHERE doc_id % 3 <> 0 OR doc_id % 4 <> 0",
-    "mark_reviewed": f"WITH {cte('files')} SELECT {_SLUGGED} AS slug, CASE WHEN doc_id % 6 = 0 THEN 'reviewed' WHEN doc_id % 2 = 0 THEN 'open' WHEN doc_id % 3 = 0 THEN 'blocked' ELSE 'reviewed' END AS status FROM files",
+    "completeness_gate": f"WITH {cte('files')}, {_INVENTORY}, {_UNOWNED} SELECT * FROM (SELECT 'surface enumerated' AS \"check\", 'failure' AS level, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'units exist', 'failure', 0 UNION ALL SELECT 'units reviewed', 'failure', count(*) FILTER (doc_id % 50 = 0) FROM files UNION ALL SELECT 'candidates graded', 'failure', count(*) FILTER (path LIKE '%.sol' AND path NOT LIKE '%/en/%') FROM files UNION ALL SELECT 'run converged', 'failure', 1 UNION ALL SELECT 'inventory owned', 'failure', count(*) FROM un)",
+    "worklist_reconcile": f"WITH {cte('files')} SELECT {_SLUGGED} AS slug, CASE WHEN path NOT LIKE '%/fr/%' AND doc_id % 2 = 0 THEN 'reviewed' ELSE 'open' END AS status, CASE WHEN path LIKE '%.md' THEN 'stale' WHEN path LIKE '%/fr/%' THEN 'added' ELSE 'kept' END AS change FROM files WHERE path NOT LIKE '%/fr/%' OR path NOT LIKE '%.md'",
+    "mark_reviewed": f"WITH {cte('files')} SELECT {_SLUGGED} AS slug, CASE WHEN doc_id % 2 = 0 AND path LIKE '%.py' THEN 'reviewed' WHEN doc_id % 2 = 0 THEN 'open' WHEN doc_id % 3 = 0 THEN 'blocked' ELSE 'reviewed' END AS status FROM files",
     "unit_slugs": f"WITH {cte('files')} SELECT path, {_SLUGGED} AS unit, lower(regexp_replace(path, '[^A-Za-z0-9]', '-', 'g')) AS finding FROM files",
-    "source_sample": f"WITH {cte('files')}, c AS (SELECT source, path, least(length(text), 500) AS n FROM files WHERE {_SOURCE}), s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT source, path, CAST(n AS INT) AS n FROM s WHERE before < 3000",
+    "source_sample": f"WITH {cte('files')}, c AS (SELECT source, path, least(length(text), 16000) AS n FROM files WHERE {_SOURCE}), s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT source, path, CAST(n AS INT) AS n FROM s WHERE before < 8000000",
     "content_digest": f"WITH {cte('files')} SELECT source, sha256(array_to_string(list_sort(list(sha256(path || '|' || sha256(text)))), '')) AS digest FROM files GROUP BY source",
-    "poc_match": f"WITH {cte('files')} SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 2 = 0 THEN 'doc_' || CAST(doc_id AS VARCHAR) || '.t.sol' ELSE 'doc_' || CAST(doc_id AS VARCHAR) END AS poc FROM files",
+    "poc_match": f"WITH {cte('files')} SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS name, CASE WHEN path LIKE '%/es/%' THEN NULL WHEN doc_id % 2 = 0 THEN 'doc_' || CAST(doc_id AS VARCHAR) || '.t.sol' ELSE 'doc_' || CAST(doc_id AS VARCHAR) END AS poc FROM files",
 }

@@ -19,11 +19,10 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An entry for each labelled document: planted, or safe if it is toxic."""
-    docs = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id % 2 = 0")
+    docs = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
     n = F.col("doc_id")
     text = lambda c: c.cast("string")
-    none = F.array().cast("array<string>")
-    return docs.select(F.concat(F.lit("t"), text(n % 5)).alias("target"), F.when(F.col("toxic") == 1, "safe").otherwise("planted").alias("kind"), n.alias("seq"), F.concat(F.lit("k"), text(n)).alias("id"), F.when(n % 3 == 0, F.concat(F.lit("GET /api/"), text(n % 30), F.lit("/<id>"))).otherwise("").alias("entry"), F.array(F.concat(F.lit("lib/f"), text(n % 20), F.lit(".py"))).alias("files"), F.when(n % 7 == 0, "").otherwise("sql-injection").alias("category"), F.when(n % 2 == 0, F.array(F.concat(F.lit("fn_"), text(n % 12)))).otherwise(none).alias("symbols"))
+    return docs.select(F.concat(F.lit("t"), text(n % 5)).alias("target"), F.when(F.col("toxic") == 1, "safe").otherwise("planted").alias("kind"), n.alias("seq"), F.concat(F.lit("k"), text(n)).alias("id"), F.when(n % 3 == 0, F.concat(F.lit("GET /api/"), text(n % 30), F.lit("/<id>"))).otherwise("").alias("entry"), F.array(F.concat(F.lit("lib/f"), text(n % 20), F.lit(".py"))).alias("files"), F.when(n % 7 == 0, "").otherwise("sql-injection").alias("category"), F.array(F.concat(F.lit("fn_"), text(n % 12))).alias("symbols"))
 
 
 def score_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +78,7 @@ def catch_rate_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_by_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 5 <> 0")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size > 10")
     refs = F.array(F.concat(F.lit("guide:languages/"), F.lower("p_brand")), F.concat(F.lit("guide:frameworks/py/"), F.col("p_size").cast("string")), F.concat(F.lit("vuln:"), F.lower("p_type")))
     rows = part.select(F.col("p_partkey").cast("string").alias("id"), refs.alias("refs"), F.array(F.lower("p_type"), F.lit("x")).alias("tags"))
     flips = compare.flips(*_halves(spark, sf_dir))
@@ -96,14 +95,14 @@ def diff_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     name = F.col("o_orderkey").cast("string").alias("name")
     cases = orders.select(name, F.when(F.col("o_orderkey") % 2 == 0, "sql-injection").otherwise("").alias("category"))
-    audits = orders.where("o_orderkey % 11 <> 0").select(name, (F.col("o_orderkey") % 3).alias("n_kept"), (F.col("o_orderkey") % 13 == 0).alias("failed"), F.when(F.col("o_orderkey") % 17 == 0, True).alias("degraded"))
+    audits = orders.where("o_orderstatus <> 'P'").select(name, (F.col("o_orderkey") % 3).alias("n_kept"), (F.col("o_orderkey") % 13 == 0).alias("failed"), F.when(F.col("o_orderkey") % 17 == 0, True).alias("degraded"))
     return score.diff_outcomes(cases, audits)
 
 
 QUERIES = {f.__name__: f for f in (score_match, score_greedy, score_outcomes, score_summary, run_fold, run_majority, recall_precision, compare_flips, catch_rate_moves, compare_by_axis, regression_gate, diff_probe)}
 
 _PAIRS = """rp AS (SELECT 't' || CAST(doc_id % 5 AS VARCHAR) AS target, doc_id AS seq, 'r' || CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(doc_id % 30 AS VARCHAR) END AS ep, CASE WHEN doc_id % 3 = 0 THEN 'sql-injection' ELSE 'injection' END AS category, doc_id % 20 AS f, doc_id % 12 AS sym FROM labels),
-ky AS (SELECT 't' || CAST(doc_id % 5 AS VARCHAR) AS target, CASE WHEN toxic = 1 THEN 'safe' ELSE 'planted' END AS kind, doc_id AS seq, 'k' || CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 30 AS VARCHAR) ELSE '' END AS ep, doc_id % 20 AS f, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'sql-injection' END AS category, doc_id % 12 AS sym FROM labels WHERE doc_id % 2 = 0),
+ky AS (SELECT 't' || CAST(doc_id % 5 AS VARCHAR) AS target, CASE WHEN toxic = 1 THEN 'safe' ELSE 'planted' END AS kind, doc_id AS seq, 'k' || CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 30 AS VARCHAR) ELSE '' END AS ep, doc_id % 20 AS f, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'sql-injection' END AS category, doc_id % 12 AS sym FROM labels WHERE quality = 1),
 pr AS (SELECT r.target, k.kind, k.seq AS entry_seq, k.id, r.seq AS report_seq, r.name FROM rp r JOIN ky k USING (target) WHERE CASE WHEN k.ep <> '' THEN CASE WHEN k.kind = 'planted' THEN r.ep = k.ep OR (r.f = k.f AND r.sym = k.sym) ELSE r.ep = k.ep END ELSE r.f = k.f AND r.sym = k.sym END)"""
 _ASSIGN = f"""{_PAIRS}, lists AS (SELECT target, entry_seq, id, list(name ORDER BY report_seq) AS ns FROM pr WHERE kind = 'planted' GROUP BY ALL), ord AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY entry_seq, id) AS rn FROM lists),
 fold AS (SELECT target, rn, id, ns[1] AS name, [ns[1]] AS used FROM ord WHERE rn = 1 UNION ALL SELECT o.target, o.rn, o.id, list_filter(o.ns, lambda x: NOT list_contains(f.used, x))[1], CASE WHEN len(list_filter(o.ns, lambda x: NOT list_contains(f.used, x))) = 0 THEN f.used ELSE list_append(f.used, list_filter(o.ns, lambda x: NOT list_contains(f.used, x))[1]) END FROM fold f JOIN ord o ON o.target = f.target AND o.rn = f.rn + 1),
@@ -124,7 +123,7 @@ SQL = {
     "recall_precision": f"WITH {_FOLD}, c AS (SELECT target, count(*) FILTER (planted AND 2 * found > 3) AS n_found, count(*) FILTER (planted AND NOT 2 * found > 3) AS n_missed, count(*) FILTER (2 * fp > 3) AS n_fp, count(*) FILTER (planted AND found > 0 AND found < 3) AS n_flaky FROM fd GROUP BY target), h AS (SELECT target, count(*) AS reports, count(*) FILTER (outcome = 'extra') AS errors FROM runs GROUP BY target) SELECT *, {_RATES.format('n_found', 'n_missed')} AS recall, {_RATES.format('n_found', 'n_fp')} AS precision_known FROM c JOIN h USING (target)",
     "compare_flips": f"WITH {_FLIPS} SELECT * FROM fl",
     "catch_rate_moves": f"WITH {_FLIPS}, rb AS (SELECT id, count(*) FILTER (outcome = 'found') / count(*) AS r FROM runs WHERE year(shipped) % 2 = 0 GROUP BY id), ra AS (SELECT id, count(*) FILTER (outcome = 'found') / count(*) AS r FROM runs WHERE year(shipped) % 2 <> 0 GROUP BY id), j AS (SELECT coalesce(ra.id, rb.id) AS id, round_even(coalesce(rb.r, 0), 3) AS rate_before, round_even(coalesce(ra.r, 0), 3) AS rate_after FROM ra FULL JOIN rb ON ra.id = rb.id) SELECT * FROM j WHERE rate_before <> rate_after AND id NOT IN (SELECT id FROM fl WHERE flip IN ('newly_found', 'newly_missed'))",
-    "compare_by_axis": f"WITH {_FLIPS}, attr AS (SELECT CAST(p_partkey AS VARCHAR) AS id, lower(p_brand) AS l, CAST(p_size AS VARCHAR) AS f, lower(p_type) AS v FROM part WHERE p_partkey % 5 <> 0), x AS (SELECT flip, 'language' AS axis, coalesce(l, 'unattributed') AS label FROM fl LEFT JOIN attr USING (id) UNION ALL SELECT flip, 'framework', coalesce(f, 'unattributed') FROM fl LEFT JOIN attr USING (id) UNION ALL SELECT flip, 'vulnerability', coalesce(v, 'unattributed') FROM fl LEFT JOIN attr USING (id) UNION ALL SELECT flip, 'tag', coalesce(v, 'unattributed') FROM fl LEFT JOIN attr USING (id) UNION ALL SELECT flip, 'tag', 'x' FROM fl JOIN attr USING (id)) SELECT flip, label, count(*) AS n, axis FROM x GROUP BY ALL",
+    "compare_by_axis": f"WITH {_FLIPS}, attr AS (SELECT CAST(p_partkey AS VARCHAR) AS id, lower(p_brand) AS l, CAST(p_size AS VARCHAR) AS f, lower(p_type) AS v FROM part WHERE p_size > 10), x AS (SELECT flip, 'language' AS axis, coalesce(l, 'unattributed') AS label FROM fl LEFT JOIN attr USING (id) UNION ALL SELECT flip, 'framework', coalesce(f, 'unattributed') FROM fl LEFT JOIN attr USING (id) UNION ALL SELECT flip, 'vulnerability', coalesce(v, 'unattributed') FROM fl LEFT JOIN attr USING (id) UNION ALL SELECT flip, 'tag', coalesce(v, 'unattributed') FROM fl LEFT JOIN attr USING (id) UNION ALL SELECT flip, 'tag', 'x' FROM fl JOIN attr USING (id)) SELECT flip, label, count(*) AS n, axis FROM x GROUP BY ALL",
     "regression_gate": f"WITH {_FLIPS} SELECT 'errors' AS rule, '2' AS detail UNION ALL SELECT 'precision below floor', '0.5' UNION ALL SELECT CASE flip WHEN 'newly_missed' THEN 'newly missed' ELSE 'new false positive' END, id FROM fl WHERE flip IN ('newly_missed', 'newly_false_positive')",
-    "diff_probe": "SELECT CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN 'error' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 > 0 THEN 'found' WHEN o_orderkey % 2 = 0 THEN 'missed' WHEN o_orderkey % 3 > 0 THEN 'false_positive' ELSE 'clean' END AS outcome FROM orders",
+    "diff_probe": "SELECT CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderstatus = 'P' OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN 'error' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 > 0 THEN 'found' WHEN o_orderkey % 2 = 0 THEN 'missed' WHEN o_orderkey % 3 > 0 THEN 'false_positive' ELSE 'clean' END AS outcome FROM orders",
 }

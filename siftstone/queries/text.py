@@ -60,28 +60,28 @@ def chunk_windows_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gather_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _files(spark, sf_dir).withColumn("n", F.length("text"))
-    return chunk.within_budget(rows, ["source"], ["path"], "n", 12_000, 2_400).select("source", "path", "taken")
+    return chunk.within_budget(rows, ["source"], ["path"], "n").select("source", "path", "taken")
 
 
 def gather_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunk.gathered(_files(spark, sf_dir), ["source"], ["path"], total=3000, per_part=600)
+    rows = chunk.gathered(_files(spark, sf_dir), ["source"], ["path"])
     return rows.select("source", F.sha2("text", 256).alias("digest"), F.length("text").alias("n"))
 
 
 def capped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _files(spark, sf_dir).select("source", "doc_id", F.left("text", F.lit(300)).alias("block"))
-    return chunk.capped_text(rows, ["source"], ["doc_id"], cap=2000).select("source", F.sha2("text", 256).alias("digest"), F.length("text").alias("n"))
+    rows = _files(spark, sf_dir).select("source", "doc_id", F.col("text").alias("block"))
+    return chunk.capped_text(rows, ["source"], ["doc_id"]).select("source", F.sha2("text", 256).alias("digest"), F.length("text").alias("n"))
 
 
 def review_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _files(spark, sf_dir)
-    units = chunk.review_units(rows.where("path like '%.py'").select("path", "text"), rows.where("path like '%.go'").select("path"), 2000, 200)
+    units = chunk.review_units(rows.where("path like '%.py'").select("path", "text"), rows.where("path like '%.go'").select("path"))
     return units.select("path", "window_no", "start", "end", F.array_join("files", ",").alias("files"))
 
 
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _files(spark, sf_dir)
-    return rows.select("doc_id", F.sha2(lines.numbered(F.left("text", F.lit(2000))), 256).alias("digest"), lines.line_at(F.col("text"), F.lit(500)).alias("line"), lines.span_lines(F.col("text"), F.lit(100), F.lit(900))["last"].alias("last"), F.size(lines.boundaries(F.col("text"))).alias("starts"))
+    return rows.select("doc_id", F.sha2(lines.numbered(F.col("text")), 256).alias("digest"), lines.line_at(F.col("text"), F.lit(500)).alias("line"), lines.span_lines(F.col("text"), F.lit(100), F.lit(900))["last"].alias("last"), F.size(lines.boundaries(F.col("text"))).alias("starts"))
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,17 +159,17 @@ SELECT page_id, bool_or(own AND {_ONE}) AS same, bool_or(NOT own AND {_ONE}) AS
     "diff_split": f"WITH {cte('files')}, {_DIFFS}, one AS (SELECT doc_id, 0 AS chunk_no, length(diff) AS n, '' AS path FROM diffs WHERE doc_id % 4 = 0), ls AS (SELECT doc_id, path, head, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS k FROM head WHERE doc_id % 4 >= 2) SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, CAST(n AS INT) AS n, path FROM one UNION ALL SELECT doc_id, i, length(head) + 1 + length(line) + CASE WHEN i < k - 1 THEN 1 ELSE 0 END, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE path END FROM ls",
     "changed_paths": f"WITH {cte('files')}, {_DIFFS} SELECT doc_id, CASE WHEN doc_id % 4 >= 2 AND doc_id % 3 <> 0 THEN path ELSE '' END AS paths FROM diffs",
     "chunk_windows": f"WITH RECURSIVE {cte('files')}, {_WINDOWS.format(w=1000, o=100)} SELECT w.path, CAST(no AS INT) AS window_no, CAST(s AS INT) AS \"start\", CAST(e AS INT) AS \"end\", CAST(len(string_split(b.text[1:s], chr(10))) AS INT) AS first, CAST(len(string_split(b.text[1:greatest(s, e - 1)], chr(10))) AS INT) AS last FROM w JOIN b ON b.path = w.path",
-    "gather_budget": f"WITH {cte('files')}, c AS (SELECT source, path, CAST(least(length(text), 2400) AS INT) AS taken FROM files), s AS (SELECT *, coalesce(sum(taken) OVER (PARTITION BY source ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT source, path, taken FROM s WHERE before < 12000",
+    "gather_budget": f"WITH {cte('files')}, c AS (SELECT source, path, CAST(least(length(text), 24000) AS INT) AS taken FROM files), s AS (SELECT *, coalesce(sum(taken) OVER (PARTITION BY source ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT source, path, taken FROM s WHERE before < 120000",
     "candidate_notes": f"WITH {cte('candidates')} SELECT CAST(seq AS VARCHAR) AS name, title, category, file, line, severity, 'open' AS status, CAST(length('## Evidence' || chr(10) || chr(10) || 'see ' || file || ':7 and src/view.py:12 ' || evidence || chr(10)) AS INT) AS n FROM candidates WHERE seq % 7 NOT IN (0, 1) AND seq % 11 NOT IN (0, 1)",
     "finding_coerce": f"WITH {cte('findings')} SELECT seq, file, CASE WHEN seq % 5 IN (0, 1, 2) THEN NULL ELSE line END AS line, CASE WHEN seq % 3 = 1 THEN 'MEDIUM' ELSE severity END AS severity, category, CASE seq % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.7 WHEN 2 THEN 0.5 ELSE 0.25 END::DOUBLE AS confidence FROM findings WHERE seq % 6 <> 0",
     "json_extract": f"WITH {cte('findings')} SELECT seq, seq % 4 <> 3 AS ok, CASE WHEN seq % 4 <> 3 THEN category END AS category FROM findings",
     "reply_candidates": f"WITH {cte('candidates')} SELECT seq, CASE WHEN seq % 3 = 0 THEN 'described' ELSE title END AS title, CASE WHEN seq % 4 = 0 THEN '' ELSE file END AS file, line, severity FROM candidates",
     "chunk_windows_full": f"WITH RECURSIVE {cte('files')}, {_WINDOWS.format(w=24000, o=2000)} SELECT {_SPANS}, {_LINES} FROM w JOIN b ON b.path = w.path",
-    "review_units": f"""WITH RECURSIVE {cte('files')}, {_WINDOWS.format(w=2000, o=200).replace('FROM files)', "FROM files WHERE path LIKE '%.py')")},
+    "review_units": f"""WITH RECURSIVE {cte('files')}, {_WINDOWS.format(w=24000, o=2000).replace('FROM files)', "FROM files WHERE path LIKE '%.py')")},
 tg AS (SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY path) AS n FROM files WHERE path LIKE '%.go'), tl AS (SELECT source, string_agg(path, ',' ORDER BY path) AS ts FROM tg WHERE n <= 20 GROUP BY source)
 SELECT {_SPANS}, w.path || coalesce(',' || ts, '') AS files FROM w LEFT JOIN tl ON tl.source = split_part(w.path, '/', 1)""",
-    "gather_text": f"WITH {cte('files')}, c AS (SELECT source, path, text, least(length(text), 600) AS taken FROM files), s AS (SELECT *, coalesce(sum(taken) OVER (PARTITION BY source ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c), t AS (SELECT source, path, text[1:taken] AS t FROM s WHERE before < 3000), j AS (SELECT source, string_agg('### ' || path || chr(10) || {_NUMBERED.format('t')}, chr(10) || chr(10) ORDER BY path) AS t FROM t GROUP BY source) SELECT source, sha256(t) AS digest, CAST(length(t) AS INT) AS n FROM j",
-    "capped_blocks": f"WITH {cte('files')}, d AS (SELECT source, text[1:300] AS block, min(doc_id) AS doc_id FROM files GROUP BY ALL), s AS (SELECT *, coalesce(sum(least(length(block), 2000)) OVER (PARTITION BY source ORDER BY doc_id, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d), j AS (SELECT source, string_agg(block, chr(10) || chr(10) ORDER BY doc_id, block) AS t FROM s WHERE before < 2000 GROUP BY source), c AS (SELECT source, CASE WHEN length(t) > 2000 THEN t[1:2000] || chr(10) || '... truncated' ELSE t END AS t FROM j) SELECT source, sha256(t) AS digest, CAST(length(t) AS INT) AS n FROM c",
-    "line_numbers": f"WITH {cte('files')}, h AS (SELECT doc_id, text, text[1:2000] AS t FROM files) SELECT doc_id, sha256({_NUMBERED.format('t')}) AS digest, CAST(len(string_split(text[1:500], chr(10))) AS INT) AS line, CAST(len(string_split(text[1:899], chr(10))) AS INT) AS last, CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\S'))) AS INT) AS starts FROM h",
+    "gather_text": f"WITH {cte('files')}, c AS (SELECT source, path, text, least(length(text), 24000) AS taken FROM files), s AS (SELECT *, coalesce(sum(taken) OVER (PARTITION BY source ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c), t AS (SELECT source, path, text[1:taken] AS t FROM s WHERE before < 120000), j AS (SELECT source, string_agg('### ' || path || chr(10) || {_NUMBERED.format('t')}, chr(10) || chr(10) ORDER BY path) AS t FROM t GROUP BY source) SELECT source, sha256(t) AS digest, CAST(length(t) AS INT) AS n FROM j",
+    "capped_blocks": f"WITH {cte('files')}, d AS (SELECT source, text AS block, min(doc_id) AS doc_id FROM files GROUP BY ALL), s AS (SELECT *, coalesce(sum(least(length(block), 16000)) OVER (PARTITION BY source ORDER BY doc_id, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d), j AS (SELECT source, string_agg(block, chr(10) || chr(10) ORDER BY doc_id, block) AS t FROM s WHERE before < 16000 GROUP BY source), c AS (SELECT source, CASE WHEN length(t) > 16000 THEN t[1:16000] || chr(10) || '... truncated' ELSE t END AS t FROM j) SELECT source, sha256(t) AS digest, CAST(length(t) AS INT) AS n FROM c",
+    "line_numbers": f"WITH {cte('files')}, h AS (SELECT doc_id, text, text AS t FROM files) SELECT doc_id, sha256({_NUMBERED.format('t')}) AS digest, CAST(len(string_split(text[1:500], chr(10))) AS INT) AS line, CAST(len(string_split(text[1:899], chr(10))) AS INT) AS last, CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\S'))) AS INT) AS starts FROM h",
     "finding_reports": f"WITH {cte('candidates')}, r AS (SELECT *, seq % 11 > 1 AND line IS NOT NULL AS pinned FROM candidates) SELECT CAST(seq AS VARCHAR) AS name, CASE category WHEN 'SQL_Injection' THEN 'sql-injection' WHEN 'missing auth' THEN 'missing-authorization' ELSE category END AS category, array_to_string(list_sort(list_distinct(list_concat(['src/view.py', file], CASE WHEN seq % 11 = 1 THEN ['/etc/x.py'] ELSE [file] END))), ',') AS files, array_to_string(list_sort(list_distinct(CASE WHEN pinned THEN [7, 12, line] ELSE [7, 12] END)), ',') AS lines FROM r",
 }
