@@ -26,16 +26,27 @@ def span_lines(text: Column, start: Column, end: Column) -> Column:
     return F.struct(line_at(text, start).alias("first"), line_at(text, F.greatest(start, end - 1)).alias("last"))
 
 
+#: Lines that are folded at a time.
+BLOCK = 256
+
+
 def boundaries(text: Column) -> Column:
-    """Offsets of lines that begin with a character that isn't white space, ascending."""
+    """Offsets of lines that begin with a character that isn't white space, ascending.
+
+    Lines are folded in blocks, whose offsets are then put end to end, so a step copies a block's offsets, not a text's.
+    """
     lines = F.split(text, "\n")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / BLOCK).cast("int")), lambda i: F.slice(lines, i * BLOCK + 1, F.lit(BLOCK)))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, line: Column) -> Column:
         out = F.when(line.rlike(r"(?U)^\S"), F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"])
         return F.struct((acc["at"] + F.length(line) + 1).alias("at"), out.alias("out"))
 
-    return F.aggregate(lines, zero, step)["out"]
+    def join(acc: Column, block: Column) -> Column:
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.transform(block["out"], lambda x: x + acc["at"])).alias("out"))
+
+    return F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, zero, step)), zero, join)["out"]
 
 
 def windows(length: Column, starts: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions.location import short_name
+from siftstone.session import checkpointed
 
 CAP = 16_000
 
@@ -49,13 +50,16 @@ def without_contained(units: DataFrame, order: list[str]) -> DataFrame:
     Sets are compared by name over all contracts. Units that share a set meet by the set; candidates for containment
     meet by the set's rarest name, so a name that many units have costs nothing.
     """
-    distinct = units.groupBy("fns").agg(F.min(F.struct(*order)).alias("_first"))
-    names = distinct.select("fns", F.explode("fns").alias("fn"))
+    units = checkpointed(units)
+    distinct = checkpointed(units.groupBy("fns").agg(F.min(F.struct(*order)).alias("_first")).withColumn("_set", F.monotonically_increasing_id()))
+    # numbers of sets travel with names; the sets themselves only to the pairs that may contain one another
+    names = distinct.select("_set", F.size("fns").alias("_size"), F.explode("fns").alias("fn"))
     rare = names.groupBy("fn").agg(F.count("*").alias("n"))
-    keys = names.join(rare, "fn").groupBy("fns").agg(F.min(F.struct("n", "fn")).alias("k")).select(F.col("fns").alias("small"), F.col("k.fn").alias("fn"))
-    larger = names.select(F.col("fns").alias("large"), "fn")
-    inside = keys.join(larger, "fn").where((F.size("large") > F.size("small")) & (F.size(F.array_except("small", "large")) == 0)).select(F.col("small").alias("fns")).distinct()
-    kept = distinct.join(inside, "fns", "left_anti")
+    keys = names.join(rare, "fn").groupBy("_set", "_size").agg(F.min(F.struct("n", "fn")).alias("k")).select(F.col("_set").alias("small"), F.col("_size").alias("small_size"), F.col("k.fn").alias("fn"))
+    maybe = keys.join(names.select(F.col("_set").alias("large"), "_size", "fn"), "fn").where("_size > small_size").select("small", "large")
+    sets = lambda name: distinct.select(F.col("_set").alias(name), F.col("fns").alias(f"_{name}"))
+    inside = maybe.join(sets("small"), "small").join(sets("large"), "large").where(F.size(F.array_except("_small", "_large")) == 0).select(F.col("small").alias("_set")).distinct()
+    kept = distinct.join(inside, "_set", "left_anti").select("fns", "_first")
     return units.select("*", F.struct(*order).alias("_order")).join(kept, "fns").where(F.col("_order") == F.col("_first")).drop("_order", "_first")
 
 

@@ -23,20 +23,21 @@ def split_diff(diffs: DataFrame, diff: str = "diff") -> DataFrame:
 def pack(chunks: DataFrame, group: str, seq: str = "seq", size: str = "size", cap: int = BATCH) -> DataFrame:
     """chunks' (group, seq) with ``batch``: chunks in order, a new batch where the next would pass the cap; an oversize one is alone.
 
-    The fold runs over (seq, size) pairs of one group, a diff; no text is in it.
+    The fold runs over (seq, size) pairs of one group, a diff; no text is in it, and what it gathers grows with the
+    batches, not with the chunks.
     """
-    item = "struct<seq:bigint,batch:int>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("batch"), F.array().cast(f"array<{item}>").alias("out"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = (acc["sum"] == 0) | (acc["sum"] + x["size"] <= cap)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        total = F.when(fits, acc["sum"] + x["size"]).otherwise(x["size"])
-        return F.struct(total.alias("sum"), batch.alias("batch"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), batch.alias("batch")))).alias("out"))
+        starts = F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"])))
+        return F.struct(F.when(fits, acc["sum"] + x["size"]).otherwise(x["size"]).alias("sum"), (acc["at"] + 1).alias("at"), starts.alias("starts"))
 
     ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).cast("bigint").alias("seq"), F.col(size).cast("bigint").alias("size"))))
-    packed = chunks.groupBy(group).agg(ordered.alias("xs")).select(group, F.explode(F.aggregate("xs", zero, step)["out"]).alias("x"))
-    return packed.select(group, F.col("x.seq").alias(seq), F.col("x.batch").alias("batch"))
+    folded = chunks.groupBy(group).agg(ordered.alias("xs")).select(group, "xs", F.aggregate("xs", zero, step)["starts"].alias("starts"))
+    end = lambda i: F.coalesce(F.get("starts", i + 1), F.size("xs"))
+    batches = folded.select(group, F.posexplode(F.transform("starts", lambda at, i: F.slice("xs", at + 1, end(i) - at))).alias("batch", "part"))
+    return batches.select(group, F.explode("part").alias("x"), "batch").select(group, F.col("x.seq").alias(seq), "batch")
 
 
 def windowed(files: DataFrame, window: int = lines.WINDOW, overlap: int = lines.OVERLAP) -> DataFrame:

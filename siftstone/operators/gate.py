@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftstone.functions import severity
 from siftstone.functions.text import folded
 from siftstone.operators.select import contained
+from siftstone.session import checkpointed
 
 
 #: Lengths of the strings that paths and tokens meet by.
@@ -19,20 +20,22 @@ def unowned(inventory: DataFrame, artifacts: DataFrame) -> DataFrame:
 
     A path without white space lies within one token of a text. Different tokens are cut into all their strings of a few
     lengths; a path is looked up by its own last characters, of the longest such length that it has, and then compared
-    with the tokens found. So this is an equi-join, and a common token counts once. Paths with white space are few: that
-    is checked before they are searched for in the texts.
+    with the tokens found. So this is an equi-join, and a common token counts once. Paths with white space are
+    searched for in the texts.
     """
     paths = inventory.select("path").distinct()
     plain, odd = paths.where(~F.rlike("path", F.lit(r"\s"))), paths.where(F.rlike("path", F.lit(r"\s")))
-    tokens = artifacts.select(F.explode(F.split("text", r"\s+")).alias("token")).distinct()
+    tokens = checkpointed(artifacts.select(F.explode(F.split("text", r"\s+")).alias("token")).distinct().withColumn("id", F.monotonically_increasing_id()))
     own = F.coalesce(*(F.when(F.length("path") >= g, g) for g in GRAMS), F.lit(0))
     used = {r["g"] for r in plain.select(own.alias("g")).distinct().collect()}  # one of each length at most
     owned = plain.limit(0)
     for g in sorted(used & set(GRAMS)):
         grams = F.transform(F.sequence(F.lit(1), F.length("token") - g + 1), lambda i: F.substring(F.col("token"), i, F.lit(g)))  # noqa: B023
-        found = tokens.where(F.length("token") >= g).select("token", F.explode(F.array_distinct(grams)).alias("gram"))
+        found = tokens.where(F.length("token") >= g).select("id", F.explode(F.array_distinct(grams)).alias("gram"))
         keyed = plain.where(own == g).withColumn("gram", F.right("path", F.lit(g)))
-        owned = owned.unionByName(keyed.join(found, "gram").where(F.contains("token", "path")).select("path"))
+        # the token's number travels with its strings, the token itself only to the paths that it may hold
+        maybe = keyed.join(found, "gram").select("path", "id").distinct()
+        owned = owned.unionByName(maybe.join(tokens, "id").where(F.contains("token", "path")).select("path"))
     left = plain.join(owned.distinct(), "path", "left_anti")
     return left.unionByName(odd.join(contained(artifacts.select("text"), odd.withColumnRenamed("path", "needle")).select(F.col("needle").alias("path")).distinct(), "path", "left_anti"))
 

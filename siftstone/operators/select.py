@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import glob_regex_sql
@@ -14,20 +17,27 @@ LIMIT = 10_000
 IMPACT = {"critical": 3, "high": 2, "medium": 1, "low": 0}
 
 
-def checked(small: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """A table that is about to be broadcast, once it is known to have no more rows than the limit; more raise ValueError."""
-    if small.limit(limit + 1).count() > limit:
-        raise ValueError(f"over {limit} rows to broadcast; cut them by a key first")
-    return F.broadcast(small)
+def in_parts(small: DataFrame, limit: int = LIMIT) -> list[DataFrame]:
+    """A table that is about to be broadcast, whole if it is known to have no more rows than the limit, else in parts by a hash that are."""
+    if small.limit(limit + 1).count() <= limit:
+        return [F.broadcast(small)]
+    n = -(-2 * small.count() // limit)
+    row = F.xxhash64(*small.columns)
+    return [part for i in range(n) for part in in_parts(small.where(F.pmod(row, F.lit(n)) == i).distinct(), limit)]
+
+
+def met(left: DataFrame, small: DataFrame, on: Callable[[], Column], limit: int = LIMIT) -> DataFrame:
+    """left joined to a small table on a condition without a key, a part of it at a time."""
+    return reduce(DataFrame.unionByName, (left.join(part, on()) for part in in_parts(small, limit)))
 
 
 def contained(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", limit: int = LIMIT) -> DataFrame:
     """(text rows) x (needles that the text contains), rows of needles added.
 
-    Containment has no key to join on. Needles are knowledge, a small fixed table: its size is checked against
-    ``limit`` before it is broadcast; each text is scanned once where it lies.
+    Containment has no key to join on. Needles are knowledge, a small table: its size is checked against ``limit``
+    before it is broadcast, and a larger one goes in parts of that size, each a scan of the texts where they lie.
     """
-    return texts.join(checked(needles.where(F.col(needle) != ""), limit), F.contains(F.col(text), F.col(needle)))
+    return met(texts, needles.where(F.col(needle) != ""), lambda: F.contains(F.col(text), F.col(needle)), limit)
 
 
 def triggered(diffs: DataFrame, triggers: DataFrame) -> DataFrame:
@@ -57,7 +67,7 @@ def select_guides(files: DataFrame, manifests: DataFrame, sources: DataFrame, gu
     """
     of = lambda *kinds: signals.where(F.col("signal").isin(*kinds)).select("guide_id", F.col("pattern").alias("needle"))
     globs = of("file").withColumn("needle", glob_regex_sql(F.col("needle")))
-    by_path = files.select("path").join(checked(globs), F.rlike(F.col("path"), F.col("needle")), "inner").select("guide_id")
+    by_path = met(files.select("path"), globs, lambda: F.rlike(F.col("path"), F.col("needle"))).select("guide_id")
     by_manifest = contained(manifests.select(F.lower("text").alias("text")), of("manifest")).select("guide_id")
     by_source = contained(sources.select(F.lower("text").alias("text")), of("import", "content")).select("guide_id")
     fired = by_path.unionByName(by_manifest).unionByName(by_source).distinct()
