@@ -114,6 +114,30 @@ def lens_header(lens: Column) -> Column:
     return F.when(F.coalesce(strip(lens), F.lit("")) == "", "Review for every class of defect.").otherwise(F.concat(F.lit("Review for: "), strip(lens), F.lit(".")))
 
 
+def review_prompt(text: Column, classes: Column | None = None, stack: Column | None = None, context: Column | None = None, categories: Column | None = None, rubric: Column | None = None) -> Column:
+    """What a reviewer of a change is given: its parts in order, those that are there, each under its name."""
+    part = lambda name, c: F.when(F.coalesce(strip(c), F.lit("")) != "", F.concat(F.lit(f"{name}:\n"), c))
+    parts = (("Categories, one for each finding", categories), ("Conventions", stack), ("Classes", classes), ("Change", text), ("Context, not under review", context), ("Severities", rubric))
+    return F.concat_ws("\n\n", F.lit("Review this change for defects. Reply with JSON: a list ``findings``, empty if there is none."), *(part(n, c) for n, c in parts if c is not None))
+
+
+#: What each seat of a debate is asked, by its name.
+SEATS = {"finder": "Report each defect of the change with its file and line.", "challenger": "Refute what doesn't hold and report what was missed.", "judge": "Decide which findings stay, and say whether anything is left to investigate."}
+
+
+def seat_prompt(seat: str, text: Column, *so_far: Column) -> Column:
+    """What a seat of a debate is given: its task, the change, and what the seats before it said."""
+    if seat not in SEATS:
+        raise ValueError(f"unknown seat {seat}; there are {', '.join(SEATS)}")
+    said = (F.when(F.coalesce(strip(c), F.lit("")) != "", F.concat(F.lit("So far:\n"), c)) for c in so_far)
+    return F.concat_ws("\n\n", F.lit(SEATS[seat]), F.concat(F.lit("Change:\n"), text), *said)
+
+
+def skeptic_prompt(finding: Column, code: Column) -> Column:
+    """What a skeptic is given: the finding and the numbered code that it cites."""
+    return F.concat_ws("\n\n", F.lit("Is this finding real? Reply with JSON: ``real``, ``reason`` and ``controls``, the files that prevent it."), F.concat(F.lit("Finding:\n"), finding), F.concat(F.lit("Code:\n"), lines.numbered(code)))
+
+
 def unit_docs(units: DataFrame) -> DataFrame:
     """(unit, doc): a work note for each unit (unit, path, first, last, files)."""
     span = F.concat(F.lit("lines "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"))

@@ -38,6 +38,11 @@ def problems(cov: DataFrame, referenced: DataFrame, entries: DataFrame) -> DataF
     return missing("diff_positive", "missing-positive").unionByName(missing("diff_safe", "missing-safe")).unionByName(missing("repository_planted", "missing-repository-target")).unionByName(unresolved).unionByName(bare)
 
 
+def in_order(problems_: DataFrame) -> DataFrame:
+    """Problems by kind and ref."""
+    return problems_.orderBy("kind", "ref", "detail")
+
+
 def referenced(benchmarks: DataFrame, entries: DataFrame) -> DataFrame:
     """(ref, origin): every ref that a benchmark's manifest (id, refs) or an entry (benchmark, id, refs) names."""
     by_manifest = benchmarks.select(F.explode("refs").alias("ref"), F.concat(F.lit("manifest "), "id").alias("origin"))

@@ -113,6 +113,18 @@ def select_items(items: DataFrame, tags: Sequence[str], kinds: Sequence[str]) ->
     return out.where(F.col("kind").isin(*kinds)) if kinds else out
 
 
+#: The domains there are; a review of any other is an error, not an empty result.
+DOMAINS = ("web", "evm")
+
+
+def domain(name: str, paths: DataFrame | None = None) -> str:
+    """A domain by its name, or by its files if the name is ``auto``; an unknown one raises ValueError."""
+    chosen = domain_of(paths).first()["domain"] if name == "auto" and paths is not None else "web" if name == "auto" else name
+    if chosen not in DOMAINS:
+        raise ValueError(f"unknown domain {chosen}; there are {', '.join(DOMAINS)}")
+    return chosen
+
+
 def domain_of(paths: DataFrame, path: str = "path", group: Sequence[str] = ()) -> DataFrame:
     """``evm`` if there are contracts, and as many as other source files, else ``web``."""
     is_contract = F.lower(suffix(F.col(path))) == ".sol"

@@ -74,10 +74,24 @@ def reply_of(findings: list[dict]) -> str:
 
 
 class Retrying:
-    """A provider that asks again for replies that failed: a few times, each wait longer and drawn at random."""
+    """A provider that asks again for replies that failed or are blank: a few times, each wait longer and drawn at random.
 
-    def __init__(self, provider: Provider, retries: int = 2, wait: float = 1.0, most: float = 60.0) -> None:
-        self.provider, self.retries, self.wait, self.most = provider, retries, wait, most
+    deadline: seconds for a call of a batch; one that takes longer has failed, whatever it gives later.
+    """
+
+    def __init__(self, provider: Provider, retries: int = 2, wait: float = 1.0, most: float = 60.0, deadline: float | None = None) -> None:
+        self.provider, self.retries, self.wait, self.most, self.deadline = provider, retries, wait, most, deadline
+
+    def _call(self, prompts: list[str]) -> Sequence[str | None]:
+        if self.deadline is None:
+            return self.provider(prompts)
+        import threading
+
+        got: list[Sequence[str | None]] = []
+        worker = threading.Thread(target=lambda: got.append(self.provider(prompts)), daemon=True)  # left behind if it hangs
+        worker.start()
+        worker.join(self.deadline)
+        return got[0] if got else [None] * len(prompts)
 
     def __call__(self, prompts: Sequence[str]) -> list[str | None]:
         import random
@@ -87,11 +101,11 @@ class Retrying:
         open_ = list(range(len(prompts)))
         for attempt in range(self.retries + 1):
             try:
-                got = self.provider([prompts[i] for i in open_])
+                got = self._call([prompts[i] for i in open_])
             except Exception:  # a call that raises is a failed call
                 got = [None] * len(open_)
             for i, r in zip(open_, got, strict=True):
-                replies[i] = r
+                replies[i] = r if r is not None and r.strip() else None
             open_ = [i for i in open_ if replies[i] is None]
             if not open_ or attempt == self.retries:
                 break

@@ -32,6 +32,42 @@ def append_timeline(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+MARKER = ".siftstone-workspace"
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Mark a folder as a review's workspace."""
+    place, fs = _files(spark, f"{path}/{MARKER}")
+    if not fs.exists(place):
+        fs.create(place).close()
+
+
+def has_prior_run(spark: SparkSession, path: str) -> bool:
+    """Whether a workspace holds a run's output: a candidate, finding or proof, or a reviewed unit. Units that were seeded only don't count."""
+    for name in ("candidates", "findings", "pocs"):
+        if exists(spark, f"{path}/{name}") and not load(spark, f"{path}/{name}").isEmpty():
+            return True
+    return exists(spark, f"{path}/worklist") and not load(spark, f"{path}/worklist").where("status = 'reviewed'").isEmpty()
+
+
+def clear(spark: SparkSession, path: str) -> list[str]:
+    """Remove what a workspace holds; a folder with something in it and without the marker isn't one, and raises ValueError."""
+    place, fs = _files(spark, path)
+    if not fs.exists(place):
+        return []
+    children = [c.getPath() for c in fs.listStatus(place)]
+    if children and not any(c.getName() == MARKER for c in children):
+        raise ValueError(f"{path} is not empty and no workspace")
+    for c in children:
+        fs.delete(c, True)
+    return sorted(c.getName() for c in children if c.getName() != MARKER)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there whole, in any store that Spark can reach."""
     jvm = spark.sparkContext._jvm

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,31 @@ SAMPLE, SAMPLE_TOTAL = 16_000, 8_000_000
 
 
 def read_tree(spark: SparkSession, root: str, rules: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """All files below a folder of any store, paths relative to it; files in skipped folders are left out before they are read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """All files below a folder of any store, paths relative to it.
+
+    Paths and sizes are listed first, without any content (the source leaves out columns that aren't asked for); files
+    in skipped folders, too large ones, and links of a local folder that lead out of it are left out before what is
+    left is read. The list of paths is on the driver, as any listing of files is.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     base = root.rstrip("/").split("://")[-1].lstrip("/")
-    path = F.regexp_replace(F.substring_index("path", f"{base}/", -1), "^/+", "")
-    files = raw.withColumn("path", path)
+    relative = F.regexp_replace(F.substring_index("path", f"{base}/", -1), "^/+", "")
+    listed = raw.load(root).select(F.col("path").alias("place"), relative.alias("path"), F.col("length").alias("size"))
     if rules is not None:
-        files = files.where(~is_skipped_dir(directories(F.col("path")), rules))
-    return files.select("path", readable_text().alias("text"), F.col("length").alias("size"))
+        listed = listed.where(~is_skipped_dir(directories(F.col("path")), rules))
+    rows = listed.collect()
+    if "://" not in root or root.startswith("file:"):
+        home = Path(root.removeprefix("file:")).resolve()
+        rows = [r for r in rows if (home / r["path"]).resolve().is_relative_to(home)]
+    large = [(r["path"], "", r["size"]) for r in rows if r["size"] > MAX_BYTES]
+    places = [r["place"] for r in rows if r["size"] <= MAX_BYTES]
+    out = spark.createDataFrame(large, "path string, text string, size long")
+    if places:
+        # marks of wildcards in names are names
+        plain = [p.replace("\\", "\\\\").replace("[", "\\[").replace("{", "\\{").replace("*", "\\*").replace("?", "\\?") for p in places]
+        read = raw.load(plain).withColumn("path", relative)
+        out = out.unionByName(read.select("path", readable_text().alias("text"), F.col("length").alias("size")))
+    return out
 
 
 def readable_text(content: str = "content", size: str = "length"):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftstone.functions.text import strip
+
 KEY = "target string, kind string, seq int, id string, entry string, files array<string>, category string, severity string, note string, knowledge array<string>, symbols array<string>"
 CASE = "name string, diff string, category string, knowledge array<string>, tags array<string>, domain string"
 
@@ -48,6 +52,33 @@ def diff_cases(spark: SparkSession, cases: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, CASE)
 
 
+_ENTRY = "array<struct<id:string,entry:string,file:string,files:array<string>,category:string,severity:string,note:string,knowledge:array<string>,symbol:string,symbols:array<string>>>"
+
+
+def answer_keys(texts: DataFrame) -> DataFrame:
+    """Answer key rows of JSON texts (target, text), strict: a row raises when it is read if its key has no planted list, or it has no id or no location."""
+    x = F.from_json("text", f"planted {_ENTRY}, issues {_ENTRY}, safe {_ENTRY}")
+    planted = F.coalesce(x["planted"], x["issues"])
+    lists = texts.select("target", F.when(planted.isNull(), F.raise_error(F.lit("an answer key needs a planted list")).cast(_ENTRY)).otherwise(planted).alias("planted"), F.coalesce(x["safe"], F.array().cast(_ENTRY)).alias("safe"))
+    rows = reduce(DataFrame.unionByName, (lists.select("target", F.lit(kind).alias("kind"), F.posexplode(kind).alias("seq", "e")) for kind in ("planted", "safe")))
+    text = lambda n: F.coalesce(F.col(f"e.{n}"), F.lit(""))
+    many = lambda some, one: F.when(F.size(F.col(f"e.{some}")) > 0, F.col(f"e.{some}")).when(text(one) != "", F.array(text(one))).otherwise(F.array().cast("array<string>"))
+    files = many("files", "file")
+    why = F.when(text("id") == "", "an entry has no id").when((text("entry") == "") & (F.size(files) == 0), "an entry has no location")
+    id_ = F.when(why.isNotNull(), F.raise_error(why).cast("string")).otherwise(text("id"))
+    symbols = F.transform(many("symbols", "symbol"), lambda s: F.lower(strip(s)))
+    return rows.select("target", "kind", "seq", id_.alias("id"), text("entry").alias("entry"), files.alias("files"), text("category").alias("category"), text("severity").alias("severity"), text("note").alias("note"), F.coalesce("e.knowledge", F.array().cast("array<string>")).alias("knowledge"), symbols.alias("symbols"))
+
+
+def cases(texts: DataFrame) -> DataFrame:
+    """Diff cases of JSON texts (text), strict: one without a diff raises when it is read; two of a name raise at once."""
+    x = F.from_json("text", "name string, diff string, category string, knowledge array<string>, tags array<string>, domain string")
+    none = F.array().cast("array<string>")
+    diff = F.when(F.coalesce(F.col("x.diff"), F.lit("")) == "", F.raise_error(F.lit("a case has no diff")).cast("string")).otherwise(F.col("x.diff"))
+    rows = texts.select(x.alias("x")).select("x.name", diff.alias("diff"), F.coalesce("x.category", F.lit("")).alias("category"), F.coalesce("x.knowledge", none).alias("knowledge"), F.coalesce("x.tags", none).alias("tags"), F.coalesce(F.nullif("x.domain", F.lit("")), F.lit("web")).alias("domain"))
+    return unique(rows, ["name"], "a case")
+
+
 def unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     """df, whose rows raise if two share the keys; the count is made with the rows, not before."""
     clash = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").limit(1)

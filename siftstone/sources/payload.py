@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftstone.functions.location import is_unsafe
+from siftstone.functions.text import strip
+
 #: Explorer chain names and their ids.
 CHAINS = {"ethereum": 1, "bsc": 56, "polygon": 137, "arbitrum": 42161}
 
@@ -44,6 +48,45 @@ def reconstructed(payloads: DataFrame) -> DataFrame:
     return payloads.select("address", F.explode(_files("source_code", "contract_name")).alias("f")).select("address", "f.path", "f.text")
 
 
+RESPONSE = "status string, message string, result array<struct<SourceCode:string,ContractName:string,CompilerVersion:string,OptimizationUsed:string,Runs:string,EVMVersion:string,Proxy:string,Implementation:string>>"
+
+
+def checked(responses: DataFrame) -> DataFrame:
+    """(address, contract_name, ..., source_code) of explorer responses (address, payload); a row raises when it is read if its response is no object, an error, without a result or not verified."""
+    x = F.from_json("payload", RESPONSE)
+    first = F.get(x["result"], F.lit(0))
+    detail = F.coalesce(F.get_json_object("payload", "$.result"), x["message"], F.lit("unknown error"))
+    why = F.when(x.isNull() | ~strip(F.col("payload")).startswith("{"), "the response is no JSON object").when(strip(x["status"]) == "0", F.concat(F.lit("explorer error: "), detail))
+    why = why.when(x["result"].isNull() | (F.size(x["result"]) == 0) | first.isNull(), "the response has no source").when(strip(F.coalesce(first["SourceCode"], F.lit(""))) == "", "the source is not verified")
+    entry = responses.select("address", F.when(why.isNotNull(), F.raise_error(why).cast(f"struct<{RESPONSE.split('struct<')[1][:-1]}")).otherwise(first).alias("e"))
+    names = {"contract_name": "ContractName", "compiler_version": "CompilerVersion", "optimization_used": "OptimizationUsed", "runs": "Runs", "evm_version": "EVMVersion", "proxy": "Proxy", "implementation": "Implementation", "source_code": "SourceCode"}
+    return entry.select("address", *(F.coalesce(F.col(f"e.{old}"), F.lit("")).alias(new) for new, old in names.items()))
+
+
+def provenance(spark: SparkSession, path: str, schema: str = "address string, contract_name string, compiler_version string, optimization_used string, runs string, evm_version string, proxy string, implementation string") -> DataFrame | None:
+    """Provenance stored as JSON: None if there is none or all of it is empty; what is malformed raises."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    meta = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", "true").json(path)
+    rows = meta.where(~is_blank(meta) | (F.coalesce("address", F.lit("")) != ""))
+    return None if rows.isEmpty() else rows
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write (path, text) rows as files below a local folder, one source tree's; a path that isn't relative and safe raises before any is written."""
+    bad = files.where(is_unsafe(F.col("path"))).limit(1).collect()
+    if bad:
+        raise ValueError(f"unsafe path {bad[0]['path']}")
+    n = 0
+    for row in files.select("path", "text").toLocalIterator():
+        place = Path(root) / row["path"]
+        place.parent.mkdir(parents=True, exist_ok=True)
+        place.write_text(row["text"] or "", encoding="utf-8")
+        n += 1
+    return n
+
+
 def flag(c: Column) -> Column:
     """``1`` and ``0`` as a boolean, else null."""
     return F.when(c == "1", True).when(c == "0", False)
