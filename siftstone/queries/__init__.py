@@ -10,12 +10,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from siftstone.queries import findings, knowledge, paths, scoring, text
+    from siftstone.queries import findings, knowledge, paths, records, review, scoring, text
 
-    return {k: v for m in (findings, paths, text, knowledge, scoring) for k, v in m.QUERIES.items()}
+    return {k: v for m in (findings, paths, text, knowledge, scoring, records, review) for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from siftstone.queries import findings, knowledge, paths, scoring, text
+    from siftstone.queries import findings, knowledge, paths, records, review, scoring, text
 
-    return {k: v for m in (findings, paths, text, knowledge, scoring) for k, v in m.SQL.items()}
+    return {k: v for m in (findings, paths, text, knowledge, scoring, records, review) for k, v in m.SQL.items()}

@@ -244,7 +244,21 @@ _SHOWN = f"x AS (SELECT *, {_PLACE} AS place, row_number() OVER (ORDER BY {_FIND
 _COUNTS = ", ".join(f"(CASE WHEN count(*) FILTER (severity = '{x}') > 0 THEN CAST(count(*) FILTER (severity = '{x}') AS VARCHAR) || ' {x}' END)" for x in severity.LEVELS)
 _SLUGGED = "left(lower(regexp_replace(regexp_replace({}, '[^A-Za-z0-9]', '-', 'g'), '^-+|-+$', '', 'g')), 80)"
 
+#: A double as JSON of the JVM has it: exponents below a thousandth.
+_TEXT = "CAST(confidence AS VARCHAR)"
+_JSON_DOUBLE = f"""CASE WHEN confidence >= 0.001 OR confidence = 0 THEN {_TEXT} WHEN contains({_TEXT}, 'e') THEN regexp_replace(regexp_replace({_TEXT}, '^([0-9])e', '\\1.0e'), 'e-0?', 'E-')
+ELSE regexp_replace(regexp_replace({_TEXT}, '^0\\.000([0-9])([0-9]*)$', '\\1.\\2E-4'), '\\.E', '.0E') END"""
+_JSON_LINE = "coalesce(CAST(line AS VARCHAR), 'null')"
+_JSON_ITEM = f"""'{{"file":"' || file || '","line":' || {_JSON_LINE} || ',"severity":"' || severity || '","category":"' || category || '","description":"' || description || '","exploit_scenario":"' || exploit_scenario || '","recommendation":"' || recommendation || '","confidence":' || {_JSON_DOUBLE} || '}}'"""
+_JSON_COUNTS = " || ',' || ".join(f"""'"{x}":' || CAST(count(*) FILTER (severity = '{x}') AS VARCHAR)""" for x in severity.LEVELS)
+_SARIF_RESULT = f"""'{{"ruleId":"' || rule_id || '","ruleIndex":' || CAST(rule_index AS VARCHAR) || ',"level":"' || CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END || '","message":{{"text":"' || description || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file || '"}}' || CASE WHEN coalesce(line, 0) > 0 THEN ',"region":{{"startLine":' || CAST(line AS VARCHAR) || '}}' ELSE '' END || '}}}}],"properties":{{"severity":"' || severity || '","category":"' || category || '","confidence":' || {_JSON_DOUBLE} || ',"exploitScenario":"' || exploit_scenario || '"}}}}'"""
+_SARIF_RULE = """'{"id":"' || rule_id || '","name":"' || rule_id || '","shortDescription":{"text":"' || rule_id || '"}}'"""
+
 SQL = {
+    "report_json": f"""WITH {cte('findings')}, {_SHOWN} SELECT reviewer, '{{"findings":[' || string_agg({_JSON_ITEM}, ',' ORDER BY n) || '],"summary":{{' || {_JSON_COUNTS} || '}}}}' AS report FROM x GROUP BY reviewer""",
+    "report_sarif": f"""WITH {cte('findings')}, {_SHOWN}, r AS (SELECT *, CASE WHEN category = '' THEN 'security' ELSE category END AS rule_id FROM x), f AS (SELECT reviewer, rule_id, min(n) AS first FROM r GROUP BY ALL), ix AS (SELECT reviewer, rule_id, row_number() OVER (PARTITION BY reviewer ORDER BY first) - 1 AS rule_index FROM f),
+a AS (SELECT reviewer, string_agg({_SARIF_RESULT}, ',' ORDER BY n) AS results FROM r JOIN ix USING (reviewer, rule_id) GROUP BY reviewer), b AS (SELECT reviewer, string_agg({_SARIF_RULE}, ',' ORDER BY rule_index) AS rules FROM ix GROUP BY reviewer)
+SELECT reviewer, '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"siftstone","rules":[' || rules || ']}}}},"results":[' || results || ']}}]}}' AS report FROM a JOIN b USING (reviewer)""",
     "severity_breakdown": f"WITH {ORDERS}, ls AS (SELECT * FROM (VALUES {LEVELS}) t(severity)) SELECT ls.severity, count(o_orderkey) AS n FROM ls LEFT JOIN lv ON lv.severity = ls.severity GROUP BY ls.severity",
     "severity_gate": f"WITH {ORDERS} SELECT 'critical' AS threshold, bool_or(severity = 'CRITICAL') AS failed FROM lv UNION ALL SELECT 'HIGH', bool_or(severity IN ('CRITICAL', 'HIGH')) FROM lv UNION ALL SELECT '', false UNION ALL SELECT 'urgent', false",
     "severity_median": f"WITH {ORDERS}, r AS (SELECT o_custkey, list_sort(list({RANK})) AS xs FROM lv GROUP BY o_custkey), m AS (SELECT *, {BY_RANK.format('xs[CAST(floor(len(xs) / 2) AS INT) + 1]')} AS med FROM r) SELECT o_custkey, med AS median, CAST(len(xs) AS BIGINT) AS n FROM m",
