@@ -1,14 +1,17 @@
-"""What the training-data operators share: table reads, checkpoints and text expressions."""
+"""What the training-data operators share: table reads, snapshots and text expressions."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from siftstone.session import checkpointed, shared_folder
+
+__all__ = ["WORD", "checkpointed", "col", "n_words", "part", "shared_folder", "snapshot", "table", "unit_hash", "utf8", "with_fields"]
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Only a local session, as in tests, gets a temporary one where it is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="siftstone-")
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, its lineage cut; a lost executor costs nothing that was finished."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def snapshot(df: DataFrame) -> DataFrame:
     """df written to the shared folder as Parquet and read again: columns can be read apart, and made ids hold."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
