@@ -7,7 +7,8 @@ document's media at once.
 
 Defined cases: a null or empty text is stored as 64 zero bytes; a null GIF has no frames; a broken one raises
 ``ValueError`` (``frames`` has ``on_error="skip"`` to give one row with the error instead). Equal bytes give
-equal results, so repeated rows agree. Extra columns of the input are not carried.
+equal results, so repeated rows agree. A very long text is stored whole, in as many frames as it takes; an empty
+table gives an empty result. Extra columns of the input, whatever their names, are neither read nor carried.
 """
 
 from __future__ import annotations

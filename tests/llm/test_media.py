@@ -117,3 +117,104 @@ def test_digests_of_odd_documents(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(body), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
     assert rows[0][1:] == rows[1][1:] == rows[6][1:]
     assert gif.media_digests(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def plain_lzw(stream, min_bits, n):
+    """The first n symbols, a bit and a code at a time, by the format's description."""
+    bits = [b >> k & 1 for b in stream for k in range(8)]
+    clear, end = 1 << min_bits, (1 << min_bits) + 1
+    table, width, at, last, out = {}, min_bits + 1, 0, None, []
+    while len(out) < n:
+        code = sum(b << k for k, b in enumerate(bits[at : at + width]))
+        at += width
+        if code == clear:
+            table, width, last = {i: (i,) for i in range(clear)} | {clear: (), end: ()}, min_bits + 1, None
+            continue
+        if code == end:
+            break
+        said = table[code] if code in table else (*last, last[0])
+        out += said
+        if last is not None and len(table) < 4096:
+            table[len(table)] = (*last, said[0])
+        if len(table) == 1 << width and width < 12:
+            width += 1
+        last = said
+    return out[:n]
+
+
+def plain_gif(data):
+    """(delay, disposal, canvas) of each frame, a pixel at a time."""
+    w, h = data[6] | data[7] << 8, data[8] | data[9] << 8
+    at, shared = 13, None
+    if data[10] & 128:
+        n = 2 << (data[10] & 7)
+        shared, at = [tuple(data[13 + 3 * i : 16 + 3 * i]) for i in range(n)], 13 + 3 * n
+    canvas, out, rule = {}, [], (0, 0, None)
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            label, at, body = data[at + 1], at + 2, b""
+            while data[at]:
+                body += data[at + 1 : at + 1 + data[at]]
+                at += 1 + data[at]
+            at += 1
+            if label == 0xF9:
+                rule = (body[1] | body[2] << 8, body[0] >> 2 & 7, body[3] if body[0] & 1 else None)
+            continue
+        left, top, cols, rows = (data[at + 1 + 2 * i] | data[at + 2 + 2 * i] << 8 for i in range(4))
+        flags, at, colours = data[at + 9], at + 10, shared
+        if flags & 128:
+            n = 2 << (flags & 7)
+            colours, at = [tuple(data[at + 3 * i : at + 3 * i + 3]) for i in range(n)], at + 3 * n
+        min_bits, at, body = data[at], at + 1, b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        symbols = plain_lzw(body, min_bits, rows * cols)
+        order = range(rows) if not flags & 64 else [y for a, s in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(a, rows, s)]
+        before = dict(canvas)
+        for i, y in enumerate(order):
+            for x in range(cols):
+                v = symbols[i * cols + x]
+                if v != rule[2] and left + x < w and top + y < h:
+                    canvas[left + x, top + y] = (*colours[v], 255)
+        out.append((rule[0], rule[1], [canvas.get((x, y), (0, 0, 0, 0)) for y in range(h) for x in range(w)]))
+        if rule[1] == 2:
+            for y in range(top, min(h, top + rows)):
+                for x in range(left, min(w, left + cols)):
+                    canvas.pop((x, y), None)
+        elif rule[1] == 3:
+            canvas = before
+        rule = (0, 0, None)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_against_a_plain_decoder(seed):
+    rng = random.Random(seed)
+    colours = lambda n: np.array([[rng.randrange(256) for _ in range(3)] for _ in range(n)], dtype=np.uint8)
+    shared = colours(rng.choice([2, 4, 16, 200, 256]))
+    w, h = rng.randint(1, 24), rng.randint(1, 24)
+    parts = []
+    for _ in range(rng.randint(1, 6)):
+        palette = shared if rng.random() < 0.6 else colours(rng.choice([2, 5, 64]))
+        rows, cols = rng.randint(1, h), rng.randint(1, w)
+        pixels = np.array([[rng.randrange(len(palette)) if rng.random() < 0.5 else 0 for _ in range(cols)] for _ in range(rows)], dtype=np.uint8)
+        parts.append(gif.Frame(pixels, palette, rng.randint(0, w), rng.randint(0, h), rng.randint(0, 300), rng.randint(0, 3), rng.choice([None, 0, len(palette) - 1])))
+    data = gif.encode_gif(parts, w, h, shared)
+    got = [(f.delay_cs, f.disposal, [tuple(p) for p in f.canvas.reshape(-1, 4).tolist()]) for f in gif.decode_gif(data)]
+    assert got == plain_gif(data)
+    histogram = [0] * 64
+    for r, g, b, a in got[-1][2]:
+        histogram[(r >> 6) * 16 + (g >> 6) * 4 + (b >> 6)] += a > 0
+    *_, last = gif.decode_gif(data)
+    assert gif.colour_histogram(last.canvas).tolist() == histogram
+
+
+def test_stored_payloads_against_a_plain_decoder():
+    for n in (0, 64, 3000, 70_000):
+        text = random.Random(n).randbytes(n)
+        shown = plain_gif(gif.store_payload(text))
+        index = {tuple(c): i for i, c in enumerate(gif.PALETTE.tolist())}
+        pixels = bytes(index[p[:3]] for _, _, canvas in shown for p in canvas if p[3])
+        assert pixels == text.ljust(max(64, -(-n // 64) * 64), b"\0") and {d for d, _, _ in shown} == {gif.DELAY_CS}

@@ -85,3 +85,57 @@ def test_flat_trees_are_walked_as_trees():
 def test_the_sample_is_bounded(spark):
     docs, labels = tables(spark, corpus(200))
     assert quality.sampled_labels(docs, labels, 50).count() == 50
+
+
+def plain_train(x, y, trees, depth, bins, rate, least, l2):
+    """Scores of x by boosting grown node by node from the rows, without histograms or arrays of nodes."""
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    total = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        g, h = y - p, p * (1 - p)
+
+        def grow(rows, level):
+            if level == depth:
+                total[rows] += rate * g[rows].sum() / (h[rows].sum() + l2)  # noqa: B023
+                return
+            best = (1e-9, None)
+            for f in range(x.shape[1]):
+                for t in edges[f]:
+                    low = rows[x[rows, f] <= t]
+                    high = rows[x[rows, f] > t]
+                    if min(h[low].sum(), h[high].sum()) < least / 4:  # noqa: B023
+                        continue
+                    part = lambda r: g[r].sum() ** 2 / (h[r].sum() + l2)  # noqa: B023, E731
+                    gain = part(low) + part(high) - part(rows)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (low, high))
+            low, high = best[1] if best[1] else (rows, rows[:0])
+            grow(low, level + 1)
+            if len(high):
+                grow(high, level + 1)
+
+        grow(np.arange(len(y)), 0)
+    return 1 / (1 + np.exp(-total))
+
+
+def test_training_against_plain_boosting():
+    rng = np.random.default_rng(3)
+    for _ in range(4):
+        x = rng.normal(size=(160, 4)).round(2)
+        y = ((x[:, 0] + x[:, 1] * x[:, 2] > 0.2) ^ (rng.random(160) < 0.1)).astype(float)
+        forest = quality.train(x, y, trees=6, depth=3, bins=8, rate=0.3, least=4.0, l2=1.0)
+        assert np.allclose(forest.scores(x), plain_train(x, y, 6, 3, 8, 0.3, 4.0, 1.0), atol=1e-9)
+
+
+def test_statistics_against_plain_counts():
+    for text in ("One two two.\nONE 2 !!\n\nOne two two.", "é#x y", "a", " \n"):
+        body = text.encode()
+        got = dict(zip(quality.STATISTICS, quality.statistics(body), strict=True))
+        words = body.split()
+        assert np.isclose(got["log_words"], np.log1p(len(words))) and np.isclose(got["log_bytes"], np.log1p(len(body)))
+        assert np.isclose(got["digit"], sum(c in b"0123456789" for c in body) / len(body)) and np.isclose(got["wide"], sum(c > 127 for c in body) / len(body))
+        if words:
+            assert np.isclose(got["word_length"], np.mean([len(w) for w in words])) and np.isclose(got["distinct_words"], len(set(words)) / len(words))
+            lines = [x for x in body.split(b"\n") if x.strip()]
+            assert np.isclose(got["lines_repeated"], 1 - len(set(lines)) / len(lines)) and got["longest_word"] == max(map(len, words))
