@@ -17,9 +17,9 @@ texts by 96 bits; what the transform decides is decided byte by byte.
 
 Classes of over ``hot`` members (a passage that a third of all documents have) are known from the count of their keys.
 Their equal pieces are aggregated before the shuffle and get their result by a join, so no task holds all members. If
-over ``max_class`` *different* pieces share such a class, they are cut again by the minimizers of longer grams, which
-part what only shares a short passage, and what is still that large goes string by string, by the string's hash. So no
-task decides more than ``hot`` pieces at once.
+over ``max_class`` *different* pieces share such a class, its strings become classes of their own, by the string's hash:
+up to a hundred rows for a piece, spread over all tasks. So no task decides more than ``hot`` pieces at once. Where no
+class is that large, the plan has none of this.
 
 Defined cases: a null text is empty; texts below ``width`` bytes lose nothing; equal texts lose all bytes if they are
 long enough; very long texts are read in stretches that overlap; repeated rows count as copies; an empty table gives an
@@ -38,15 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import bwt, windows
-from siftstone.llm.common import part, utf8, with_fields
+from siftstone.llm.common import checkpointed, col, part, utf8, with_fields
 
 WIDTH, GRAM = 200, 32
 #: Texts are hashed in stretches of so many bytes; blocks of classes are decided when they reach this size.
 STRETCH, LONGEST, BLOCK = 1 << 18, 1 << 22, 1 << 21
 #: Members above which a class's pieces are aggregated first (so many are some 6 MB in a task), and different pieces above which it is split.
 HOT, MAX_CLASS = 20_000, 8192
-#: Grams of the minimizers that a large class is split by, before it goes string by string.
-FINER = (128,)
 
 Batches = Iterable[pa.RecordBatch]
 
@@ -259,41 +257,26 @@ def decide_kinds(width: int):
     return read
 
 
-def _parts(width: int, gram: int | None, with_text: bool):
-    """Rows (key, d, at, wkey, weight[, wd, piece]): parts of pieces from string ``at`` on, by minimizers of the gram, or single strings without one."""
-
-    def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(number of the piece, first string in it, strings, class) of each part."""
-        bounds = np.concatenate([[0], np.cumsum(list(map(len, texts)))]).astype(np.int64)
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        if gram is not None:
-            text, key, start, n = windows.pieces(data, bounds, width, gram)
-            return text, start - bounds[text], n, key.view(np.int64)
-        hashes = windows.string_hashes(data, width).view(np.int64)
-        text = np.repeat(np.arange(len(texts)), np.diff(bounds) - width + 1)
-        first = np.concatenate([np.arange(len(t) - width + 1) for t in texts])
-        return text, first, np.ones(len(text), dtype=np.int64), hashes[bounds[text] + first]
+def _strings(width: int, with_text: bool):
+    """Rows (key, d, x, wkey[, wd, weight, piece]): the single strings of pieces, with their hashes."""
 
     def read(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ds, ws = (batch.column(i).to_numpy() for i in range(3))
-            texts = batch.column(3).to_pylist()
-            chosen = [set(xs) for xs in batch.column(4).to_pylist()] if with_text else None
-            step = max(1, STRETCH // (2 * width))
-            for low in range(0, len(texts), step):
-                some = texts[low : low + step]
-                text, at, n, wkey = cut(some)
-                if chosen is not None:
-                    own = np.fromiter((x in chosen[low + i] for i, x in zip(text.tolist(), at.tolist(), strict=True)), bool, len(text))
-                    text, at, n, wkey = text[own], at[own], n[own], wkey[own]
-                columns = [keys[low + text], ds[low + text], at, wkey, ws[low + text]]
-                names = ["key", "d", "at", "wkey", "weight"]
-                arrays = [pa.array(c, pa.int64()) for c in columns]
+            keys, ds, ws, texts = (batch.column(i).to_pylist() for i in range(4))
+            chosen = batch.column(4).to_pylist() if with_text else [None] * len(keys)
+            for k, d, w, t, xs in zip(keys, ds, ws, texts, chosen, strict=True):
+                hashes = windows.string_hashes(np.frombuffer(t, dtype=np.uint8), width).view(np.int64)
+                x = np.arange(len(hashes)) if xs is None else np.unique(np.array(xs))
+                columns = [pa.array(np.full(len(x), k)), pa.array(np.full(len(x), d)), pa.array(x), pa.array(hashes[x])]
+                names = ["key", "d", "x", "wkey"]
                 if with_text:
-                    cuts = [some[i][x : x + m + width - 1] for i, x, m in zip(text.tolist(), at.tolist(), n.tolist(), strict=True)]
-                    arrays += [pa.array([xxhash.xxh64_intdigest(c) - (1 << 63) for c in cuts], pa.int64()), pa.array(cuts, pa.binary())]
-                    names += ["wd", "piece"]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                    parts = [t[i : i + width] for i in x.tolist()]
+                    columns += [pa.array([xxhash.xxh64_intdigest(p) - (1 << 63) for p in parts], pa.int64()), pa.array(np.full(len(x), w)), pa.array(parts, pa.binary())]
+                    names += ["wd", "weight", "piece"]
+                else:
+                    columns.append(pa.array(np.full(len(x), w)))
+                    names.append("weight")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return read
 
@@ -301,28 +284,22 @@ def _parts(width: int, gram: int | None, with_text: bool):
 KINDS_DDL = "key long, d long, x long, y long"
 
 
-def _split(kinds: DataFrame, width: int, max_class: int, grams: tuple[int, ...] = FINER) -> DataFrame:
-    """decide_kinds for classes with too many different pieces: their parts by finer minimizers, or single strings, are classes of their own."""
-    gram, last = (grams[0], False) if grams else (None, True)
-    parts = kinds.mapInArrow(_parts(width, gram, False), "key long, d long, at long, wkey long, weight long")
-    often = parts.groupBy("wkey").agg(F.sum("weight").alias("n")).where("n > 1").select("wkey")
-    left = parts.join(often, "wkey", "left_semi").groupBy("key", "d").agg(F.collect_list("at").alias("ats"))
-    held = kinds.join(left, ["key", "d"]).select("key", "d", "weight", "piece", "ats").mapInArrow(_parts(width, gram, True), "key long, d long, at long, wkey long, weight long, wd long, piece binary")
-    classes = held.groupBy(F.col("wkey").alias("key"), F.col("wd").alias("d")).agg(F.sum("weight").alias("weight"), F.first("piece").alias("piece"))
-    if last:  # equal strings are one: each class has one piece
-        found = classes.where("weight > 1").select("key", "d", F.lit(0).cast("long").alias("x"), F.lit(1).cast("long").alias("y"))
-    else:
-        large = classes.where(F.length("piece") > 0).groupBy("key").count().where(F.col("count") > max_class).select("key")
-        small = classes.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key").select("key", "d", "weight", "piece")
-        found = small.mapInArrow(decide_kinds(width), KINDS_DDL).unionByName(_split(classes.join(large, "key", "left_semi"), width, max_class, grams[1:]))
-    found = found.select(F.col("key").alias("wkey"), F.col("d").alias("wd"), "x", "y")
-    return held.select("key", "d", "at", "wkey", "wd").join(found, ["wkey", "wd"]).select("key", "d", (F.col("at") + F.col("x")).alias("x"), (F.col("at") + F.col("y")).alias("y"))
+def _by_string(kinds: DataFrame, width: int) -> DataFrame:
+    """decide_kinds for classes with too many different pieces: each string is a class by its own hash."""
+    strings = kinds.mapInArrow(_strings(width, False), "key long, d long, x long, wkey long, weight long")
+    often = strings.groupBy("wkey").agg(F.sum("weight").alias("n")).where("n > 1").select("wkey")
+    left = strings.join(often, "wkey", "left_semi").groupBy("key", "d").agg(F.collect_list("x").alias("xs"))
+    single = kinds.join(left, ["key", "d"]).select("key", "d", "weight", "piece", "xs").mapInArrow(_strings(width, True), "key long, d long, x long, wkey long, wd long, weight long, piece binary")
+    classes = single.groupBy("wkey", "wd").agg(F.sum("weight").alias("weight"), F.first("piece").alias("piece")).repartition("wkey").sortWithinPartitions("wkey")
+    found = classes.mapInArrow(decide_kinds(width), KINDS_DDL).select(F.col("key").alias("wkey"), F.col("d").alias("wd")).distinct()
+    return single.select("key", "d", "x", "wkey", "wd").join(found, ["wkey", "wd"]).select("key", "d", "x", (F.col("x") + 1).alias("y"))
 
 
 def recurring_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, max_class: int = MAX_CLASS) -> DataFrame:
     """(id, text, ranges): the byte ranges covered by recurring strings, null if none. docs has id, text (bytes), h and c (hashes of the text)."""
     pieces = docs.select("h", "text").mapInArrow(class_keys(width, gram), "key long, h long, at long")
-    counts = pieces.groupBy("key", part(F.col("key"))).count().where("count > 1").select("key", (F.col("count") > hot).alias("hot"))
+    counts = checkpointed(pieces.groupBy("key", part(F.col("key"))).count().where("count > 1").select("key", (F.col("count") > hot).alias("hot")))
+    any_hot = not counts.where("hot").isEmpty()
     by_text = pieces.join(counts, "key").groupBy("h", part(F.col("h"))).agg(F.collect_set(F.struct("key", "at", "hot")).alias("found"))
     held = docs.join(by_text.select(F.col("h").alias("of"), "found"), F.col("h") == F.col("of"))
 
@@ -332,21 +309,25 @@ def recurring_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
         return some.mapInArrow(cut(width), "key long, d long, h long, c long, at long, piece binary")
 
     rows = cuts(F.lit(False)).repartition("key").sortWithinPartitions("key").mapInArrow(decide_members(width), "h long, c long, low long, high long")
-    # hot classes: equal pieces are one before they meet
-    warm = cuts(F.lit(True))
+    if any_hot:
+        rows = rows.unionByName(_of_hot(cuts(F.lit(True)), width, max_class))
+    by_content = rows.groupBy("h", "c").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    # by h alone, so that the texts' exchange is the one that they met their pieces by
+    by_hash = by_content.groupBy("h", part(F.col("h"))).agg(F.collect_list(F.struct("c", "ranges")).alias("by_c")).select(F.col("h").alias("of"), "by_c")
+    own = F.get(F.filter("by_c", lambda x: x["c"] == F.col("c")), F.lit(0))["ranges"]
+    return docs.join(by_hash, F.col("h") == F.col("of"), "left").select("id", "text", own.alias("ranges"))
+
+
+def _of_hot(warm: DataFrame, width: int, max_class: int) -> DataFrame:
+    """(h, c, low, high) of what recurs in hot classes, from cut pieces: equal ones are one before they meet."""
     kinds = warm.groupBy("key", "d").agg(F.count("*").alias("weight"), F.first("piece", ignorenulls=True).alias("piece"))
     # the piece is read, so that all uses of kinds share one exchange
     large = kinds.where(F.length("piece") > 0).groupBy("key").count().where(F.col("count") > max_class).select("key")
     small = kinds.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key").select("key", "d", "weight", "piece")
-    found = small.mapInArrow(decide_kinds(width), KINDS_DDL).unionByName(_split(kinds.join(large, "key", "left_semi"), width, max_class, tuple(g for g in FINER if g < width)))
+    found = small.mapInArrow(decide_kinds(width), KINDS_DDL).unionByName(_by_string(kinds.join(large, "key", "left_semi"), width))
     found = found.groupBy("key", "d", part(F.col("key"), F.col("d"))).agg(F.collect_list(F.struct("x", "y")).alias("runs"))
     start = F.shiftright("at", 16)
-    of_hot = warm.select("key", "d", "h", "c", "at").join(found.drop("_part"), ["key", "d"]).select("h", "c", start.alias("start"), F.explode("runs").alias("run")).select("h", "c", (F.col("start") + F.col("run.x")).alias("low"), (F.col("start") + F.col("run.y") + width - 1).alias("high"))
-    by_content = rows.unionByName(of_hot).groupBy("h", "c").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    # by h alone, so that the texts' exchange is the one that they met their pieces by
-    by_hash = by_content.groupBy("h", part(F.col("h"))).agg(F.collect_list(F.struct("c", "ranges")).alias("by_c")).select(F.col("h").alias("of"), "by_c")
-    own = F.get(F.filter("by_c", lambda x: x["c"] == F.col("c")), F.lit(0))["ranges"]
-    return docs.join(by_hash, F.col("h") == F.col("of"), "left").select("id", "text", own.alias("ranges"))
+    return warm.select("key", "d", "h", "c", "at").join(found.drop("_part"), ["key", "d"]).select("h", "c", start.alias("start"), F.explode("runs").alias("run")).select("h", "c", (F.col("start") + F.col("run.x")).alias("low"), (F.col("start") + F.col("run.y") + width - 1).alias("high"))
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -396,7 +377,7 @@ def remove_recurring(docs: DataFrame, text: str = "text", width: int = WIDTH) ->
     """docs with recurring byte ranges cut out of the text column (what is left of a cut character is dropped); a null text stays null."""
     names = docs.columns
     # the given columns but the text go through as one, so that none of their names can clash
-    row = F.struct(*(F.col(f"`{n}`") for n in names if n != text), F.col(f"`{text}`").isNull().alias("text is null"))
+    row = F.struct(*(col(n).alias(n) for n in names if n != text), col(text).isNull().alias("text is null"))
     ranges = recurring_ranges(_with_hashes(docs, row, text), width)
 
     def clean(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -405,7 +386,7 @@ def remove_recurring(docs: DataFrame, text: str = "text", width: int = WIDTH) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "left"])
 
     cleaned = ranges.mapInArrow(clean, with_fields({"row": ranges.schema["id"].dataType}, "left string"))
-    return cleaned.select(*(F.when(~F.col("row.`text is null`"), F.col("left")).alias(n) if n == text else F.col(f"row.`{n}`").alias(n) for n in names))
+    return cleaned.select(*(F.when(~F.col("row")["text is null"], F.col("left")).alias(n) if n == text else F.col("row")[n].alias(n) for n in names))
 
 
 #: removal_digests(documents) in SQL, by counting every string of 200 bytes, in hexadecimal.
