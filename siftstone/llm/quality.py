@@ -10,7 +10,9 @@ Training is deterministic, so a rerun gives the same scores, and equal texts sco
 
 Defined cases: a null text is an empty one; an empty text gets statistics of zeros and a score; of several labels of a
 document the lower quality counts; labels without a document or quality are left out; if no label is there, or only
-one kind, every score is the share of label 1 (0.5 without any); an empty table gives an empty result.
+one kind, every score is the share of label 1 (0.5 without any); very long texts are read whole; repeated rows get
+the same score; an empty table gives an empty result; other columns go along in ``accepted``, whatever their names, and
+aren't read by ``classified``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import utf8, with_fields
+from siftstone.llm.common import col, utf8, with_fields
 
 MAX_ROWS, TREES, DEPTH, BINS, RATE, LEAST, L2 = 20_000, 120, 4, 64, 0.1, 8.0, 1.0
 HELD_OUT, THRESHOLD = 5, 0.3
@@ -186,5 +188,5 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted to be of low quality."""
-    rows = scored(docs, fitted(docs, labels), [F.col(f"`{c}`") for c in docs.columns])
-    return rows.where(predicted(F.col("score")) == 1).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    rows = scored(docs, fitted(docs, labels), [col(c).alias(c) for c in docs.columns])
+    return rows.where(predicted(F.col("score")) == 1).select(*(F.col("row")[c].alias(c) for c in docs.columns))
