@@ -68,6 +68,11 @@ def clear(spark: SparkSession, path: str) -> list[str]:
     return sorted(c.getName() for c in children if c.getName() != MARKER)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    place, fs = _files(spark, path)
+    fs.delete(place, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there whole, in any store that Spark can reach."""
     jvm = spark.sparkContext._jvm

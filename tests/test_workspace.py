@@ -152,3 +152,21 @@ def test_gate_and_coverage_texts(spark):
 
 def test_a_shared_folder_is_asked_of_clusters(spark):
     assert shared_folder(spark)
+
+
+def test_a_kept_union_is_folded_now_and_then(spark, tmp_path):
+    """A stream of eleven files, a batch each: three bases, the rows before the last but one gone, the union that of all rows."""
+    from siftstone.operators import union
+    from siftstone.streaming import running
+    from tests.tables import candidates
+
+    place, source = str(tmp_path / "u"), str(tmp_path / "in")
+    for n in range(11):
+        rows = candidates(spark, [{"seq": 10 * n + i, "line": i % 3, "severity": "HIGH" if n % 2 else "LOW", "evidence": f"e{n % 4}"} for i in range(4)])
+        rows.withColumn("ts", F.lit("2024-01-01").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+    everything = spark.read.parquet(source)
+    stream = spark.readStream.schema(everything.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    running.keep_union(stream, place, every=3).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(int, os.listdir(f"{place}/base"))) == [6, 9] and min(map(int, os.listdir(f"{place}/rows"))) > 0
+    shape = lambda df: sorted((r["key"], r["severity"], sorted(r["evidence"].split("; ")), r["n_rows"], r["seq"]) for r in df.collect())
+    assert shape(running.kept_union(spark, place, 10, every=3)) == shape(union.fold(everything))
