@@ -10,7 +10,7 @@ from pyspark.sql.types import DataType, StructType
 
 from siftstone.session import checkpointed, shared_folder
 
-__all__ = ["WORD", "checkpointed", "col", "n_words", "part", "shared_folder", "snapshot", "table", "unit_hash", "utf8", "with_fields"]
+__all__ = ["WORD", "checkpointed", "col", "discard", "n_words", "part", "place", "shared_folder", "snapshot", "table", "unit_hash", "utf8", "with_fields"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,13 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def snapshot(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: columns can be read apart, and made ids hold."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+def place(spark: SparkSession, name: str = "rows") -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def snapshot(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written to a shared folder as Parquet and read again: columns can be read apart, and made ids hold."""
+    path = path or place(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a snapshot that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def col(name: str) -> Column:
     """A column by its name, whatever is in it."""
     return F.col("`" + name.replace("`", "``") + "`")
