@@ -10,11 +10,14 @@ from siftstone.functions.text import SPACE, folded, squeeze, strip
 #: HTTP methods that start a route.
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
 
+#: What goes, or is replaced, in an endpoint, in this order.
+PATTERNS = ((r"(?U)\?\S*", ""), (r"\([^)]*\)", " "), (r"[<{][^>}]*[>}]", "*"))
+
 
 def normalize(c: Column) -> Column:
     """In lower case, without backticks, query strings and remarks in parentheses; each parameter in <> or {} is ``*``."""
     text = F.replace(F.lower(strip(F.coalesce(c, F.lit("")))), F.lit("`"), F.lit(""))
-    for pattern, by in ((r"(?U)\?\S*", ""), (r"\([^)]*\)", " "), (r"[<{][^>}]*[>}]", "*")):
+    for pattern, by in PATTERNS:
         text = F.regexp_replace(text, pattern, by)
     return squeeze(text)
 

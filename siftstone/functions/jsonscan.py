@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed value: characters of a reply that are scanned. What is beyond isn't read, so an object that ends there is none.
 MAX_SCAN = 1_000_000
 FENCE = re.compile(r"```(?:json)?\s*\n(.*?)```", re.S)
 #: Words that declare a symbol.
@@ -67,7 +68,10 @@ def repaired(text: str) -> dict | None:
 
 
 def extract_object(text: str | None) -> dict | None:
-    """The JSON object of a reply: the reply itself, else in a fence, else the first balanced one, else repaired. Other JSON is none."""
+    """The JSON object of a reply: the reply itself, else in a fence, else the first balanced one, else repaired. Other JSON is none.
+
+    Of a reply, its first ``MAX_SCAN`` characters are read.
+    """
     text = (text or "").strip()[:MAX_SCAN]
     ok, found = _loads(text)
     if ok:

@@ -39,7 +39,8 @@ def tally(votes: DataFrame) -> DataFrame:
 def applicable(candidates: DataFrame, confirmers: DataFrame) -> DataFrame:
     """(key, label): confirmers (label) that aren't a model which found the candidate (key, found_by); no label is always one.
 
-    Confirmers are configuration, a few rows: each candidate carries the list of them, so this isn't a join.
+    Confirmers are configuration, the models of a run: each candidate carries the list of them, so this isn't a join;
+    over a hundred are taken for a wrong table.
     """
     labels = [r["label"] or "" for r in confirmers.select("label").distinct().limit(101).collect()]
     if len(labels) > 100:
