@@ -36,6 +36,38 @@ def test_stage_keeps_one_of_each_group_at_similarity_0_8(spark):
     assert kept == set(brute(texts))
 
 
+def template():
+    """Texts that share a half with one another, some of which are near copies; the shared half makes popular bands."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    common = [word() for _ in range(300)]
+    texts = []
+    for _ in range(60):
+        own = [word() for _ in range(110)]
+        texts.append(" ".join(common + own))
+        if rng.random() < 0.4:
+            texts.append(" ".join([*common, *own[:-6], *(word() for _ in range(6))]))
+    return texts
+
+
+def test_crowded_bands_are_parted(spark):
+    texts = template()
+    want = brute(texts)
+    assert 60 <= len(set(want)) < len(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string")
+    sizes = []
+    real = jaccard._members
+    jaccard._members = lambda keyed: sizes.append(m := real(keyed)) or m
+    try:
+        for hot in (10**6, 12):
+            sizes.clear()
+            got = {r["key"]: r["component_id"] for r in jaccard.near_copies(docs, hot=hot).collect()}
+            assert [got[i] for i in range(len(texts))] == want
+            assert (len(sizes) > 1) == (hot == 12)
+    finally:
+        jaccard._members = real
+
+
 def test_search_goes_on_from_what_was_reached(spark):
     chain = [" ".join(f"w{i}" for i in range(k, k + 200)) for k in range(0, 200, 10)]
     assert {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(chain)), DOCS)).collect()} == {0}
