@@ -18,16 +18,17 @@ import importlib
 import json
 import subprocess
 import sys
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.location import unit_slug
 from siftstone.operators import chunk, compare, coverage, filters, gate, passes, report, score, union, workspace
 from siftstone.plans import adversarial, review_diff, review_repository, seams
 from siftstone.queries import queries
-from siftstone.session import local_session, ship
+from siftstone.session import local_session, shared_folder, ship
 from siftstone.sources import checkpoint, files, keys, notes, payload, rules
 
 CLASSES = "id string, impact string, triggers array<string>, aliases array<string>"
@@ -82,7 +83,7 @@ def review_diff_(spark: SparkSession, args: argparse.Namespace) -> int:
     model, known = provider(args.provider, args.dry_run), classes(spark, args.knowledge)
     triggers = known.select(F.col("id").alias("vuln_id"), F.explode("triggers").alias("trigger"))
     if args.mode == "adversarial":
-        place = args.workspace or f"{checkpoint_folder(spark)}/debate"
+        place = args.workspace or f"{shared_folder(spark)}/debate-{uuid.uuid4().hex}"
         parts = review_diff.batches(diffs, rules.DEFAULT).select(F.col("batch").cast("long").alias("diff_id"), "text")
         done = adversarial.rounds(parts, model, model, model, place, args.rounds)
         kept, dropped = filters.filter_findings(done.findings, rules.DEFAULT, args.exclude or [], 0.0 if args.no_filter else filters.FLOOR)
@@ -95,12 +96,6 @@ def review_diff_(spark: SparkSession, args: argparse.Namespace) -> int:
     return shown(spark, kept, args, failed)
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    from siftstone.session import shared_folder
-
-    return shared_folder(spark)
-
-
 def scaffold(spark: SparkSession, args: argparse.Namespace) -> int:
     """Detect the stack, make units and a worklist; what a workspace holds from a run stays unless --fresh."""
     place = args.workspace
@@ -120,8 +115,7 @@ def scaffold(spark: SparkSession, args: argparse.Namespace) -> int:
     slugs = named.select(F.col("unit").alias("slug"))
     old = checkpoint.load(spark, f"{place}/worklist") if checkpoint.exists(spark, f"{place}/worklist") else slugs.limit(0).withColumn("status", F.lit("open"))
     work = gate.reconcile(old, slugs).where("change <> 'stale'").select("slug", "status")
-    rows = [tuple(r) for r in work.collect()] if work.count() < 100_000 else None
-    checkpoint.save(spark.createDataFrame(rows, "slug string, status string") if rows is not None else work, f"{place}/worklist" if rows is not None else f"{place}/worklist-next")
+    checkpoint.replace(work, f"{place}/worklist")
     notes_ = workspace.entrypoint_note(named.select("path").distinct(), tree.where(filters.is_logic_layer(F.col("path"), rules.DEFAULT, LAYERS)).select("path"))
     local = Path(place.removeprefix("file:"))
     (local / "inventory").mkdir(parents=True, exist_ok=True)
@@ -147,8 +141,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     reviews = spark.read.parquet(*(f"{place}/passes/pass-{i:04d}/reviews" for i in range(1, state["passes"] + 1)))
     clean = reviews.select("unit").distinct().join(passes.failed_units(reviews), "unit", "left_anti").select(F.col("unit").alias("slug"))
     work = gate.mark_reviewed(checkpoint.load(spark, f"{place}/worklist"), clean)
-    checkpoint.save(work, f"{place}/worklist-next")
-    checkpoint.save(checkpoint.load(spark, f"{place}/worklist-next"), f"{place}/worklist")
+    checkpoint.replace(work, f"{place}/worklist")
     Path(place.removeprefix("file:"), "status.json").write_text(json.dumps(state))
     print(json.dumps(state))
     return int(state["errors"] > 0)
@@ -200,7 +193,8 @@ def evals(spark: SparkSession, args: argparse.Namespace) -> int:
         if args.findings_json:
             found = notes.findings_json(spark.createDataFrame([("r", Path(args.findings_json).read_text())], "name string, text string"), extensions)
         else:
-            found = notes.finding_notes(notes.read_texts(spark, args.findings_dir, "*.md"), extensions).withColumn("seq", F.row_number().over(_by_name()))
+            # a result's notes, a row a file
+            found = notes.finding_notes(notes.read_texts(spark, args.findings_dir, "*.md"), extensions).withColumn("seq", F.row_number().over(Window.orderBy("name")))
         rows = score.outcomes(found.withColumn("target", F.lit(args.target)), key)
         if args.out:
             checkpoint.save(rows, args.out)
@@ -246,12 +240,6 @@ def evals(spark: SparkSession, args: argparse.Namespace) -> int:
     return int(not problems.where("kind = 'unresolved-reference'").isEmpty())
 
 
-def _by_name():
-    from pyspark.sql import Window
-
-    return Window.orderBy("name")  # a result's notes, a row a file
-
-
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="siftstone")
     commands = out.add_subparsers(dest="command", required=True)

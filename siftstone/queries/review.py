@@ -15,7 +15,7 @@ from siftstone.operators import callgraph, chunk, compare, coverage, report, sco
 from siftstone.plans import adversarial, evaluate, review_diff, review_repository, seams
 from siftstone.queries import findings as f
 from siftstone.queries import knowledge as k
-from siftstone.queries import scoring, text
+from siftstone.queries import paths, scoring, text
 from siftstone.queries.adapters import cte, relation
 from siftstone.session import shared_folder
 from siftstone.sources.rules import DEFAULT
@@ -333,6 +333,10 @@ SQL = {
     "fragment_texts": f"WITH {cte('files')}, c AS (SELECT 'u' || CAST(doc_id % 40 AS VARCHAR) AS unit, path, text, length(text) // 4 AS s, length(text) // 2 AS e FROM files), o AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY unit ORDER BY path, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, text[s + 1:e] AS t, len(string_split(text[1:s], chr(10))) - 1 AS skip FROM c) SELECT unit, sha256(string_agg('### ' || path || chr(10) || {_NUM.format('t', 'skip')}, {_NL} ORDER BY path, s)) AS digest FROM o WHERE before < 120000 GROUP BY unit",
     "context_text": f"WITH {cte('files')}, c AS (SELECT doc_id, path, coalesce(sum(least(length(path), 16000)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM files WHERE path NOT LIKE '%.md' AND path NOT LIKE '%.py'), j AS (SELECT string_agg(path, {_NL} ORDER BY doc_id) AS t FROM c WHERE before < 16000), x AS (SELECT CASE WHEN length(t) > 16000 THEN t[1:16000] || chr(10) || '... truncated' ELSE t END AS t FROM j) SELECT sha256(t) AS digest, CAST(length(t) AS INT) AS n FROM x",
     "lens_headers": "SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN 'Review for: ' || p_name || '.' ELSE 'Review for every class of defect.' END AS header FROM part",
+    "unit_notes": f"""WITH wd AS (SELECT * FROM ({text.SQL['chunk_windows_full']}) WHERE window_no = 0), {cte('files')}, tg AS (SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY path) AS n FROM files WHERE path LIKE '%.go'),
+ot AS (SELECT wd.path, string_agg(tg.path, ', ' ORDER BY tg.path) AS others FROM wd JOIN tg ON tg.source = split_part(wd.path, '/', 1) AND tg.n <= 20 AND tg.path <> wd.path GROUP BY wd.path),
+u AS (SELECT wd.*, others, {paths._SLUGGED.replace('(path,', '(wd.path,')} AS unit FROM wd LEFT JOIN ot ON ot.path = wd.path)
+SELECT unit, sha256('# ' || unit || chr(10) || '- Status: open' || chr(10) || '- Entry: `' || path || '`, lines ' || CAST(first AS VARCHAR) || '-' || CAST(last AS VARCHAR) || chr(10) || '- Trace: ' || path || coalesce(', ' || others, '')) AS digest FROM u""",
     "class_bodies": f"WITH tk AS ({k.SQL['trigger_topk']}) SELECT diff_id, string_agg('about ' || vuln_id, {_NL} ORDER BY place) AS text FROM tk GROUP BY diff_id",
     "allowed_classes": f"WITH {cte('items')} SELECT DISTINCT ref AS id FROM items",
     "target_lines": f"WITH {cte('candidates')} SELECT seq, '`' || status || '`' AS status, severity AS risk, CAST(NULL AS VARCHAR) AS owner FROM candidates",

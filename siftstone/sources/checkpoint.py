@@ -11,6 +11,13 @@ def save(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """Write df where it may have been read from: beside it first, whole, then in its place."""
+    save(df, f"{path}-next")
+    save(load(df.sparkSession, f"{path}-next"), path)
+    remove(df.sparkSession, f"{path}-next")
+
+
 def load(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A saved table; a missing or corrupt one raises when it is read."""
     reader = spark.read.schema(schema) if schema else spark.read
