@@ -29,7 +29,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
 
-def open_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unreviewed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _files(spark, sf_dir).select(F.col("path").alias("key"))
     return verify.open_items(rows, rows.where("key like '%.go'"))
 
@@ -296,7 +296,7 @@ def call_path_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("contract", "anchor", F.size("fns").alias("n"), "chars")
 
 
-QUERIES = {q.__name__: q for q in (open_units, resumed_units, fragment_units, control_files, skeptic_votes, agent_votes, confirmer_votes, resume_keys, reloaded_candidates, finding_note_rows, finding_entry_rows, refuted_rows, rendered_kinds, result_json_rows, flip_lines, compare_texts, gate_texts, covered_matrix, ordered_problems, coverage_texts, all_references, fragment_texts, context_text, lens_headers, unit_notes, class_bodies, allowed_classes, target_lines, live_run, reviewed_units, diff_review, adversarial_rounds, retried_replies, finalized_union, verified_findings, seeded_units, evaluated_runs, call_path_sizes)}
+QUERIES = {q.__name__: q for q in (unreviewed_units, resumed_units, fragment_units, control_files, skeptic_votes, agent_votes, confirmer_votes, resume_keys, reloaded_candidates, finding_note_rows, finding_entry_rows, refuted_rows, rendered_kinds, result_json_rows, flip_lines, compare_texts, gate_texts, covered_matrix, ordered_problems, coverage_texts, all_references, fragment_texts, context_text, lens_headers, unit_notes, class_bodies, allowed_classes, target_lines, live_run, reviewed_units, diff_review, adversarial_rounds, retried_replies, finalized_union, verified_findings, seeded_units, evaluated_runs, call_path_sizes)}
 
 _NL = "chr(10) || chr(10)"
 _TEST = "contains(path, '/tests/')"
@@ -309,7 +309,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY models DESC, {f._F
 a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY nm ORDER BY n, seq) = 1 THEN nm ELSE nm || '-' || CAST(seq AS VARCHAR) END AS name FROM m)"""
 
 SQL = {
-    "open_units": f"WITH {cte('files')} SELECT path AS key FROM files WHERE path NOT LIKE '%.go'",
+    "unreviewed_units": f"WITH {cte('files')} SELECT path AS key FROM files WHERE path NOT LIKE '%.go'",
     "resumed_units": f"WITH {cte('files')} SELECT path AS unit FROM files WHERE path NOT LIKE '%/de/%'",
     "fragment_units": f"WITH {cte('files')} SELECT 'u' || CAST(doc_id % 50 AS VARCHAR) AS unit FROM files GROUP BY doc_id % 50 HAVING NOT bool_or({_TEST} AND path LIKE '%.go')",
     "control_files": f"WITH {cte('files')}, r AS (SELECT doc_id, path, list_last(string_split(path, '/')) AS name FROM files) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN name ELSE 'x/' || name END AS ref, doc_id % 3 <> 2 AS same FROM r",
