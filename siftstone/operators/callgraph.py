@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.location import short_name
@@ -25,9 +25,11 @@ def neighbours(functions: DataFrame, calls: DataFrame, risky: Column) -> DataFra
 def call_path_units(functions: DataFrame, calls: DataFrame, risky: Column, cap: int = CAP) -> DataFrame:
     """One row an anchor: the functions that fit the cap, tried anchor first, then callees, then callers; one that doesn't fit is passed over.
 
-    The fold runs over the neighbours of one function.
+    The fold runs over the neighbours of one function that can have a place: once one of a size doesn't fit, no later
+    one of that size does, so of each size the first ``cap / size`` are enough, however many callers a function has.
     """
-    rows = neighbours(functions, calls, risky)
+    order = Window.partitionBy("contract", "anchor", "size").orderBy("hop", "seq", "fn")
+    rows = neighbours(functions, calls, risky).withColumn("_n", F.row_number().over(order)).where((F.col("hop") == 0) | (F.col("size") <= 0) | (F.col("_n") <= F.floor(F.lit(cap) / F.col("size")))).drop("_n")
     zero = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<string>").alias("fns"))
 
     def step(acc: Column, x: Column) -> Column:

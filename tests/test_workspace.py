@@ -170,3 +170,22 @@ def test_a_kept_union_is_folded_now_and_then(spark, tmp_path):
     assert sorted(map(int, os.listdir(f"{place}/base"))) == [6, 9] and min(map(int, os.listdir(f"{place}/rows"))) > 0
     shape = lambda df: sorted((r["key"], r["severity"], sorted(r["evidence"].split("; ")), r["n_rows"], r["seq"]) for r in df.collect())
     assert shape(running.kept_union(spark, place, 10, every=3)) == shape(union.fold(everything))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_units_of_a_hub_against_a_plain_fold(spark, seed):
+    import random
+
+    from siftstone.operators import callgraph
+
+    rng = random.Random(seed)
+    sizes = {f"f{i}": rng.choice([0, 1, 3, 7, 7, 7, 20, 90]) for i in range(120)}
+    functions = spark.createDataFrame([("c", n, "a.sol", 0, s, n == "f0") for n, s in sizes.items()], "contract string, fn string, file string, start int, `end` int, risky boolean")
+    edges = [(f"f{i}", "f0", i) for i in range(1, 120) if rng.random() < 0.8]
+    calls = spark.createDataFrame([("c", a, b, s) for a, b, s in edges], "contract string, caller string, callee string, seq int")
+    got = callgraph.call_path_units(functions, calls, F.col("risky"), cap=60).first()
+    total, taken = sizes["f0"], ["f0"]
+    for caller, _, _ in sorted(edges, key=lambda e: (e[2], e[0])):
+        if total + sizes[caller] <= 60:
+            total, taken = total + sizes[caller], [*taken, caller]
+    assert got["fns"] == sorted(taken) and got["chars"] == total
