@@ -143,7 +143,8 @@ def rounded(items: DataFrame, group: int = GROUP) -> DataFrame:
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES, group: int = GROUP, row: str | None = None) -> DataFrame:
     """(doc_id, id, n, size, source_size, target, copies[, row]) for each row; n is its number in the order of id, a hash of text and doc_id; row a column to carry."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text", "doc_id").alias("id"), *([F.col(row).alias("_row")] if row else []))
-    numbered = in_order(keyed, ["id", "doc_id", "size", "source"]).withColumnRenamed("place", "n")
+    # written before the ranges are drawn from it, so the texts are read once
+    numbered = in_order(checkpointed(keyed), ["id", "doc_id", "size", "source"]).withColumnRenamed("place", "n")
     targets = source_targets(numbered, weights, max_copies).withColumnRenamed("source", "of")
     share = F.when(F.col("source_size") > 0, F.least(F.lit(max_copies), F.col("target") / F.col("source_size"))).otherwise(0.0)
     aimed = numbered.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("share", share).withColumn("whole", F.floor("share"))
