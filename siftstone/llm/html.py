@@ -54,11 +54,12 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 class Tree:
     """Elements in page order, a parent before its children, and the text between tags with the element that holds it."""
 
-    __slots__ = ("tags", "attrs", "parents", "pieces")
+    __slots__ = ("tags", "attrs", "parents", "pieces", "sizes")
 
     def __init__(self) -> None:
         self.tags, self.attrs, self.parents = ["html"], [""], [-1]
         self.pieces: list[tuple[int, str]] = []  # (element, text); the element -1: a break between blocks
+        self.sizes: list[int] | None = None  # characters but white space of each text, once they were counted
 
 
 def parse(page: str) -> Tree:
@@ -142,10 +143,12 @@ def _names(attrs: str) -> tuple[set[str], str, bool]:
 
 def _per_node(tree: Tree, texts: list[tuple[int, str]], counts: list[bool]) -> list[int]:
     """Characters but white space in each node and below it, of the nodes that count."""
+    if tree.sizes is None:
+        tree.sizes = [len("".join(t.split())) for _, t in texts]
     out = [0] * len(tree.tags)
-    for i, t in texts:
+    for (i, _), n in zip(texts, tree.sizes, strict=True):
         if i >= 0 and counts[i]:
-            out[i] += len("".join(t.split()))
+            out[i] += n
     for i in range(len(out) - 1, 0, -1):
         out[tree.parents[i]] += out[i]
     return out
