@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import compression, gif, html, lexical, mixing, packing, preference, quality, resampling, sharding, simhash, substrings
+from siftstone.llm import compression, gif, html, lexical, mixing, nearest, packing, preference, quality, resampling, sharding, simhash, substrings
 from siftstone.llm.common import table
 
 
@@ -63,8 +63,12 @@ def op12_ngram_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif_media, op2_length_buckets, op3_preference_pairs, op4_boosted_quality, op5_suffix_array_dedup, op6_simhash, op7_compression_bands, op8_sampled_splitters, op9_text_density, op10_pivotal_mixing, op11_wavelet_search, op12_ngram_resampling)}
+    return {f.__name__: f for f in (op1_gif_media, op2_length_buckets, op3_preference_pairs, op4_boosted_quality, op5_suffix_array_dedup, op6_simhash, op7_compression_bands, op8_sampled_splitters, op9_text_density, op10_pivotal_mixing, op11_wavelet_search, op12_ngram_resampling, op13_projection_search)}
 
 
 def oracle_sql() -> dict[str, str]:
