@@ -15,7 +15,8 @@ that holds an ``article`` or ``main``, or most of the text of a page without one
 Defined cases: a null, empty or tagless page works (its text is the content; none gives an empty string); unclosed
 elements, comments and raw-text elements end where HTML ends them; equal sums go to the denser, then the earlier node; a
 repeated page gives its row again; an empty table gives an empty result; other columns of the table aren't read,
-whatever their names; parsing is iterative, so depth and length have no limit.
+whatever their names; an end tag without an open partner ends nothing; parsing is iterative and linear in the page, so
+depth and length have no limit.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -66,15 +68,33 @@ def parse(page: str) -> Tree:
     tree = Tree()
     tags, attrs, parents, pieces = tree.tags, tree.attrs, tree.parents, tree.pieces
     stack = [0]
+    # where in the stack the open elements of each tag stand, those that end a search, and those that aren't text-level
+    open_at: defaultdict[str, list[int]] = defaultdict(list)
+    scopes: list[int] = []
+    blocks: list[int] = []
     has_body = False
 
+    def push(i: int) -> None:
+        place, tag = len(stack), tags[i]
+        stack.append(i)
+        open_at[tag].append(place)
+        if tag in SCOPE:
+            scopes.append(place)
+        if tag not in INLINE:
+            blocks.append(place)
+
+    def cut(place: int) -> None:
+        while len(stack) > place:
+            i = stack.pop()
+            open_at[tags[i]].pop()
+            for kind in (scopes, blocks):
+                if kind and kind[-1] == len(stack):
+                    kind.pop()
+
     def close(names: Iterable[str], scope: bool) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if tags[stack[i]] in names:
-                del stack[i:]
-                return
-            if scope and tags[stack[i]] in SCOPE:
-                return
+        place = max((open_at[t][-1] for t in names if open_at.get(t)), default=0)
+        if place and not (scope and scopes and scopes[-1] > place):
+            cut(place)
 
     at, size = 0, len(page)
     while at < size:
@@ -106,12 +126,8 @@ def parse(page: str) -> Tree:
             has_body = True
             close(("head",), False)
         elif tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] == "p":
-                    del stack[i:]
-                    break
-                if tags[stack[i]] not in INLINE:
-                    break
+            if blocks and tags[stack[blocks[-1]]] == "p":
+                cut(blocks[-1])
         if tag in CLOSES_SELF:
             close(CLOSES_SELF[tag], True)
         tags.append(tag)
@@ -122,7 +138,7 @@ def parse(page: str) -> Tree:
             pieces.append((len(tags) - 1, page[at : end.start()]))
             at = end.end()
         elif tag not in VOID and not (rest or "").endswith("/"):
-            stack.append(len(tags) - 1)
+            push(len(tags) - 1)
     return tree
 
 

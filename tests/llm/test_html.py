@@ -154,6 +154,30 @@ def test_density_chooses(monkeypatch):
     assert all(html.extract(x) != want for x in pages)
 
 
+def test_the_formula_chooses(monkeypatch):
+    """Unnamed lists of short items and of links beside the article: without tags or links in the measure they come along."""
+    links = lambda i: f"<a href=/{i}>A longer heading of some other story, number {i}</a>"
+    kinds = [lambda i: f"{i} May", lambda i: f"{i} <a href=/{i}>May</a>", links]
+    around = [("<ul>", "<li>", "</li>", "</ul>"), ("<div>", "<div>", "</div>", "</div>"), ("<table>", "<tr><td>", "</td></tr>", "</table>")]
+    lists = [a + "".join(b + kind(i) + c for i in range(40)) + d for a, b, c, d in around for kind in kinds]
+    pages = [page(f"{before}<div><h1>Head</h1><p>{P}</p><p>{P}</p></div>{after}") for x in lists for before, after in ((x, ""), ("", x), (x, x))]
+    want = " ".join(f"Head {P}{P}".split())
+    assert [html.extract(x) for x in pages] == [want] * 27
+    right = []
+    for measure in (lambda chars, *_: float(chars), lambda chars, tags, *_: chars / tags):
+        monkeypatch.setattr(html, "density", measure)
+        right.append(sum(html.extract(x) == want for x in pages))
+    assert right[0] <= 18 and right[1] <= 18
+
+
+def test_parsing_is_linear():
+    n = 100_000
+    for odd in ("<div>" * n + "</section>" * n, "<p><button>" + "<span>" * n + "<hr>" * n, "<b>" * n + "</i>" * n, "<table>" + "<tr><td><b>" * n, "<i><div></i>" * n, '<a "' * n):
+        began = time.process_time()
+        html.parse(odd)
+        assert time.process_time() - began < 6
+
+
 def test_threshold_adds_other_blocks():
     small, large = f"<section><p>{P}</p><p>{P}</p></section>", f"<section><p>{P}</p><p>{P}</p><p>{P}</p></section>"
     assert html.extract(page(f"<div>{small}{large}</div><div>Call us</div>")) == " ".join((P * 5).split())
