@@ -6,8 +6,9 @@ worse than long ones of the same kind, so the limits are those of the text's len
 quarter octave, and a band's limits lie around the median ratio of all texts of the band that pass the base rules, as far
 off as ``REACH`` times the distance of the quartiles, and ``MARGIN`` of the median at least. Chunks have bands of their
 own. The margin grows as a band has fewer texts (by ``FEW`` over their number), whose quartiles say less.
-Outer limits by length (``WHOLE``, ``CHUNKS``) hold for any table. Copies count once in the medians, so a group of
-copies doesn't set them.
+Outer limits by length (``WHOLE``, ``CHUNKS``) hold for any table. Copies, told by 64 bits of their content and their
+length, count once in the medians, so a group of copies doesn't set them; different texts of one length and ratio count
+each, so the limits don't depend on how many texts there are.
 
 A text's chunks are of one size, smaller for texts of below ``CHUNK`` bytes, and what is left after the last full one is
 a chunk with the limits of its length (measured with some bytes before it where it is short), so every byte is measured. A text is rejected if its whole ratio is outside its band,
@@ -118,11 +119,11 @@ def ratios(text: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float | None
     return whole, [len(x) / len(squeeze.compress(x)) for x in parts]
 
 
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, unit long, ratio double, chunks array<double>"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, unit long, ratio double, chunks array<double>, h long"
 
 
 def measured(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, base counts, n_bytes, unit, ratio, chunks) for each row, in one pass without a shuffle."""
+    """(key, base counts, n_bytes, unit, ratio, chunks, h) for each row, in one pass without a shuffle."""
 
     def batches(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
@@ -133,9 +134,9 @@ def measured(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 rows.append((*base(body), len(body), unit(len(body)), *ratios(body, squeeze)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
             kinds = [*[pa.int64()] * 7, pa.float64(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True))], ["key", *(f.split()[0] for f in COUNTS.split(", "))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)), batch.column(2)], ["key", *(f.split()[0] for f in COUNTS.split(", "))])
 
-    return docs.select(F.col(key).alias("key"), utf8(F.col(text)).alias("text")).mapInArrow(batches, with_fields({"key": docs.schema[key].dataType}, COUNTS))
+    return docs.select(F.col(key).alias("key"), utf8(F.col(text)).alias("text"), F.xxhash64(utf8(F.col(text))).alias("h")).mapInArrow(batches, with_fields({"key": docs.schema[key].dataType}, COUNTS))
 
 
 def base_failed() -> Column:
@@ -168,8 +169,8 @@ def _step(ratio: Column) -> Column:
 
 def limits(rows: DataFrame) -> DataFrame:
     """(chunk, band, low, high): of whole texts and of chunks, by their length's band. rows: measured ones that count."""
-    # copies, which agree in length and ratio, are one
-    once = rows.groupBy("n_bytes", "ratio").agg(F.min("chunks").alias("chunks"), F.min("unit").alias("unit"))
+    # copies are one
+    once = rows.groupBy("h", "n_bytes").agg(F.min("ratio").alias("ratio"), F.min("chunks").alias("chunks"), F.min("unit").alias("unit"))
     whole = F.struct(F.lit(False).alias("chunk"), length_band(F.col("n_bytes")).alias("band"), _step(F.col("ratio")).alias("step"))
     parts = F.transform("chunks", lambda r, i: F.struct(F.lit(True).alias("chunk"), F.when(_is_rest(i), length_band(_rest_measured())).otherwise(length_band(F.col("unit"))).alias("band"), _step(r).alias("step")))
     seen = once.select(F.explode(F.concat(F.array(whole), parts)).alias("of")).groupBy("of.chunk", "of.band", "of.step").count()

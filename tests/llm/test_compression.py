@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 import zstandard
 
 from siftstone.llm import compression
@@ -100,7 +102,9 @@ def verdicts(texts):
         rows.append((len(body), size, n_words < 50 or 100 * repeated > 50 * n_words, ratio(body) if body else None, [(ratio(x), len(x), b) for x, b in parts]))
     quarter = lambda n: (n.bit_length(), f"{n:b}00"[1:3])
     bands = defaultdict(list)
-    for n, size, whole, parts in {(n, size, whole, tuple(parts)) for n, size, failed, whole, parts in rows if not failed}:
+    for n, _, failed, whole, parts in dict(zip(texts, rows, strict=True)).values():
+        if failed:
+            continue
         bands[quarter(n)].append(whole)
         for r, m, _ in parts:
             bands["chunk", quarter(m)].append(r)
@@ -148,6 +152,24 @@ def test_verdicts_against_brute_force(spark):
     assert set(want[-300:]) == {want[len(clean) - 1]}
 
 
+def test_limits_are_those_of_texts_at_any_number(spark):
+    # many different texts of a few lengths and ratios: pairs of those would forget how often each is there
+    steps = [round(math.exp(round(random.Random(i).gauss(math.log(2.1), 0.03) * 500) / 500), 4) for i in range(2_000)]
+    found = []
+    for times in (1, 10):
+        rows = spark.createDataFrame([(i, 1024 + i % 7, 1024 + i % 7, r, [r]) for i, r in enumerate(steps * times)], "h long, n_bytes long, unit long, ratio double, chunks array<double>")
+        whole = {r["band"]: r for r in compression.limits(rows).collect() if not r["chunk"]}
+        assert len(whole) == 1
+        low, high = next((r["low"], r["high"]) for r in whole.values())
+        q1, q2, q3 = np.quantile(np.log(steps * times), [0.25, 0.5, 0.75], method="inverted_cdf")
+        q1, q2, q3 = np.exp([q1, q2, q3])
+        few = 1 + compression.FEW / len(steps * times)
+        assert low == pytest.approx(q2 - max(4 * (q3 - q1), 0.15 * q2 * few), rel=2e-3)
+        assert high == pytest.approx(q2 + max(4 * (q3 - q1), 0.08 * q2 * few), rel=2e-3)
+        found.append((low, high))
+    assert found[0] == pytest.approx(found[1], rel=2e-3)
+
+
 def test_both_sides_count_together(spark):
     rng = random.Random(5)
     squeezed = lambda n: " ".join(f"{i} qwerty asdfgh zxcvbn" for i in range(n // 20))[:n]
