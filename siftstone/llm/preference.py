@@ -11,6 +11,10 @@ turns is many groups. Each segment's sides are gathered and compared in their se
 segment) gives the pair's first difference, and that goes back to the segments by a join that skew handling can split.
 Rows alike are counted before anything is gathered.
 
+``conversations`` holds no preferences, and no two of its conversations begin alike, so the query makes pairs that do
+(``borrowed_answers``): a conversation is the chosen side, and the rejected one is the same conversation with its last
+assistant turns replaced by those of another, the next number's. All conversations and all their turns are in the pairs.
+
 Defined cases: several rows of one turn are ordered by role and text, and compared together, repeated ones as often as
 they are there; a missing turn differs from any other; a null turn number comes first, with segment 0, null roles and
 texts are empty; a null conversation is the rejected side of a pair without number; a conversation without its partner
@@ -45,6 +49,28 @@ def adjacent_pairs(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.floor(k / 2).cast("long").alias("pair_id"), side.alias("side"), F.col("turn").cast("int").alias("turn"), "role", "text")
 
 
+def borrowed_answers(conversations: DataFrame) -> DataFrame:
+    """Turns of pairs: each conversation as chosen, and as rejected with its last assistant turn's text from the next.
+
+    The next conversation of n is the one whose number is n + 1; of several rows of its last assistant turn the least text
+    counts. Where it is missing or has no such turn, the rejected side's turn is left out; a conversation without an
+    assistant turn is alike on both sides. A null number is a conversation that lends nothing. What travels is one text a
+    conversation, by its number; the turns are read where they lie and once more for the last turns' numbers.
+    """
+    rows = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("int").alias("turn"), "role", "text")
+    answers = rows.where(F.col("role") == ASSISTANT)
+    last = answers.groupBy("pair_id", part(F.col("pair_id"))).agg(F.max(F.coalesce("turn", F.lit(NO_TURN))).alias("at")).select(F.col("pair_id").alias("of"), "at")
+    marked = rows.join(last, F.col("pair_id").eqNullSafe(F.col("of")), "left").withColumn("ends", (F.col("role") == ASSISTANT) & (F.coalesce("turn", F.lit(NO_TURN)) == F.col("at")))
+    marked = marked.withColumn("ends", F.coalesce("ends", F.lit(False))).select("pair_id", "turn", "role", "text", "ends")
+    lent = marked.where("ends").groupBy("pair_id", part(F.col("pair_id"))).agg(F.min(F.coalesce("text", F.lit(""))).alias("lent")).select((F.col("pair_id") - 1).alias("to"), "lent")
+    chosen = marked.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
+    same = marked.where("not ends").select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text")
+    # one row of the last turn however many it has
+    places = marked.where("ends").select("pair_id", "turn", "role").distinct()
+    changed = places.join(lent, F.col("pair_id") == F.col("to")).select("pair_id", F.lit("rejected").alias("side"), "turn", "role", F.col("lent").alias("text"))
+    return chosen.unionByName(same).unionByName(changed)
+
+
 def _spans(turns: Column) -> Column:
     """[low, high) of the assistant's turns in the text that the turns make, each as often as it is there."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<low:int,high:int>>").alias("spans"))
@@ -83,9 +109,15 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["low"].cast("string"), s["high"].cast("string"))), ",")
 
 
-#: preference_pairs(adjacent_pairs(conversations)) in SQL, with spans as text.
+#: preference_pairs(borrowed_answers(conversations)) in SQL, with spans as text.
 ORACLE_SQL = """
-WITH turns AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) pair_id, conv_id % 2 = 0 AS a, coalesce(turn, -2147483648) AS turn, CASE WHEN turn > 0 THEN turn // 256 ELSE 0 END AS segment, coalesce(role, '') role, coalesce(text, '') text FROM conversations),
+WITH given AS (SELECT conv_id AS pair_id, turn, coalesce(turn, -2147483648) AS at, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+ends AS (SELECT pair_id, max(at) AS last FROM given WHERE role = 'assistant' GROUP BY pair_id),
+marked AS (SELECT g.*, role = 'assistant' AND at IS NOT DISTINCT FROM last AS ends FROM given g LEFT JOIN ends e ON g.pair_id IS NOT DISTINCT FROM e.pair_id),
+lent AS (SELECT pair_id - 1 AS pair_id, min(text) AS lent FROM marked WHERE ends GROUP BY ALL),
+sides AS (SELECT pair_id, true AS a, at AS turn, role, text FROM marked UNION ALL SELECT pair_id, false, at, role, text FROM marked WHERE NOT ends
+UNION ALL SELECT m.pair_id, false, at, role, lent FROM (SELECT DISTINCT pair_id, at, role FROM marked WHERE ends) m JOIN lent l ON m.pair_id = l.pair_id),
+turns AS (SELECT pair_id, a, turn, CASE WHEN turn > 0 THEN turn // 256 ELSE 0 END AS segment, role, text FROM sides),
 by_turn AS (SELECT pair_id, turn, list_sort(list(role || chr(0) || text) FILTER (a)) x, list_sort(list(role || chr(0) || text) FILTER (NOT a)) y FROM turns GROUP BY ALL),
 splits AS (SELECT pair_id, min(turn) FILTER (x IS DISTINCT FROM y) split, bool_or(x IS NOT NULL) AND bool_or(y IS NOT NULL) complete FROM by_turn GROUP BY ALL),
 said AS (SELECT pair_id, segment, complete, turn, role, text, CASE WHEN split IS NULL OR turn < split THEN 'prompt' WHEN a THEN 'chosen' ELSE 'rejected' END AS part, a,

@@ -20,7 +20,7 @@ def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preference.preference_pairs(preference.adjacent_pairs(table(spark, sf_dir, "conversations")))
+    pairs = preference.preference_pairs(preference.borrowed_answers(table(spark, sf_dir, "conversations")))
     return pairs.withColumns({c: preference.as_text(F.col(c)) for c in ("chosen_loss", "rejected_loss")})
 
 

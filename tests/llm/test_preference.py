@@ -86,3 +86,33 @@ def test_a_hot_conversation_is_many_rows(spark):
     got = pairs(turns(spark, rows))
     assert len(got) == 12 and got == brute(rows, preference.SEGMENT)
     assert "".join(got[0, s][0] for s in range(12)) == told("user", "x") * 2000
+
+
+def borrowed(rows):
+    """Both sides' turns by plain loops."""
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        by[conv].append((preference.NO_TURN if turn is None else turn, turn, role, text))
+    last = {c: max((t[0] for t in ts if t[2] == "assistant"), default=None) for c, ts in by.items()}
+    lent = {c: min(t[3] or "" for t in ts if t[0] == last[c] and t[2] == "assistant") for c, ts in by.items() if last[c] is not None}
+    out = []
+    for c, ts in by.items():
+        ends = [t[0] == last[c] and t[2] == "assistant" for t in ts]
+        out += [(c, "chosen", t[1], t[2], t[3]) for t in ts] + [(c, "rejected", t[1], t[2], t[3]) for t, e in zip(ts, ends, strict=True) if not e]
+        if any(ends) and c is not None and c + 1 in lent:
+            t = next(t for t, e in zip(ts, ends, strict=True) if e)
+            out.append((c, "rejected", t[1], t[2], lent[c + 1]))
+    return sorted(out, key=str)
+
+
+def test_borrowed_answers_against_plain_loops(spark):
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(["a", "b", "", None, "é<|"])) for c in [*range(30), *range(33, 40)] for t in range(rng.choice([1, 2, 6]))]
+    rows += [(5, 90, "assistant", "z"), (5, 90, "assistant", "y"), (6, None, "assistant", "w"), (None, 0, "assistant", "n"), (None, 1, "user", "n")] + [(7, 3, "assistant", "r")] * 3
+    given = spark.createDataFrame([(*r, "p", "s", "x") for r in rows], TURNS)
+    got = preference.borrowed_answers(given)
+    assert sorted(map(tuple, got.collect()), key=str) == borrowed(rows)
+    both = {p: (a, r) for (p, _), (_, a, _, r, _, _) in pairs(got).items()}
+    prompts = {p: x[0] for (p, _), x in pairs(got).items()}
+    assert sum(bool(x) for x in prompts.values()) > 10 and sum(a != r for a, r in both.values()) > 10
+    assert preference.borrowed_answers(given.limit(0)).count() == 0
