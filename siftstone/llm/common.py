@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql.types import DataType, StructType
 
 from siftstone.session import checkpointed, shared_folder
 
-__all__ = ["WORD", "checkpointed", "col", "discard", "n_words", "part", "place", "shared_folder", "snapshot", "table", "unit_hash", "utf8", "with_fields"]
+__all__ = ["WORD", "checkpointed", "col", "discard", "n_words", "noted", "part", "place", "shared_folder", "snapshot", "table", "unit_hash", "utf8", "with_fields"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,9 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_places: ContextVar[list[str] | None] = ContextVar("places", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders that ``place`` names inside, for a caller who knows when nothing reads them any more."""
+    token = _places.set([])
+    try:
+        yield _places.get()
+    finally:
+        _places.reset(token)
+
+
 def place(spark: SparkSession, name: str = "rows") -> str:
     """A new folder in the shared one."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (names := _places.get()) is not None:
+        names.append(path)
+    return path
 
 
 def snapshot(df: DataFrame, path: str | None = None) -> DataFrame:

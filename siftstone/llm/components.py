@@ -4,6 +4,9 @@ Every step is a group-by with partial aggregation and an equi-join, so a hub is
 the edge table is written to the shared checkpoint folder each round. Rounds go on until every component is a star, as
 many as the logarithm of the longest chain; edges that are stars from the start need none. Nothing is gathered on the
 driver but two counts.
+
+Defined cases: an edge with a null end links nothing; loops and repeated edges count once; no edges give no rows; other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import checkpointed, part
 
+
 def _linked_to_least(edges: DataFrame, low: str, high: str) -> DataFrame:
     """least: for each node ``low``, the smallest of it and its neighbours ``high``; joined to its edges."""
     least = edges.groupBy(low, part(F.col(low))).agg(F.min(high).alias("least")).select(F.col(low).alias("node"), F.least(low, "least").alias("least"))

@@ -13,7 +13,7 @@ in the order of doc_id by key ranges (``siftstone.llm.order``), at any size alik
 A document's length is its words plus one end mark. Defined cases: null and empty texts have length 1; documents longer
 than the budget are alone in their batch; repeated rows are packed each for itself, those alike in doc_id and text in
 any order; a null doc_id comes first; an empty table gives an empty result; other columns of the table go along in
-``packed_rows`` whatever their names, and aren't read by ``packed``.
+``packed_rows`` whatever their names (an added column gives way to one of its name), and aren't read by ``packed``.
 """
 
 from __future__ import annotations
@@ -106,13 +106,15 @@ def packed(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> Dat
 
 
 def packed_rows(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
-    """docs with n_tokens, bucket, bucket_tokens, batch, slot and padding after the given columns; a given column of such a name gives way."""
+    """docs with n_tokens, bucket, bucket_tokens, batch, slot and padding after the given columns; where a given column has such a name, the added one has "_2", "_3", ... behind."""
     added = ("n_tokens", "bucket", "bucket_tokens", "batch", "slot", "padding")
-    names = [n for n in docs.columns if n.lower() not in added]
+    names = docs.columns
+    taken = {n.lower() for n in names}
+    free = [next(x for x in (a, *(f"{a}_{i}" for i in range(2, len(names) + 3))) if x not in taken) for a in added]
     kept = snapshot(docs.select(F.struct(*(col(n).alias(n) for n in names)).alias("row"), F.monotonically_increasing_id().alias("id")))
     lean = kept.select("id", *_lean(F.col("row.doc_id"), F.col("row.text")))
     found = placed(checkpointed(lean), budget, buckets).select(F.col("id").alias("of"), *added)
-    return kept.join(found, F.col("id") == F.col("of")).select(*(F.col("row")[n].alias(n) for n in names), *added)
+    return kept.join(found, F.col("id") == F.col("of")).select(*(F.col("row")[n].alias(n) for n in names), *(F.col(a).alias(x) for a, x in zip(added, free, strict=True)))
 
 
 #: packed(documents) in SQL.

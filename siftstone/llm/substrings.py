@@ -377,7 +377,8 @@ def remove_recurring(docs: DataFrame, text: str = "text", width: int = WIDTH) ->
     """docs with recurring byte ranges cut out of the text column (what is left of a cut character is dropped); a null text stays null."""
     names = docs.columns
     # the given columns but the text go through as one, so that none of their names can clash
-    row = F.struct(*(col(n).alias(n) for n in names if n != text), col(text).isNull().alias("text is null"))
+    rest = [col(n).alias(n) for n in names if n != text]
+    row = F.struct(F.struct(*rest).alias("given") if rest else F.lit(None).alias("given"), col(text).isNull().alias("without"))
     ranges = recurring_ranges(_with_hashes(docs, row, text), width)
 
     def clean(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -386,7 +387,7 @@ def remove_recurring(docs: DataFrame, text: str = "text", width: int = WIDTH) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "left"])
 
     cleaned = ranges.mapInArrow(clean, with_fields({"row": ranges.schema["id"].dataType}, "left string"))
-    return cleaned.select(*(F.when(~F.col("row")["text is null"], F.col("left")).alias(n) if n == text else F.col("row")[n].alias(n) for n in names))
+    return cleaned.select(*(F.when(~F.col("row.without"), F.col("left")).alias(n) if n == text else F.col("row.given")[n].alias(n) for n in names))
 
 
 #: removal_digests(documents) in SQL, by counting every string of 200 bytes, in hexadecimal.

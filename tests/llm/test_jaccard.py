@@ -68,6 +68,30 @@ def test_crowded_bands_are_parted(spark):
         jaccard._members = real
 
 
+def test_groups_that_no_band_parts_are_searched_in_pieces(spark, monkeypatch):
+    texts = template()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string")
+    held = []
+    monkeypatch.setattr(jaccard, "LEVELS", 0)
+    monkeypatch.setattr(jaccard, "_in_pieces", lambda *x, f=jaccard._in_pieces: held.append(f(*x)) or held[-1])
+    got = {r["key"]: r["component_id"] for r in jaccard.near_copies(docs, hot=12).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+    assert held
+    for n in (13, 50):
+        alike = " ".join(f"w{i}" for i in range(200))
+        same = [jaccard.shingles((alike + f" e{i}").encode()) for i in range(n)]
+        rows = spark.createDataFrame([(7, f"{i:02}".encode(), n) for i in range(n)], "band long, name binary, n long")
+        links = jaccard._in_pieces(rows, spark.createDataFrame([(f"{i:02}".encode(), x.tobytes()) for i, x in enumerate(same)], "name binary, shingles binary"), 12).collect()
+        groups = {i: {i} for i in range(n)}
+        for r in links:
+            a, b = groups[int(r["a"])], groups[int(r["b"])]
+            if a is not b:
+                a |= b
+                for i in b:
+                    groups[i] = a
+        assert len(groups[0]) == n
+
+
 def test_search_goes_on_from_what_was_reached(spark):
     chain = [" ".join(f"w{i}" for i in range(k, k + 200)) for k in range(0, 200, 10)]
     assert {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(chain)), DOCS)).collect()} == {0}

@@ -82,6 +82,13 @@ def test_rows_go_along(spark):
     rows = [(1, "a b", "x", 5, "s"), (2, None, None, None, None), (1, "a b", "y", 6, "s"), (None, "q " * 50, "z", 7, "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, slot int, `row` string")
     got = packing.packed_rows(df, budget=16, buckets=2)
-    assert got.columns == ["doc_id", "text", "a.b", "row", "n_tokens", "bucket", "bucket_tokens", "batch", "slot", "padding"]
+    assert got.columns == ["doc_id", "text", "a.b", "slot", "row", "n_tokens", "bucket", "bucket_tokens", "batch", "slot_2", "padding"]
     assert sorted((repr(r["text"]), repr(r["a.b"]), r["n_tokens"]) for r in got.collect()) == sorted((repr(t), repr(x), len((t or "").split()) + 1) for _, t, x, _, _ in rows)
     assert packing.packed_rows(df.limit(0)).count() == 0
+
+
+def test_given_names_stay(spark):
+    given = spark.createDataFrame([(1, "a b", "x", 7, 9)], "doc_id long, text string, batch string, Bucket int, slot_2 int")
+    rows = packing.packed_rows(given)
+    assert rows.columns == ["doc_id", "text", "batch", "Bucket", "slot_2", "n_tokens", "bucket_2", "bucket_tokens", "batch_2", "slot", "padding"]
+    assert tuple(rows.first()) == (1, "a b", "x", 7, 9, 3, 0, 3, 0, 0, 0)

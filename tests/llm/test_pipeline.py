@@ -1,12 +1,14 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftstone.llm import mixing, quality, queries
+from siftstone.llm.common import shared_folder
 from tests.llm.test_jaccard import brute as near_groups
 from tests.llm.test_quality import corpus
 from tests.llm.test_substrings import brute as removed
@@ -51,7 +53,7 @@ def test_stages_one_by_one(spark, folder):
     # the classifier's decisions are its query's
     scores = quality.classified(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
     assert Counter(kept.keys()) == Counter(r["doc_id"] for r in scores.where("predicted = 1").collect())
-    single = {r["doc_id"] for r in held["simhash_near_dedup"]}
+    single = {r["doc_id"] for r in held["near_dedup"]}
     ids = sorted(kept)
     assert single == {ids[i] for i in near_groups([kept[i] for i in ids])}
     assert len(single & {2000, 2001, 2002}) == 1 and single <= kept.keys()
@@ -82,15 +84,26 @@ def test_run_is_the_stages(spark, folder):
     assert sorted(map(repr, rows)) == sorted(map(repr, docs.collect()))
 
 
+def test_run_leaves_one_copy_behind(spark, folder):
+    path, _ = folder
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    whole = lambda: {p.name for p in shared.iterdir() if any(p.glob("*.parquet"))}
+    before = whole()
+    docs = corpus_pipeline.run(spark, path)
+    left = whole() - before
+    assert len(left) == 1 and next(iter(left)).startswith("rows-")
+    assert docs.count() > 0
+
+
 def test_stages_take_empty_and_wider_tables(spark, folder):
     path, _ = folder
-    wide = spark.read.parquet(f"{path}/documents.parquet").withColumn("row", F.lit("x")).withColumn("copies", F.lit(1)).withColumn("a.b", F.lit("y")).withColumn("id", F.lit(2)).withColumn("key", F.lit(3))
+    wide = spark.read.parquet(f"{path}/documents.parquet").withColumn("row", F.lit("x")).withColumn("copies", F.lit(1)).withColumn("a.b", F.lit("y")).withColumn("id", F.lit(2)).withColumn("key", F.lit(3)).withColumn("text is null", F.lit("z")).withColumn("batch", F.lit(5)).withColumn("given", F.lit(6))
     for docs in (wide.limit(0), wide):
         for name, stage in corpus_pipeline.STAGES:
             before, docs = docs.columns, stage(spark, docs, path)
             assert docs.columns[: len(before)] == before
-        rows = docs.select("row", "copies", "`a.b`", "id", "key").distinct().collect()
-        assert [tuple(r) for r in rows] in ([], [("x", 1, "y", 2, 3)])
+        rows = docs.select("row", "copies", "`a.b`", "id", "key", "`text is null`", "batch", "given").distinct().collect()
+        assert [tuple(r) for r in rows] in ([], [("x", 1, "y", 2, 3, "z", 5, 6)])
 
 
 def test_mix_target_is_a_fair_share(spark):
@@ -100,5 +113,5 @@ def test_mix_target_is_a_fair_share(spark):
 
 def test_queries_are_registered():
     names = list(queries.queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert set(queries.oracle_sql()) <= set(names)
