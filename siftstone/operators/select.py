@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from siftstone.functions.automaton import Automaton
 from siftstone.functions.text import glob_regex_sql
+from siftstone.session import checkpointed
 
 TOP = 6
-#: Rows of knowledge that may be broadcast.
-LIMIT = 10_000
+#: Rows of knowledge that may be broadcast, and bytes of needles.
+LIMIT, BYTES = 10_000, 4_000_000
 #: Impact ranks; an unknown impact ranks 1.
 IMPACT = {"critical": 3, "high": 2, "medium": 1, "low": 0}
 
@@ -26,18 +32,48 @@ def in_parts(small: DataFrame, limit: int = LIMIT) -> list[DataFrame]:
     return [part for i in range(n) for part in in_parts(small.where(F.pmod(row, F.lit(n)) == i).distinct(), limit)]
 
 
+def gathered_parts(small: DataFrame, needle: str, limit: int = LIMIT, most: int = BYTES) -> list[list[Row]]:
+    """The rows of a table, in parts of at most ``limit`` rows and ``most`` bytes of needles (or one needle); at least one part."""
+    size = small.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(needle)), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= limit and size["bytes"] <= most or size["n"] == 1:
+        return [small.collect()]
+    numbered = small.withColumn("_part", F.pmod(F.xxhash64(*small.columns, F.monotonically_increasing_id()), F.lit(max(2, -(-2 * size["n"] // limit), -(-2 * size["bytes"] // most)))))
+    numbered = checkpointed(numbered)
+    parts = [r["_part"] for r in numbered.select("_part").distinct().collect()]
+    return [rows for i in sorted(parts) for rows in gathered_parts(numbered.where(F.col("_part") == i).drop("_part"), needle, limit, most)]
+
+
 def met(left: DataFrame, small: DataFrame, on: Callable[[], Column], limit: int = LIMIT) -> DataFrame:
     """left joined to a small table on a condition without a key, a part of it at a time."""
     return reduce(DataFrame.unionByName, (left.join(part, on()) for part in in_parts(small, limit)))
 
 
-def contained(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", limit: int = LIMIT) -> DataFrame:
-    """(text rows) x (needles that the text contains), rows of needles added.
+def contained(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", limit: int = LIMIT, most: int = BYTES) -> DataFrame:
+    """(columns of texts but the text, columns of needles) for each row of texts and each needle that its text contains.
 
-    Containment has no key to join on. Needles are knowledge, a small table: its size is checked against ``limit``
-    before it is broadcast, and a larger one goes in parts of that size, each a scan of the texts where they lie.
+    Containment has no key to join on, so all needles are looked for in one reading of each text, by an automaton
+    (``siftstone.functions.automaton``) whose size is the needles', not the texts'. Needles are knowledge, a small table:
+    its rows and bytes are checked against ``limit`` and ``most`` before they are gathered and broadcast, and a larger one
+    goes in parts of that size. Null and empty needles are in no text, null texts contain none; repeated rows count each.
     """
-    return met(texts, needles.where(F.col(needle) != ""), lambda: F.contains(F.col(text), F.col(needle)), limit)
+    spark, rest = texts.sparkSession, [c for c in texts.columns if c != text]
+    kinds = StructType([texts.schema[c] for c in rest])
+    out = []
+    for part in gathered_parts(needles.where(F.col(needle) != ""), needle, limit, most):
+        automaton = spark.sparkContext.broadcast(Automaton.of([r[needle].encode() for r in part]))
+
+        def search(batches: Iterator[pa.RecordBatch], automaton: Broadcast = automaton) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = batch.column(0).cast(pa.large_binary())
+                offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+                data = column.buffers()[2]
+                row, found = automaton.value.found(data[offsets[0] : offsets[-1]].to_pybytes() if data else b"", offsets - offsets[0])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns[1:]), pa.array(found.astype(np.int32))], [*rest, "_needle"])
+
+        hits = texts.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), *rest).mapInArrow(search, StructType([*kinds, StructField("_needle", IntegerType())]))
+        numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(part)], StructType([StructField("_number", IntegerType()), *needles.schema]))
+        out.append(hits.join(F.broadcast(numbered), F.col("_needle") == F.col("_number")).drop("_needle", "_number"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def triggered(diffs: DataFrame, triggers: DataFrame) -> DataFrame:
