@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftstone.functions import lines
 from siftstone.functions.location import chunk_path
 from siftstone.functions.text import strip
+from siftstone.operators.order import within_total
 
 BATCH, PER_FILE, TOTAL, UNIT = 60_000, 24_000, 120_000, 16_000
 
@@ -49,10 +50,13 @@ def windowed(files: DataFrame, window: int = lines.WINDOW, overlap: int = lines.
 
 
 def within_budget(parts: DataFrame, group: list[str], order: list[str], size: str, total: int = TOTAL, per_part: int = PER_FILE) -> DataFrame:
-    """Parts in order until their sizes, each cut to per_part, reach the total; the one that crosses it stays. ``taken``: its cut size."""
-    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    """Parts in order until their sizes, each cut to per_part, reach the total; the one that crosses it stays. ``taken``: its cut size.
+
+    Sizes are summed by key ranges (``siftstone.operators.order``) without what else the parts have, so no task holds a
+    group or its texts. Parts alike in group, order and size stay or go together.
+    """
     cut = parts.withColumn("taken", F.least(F.col(size), F.lit(per_part)))
-    return cut.withColumn("_before", F.coalesce(F.sum("taken").over(before), F.lit(0))).where(F.col("_before") < total).drop("_before")
+    return within_total(cut, group, order, "taken", total)
 
 
 def gathered(parts: DataFrame, group: list[str], order: list[str], text: str = "text", total: int = TOTAL, per_part: int = PER_FILE) -> DataFrame:
