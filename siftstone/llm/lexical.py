@@ -36,7 +36,7 @@ from siftstone.llm.common import place, utf8
 from siftstone.llm.order import in_order
 from siftstone.llm.words import Vocabulary, counts, texts, words
 
-K, TOKENS, ITEM_TERMS = 20, 2_000_000, 100_000
+K, TOKENS, ITEM_TERMS = 20, 1_000_000, 100_000
 #: A shard numbers its documents in so many bits, and impacts are below 2^20.
 DOC_BITS, IMPACT_BITS = 16, 20
 INDEX = "terms array<binary>, starts binary, impacts binary, bits binary, docs binary, named binary, n_docs int"
