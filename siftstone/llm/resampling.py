@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import utf8
+from siftstone.llm.common import checkpointed, utf8
 from siftstone.llm.order import in_order
 from siftstone.llm.words import Vocabulary, texts, words
 
@@ -205,7 +205,8 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, longes
     aimed, _ = bucket_counts(target.select(F.lit(None).cast("long").alias("id"), utf8(F.col("text")).alias("text")), longest, buckets, least, size)
     weighed = lean.mapInArrow(_weigher(gains_of(source, aimed), longest, size), "doc_id long, n_words long, n_features long, weight long")
     keyed = weighed.select("doc_id", "n_features", "weight", (F.col("n_words") < least).alias("short"), F.col("doc_id").isNull().alias("unnamed"), (-(F.col("weight") + noise(F.col("doc_id"), seed))).alias("falling"))
-    ordered = in_order(keyed, ["short", "falling", "unnamed", "doc_id"])
+    # written before the ranges are drawn from it, so the texts are weighed once
+    ordered = in_order(checkpointed(keyed), ["short", "falling", "unnamed", "doc_id"])
     rank = F.when(F.col("place") < long * percent // 100, F.col("place") + 1)
     return ordered.select("doc_id", "n_features", "weight", (-F.col("falling")).alias("score"), rank.alias("rank"))
 
