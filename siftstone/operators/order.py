@@ -59,3 +59,14 @@ def within_total(rows: DataFrame, group: Sequence[str], order: Sequence[str], si
     lasts = last_within(rows, group, order, size, total, ranges)
     place = F.struct(*(F.col(c) for c in order), F.col(size).cast("long").alias("_size"))
     return rows.join(lasts, same(group, "_of_"), "left").where(F.col("_last").isNull() | (place <= F.col("_last"))).select(*rows.columns)
+
+
+def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: str, ranges: int = RANGES) -> DataFrame:
+    """rows, written, with their number from 0 in their group's order; rows alike in the order are numbered in any order."""
+    of = [F.col(g).alias(f"_of_{g}") for g in group]
+    placed = ranged(rows, [*group, *order], ranges)
+    held = placed.groupBy(F.col("_range").alias("_in"), *of).agg(F.count("*").alias("_rows"))
+    whole = Window.partitionBy(*(f"_of_{g}" for g in group)).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.withColumn("_before", F.coalesce(F.sum("_rows").over(whole), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_range", *group).orderBy(*order)) - 1
+    return placed.join(starts, (F.col("_range") == F.col("_in")) & same(group, "_of_")).select(*rows.columns, (F.col("_before") + inside).alias(name))
