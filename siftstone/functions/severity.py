@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -56,9 +57,20 @@ def upper_median(ranks: Column) -> Column:
     return by_rank(F.get(ordered, F.floor(F.size(ordered) / 2).cast("int")))
 
 
-def median_level(level: Column) -> Column:
-    """The upper middle level of a group, an aggregate. Ranks are counted, so its state doesn't grow with the group."""
-    n = F.count(level)
-    counts = [F.sum((rank(level) <= r).cast("long")) for r in range(len(LEVELS))]
+def median_level(level: Column, votes: Column | None = None) -> Column:
+    """The upper middle level of a group, an aggregate; a row counts as many votes. Ranks are counted, so its state doesn't grow with the group."""
+    one = F.lit(1) if votes is None else votes
+    n = F.sum(F.when(level.isNotNull(), one))
+    counts = [F.sum(F.when(level.isNotNull() & (rank(level) <= r), one).otherwise(0).cast("long")) for r in range(len(LEVELS))]
     # the value at place n // 2 of the sorted ranks is the first whose cumulative count exceeds it
     return _case([(counts[r] > F.floor(n / 2), F.lit(LEVELS[-1 - r])) for r in range(len(LEVELS))], F.lit(DEFAULT))
+
+
+def middle(counts: Sequence[int]) -> str:
+    """The upper middle level of so many votes for each of LEVELS; MEDIUM for none."""
+    upto = 0
+    for level, n in zip(reversed(LEVELS), reversed(counts), strict=True):
+        upto += n
+        if upto > sum(counts) // 2:
+            return level
+    return DEFAULT

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import severity
 from siftstone.functions.location import at_line, finding_slug
+from siftstone.operators.order import numbered
 from siftstone.operators.union import consensus
 
 TOOL = "siftstone"
@@ -23,14 +24,24 @@ def report_order() -> list[Column]:
     return [severity.index(severity.normalize(F.col("severity"))), F.col("file"), F.coalesce("line", F.lit(0)), F.col("seq")]
 
 
+def _sorted(rows: DataFrame, *keys: Column) -> DataFrame:
+    """rows by the keys, each worked out once a row and not in every comparison."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    return rows.select("*", *(k.alias(n) for k, n in zip(keys, names, strict=True))).orderBy(*names).drop(*names)
+
+
 def sorted_findings(findings: DataFrame) -> DataFrame:
     """By severity from the worst, file, line and seq."""
-    return findings.orderBy(*report_order())
+    return _sorted(findings, *report_order())
 
 
 def ranked(findings: DataFrame) -> DataFrame:
     """By consensus, then severity from the worst (unknown ones last), then seq."""
-    return findings.orderBy(F.desc(consensus(F.col("found_by"))), severity.index(F.col("severity"), unknown=len(severity.LEVELS)), "seq")
+    return _sorted(findings, *rank_order())
+
+
+def rank_order() -> list[Column]:
+    return [-F.coalesce(consensus(F.col("found_by")), F.lit(-1)), severity.index(F.col("severity"), unknown=len(severity.LEVELS)), F.col("seq")]
 
 
 def severity_counts(findings: DataFrame, level: Column | None = None) -> DataFrame:
@@ -120,8 +131,10 @@ def finding_names(findings: DataFrame, stem: Column | None = None) -> DataFrame:
     """
     slug = finding_slug(F.concat_ws("-", at_line(F.col("file"), F.col("line")), "category"))
     based = findings.withColumn("_base", slug if stem is None else F.coalesce(F.nullif(stem, F.lit("")), slug))
-    number = F.row_number().over(Window.partitionBy("_base").orderBy(F.desc(consensus(F.col("found_by"))), severity.index(F.col("severity"), unknown=len(severity.LEVELS)), "seq"))
-    named = based.withColumn("_n", number).withColumn("name", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n").cast("string"))))
+    keyed = based.withColumns({f"_key{i}": k for i, k in enumerate(rank_order())})
+    # by key ranges: a popular name is no task's alone
+    placed = numbered(keyed, ["_base"], ["_key0", "_key1", "_key2"], "_place").drop("_key0", "_key1", "_key2")
+    named = placed.withColumn("_n", (F.col("_place") + 1).cast("int")).drop("_place").withColumn("name", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n").cast("string"))))
     again = F.row_number().over(Window.partitionBy("name").orderBy("_n", "seq"))
     return named.withColumn("_again", again).withColumn("name", F.when(F.col("_again") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", F.col("seq").cast("string")))).drop("_base", "_n", "_again")
 

@@ -35,17 +35,17 @@ def _evidence(rows: Column) -> Column:
     return F.aggregate(rows, F.lit("").cast("string"), step)
 
 
-def fold(candidates: DataFrame, by_file: bool = False, key: Column | None = None) -> DataFrame:
+def fold(candidates: DataFrame, by_file: bool = False, key: Column | None = None, votes: Column | None = None) -> DataFrame:
     """One row a key: the first row's fields, the evidence of all in order, confirmed if any is, all models, the upper middle severity.
 
     Only evidence needs an order. Repeated evidence of a key is dropped before its rows are gathered (a text that was
     seen is contained in the fold, so that changes nothing): a hot key's array has its distinct texts only. All other
-    fields are partial aggregates.
+    fields are partial aggregates. votes: how many rows a row stands for.
     """
     keyed = candidates.withColumn("key", candidate_key(by_file) if key is None else key)
     first = F.min_by(F.struct(*FIRST, "found_by", "severity"), "seq")
     level = severity.normalize(F.col("severity"))
-    heads = keyed.groupBy("key").agg(first.alias("first"), F.min("seq").alias("seq"), F.max((F.col("status") == CONFIRMED).cast("int")).alias("confirmed"), F.min_by("status", "seq").alias("status"), severity.median_level(level).alias("median"), F.count("*").alias("n_rows"))
+    heads = keyed.groupBy("key").agg(first.alias("first"), F.min("seq").alias("seq"), F.max((F.col("status") == CONFIRMED).cast("int")).alias("confirmed"), F.min_by("status", "seq").alias("status"), severity.median_level(level, votes).alias("median"), (F.count("*") if votes is None else F.sum(votes)).cast("long").alias("n_rows"))
     models = keyed.select("key", F.explode("found_by").alias("model")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("model")).alias("models"))
     texts = keyed.groupBy("key", "evidence").agg(F.min("seq").alias("seq")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "evidence"))).alias("texts"))
     joined = heads.join(texts, "key").join(models, "key", "left")

@@ -40,7 +40,7 @@ def keep_union(candidates: DataFrame, path: str, by_file: bool = False, every: i
     Every ``every`` batches the rows since the last such batch, and what it held, are folded into one base, and what
     lies before that base is removed (the base before it stays, so a batch that is run again finds what it read the
     first time, and overwrites its own). So bytes written grow with the batches, not with their square. Severity votes
-    are counted with the rows: their median needs them all.
+    are counted with the rows, which the median weighs.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
@@ -74,5 +74,4 @@ def _rows(spark: SparkSession, path: str, n: int, base: int | None, every: int)
 def kept_union(spark: SparkSession, path: str, n: int, every: int = EVERY) -> DataFrame:
     """The union after batch n, its severities weighed by all votes. every: as it was written."""
     rows = _folded(_rows(spark, path, n, n // every * every or None, every))
-    votes = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("n_votes"))).alias("_vote")).drop("_vote", "n_votes")
-    return union.fold(votes, key=F.col("key"))
+    return union.fold(rows, key=F.col("key"), votes=F.col("n_votes"))
