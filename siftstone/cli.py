@@ -29,7 +29,7 @@ from siftstone.operators import chunk, compare, coverage, filters, gate, passes,
 from siftstone.plans import adversarial, review_diff, review_repository, seams
 from siftstone.queries import queries
 from siftstone.session import local_session, shared_folder, ship
-from siftstone.sources import checkpoint, files, keys, notes, payload, rules
+from siftstone.sources import checkpoint, files, formats, keys, notes, payload, rules
 
 CLASSES = "id string, impact string, triggers array<string>, aliases array<string>"
 GLOBS, MARKERS, EXPORTS, LAYERS = ["*routes*", "*views*", "*controller*", "*handler*", "*main*"], ["@route", "@app.", "router.", "http.HandleFunc"], [r"^(export|public|def|func|function|contract)\b"], ["*/services/*", "*/service/*", "*/models/*", "*/lib/*"]
@@ -54,19 +54,21 @@ def classes(spark: SparkSession, path: str | None) -> DataFrame:
     """The knowledge's classes: notes of a folder, or none."""
     if path is None:
         return spark.createDataFrame([], CLASSES)
-    return notes.knowledge_docs(notes.read_texts(spark, path, "*.md")).select("id", "impact", "triggers", "aliases")
+    return notes.knowledge_docs(formats.read_notes(spark, path, "*.md")).select("id", "impact", "triggers", "aliases")
 
 
 def shown(spark: SparkSession, findings: DataFrame, args: argparse.Namespace, failed: int = 0) -> int:
     """Print a report; 1 if a finding is as severe as --fail-on or a unit failed."""
     rows = findings.withColumn("seq", F.monotonically_increasing_id()) if "seq" not in findings.columns else findings
-    print(report.render(rows, args.format).first()["report"])
+    target = None
     if getattr(args, "source_meta", None):
         if not Path(args.source_meta).exists():
             raise ValueError(f"there is no {args.source_meta}")
         meta = payload.provenance(spark, args.source_meta)
-        if meta is not None and args.format == "markdown":
-            print(workspace.target_note(payload.provenance_rows(meta)).first()["text"])
+        if meta is not None:
+            fields = payload.provenance_rows(meta).select("field", "value")
+            target = fields.unionByName(meta.where("address <> ''").select(F.lit("address").alias("field"), F.col("address").alias("value")))
+    print(report.render(rows, args.format, target=target).first()["report"])
     if failed:
         print(f"{failed} units failed; this is no clean result", file=sys.stderr)
     return int(failed > 0 or filters.severity_gate(rows, args.fail_on).first()["failed"])
@@ -85,7 +87,8 @@ def review_diff_(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.mode == "adversarial":
         place = args.workspace or f"{shared_folder(spark)}/debate-{uuid.uuid4().hex}"
         parts = review_diff.batches(diffs, rules.DEFAULT).select(F.col("batch").cast("long").alias("diff_id"), "text")
-        done = adversarial.rounds(parts, model, model, model, place, args.rounds)
+        seats = [provider(getattr(args, seat), False) if getattr(args, seat) else model for seat in chunk.SEATS]
+        done = adversarial.rounds(parts, *seats, place, args.rounds)
         kept, dropped = filters.filter_findings(done.findings, rules.DEFAULT, args.exclude or [], 0.0 if args.no_filter else filters.FLOOR)
         failed = done.status.where("degraded").count()
     else:
@@ -156,10 +159,7 @@ def finalize(spark: SparkSession, args: argparse.Namespace) -> int:
     named = report.finding_names(done)
     checkpoint.save(named, f"{place}/findings")
     named = checkpoint.load(spark, f"{place}/findings")
-    folder = Path(place.removeprefix("file:")) / "notes"
-    folder.mkdir(parents=True, exist_ok=True)
-    for row in report.finding_notes(named).toLocalIterator():
-        (folder / f"{row['name']}.md").write_text(row["note"])
+    formats.write_tree(report.finding_notes(named).select(F.concat("name", F.lit(".md")).alias("path"), F.col("note").alias("text")), f"{place}/notes")
     as_findings = named.withColumns({"description": F.col("title"), "exploit_scenario": F.col("evidence"), "recommendation": F.lit(""), "confidence": F.lit(1.0)})
     return shown(spark, as_findings, args)
 
@@ -194,7 +194,7 @@ def evals(spark: SparkSession, args: argparse.Namespace) -> int:
             found = notes.findings_json(spark.createDataFrame([("r", Path(args.findings_json).read_text())], "name string, text string"), extensions)
         else:
             # a result's notes, a row a file
-            found = notes.finding_notes(notes.read_texts(spark, args.findings_dir, "*.md"), extensions).withColumn("seq", F.row_number().over(Window.orderBy("name")))
+            found = notes.finding_notes(formats.read_notes(spark, args.findings_dir, "*.md"), extensions).withColumn("seq", F.row_number().over(Window.orderBy("name")))
         rows = score.outcomes(found.withColumn("target", F.lit(args.target)), key)
         if args.out:
             checkpoint.save(rows, args.out)
@@ -268,6 +268,8 @@ def parser() -> argparse.ArgumentParser:
     diff.add_argument("--no-filter", action="store_true")
     diff.add_argument("--mode", choices=["standard", "adversarial"], default="standard")
     diff.add_argument("--rounds", type=int, default=adversarial.ROUNDS)
+    for seat in chunk.SEATS:
+        diff.add_argument(f"--{seat}", metavar="MODULE:FUNCTION", help=f"the {seat}'s provider in a debate, in place of --provider")
     repository.add_argument("directory")
     mode = repository.add_mutually_exclusive_group(required=True)
     for name in ("scaffold", "run", "finalize", "gate"):

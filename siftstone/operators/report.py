@@ -82,11 +82,33 @@ def as_markdown(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.select(*by, F.concat_ws("\n\n", head, F.array_join(F.transform("xs", lambda x: x["section"]), "\n\n")).alias("report"))
 
 
-def as_json(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row a report: ``{"findings": [...], "summary": {level: n}}``."""
-    rows = _rows(findings, by, *(F.col(c) for c in FIELDS))
+def targets(fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, target): a report's provenance as a map, fields by name; fields: (by, field, value), a handful for each report."""
+    return fields.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("target"))
+
+
+def _with_target(rows: DataFrame, by: Sequence[str], fields: DataFrame | None) -> DataFrame:
+    """rows, one a report, with their target; null without provenance."""
+    if fields is None:
+        return rows
+    known = targets(fields, by).withColumn("_one", F.lit(1))
+    return rows.withColumn("_one", F.lit(1)).join(known, [*by, "_one"], "left").withColumn("target", F.when(F.size("target") > 0, F.col("target"))).drop("_one")
+
+
+def with_target_text(reports: DataFrame, kind: str, by: Sequence[str], fields: DataFrame) -> DataFrame:
+    """Text or markdown reports with a line for each field before them, where there is provenance."""
+    lines = F.array_join(F.transform(F.map_entries("target"), lambda x: F.concat(F.lit("- "), x["key"], F.lit(": "), x["value"])), "\n")
+    head = F.lit("Target:\n" if kind == "text" else "## Target\n\n")
+    shown = F.when(F.col("target").isNotNull(), F.concat(head, lines, F.lit("\n\n"), "report")).otherwise(F.col("report"))
+    return _with_target(reports, by, fields).select(*by, shown.alias("report"))
+
+
+def as_json(findings: DataFrame, by: Sequence[str] = (), target: DataFrame | None = None) -> DataFrame:
+    """One row a report: ``{"findings": [...], "summary": {level: n}}``, and ``"target": {field: value}`` where provenance is given."""
+    rows = _with_target(_rows(findings, by, *(F.col(c) for c in FIELDS)), by, target)
+    added = [] if target is None else [F.col("target")]
     count = lambda level: F.size(F.filter("xs", lambda x: x["severity"] == level)).alias(level)
-    return rows.select(*by, F.to_json(F.struct(F.col("xs").alias("findings"), F.struct(*map(count, severity.LEVELS)).alias("summary")), {"ignoreNullFields": "false"}).alias("report"))
+    return rows.select(*by, F.to_json(F.struct(F.col("xs").alias("findings"), F.struct(*map(count, severity.LEVELS)).alias("summary"), *added), {"ignoreNullFields": "false"}).alias("report"))
 
 
 def sarif_rules(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -96,8 +118,8 @@ def sarif_rules(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return first.select(*by, "rule_id", (F.row_number().over(Window.partitionBy(*by).orderBy("first")) - 1).alias("rule_index"))
 
 
-def as_sarif(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row a report: a SARIF 2.1.0 log."""
+def as_sarif(findings: DataFrame, by: Sequence[str] = (), target: DataFrame | None = None) -> DataFrame:
+    """One row a report: a SARIF 2.1.0 log; provenance is among its run's properties."""
     placed = findings.where("file <> ''").withColumn("rule_id", F.when(F.coalesce("category", F.lit("")) == "", "security").otherwise(F.col("category")))
     rules = sarif_rules(findings, by)
     region = F.when(F.coalesce("line", F.lit(0)) > 0, F.struct(F.col("line").alias("startLine")))
@@ -108,20 +130,26 @@ def as_sarif(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     rule = F.struct(F.col("rule_id").alias("id"), F.col("rule_id").alias("name"), F.struct(F.col("rule_id").alias("text")).alias("shortDescription"))
     named = rules.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_index", rule.alias("r")))), lambda x: x["r"]).alias("rules"))
     driver = F.struct(F.struct(F.lit(TOOL).alias("name"), F.col("rules")).alias("driver"))
-    run = F.struct(driver.alias("tool"), F.col("xs").alias("results"))
+    properties = [] if target is None else [F.when(F.col("target").isNotNull(), F.struct("target")).alias("properties")]
+    run = F.struct(driver.alias("tool"), F.col("xs").alias("results"), *properties)
     log = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
     # without by, two single rows meet on a constant
     both = results.withColumn("_one", F.lit(1)).join(named.withColumn("_one", F.lit(1)), [*by, "_one"])
-    return both.select(*by, F.to_json(log).alias("report"))
+    return _with_target(both.drop("_one"), by, target).select(*by, F.to_json(log).alias("report"))
 
 
 FORMATS = {"text": as_text, "markdown": as_markdown, "json": as_json, "sarif": as_sarif}
 
 
-def render(findings: DataFrame, kind: str, by: Sequence[str] = ()) -> DataFrame:
+def render(findings: DataFrame, kind: str, by: Sequence[str] = (), target: DataFrame | None = None) -> DataFrame:
+    """One row a report, in a format; target: its provenance (by, field, value)."""
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind}; there are {', '.join(FORMATS)}")
-    return FORMATS[kind](findings, by)
+    if target is None:
+        return FORMATS[kind](findings, by)
+    if kind in ("json", "sarif"):
+        return FORMATS[kind](findings, by, target)
+    return with_target_text(FORMATS[kind](findings, by), kind, by, target)
 
 
 def finding_names(findings: DataFrame, stem: Column | None = None) -> DataFrame:

@@ -178,6 +178,20 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_markdown(relation(spark, sf_dir, "findings"), ["reviewer"])
 
 
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of a reviewer's findings, as provenance; those who found something in the test folder only have none."""
+    rows = relation(spark, sf_dir, "findings").where(~F.startswith("file", F.lit("tests/"))).groupBy("reviewer").agg(F.count_distinct("file").cast("string").alias("files"), F.min("seq").cast("string").alias("first"))
+    return rows.unpivot("reviewer", ["files", "first"], "field", "value")
+
+
+def report_target_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.render(relation(spark, sf_dir, "findings"), "json", ["reviewer"], _fields(spark, sf_dir))
+
+
+def report_target_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.render(relation(spark, sf_dir, "findings"), "text", ["reviewer"], _fields(spark, sf_dir))
+
+
 def finding_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.finding_names(_candidates(spark, sf_dir)).select("seq", "name")
 
@@ -221,7 +235,7 @@ def verify_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.route(rows, F.col("there"), _verdicts(spark, sf_dir)).select("key", "models", "step")
 
 
-QUERIES = {f.__name__: f for f in (severity_breakdown, severity_gate, severity_median, severity_ranks, category_slug, category_of, category_match, category_normalize, category_canonical, finding_dedup, location_dedup, collapse_colocated, finding_filter, dismissal_filter, candidate_key, candidate_union, pass_new_counts, convergence_stop, lens_rotation, pass_replay, failed_units, round_convergence, report_sort, consensus_order, sarif_rules, report_json, report_sarif, report_text, report_markdown, finding_names, surface_status, poc_gaps, verify_votes, confirmers, verify_verdicts, verify_totals, verify_route)}
+QUERIES = {f.__name__: f for f in (severity_breakdown, severity_gate, severity_median, severity_ranks, category_slug, category_of, category_match, category_normalize, category_canonical, finding_dedup, location_dedup, collapse_colocated, finding_filter, dismissal_filter, candidate_key, candidate_union, pass_new_counts, convergence_stop, lens_rotation, pass_replay, failed_units, round_convergence, report_sort, consensus_order, sarif_rules, report_json, report_sarif, report_text, report_markdown, report_target_json, report_target_text, finding_names, surface_status, poc_gaps, verify_votes, confirmers, verify_verdicts, verify_totals, verify_route)}
 
 _SLUG = "replace(replace(lower(trim({})), '_', '-'), ' ', '-')"
 _NEW = "firsts AS (SELECT key, min(pass_no) AS pass_no FROM keyed GROUP BY key), news AS (SELECT pass_no, count(*) AS n_new FROM firsts GROUP BY pass_no)"
@@ -254,6 +268,7 @@ _JSON_COUNTS = " || ',' || ".join(f"""'"{x}":' || CAST(count(*) FILTER (severity
 _SARIF_RESULT = f"""'{{"ruleId":"' || rule_id || '","ruleIndex":' || CAST(rule_index AS VARCHAR) || ',"level":"' || CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END || '","message":{{"text":"' || description || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file || '"}}' || CASE WHEN coalesce(line, 0) > 0 THEN ',"region":{{"startLine":' || CAST(line AS VARCHAR) || '}}' ELSE '' END || '}}}}],"properties":{{"severity":"' || severity || '","category":"' || category || '","confidence":' || {_JSON_DOUBLE} || ',"exploitScenario":"' || exploit_scenario || '"}}}}'"""
 _SARIF_RULE = """'{"id":"' || rule_id || '","name":"' || rule_id || '","shortDescription":{"text":"' || rule_id || '"}}'"""
 
+_TARGETS = "SELECT reviewer, CAST(count(DISTINCT file) AS VARCHAR) AS files, CAST(min(seq) AS VARCHAR) AS first FROM findings WHERE NOT starts_with(file, 'tests/') GROUP BY reviewer"
 SQL = {
     "report_json": f"""WITH {cte('findings')}, {_SHOWN} SELECT reviewer, '{{"findings":[' || string_agg({_JSON_ITEM}, ',' ORDER BY n) || '],"summary":{{' || {_JSON_COUNTS} || '}}}}' AS report FROM x GROUP BY reviewer""",
     "report_sarif": f"""WITH {cte('findings')}, {_SHOWN}, r AS (SELECT *, CASE WHEN category = '' THEN 'security' ELSE category END AS rule_id FROM x), f AS (SELECT reviewer, rule_id, min(n) AS first FROM r GROUP BY ALL), ix AS (SELECT reviewer, rule_id, row_number() OVER (PARTITION BY reviewer ORDER BY first) - 1 AS rule_index FROM f),
@@ -291,6 +306,8 @@ SELECT reviewer, '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","v
     "verify_verdicts": f"WITH {_VERDICTS} SELECT * FROM verdicts",
     "verify_totals": f"WITH {_VERDICTS} SELECT count(*) FILTER (real) AS confirmed, count(*) FILTER (NOT real) AS refuted, CAST(sum(errors) AS BIGINT) AS errors, count(*) FILTER (real AND incomplete) AS incomplete FROM verdicts",
     "verify_route": f"WITH {_VERDICTS} SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(o_orderkey % 3 AS INT) AS models, CASE WHEN o_orderkey % 3 >= 2 THEN 'consensus' WHEN o_orderkey % 10 = 0 THEN 'unlocatable' WHEN NOT coalesce(real, true) THEN 'refuted' WHEN coalesce(incomplete, true) THEN 'kept' ELSE 'verified' END AS step FROM orders LEFT JOIN verdicts ON verdicts.key = CAST(o_orderkey AS VARCHAR)",
+    "report_target_json": f"""WITH {cte('findings')}, {_SHOWN}, t AS ({_TARGETS}) SELECT reviewer, '{{"findings":[' || string_agg({_JSON_ITEM}, ',' ORDER BY n) || '],"summary":{{' || {_JSON_COUNTS} || '}},"target":' || coalesce('{{"files":"' || any_value(files) || '","first":"' || any_value(first) || '"}}', 'null') || '}}' AS report FROM x LEFT JOIN t USING (reviewer) GROUP BY reviewer""",
+    "report_target_text": f"WITH {cte('findings')}, {_SHOWN}, t AS ({_TARGETS}) SELECT reviewer, coalesce('Target:' || chr(10) || '- files: ' || any_value(files) || chr(10) || '- first: ' || any_value(first) || chr(10) || chr(10), '') || string_agg('[' || severity || '] ' || place || ' ' || category || chr(10) || '  ' || description, chr(10) ORDER BY n) AS report FROM x LEFT JOIN t USING (reviewer) GROUP BY reviewer",
     "report_text": f"WITH {cte('findings')}, {_SHOWN} SELECT reviewer, string_agg('[' || severity || '] ' || place || ' ' || category || chr(10) || '  ' || description, chr(10) ORDER BY n) AS report FROM x GROUP BY reviewer",
     "report_markdown": f"WITH {cte('findings')}, {_SHOWN} SELECT reviewer, '# Review: ' || CAST(count(*) AS VARCHAR) || ' findings (' || concat_ws(', ', {_COUNTS}) || ')' || chr(10) || chr(10) || string_agg('## ' || severity || ': ' || category || ' at `' || place || '`' || chr(10) || chr(10) || description || chr(10) || chr(10) || 'Scenario: ' || exploit_scenario, chr(10) || chr(10) ORDER BY n) AS report FROM x GROUP BY reviewer",
     "finding_names": f"WITH {cte('candidates')}, b AS (SELECT seq, severity, {_SLUGGED.format('(' + _PLACE + ") || '-' || category")} AS base FROM candidates), r AS (SELECT seq, base, row_number() OVER (PARTITION BY base ORDER BY {_FINDINGS_ORDER}, seq) AS n FROM b), m AS (SELECT seq, n, CASE WHEN n = 1 THEN base ELSE base || '-' || CAST(n AS VARCHAR) END AS name FROM r), a AS (SELECT seq, name, row_number() OVER (PARTITION BY name ORDER BY n, seq) AS k FROM m) SELECT seq, CASE WHEN k = 1 THEN name ELSE name || '-' || CAST(seq AS VARCHAR) END AS name FROM a",

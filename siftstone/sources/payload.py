@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from siftstone.functions.location import is_unsafe
 from siftstone.functions.text import strip
+from siftstone.sources import formats
 
 #: Explorer chain names and their ids.
 CHAINS = {"ethereum": 1, "bsc": 56, "polygon": 137, "arbitrum": 42161}
@@ -74,17 +74,12 @@ def provenance(spark: SparkSession, path: str, schema: str = "address string, co
 
 
 def write_tree(files: DataFrame, root: str) -> int:
-    """Write (path, text) rows as files below a local folder, one source tree's; a path that isn't relative and safe raises before any is written."""
+    """Write (path, text) rows as files below a folder, by the tasks; a path that isn't relative and safe raises before any is written."""
     bad = files.where(is_unsafe(F.col("path"))).limit(1).collect()
     if bad:
         raise ValueError(f"unsafe path {bad[0]['path']}")
-    n = 0
-    for row in files.select("path", "text").toLocalIterator():
-        place = Path(root) / row["path"]
-        place.parent.mkdir(parents=True, exist_ok=True)
-        place.write_text(row["text"] or "", encoding="utf-8")
-        n += 1
-    return n
+    formats.write_tree(files, root)
+    return files.count()
 
 
 def flag(c: Column) -> Column:

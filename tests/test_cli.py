@@ -35,6 +35,35 @@ def test_diffs(spark, diff, capsys):
     assert cli.main(["review", "diff", "--file", diff]) == 2
 
 
+def refuting(prompts):
+    """A judge for the tests who lets nothing stay."""
+    return [json.dumps({"agreed": True, "investigate": [], "findings": []}) for _ in prompts]
+
+
+def test_provenance_is_in_every_format(spark, diff, tmp_path, capsys):
+    (tmp_path / "meta.json").write_text(json.dumps({"address": "0xab", "contract_name": "Vault", "runs": ""}))
+    base = ["review", "diff", "--file", diff, "--provider", NAME, "--source-meta", str(tmp_path / "meta.json")]
+    target = {"address": "0xab", "contract_name": "Vault"}
+    cli.main([*base, "--format", "json"])
+    out = json.loads(capsys.readouterr().out)
+    assert out["target"] == target and len(out["findings"]) == 1
+    cli.main([*base, "--format", "sarif"])
+    run = json.loads(capsys.readouterr().out)["runs"][0]
+    assert run["properties"]["target"] == target and len(run["results"]) == 1
+    for kind, head in (("text", "Target:\n"), ("markdown", "## Target\n\n")):
+        cli.main([*base, "--format", kind])
+        assert capsys.readouterr().out.startswith(f"{head}- address: 0xab\n- contract_name: Vault\n\n")
+    assert cli.main([*base[:-1], str(tmp_path / "none.json")]) == 2
+
+
+def test_each_seat_has_its_provider(spark, diff, capsys):
+    base = ["review", "diff", "--file", diff, "--provider", NAME, "--mode", "adversarial", "--rounds", "1", "--format", "json", "--judge"]
+    assert cli.main([*base, NAME]) == 0
+    kept = len(json.loads(capsys.readouterr().out)["findings"])
+    assert cli.main([*base, "tests.test_cli:refuting"]) == 0
+    assert kept == 1 and json.loads(capsys.readouterr().out)["findings"] == []
+
+
 def test_repositories(spark, tmp_path, capsys):
     root, place = tmp_path / "repo", str(tmp_path / "ws")
     (root / "services").mkdir(parents=True)
