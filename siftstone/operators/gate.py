@@ -83,3 +83,13 @@ def mark_reviewed(worklist: DataFrame, clean: DataFrame) -> DataFrame:
     done = clean.select("slug", F.lit(True).alias("_clean")).distinct()
     status = F.when(F.col("_clean") & (F.col("status") == "open"), "reviewed").otherwise(F.col("status"))
     return worklist.join(done, "slug", "left").select("slug", status.alias("status"))
+
+
+def prior_runs(workspaces: DataFrame, worklists: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(workspace, prior): whether a run has left something there: a row of output, or a reviewed unit. Seeded units only don't count.
+
+    workspaces: (workspace); worklists: (workspace, status); outputs: (workspace), a row for each candidate, finding or proof.
+    """
+    reviewed = worklists.where("status = 'reviewed'").select("workspace")
+    left = reviewed.unionByName(outputs.select("workspace")).distinct().withColumn("_left", F.lit(True))
+    return workspaces.select("workspace").distinct().join(left, "workspace", "left").select("workspace", F.coalesce("_left", F.lit(False)).alias("prior"))

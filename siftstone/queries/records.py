@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import jsonscan, location, replies
-from siftstone.operators import chunk, filters, select, union, workspace
+from siftstone.operators import chunk, filters, gate, select, union, workspace
 from siftstone.queries.adapters import cte, relation
 from siftstone.queries.findings import _FOLDED, _candidates
 from siftstone.session import shared_folder
@@ -35,8 +35,7 @@ def readable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()]  # 25 rows
-    return files.from_list(spark, [(f"src/{n}.py", n * 2) for n in names])
+    return files.from_rows(relation(spark, sf_dir, "files").select("path", "text")).select("path", "size", F.sha2("text", 256).alias("digest"))
 
 
 def manifest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +102,10 @@ def benchmarks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suite_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suite that each nation asks for: its region."""
     suites = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("k"))
-    return spark.createDataFrame([keys.suite(suites, "ASIA")], "name string, k int")
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.element_at(F.array(*map(F.lit, ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))), (F.col("c_nationkey") % 5 + 1).cast("int")).alias("suite"))
+    return keys.suites_of(asked, suites).select("c_custkey", "name", "k")
 
 
 def knowledge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,20 +132,11 @@ def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prior_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States of a workspace: new, seeded, with a reviewed unit, cleared, with candidates."""
-    place, out = _place(spark), []
-    units = relation(spark, sf_dir, "files").select(F.col("path").alias("slug"), F.lit("open").alias("status"))
-    out.append(("new", checkpoint.has_prior_run(spark, place)))
-    checkpoint.mark(spark, place)
-    checkpoint.save(units, f"{place}/worklist")
-    out.append(("seeded", checkpoint.has_prior_run(spark, place)))
-    checkpoint.save(units.withColumn("status", F.when(F.col("slug").like("%.py"), "reviewed").otherwise("open")), f"{place}/worklist")
-    out.append(("reviewed", checkpoint.has_prior_run(spark, place)))
-    cleared = checkpoint.clear(spark, place)
-    out.append((f"cleared {len(cleared)}", checkpoint.has_prior_run(spark, place)))
-    checkpoint.save(_candidates(spark, sf_dir), f"{place}/candidates")
-    out.append(("found", checkpoint.has_prior_run(spark, place)))
-    return spark.createDataFrame(out, "state string, prior boolean")
+    """A workspace for each customer, its orders' lines as units, and candidates of those whose orders are large."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("workspace"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("workspace"), "o_orderstatus", "o_totalprice")
+    units = orders.select("workspace", F.when(F.col("o_orderstatus") == "P", "reviewed").otherwise("open").alias("status"))
+    return gate.prior_runs(c, units, orders.where("o_totalprice > 400000").select("workspace"))
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,17 +173,18 @@ def target_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provenance_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provenance that is absent, empty and there."""
-    place = _place(spark)
-    out = [("absent", payload.provenance(spark, f"{place}/none") is None)]
-    for name, text in (("empty", '{"address": "", "contract_name": ""}'), ("there", '{"address": "0x1", "contract_name": "C"}')):
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{place}/{name}")
-        out.append((name, payload.provenance(spark, f"{place}/{name}") is None))
-    return spark.createDataFrame(out, "state string, missing boolean")
+    """Provenance of each customer's source, all of it empty for some."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    odd = lambda k, x: F.when(F.col("c_nationkey") % k > 0, x)
+    meta = c.select("c_custkey", F.lit("0x1").alias("address"), odd(2, F.col("c_name")).alias("contract_name"), F.coalesce(odd(3, F.col("c_mktsegment")), F.lit("")).alias("evm_version"), odd(5, F.col("c_nationkey")).alias("runs"))
+    return meta.select("c_custkey", payload.is_blank(meta.drop("c_custkey")).alias("missing"))
 
 
 def chain_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c, payload.chain_id(c)) for c in payload.CHAINS], "chain string, id int")
+    """The chain that each customer names, by its id."""
+    named = F.element_at(F.array(*map(F.lit, payload.CHAINS)), (F.col("c_nationkey") % len(payload.CHAINS) + 1).cast("int"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("chain", named)
+    return c.select("c_custkey", "chain", payload.chain_of(F.col("chain")).alias("id"))
 
 
 def env_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,13 +242,15 @@ def fence_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extension_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(e,) for e in rules.detection_extensions(rules.DEFAULT)], "extension string")
+    return files.sampled_kinds(relation(spark, sf_dir, "files"), rules.detection_extensions(rules.DEFAULT))
 
 
 def domain_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relation(spark, sf_dir, "files")
-    out = [("web", filters.domain("web")), ("auto", filters.domain("auto", rows.where("path like '%.sol'"))), ("all", filters.domain("auto", rows))]
-    return spark.createDataFrame(out, "asked string, domain string")
+    """The domain of each folder of a language, by all its files and by its contracts and notes."""
+    rows = relation(spark, sf_dir, "files").withColumn("folder", F.regexp_extract("path", "^([^/]*/[^/]*)/", 1))
+    some = rows.where("path like '%.sol' or path like '%.md'")
+    parts = (filters.domain_of(r, group=["folder"]).select(F.lit(asked).alias("asked"), "folder", "domain") for asked, r in (("all", rows), ("some", some)))
+    return next(parts).unionByName(next(parts))
 
 
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +288,7 @@ _NUM = "array_to_string(list_transform(range(1, len(string_split(text, chr(10)))
 
 SQL = {
     "readable_texts": "SELECT doc_id, sha256(CASE WHEN lang = 'de' OR n_chars * 500 > 2000000 THEN '' ELSE text END) AS digest FROM documents",
-    "listed_files": "SELECT 'src/' || n_name || '.py' AS path, n_name || n_name AS text, CAST(2 * length(n_name) AS BIGINT) AS size FROM nation",
+    "listed_files": f"WITH {cte('files')} SELECT path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS digest FROM files",
     "manifest_text": f"WITH {cte('files')}, r AS (SELECT list_last(string_split(path, '/')) AS path, text FROM files) SELECT sha256(string_agg(text, chr(10) ORDER BY path, text)) AS digest FROM r WHERE path IN ('doc_3.md', 'doc_12.py', 'doc_7.go')",
     "frontmatter_fields": f"WITH {_NOTES} SELECT name, CASE WHEN full_ THEN kind END AS kind, CASE WHEN full_ THEN p_name END AS title, CASE WHEN full_ THEN 'high' END AS impact, CASE WHEN full_ THEN 'About ' || p_name || chr(10) ELSE 'plain' || chr(10) END AS body FROM nt",
     "knowledge_notes": f"WITH {_NOTES} SELECT name AS id, CASE WHEN full_ THEN kind ELSE '' END AS kind, CASE WHEN full_ THEN p_name ELSE '' END AS title, CASE WHEN full_ THEN 'high' ELSE '' END AS impact, CASE WHEN full_ THEN t || ',b c' ELSE '' END AS triggers, CASE WHEN full_ THEN lower(p_brand) ELSE '' END AS aliases, '' AS tags, {_BODY} AS body FROM nt WHERE name <> 'index'",
@@ -303,17 +298,17 @@ SQL = {
     "answer_key_rows": "WITH e AS (SELECT p_brand AS target, CASE WHEN p_size <= 25 THEN 'planted' ELSE 'safe' END AS kind, p_partkey, p_size, p_type, 'e' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id FROM part) SELECT target, kind, CAST(row_number() OVER (PARTITION BY target, kind ORDER BY id) - 1 AS INT) AS seq, id, CASE WHEN p_size % 2 = 0 THEN 'GET /' || CAST(p_partkey AS VARCHAR) ELSE '' END AS entry, CASE WHEN p_size % 2 = 1 THEN CAST(p_partkey AS VARCHAR) || '.py' ELSE '' END AS files, CASE WHEN p_size % 3 = 0 THEN lower(p_type) ELSE '' END AS category, CASE WHEN p_size % 5 = 0 THEN 'fn_' || CAST(p_partkey AS VARCHAR) ELSE '' END AS symbols FROM e",
     "diff_case_rows": "SELECT CAST(p_partkey AS VARCHAR) AS name, '+' || p_name AS diff, CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE '' END AS category, '' AS knowledge, CASE WHEN p_size % 3 = 0 THEN lower(p_brand) ELSE '' END AS tags, CASE WHEN p_size % 7 = 0 THEN 'evm' ELSE 'web' END AS domain FROM part",
     "benchmarks_merged": "SELECT coalesce(CAST(s_suppkey AS VARCHAR), CAST(p_partkey AS VARCHAR)) AS id, coalesce(s_name, p_name) AS name, CASE WHEN s_suppkey IS NULL THEN 'own' ELSE 'other' END AS root FROM part FULL JOIN supplier ON s_suppkey = p_partkey",
-    "suite_row": "SELECT r_name AS name, CAST(r_regionkey AS INT) AS k FROM region WHERE r_name = 'ASIA'",
+    "suite_row": "SELECT c_custkey, r_name AS name, r_regionkey AS k FROM customer JOIN region ON r_name = ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'][c_nationkey % 5 + 1]",
     "knowledge_scan": "SELECT DISTINCT 'vuln:' || lower(p_brand) AS ref, 'vulnerability' AS kind FROM part",
     "checkpoint_union": f"WITH {_FOLDED} SELECT key, seq, title, severity, evidence, status, found_by FROM folded",
     "timeline_rows": f"WITH {cte('calls')} SELECT CAST(conv_id * 100 + seq AS INT) AS seq, role AS stage, n / 8 AS seconds, seq < 5 AS ok FROM calls WHERE role <> 'user' OR n / 8 <= 20",
-    "prior_runs": "SELECT * FROM (VALUES ('new', false), ('seeded', false), ('reviewed', true), ('cleared 1', false), ('found', true)) t(state, prior)",
+    "prior_runs": "SELECT c_custkey AS workspace, coalesce(bool_or(o_orderstatus = 'P' OR o_totalprice > 400000), false) AS prior FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "payload_files": f"WITH {_PAYLOAD} SELECT n AS address, 'C' || n || '.sol' AS path, 'contract C' || n || ' {{}}' AS text FROM pl WHERE k = 0 UNION ALL SELECT n, 'src/a' || n || '.sol', 'A' FROM pl WHERE k = 1 UNION ALL SELECT n, 'b.sol', 'B' || n FROM pl WHERE k = 1 UNION ALL SELECT n, 'lib/c.sol', 'C' || n FROM pl WHERE k = 2",
     "payload_checked": f"WITH {_PAYLOAD}, {_META} SELECT * FROM mt",
     "provenance_fields": f"WITH {_PAYLOAD}, {_META}, {_FIELDS} SELECT * FROM fi",
     "target_notes": f"WITH {_PAYLOAD}, {_META}, {_FIELDS} SELECT address, '## Target' || {_NL} || string_agg('- ' || field || ': ' || value, chr(10) ORDER BY field, value) AS text FROM fi GROUP BY address",
-    "provenance_state": "SELECT * FROM (VALUES ('absent', true), ('empty', true), ('there', false)) t(state, missing)",
-    "chain_ids": "SELECT * FROM (VALUES ('ethereum', 1), ('bsc', 56), ('polygon', 137), ('arbitrum', 42161)) t(chain, id)",
+    "provenance_state": "SELECT c_custkey, c_nationkey % 2 = 0 AND (c_nationkey % 3 = 0 OR c_mktsegment = '') AND c_nationkey % 5 = 0 AS missing FROM customer",
+    "chain_ids": "SELECT c_custkey, ['ethereum', 'bsc', 'polygon', 'arbitrum'][c_nationkey % 4 + 1] AS chain, [1, 56, 137, 42161][c_nationkey % 4 + 1] AS id FROM customer",
     "env_settings": "SELECT c_custkey, 'NAME' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'SEGMENT', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'Q', '\"' || CAST(c_nationkey AS VARCHAR) FROM customer UNION ALL SELECT c_custkey, 'A', 'b=c' FROM customer",
     "usage_fields": "WITH t AS (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS n, CASE WHEN turn = 6 THEN 3 ELSE conv_id % 3 END AS k FROM conversations) SELECT conv_id, turn, CASE k WHEN 0 THEN n WHEN 1 THEN greatest(n - 40, 0) WHEN 2 THEN n ELSE 0 END AS input_tokens, CAST(CASE k WHEN 1 THEN 9 WHEN 2 THEN 3 ELSE 0 END AS BIGINT) AS output_tokens, CAST(CASE k WHEN 0 THEN 5 WHEN 1 THEN 40 ELSE 0 END AS BIGINT) AS cache_read_tokens, CAST(CASE k WHEN 0 THEN 2 ELSE 0 END AS BIGINT) AS cache_write_tokens FROM t",
     "reply_texts": "SELECT conv_id, turn, CASE WHEN turn = 6 AND conv_id % 3 < 2 THEN '' WHEN turn = 6 THEN 'not json' WHEN conv_id % 3 = 2 THEN 'done' ELSE 'reply ' || role || CASE WHEN turn % 2 = 0 THEN '!' ELSE '' END END AS text FROM conversations",
@@ -321,8 +316,8 @@ SQL = {
     "guide_lists": "SELECT DISTINCT lower(p_type) AS value FROM part UNION SELECT DISTINCT p_brand FROM part",
     "table_cells": "SELECT p_partkey, 0 AS i, p_name || '/' || p_brand AS cells FROM part UNION ALL SELECT p_partkey, 1, lower(p_type) || '/x' FROM part",
     "fence_bodies": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || chr(10) ELSE p_name END AS body FROM part",
-    "extension_list": f"SELECT unnest({sorted({*rules.DEFAULT['source_ext'], *rules.DEFAULT['config_ext']})}) AS extension",
-    "domain_lookup": "SELECT * FROM (VALUES ('web', 'web'), ('auto', 'evm'), ('all', 'web')) t(asked, domain)",
+    "extension_list": f"WITH {cte('files')}, e AS (SELECT unnest({sorted({*rules.DEFAULT['source_ext'], *rules.DEFAULT['config_ext']})}) AS extension) SELECT extension, count(path) AS n FROM e LEFT JOIN files ON ends_with(path, extension) GROUP BY extension",
+    "domain_lookup": f"WITH {cte('files')}, r AS (SELECT regexp_extract(path, '^([^/]*/[^/]*)/', 1) AS folder, path, ends_with(path, '.sol') AS sol, ends_with(path, '.md') AS md FROM files), a AS (SELECT 'all' AS asked, * FROM r UNION ALL SELECT 'some', * FROM r WHERE sol OR md) SELECT asked, folder, CASE WHEN count(*) FILTER (sol) > 0 AND count(*) FILTER (sol) >= count(*) FILTER (NOT sol) THEN 'evm' ELSE 'web' END AS domain FROM a GROUP BY ALL",
     "prompt_texts": f"WITH {cte('files')}, s AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS cls FROM files) SELECT doc_id, {_REVIEW} || CASE WHEN cls <> '' THEN {_NL} || 'Classes:' || chr(10) || cls ELSE '' END || {_NL} || 'Change:' || chr(10) || path || {_NL} || 'Severities:' || chr(10) || 'high: bad' AS review, 'Decide which findings stay, and say whether anything is left to investigate.' || {_NL} || 'Change:' || chr(10) || path || CASE WHEN cls <> '' THEN {_NL} || 'So far:' || chr(10) || cls ELSE '' END || {_NL} || 'So far:' || chr(10) || source AS judge, sha256('Is this finding real? Reply with JSON: ``real``, ``reason`` and ``controls``, the files that prevent it.' || {_NL} || 'Finding:' || chr(10) || path || {_NL} || 'Code:' || chr(10) || {_NUM}) AS skeptic FROM s",
     "class_notes": f"WITH {_NOTES}, {_GUIDES} SELECT 'stack' AS note, sha256('# Stack' || {_NL} || 'Languages: ' || string_agg(id, ', ' ORDER BY seq) FILTER (kind = 'language') || chr(10) || 'Frameworks: -' || chr(10) || 'Protocols: ' || string_agg(id, ', ' ORDER BY seq) FILTER (kind = 'protocol') || string_agg({_NL} || '---' || {_NL} || body, '' ORDER BY seq)) AS digest FROM gd WHERE kind IN ('language', 'protocol') UNION ALL SELECT 'classes', sha256('# Classes' || {_NL} || string_agg('---' || {_NL} || body, chr(10) ORDER BY id)) FROM gd",
     "entrypoint_notes": f"WITH {cte('files')} SELECT sha256('# Entry points' || {_NL} || 'Note: a library' || {_NL} || '## May define entry points' || {_NL} || string_agg('- ' || path, chr(10) ORDER BY path) FILTER (path LIKE '%.py') || {_NL} || '## To trace into' || {_NL} || string_agg('- ' || path, chr(10) ORDER BY path) FILTER (path LIKE '%.go')) AS digest FROM files UNION ALL SELECT sha256('# Entry points' || {_NL} || '## May define entry points' || {_NL} || '(none)' || {_NL} || '## To trace into' || {_NL} || '(none)')",

@@ -52,7 +52,20 @@ def readable_text(content: str = "content", size: str = "length"):
 
 def from_list(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     """A files table of given (path, text) pairs, by path."""
-    return spark.createDataFrame([(p, t, len(t.encode())) for p, t in files], "path string, text string, size long").orderBy("path")
+    return from_rows(spark.createDataFrame(files, "path string, text string"))
+
+
+def from_rows(rows: DataFrame) -> DataFrame:
+    """A files table of rows (path, text), by path; a null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("path", text.alias("text"), F.octet_length(text).cast("long").alias("size")).orderBy("path")
+
+
+def sampled_kinds(files: DataFrame, extensions: Sequence[str]) -> DataFrame:
+    """(extension, n): how many files each of the extensions has; those without a file too."""
+    known = files.sparkSession.createDataFrame([(e,) for e in extensions], "extension string")
+    n = files.groupBy(suffix(F.col("path")).alias("extension")).agg(F.count("*").alias("n"))
+    return known.join(n, "extension", "left").fillna(0, ["n"])
 
 
 def manifest_text(files: DataFrame, manifests: Sequence[str]) -> DataFrame:

@@ -112,6 +112,14 @@ def suite(suites: DataFrame, name: str) -> dict:
     return row.asDict()
 
 
+def suites_of(asked: DataFrame, suites: DataFrame) -> DataFrame:
+    """asked (with suite, a name) with the columns of its suite; an unknown name raises when its row is read."""
+    known = suites.withColumn("_known", F.lit(True))
+    joined = asked.join(known, F.col("suite") == F.col("name"), "left")
+    name = F.when(F.col("_known"), F.col("name")).otherwise(F.raise_error(F.concat(F.lit("unknown suite "), F.coalesce("suite", F.lit("")))).cast("string"))
+    return joined.withColumn("name", name).drop("_known")
+
+
 def knowledge_items(docs: DataFrame) -> DataFrame:
     """(ref, kind) of knowledge files (ref, kind, path); a ref of two paths raises ValueError."""
     return unique(docs.select("ref", "kind", "path").distinct(), ["ref"], "a ref").select("ref", "kind")

@@ -106,6 +106,14 @@ def chain_id(name: str) -> int:
     return CHAINS[name]
 
 
+def chain_of(name: Column) -> Column:
+    """A chain's id by its name; an unknown name raises when its row is read."""
+    out = F.raise_error(F.concat(F.lit("unknown chain "), F.coalesce(name, F.lit("")))).cast("int")
+    for chain, number in CHAINS.items():
+        out = F.when(name == chain, number).otherwise(out)
+    return out
+
+
 def is_blank(meta: DataFrame) -> Column:
     """Whether all fields of a provenance row but its address are empty."""
     names = [c for c in meta.columns if c != "address"]
