@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.operators.order import numbered
+
 from siftstone.functions.category import category_of
 
 COUNTERS = ("diff_positive", "diff_safe", "repository_planted", "repository_safe", "public", "private")
@@ -39,8 +41,8 @@ def problems(cov: DataFrame, referenced: DataFrame, entries: DataFrame) -> DataF
 
 
 def in_order(problems_: DataFrame) -> DataFrame:
-    """Problems by kind and ref."""
-    return problems_.orderBy("kind", "ref", "detail")
+    """Problems by kind, ref and detail, with their ``place`` from 0 in that order."""
+    return numbered(problems_, [], ["kind", "ref", "detail"], "place").orderBy("place")
 
 
 def referenced(benchmarks: DataFrame, entries: DataFrame) -> DataFrame:

@@ -76,7 +76,9 @@ def live(units: DataFrame, providers: dict[str, Provider], lenses: Sequence[str]
     """Review units (unit, prompt) pass by pass until a run of clean passes adds nothing and every lens had its shots.
 
     Each pass's candidates and reviews are written below ``path`` before the next begins; a pass that is there already
-    isn't made again, so a run that broke off goes on. Only counts come to the driver. Returns the union and the status.
+    isn't made again, so a run that broke off goes on. A pass also leaves the keys that it was the first to have: the next
+    one's keys are held against these alone, each of which is there once, and the candidates of all passes are read once,
+    for the union. Only counts come to the driver. Returns the union and the status.
     """
     spark, level, names = units.sparkSession, EFFORT[effort], list(providers)
     most, state = level.max_passes(len(lenses)), {"converged": False, "passes": 0, "errors": 0}
@@ -90,11 +92,15 @@ def live(units: DataFrame, providers: dict[str, Provider], lenses: Sequence[str]
             found = found.withColumns({"status": F.lit("open"), "source": F.lit("review"), "found_by": F.array(F.lit(model))})
             checkpoint.save(found.withColumn("seq", F.lit(n).cast("long") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40)), f"{place}/candidates")
             checkpoint.save(reviews, f"{place}/reviews")
-        made = spark.read.parquet(*(f"{path}/pass-{i:04d}/candidates" for i in range(1, n + 1)))
+        if not checkpoint.exists(spark, f"{place}/new_keys"):
+            keys = checkpoint.load(spark, f"{place}/candidates").select(union.candidate_key(by_file).alias("key")).distinct()
+            known = [f"{path}/pass-{i:04d}/new_keys" for i in range(1, n)]
+            checkpoint.save(keys.join(spark.read.schema("key string").parquet(*known), "key", "left_anti") if known else keys, f"{place}/new_keys")
         failed = checkpoint.load(spark, f"{place}/reviews").where("not ok").count()
-        new = union.new_keys_per_pass(made, by_file).where(F.col("pass_no") == n).count()
+        new = checkpoint.load(spark, f"{place}/new_keys", "key string").count()
         still = still + 1 if not new and not failed else 0
         state = {"converged": still >= quiet and n // len(lenses) >= level.shots, "passes": n, "errors": state["errors"] + failed}
         if state["converged"]:
             break
+    made = spark.read.parquet(*(f"{path}/pass-{i:04d}/candidates" for i in range(1, state["passes"] + 1)))
     return union.fold(made, by_file), state

@@ -201,14 +201,30 @@ class Reading:
         return out
 
 
+class Steady(Reading):
+    """A reviewer that finds nothing in what the other can't read."""
+
+    def __call__(self, prompts):
+        return [x or '{"findings": []}' for x in super().__call__(prompts)]
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).select(F.col("path").alias("unit"), F.concat(F.lit("file="), "path", F.lit(" n="), F.col("doc_id").cast("string")).alias("prompt"), "doc_id")
 
 
 def live_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run that converges on its second round: all units that can be read in the first, nothing new after."""
+    """A run that units which can't be read keep from converging: it ends after its last pass."""
+    return _live(spark, sf_dir, Reading)
+
+
+def live_run_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that converges: its first pass finds all, the next two are clean and add nothing."""
+    return _live(spark, sf_dir, Steady)
+
+
+def _live(spark: SparkSession, sf_dir: str, model: type) -> DataFrame:
     place = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    found, state = review_repository.live(_asked(spark, sf_dir).select("unit", "prompt"), {"m1": Reading(), "m2": Reading()}, ["a", "b"], place, effort="low")
+    found, state = review_repository.live(_asked(spark, sf_dir).select("unit", "prompt"), {"m1": model(), "m2": model()}, ["a", "b"], place, effort="low")
     return found.select("key", "file", "line", "severity", F.array_join("found_by", ",").alias("found_by"), "n_rows", F.lit(state["passes"]).alias("passes"), F.lit(state["converged"]).alias("converged"))
 
 
@@ -296,7 +312,7 @@ def call_path_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("contract", "anchor", F.size("fns").alias("n"), "chars")
 
 
-QUERIES = {q.__name__: q for q in (unreviewed_units, resumed_units, fragment_units, control_files, skeptic_votes, agent_votes, confirmer_votes, resume_keys, reloaded_candidates, finding_note_rows, finding_entry_rows, refuted_rows, rendered_kinds, result_json_rows, flip_lines, compare_texts, gate_texts, covered_matrix, ordered_problems, coverage_texts, all_references, fragment_texts, context_text, lens_headers, unit_notes, class_bodies, allowed_classes, target_lines, live_run, reviewed_units, diff_review, adversarial_rounds, retried_replies, finalized_union, verified_findings, seeded_units, evaluated_runs, call_path_sizes)}
+QUERIES = {q.__name__: q for q in (unreviewed_units, resumed_units, fragment_units, control_files, skeptic_votes, agent_votes, confirmer_votes, resume_keys, reloaded_candidates, finding_note_rows, finding_entry_rows, refuted_rows, rendered_kinds, result_json_rows, flip_lines, compare_texts, gate_texts, covered_matrix, ordered_problems, coverage_texts, all_references, fragment_texts, context_text, lens_headers, unit_notes, class_bodies, allowed_classes, target_lines, live_run, live_run_converged, reviewed_units, diff_review, adversarial_rounds, retried_replies, finalized_union, verified_findings, seeded_units, evaluated_runs, call_path_sizes)}
 
 _NL = "chr(10) || chr(10)"
 _TEST = "contains(path, '/tests/')"
@@ -327,7 +343,7 @@ SQL = {
     "compare_texts": f"WITH {scoring._FLIPS}, ids AS (SELECT flip, {_FLIP_IDS} AS xs FROM fl GROUP BY flip) SELECT sha256('compare: t' || chr(10) || string_agg('  ' || replace(flip, '_', ' ') || ': ' || xs, chr(10) ORDER BY flip)) AS digest FROM ids UNION ALL SELECT sha256('compare: t' || chr(10) || '  no flips')",
     "gate_texts": f"WITH gt AS ({scoring.SQL['regression_gate']}) SELECT sha256('gate FAIL: t, ' || CAST(count(*) AS VARCHAR) || ' blocking' || chr(10) || string_agg('  - ' || rule || ': ' || detail, chr(10) ORDER BY rule, detail)) AS digest FROM gt UNION ALL SELECT sha256('gate PASS: t')",
     "covered_matrix": f"WITH {k._MATRIX} SELECT *, diff_positive > 0 AND diff_safe > 0 AS diff_covered, repository_planted > 0 AS repository_covered FROM mx",
-    "ordered_problems": k.SQL["coverage_problems"],
+    "ordered_problems": f"SELECT *, row_number() OVER (ORDER BY kind, ref, detail) - 1 AS place FROM ({k.SQL['coverage_problems']})",
     "coverage_texts": f"WITH {k._MATRIX}, pb AS ({k.SQL['coverage_problems']}), a AS (SELECT string_agg(rtrim(ref || ' ' || CAST(diff_positive AS VARCHAR) || ' ' || CAST(diff_safe AS VARCHAR) || ' ' || CAST(repository_planted AS VARCHAR) || ' ' || CAST(repository_safe AS VARCHAR) || ' ' || CASE WHEN public > 0 AND private > 0 THEN 'public/private' WHEN public > 0 THEN 'public' WHEN private > 0 THEN 'private' ELSE '-' END || ' ' || {_COVER}), chr(10) ORDER BY kind, ref) AS t FROM mx), b AS (SELECT string_agg(rtrim('[' || kind || '] ' || ref || ' ' || detail), chr(10) ORDER BY kind, ref, detail) AS t FROM pb) SELECT sha256('# Coverage' || chr(10) || a.t || {_NL} || '# Problems' || chr(10) || b.t) AS digest FROM a, b",
     "all_references": f"WITH {cte('items')} SELECT ref, 'entry b e' || CAST(id AS VARCHAR) AS origin FROM items UNION ALL SELECT 'guide:' || tag, 'entry b e' || CAST(id AS VARCHAR) FROM items UNION ALL SELECT 'vuln:brand-11', 'manifest b' UNION ALL SELECT 'vuln:nowhere', 'manifest b'",
     "fragment_texts": f"WITH {cte('files')}, c AS (SELECT 'u' || CAST(doc_id % 40 AS VARCHAR) AS unit, path, text, length(text) // 4 AS s, length(text) // 2 AS e FROM files), o AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY unit ORDER BY path, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, text[s + 1:e] AS t, len(string_split(text[1:s], chr(10))) - 1 AS skip FROM c) SELECT unit, sha256(string_agg('### ' || path || chr(10) || {_NUM.format('t', 'skip')}, {_NL} ORDER BY path, s)) AS digest FROM o WHERE before < 120000 GROUP BY unit",
@@ -341,6 +357,7 @@ SELECT unit, sha256('# ' || unit || chr(10) || '- Status: open' || chr(10) || '-
     "allowed_classes": f"WITH {cte('items')} SELECT DISTINCT ref AS id FROM items",
     "target_lines": f"WITH {cte('candidates')} SELECT seq, '`' || status || '`' AS status, severity AS risk, CAST(NULL AS VARCHAR) AS owner FROM candidates",
     "live_run": f"WITH {cte('files')} SELECT 'fl|' || lower(path) || '|sql-injection|' || CAST(doc_id % 5 + 1 AS VARCHAR) AS key, path AS file, CAST(doc_id % 5 + 1 AS INT) AS line, 'HIGH' AS severity, 'm1,m2' AS found_by, CAST(4 AS BIGINT) AS n_rows, 4 AS passes, false AS converged FROM files WHERE doc_id % 7 <> 0",
+    "live_run_converged": f"WITH {cte('files')} SELECT 'fl|' || lower(path) || '|sql-injection|' || CAST(doc_id % 5 + 1 AS VARCHAR) AS key, path AS file, CAST(doc_id % 5 + 1 AS INT) AS line, 'HIGH' AS severity, 'm1,m2' AS found_by, CAST(3 AS BIGINT) AS n_rows, 3 AS passes, true AS converged FROM files WHERE doc_id % 7 <> 0",
     "reviewed_units": f"WITH {cte('files')} SELECT path AS unit, 1 AS pass_no, doc_id % 7 <> 0 AS ok FROM files",
     "diff_review": f"WITH {cte('files')} SELECT doc_id AS diff_id, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 2 = 1 THEN 'kept' ELSE 'dropped' END AS outcome FROM files WHERE NOT ({_TEST} OR contains(path, '/vendor/') OR path LIKE '%.md')",
     "adversarial_rounds": f"WITH {cte('files')} SELECT doc_id AS diff_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 2 = 0 THEN 1 ELSE 2 END AS rounds, doc_id % 5 <> 0 AS converged, doc_id % 5 = 0 AS degraded, CASE WHEN doc_id % 5 <> 0 THEN '1' WHEN doc_id % 3 = 0 THEN '2' ELSE '1,2' END AS lines FROM files",

@@ -12,14 +12,36 @@ def save(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write df where it may have been read from: beside it first, whole, then in its place."""
+    """Write df where it may have been read from: beside it, whole, then in its place.
+
+    The table moves out and the new one in, by renames, and a reader who finds that a run broke off between them ends it
+    (``settle``). So there is a whole table at any time, the old one or the new one.
+    """
+    spark = df.sparkSession
+    settle(spark, path)
     save(df, f"{path}-next")
-    save(load(df.sparkSession, f"{path}-next"), path)
-    remove(df.sparkSession, f"{path}-next")
+    _swap(spark, path)
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """End a replacement that broke off when the new table was whole and the old one moved out."""
+    if not _whole(spark, path) and _whole(spark, f"{path}-next"):
+        _swap(spark, path)
+
+
+def _swap(spark: SparkSession, path: str) -> None:
+    place, fs = _files(spark, path)
+    old, new = _files(spark, f"{path}-old")[0], _files(spark, f"{path}-next")[0]
+    fs.delete(old, True)
+    if fs.exists(place):
+        fs.rename(place, old)
+    fs.rename(new, place)
+    fs.delete(old, True)
 
 
 def load(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A saved table; a missing or corrupt one raises when it is read."""
+    settle(spark, path)
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.option("mode", "FAILFAST").parquet(path)
 
@@ -82,6 +104,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there whole, in any store that Spark can reach."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    settle(spark, path)
+    return _whole(spark, path)
+
+
+def _whole(spark: SparkSession, path: str) -> bool:
+    place, fs = _files(spark, f"{path}/_SUCCESS")
+    return fs.exists(place)

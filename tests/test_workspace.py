@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import lines, replies
 from siftstone.operators import chunk, filters, score, select, workspace
-from siftstone.plans import seams
+from siftstone.plans import review_repository, seams
 from siftstone.session import shared_folder
 from siftstone.sources import checkpoint, files, keys, payload
 from tests.tables import column
@@ -189,3 +189,29 @@ def test_units_of_a_hub_against_a_plain_fold(spark, seed):
         if total + sizes[caller] <= 60:
             total, taken = total + sizes[caller], [*taken, caller]
     assert got["fns"] == sorted(taken) and got["chars"] == total
+
+
+def test_a_replacement_that_broke_off_is_ended(spark, tmp_path, monkeypatch):
+    place = str(tmp_path / "t")
+    number = lambda: sorted(r["id"] for r in checkpoint.load(spark, place).collect())
+    checkpoint.save(spark.range(2), place)
+    checkpoint.replace(checkpoint.load(spark, place).where("id > 0"), place)
+    assert number() == [1] and not (tmp_path / "t-next").exists() and not (tmp_path / "t-old").exists()
+    # the new table isn't whole: the old one stands
+    checkpoint.save(spark.range(5), f"{place}-next")
+    (tmp_path / "t-next" / "_SUCCESS").unlink()
+    assert number() == [1]
+    # the old one has moved out: the new one is taken
+    checkpoint.save(spark.range(3), f"{place}-next")
+    os.rename(place, f"{place}-old")
+    assert checkpoint.exists(spark, place) and number() == [0, 1, 2] and not (tmp_path / "t-old").exists()
+
+
+def test_a_run_that_goes_on_reads_keys_only(spark, tmp_path):
+    units = spark.createDataFrame([(f"u{i}", f"p{i}") for i in range(4)], "unit string, prompt string")
+    model = seams.Canned({"p0": seams.reply_of([{"title": "T", "file": "a.py", "symbol": "f", "category": "x"}, {"title": "T", "file": "b.py", "symbol": "g", "category": "x"}])})
+    found, state = review_repository.live(units, {"m": model}, ["a", "b"], str(tmp_path), effort="low")
+    assert state == {"converged": True, "passes": 3, "errors": 0} and found.count() == 2
+    assert [spark.read.parquet(f"{tmp_path}/pass-{i:04d}/new_keys").count() for i in (1, 2, 3)] == [2, 0, 0]
+    again, same = review_repository.live(units, {"m": seams.Canned({})}, ["a", "b"], str(tmp_path), effort="low")
+    assert same == state and again.count() == 2
