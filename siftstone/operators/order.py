@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siftstone.session import checkpointed
 
 #: Ranges at least.
-RANGES = 64
+RANGES = 32
 
 
 def ranged(rows: DataFrame, keys: Sequence[str], ranges: int = RANGES) -> DataFrame:

@@ -30,7 +30,7 @@ def some(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_rounds_and_fold_equal_the_loop(spark, seed):
+def test_rounds_and_reading_equal_the_loop(spark, seed):
     rows = some(seed)
     pairs = spark.createDataFrame(rows, PAIRS)
     for few in (10**6, 0):

@@ -37,7 +37,7 @@ def test_a_hot_group_is_many_ranges(spark, monkeypatch):
     rows = spark.range(n).select(F.lit(1).alias("g"), F.format_string("f%07d.py", F.col("id")).alias("path"), F.lit(3).alias("n"))
     held, real = [], order.ranged
     monkeypatch.setattr(order, "ranged", lambda *a: held.append(real(*a)) or held[-1])
-    kept = order.within_total(rows, ["g"], ["path"], "n", 3 * 150_000 - 1)
+    kept = order.within_total(rows, ["g"], ["path"], "n", 3 * 150_000 - 1, ranges=64)
     assert kept.count() == 150_000 and kept.agg(F.max("path")).first()[0] == "f0149999.py"
     sizes = [r["count"] for r in held[0].groupBy("_range").count().collect()]
     assert len(sizes) >= 60 and max(sizes) < 0.04 * n
