@@ -111,12 +111,12 @@ def as_text(spans: Column) -> Column:
 
 #: preference_pairs(borrowed_answers(conversations)) in SQL, with spans as text.
 ORACLE_SQL = """
-WITH given AS (SELECT conv_id AS pair_id, turn, coalesce(turn, -2147483648) AS at, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-ends AS (SELECT pair_id, max(at) AS last FROM given WHERE role = 'assistant' GROUP BY pair_id),
-marked AS (SELECT g.*, role = 'assistant' AND at IS NOT DISTINCT FROM last AS ends FROM given g LEFT JOIN ends e ON g.pair_id IS NOT DISTINCT FROM e.pair_id),
+WITH given AS (SELECT conv_id AS pair_id, turn, coalesce(turn, -2147483648) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+ends AS (SELECT pair_id, max(place) AS last FROM given WHERE role = 'assistant' GROUP BY pair_id),
+marked AS (SELECT g.*, role = 'assistant' AND place IS NOT DISTINCT FROM last AS ends FROM given g LEFT JOIN ends e ON g.pair_id IS NOT DISTINCT FROM e.pair_id),
 lent AS (SELECT pair_id - 1 AS pair_id, min(text) AS lent FROM marked WHERE ends GROUP BY ALL),
-sides AS (SELECT pair_id, true AS a, at AS turn, role, text FROM marked UNION ALL SELECT pair_id, false, at, role, text FROM marked WHERE NOT ends
-UNION ALL SELECT m.pair_id, false, at, role, lent FROM (SELECT DISTINCT pair_id, at, role FROM marked WHERE ends) m JOIN lent l ON m.pair_id = l.pair_id),
+sides AS (SELECT pair_id, true AS a, place AS turn, role, text FROM marked UNION ALL SELECT pair_id, false, place, role, text FROM marked WHERE NOT ends
+UNION ALL SELECT m.pair_id, false, place, role, lent FROM (SELECT DISTINCT pair_id, place, role FROM marked WHERE ends) m JOIN lent l ON m.pair_id = l.pair_id),
 turns AS (SELECT pair_id, a, turn, CASE WHEN turn > 0 THEN turn // 256 ELSE 0 END AS segment, role, text FROM sides),
 by_turn AS (SELECT pair_id, turn, list_sort(list(role || chr(0) || text) FILTER (a)) x, list_sort(list(role || chr(0) || text) FILTER (NOT a)) y FROM turns GROUP BY ALL),
 splits AS (SELECT pair_id, min(turn) FILTER (x IS DISTINCT FROM y) split, bool_or(x IS NOT NULL) AND bool_or(y IS NOT NULL) complete FROM by_turn GROUP BY ALL),
