@@ -64,3 +64,41 @@ def test_entries_with_the_same_reports_take_one_round(spark, monkeypatch):
     got = {tuple(r) for r in score.assign(spark.createDataFrame(rows, PAIRS), few=0).collect()}
     assert got == {("t", f"k{i:03}", f"r{i:03}") for i in range(60)}
     assert len(rounds) <= 7
+
+
+REPORT = "target string, seq int, name string, endpoint string, category string, files array<string>, text string"
+KEY = "target string, kind string, seq int, id string, entry string, files array<string>, category string, symbols array<string>"
+
+
+def of_classes(seed):
+    """Reports and entries of a few contents; some names and ids are used again."""
+    rng = random.Random(seed)
+    reports, key = [], []
+    for target in ("t", "u"):
+        for i in range(30):
+            name = f"r{rng.randint(0, 25)}" if i % 4 == 0 else f"s{i}"
+            reports.append((target, i, name, rng.choice(["", "get /a", "get /b/*"]), "x", [rng.choice(["a.py", "b.py"])], rng.choice(["calls f", "calls g"])))
+        for i in range(20):
+            key.append((target, rng.choice(["planted", "planted", "safe"]), i, f"k{rng.randint(0, 15)}" if i % 5 == 0 else f"m{i}", rng.choice(["", "GET /a", "GET /b/<id>"]), [rng.choice(["a.py", "b.py"])], rng.choice(["", "x"]), rng.choice([[], ["f"]])))
+    return reports, key
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_classes_give_the_pairs_assignment_and_outcomes(spark, seed):
+    reports, key = of_classes(seed)
+    r, k = spark.createDataFrame(reports, REPORT), spark.createDataFrame(key, KEY)
+    pairs = [tuple(x) for x in score.match_pairs(r, k).collect()]
+    assert pairs and len(pairs) == len(set(pairs))
+    planted = [x for x in pairs if x[1] == "planted"]
+    assert {tuple(x) for x in score.assign_classes(score.match_classes(r, k)).collect()} == greedy(planted)
+    by_pairs = score.outcomes(r, k, spark.createDataFrame(pairs, PAIRS))
+    assert sorted(map(tuple, score.outcomes(r, k).collect())) == sorted(map(tuple, by_pairs.collect()))
+
+
+def test_rows_alike_are_one_link(spark):
+    # 400 reports alike and 300 entries alike: 120,000 pairs, of one link
+    r = spark.createDataFrame([("t", i, f"r{i}", "", "x", ["a.py"], "t") for i in range(400)], REPORT)
+    k = spark.createDataFrame([("t", "planted", i, f"k{i}", "", ["a.py"], "x", []) for i in range(300)], KEY)
+    assert score.match_classes(r, k).links.count() == 1
+    assert score.match_pairs(r, k).count() == 120_000
+    assert {(x["id"], x["name"]) for x in score.assign_classes(score.match_classes(r, k)).collect()} == {(f"k{i}", f"r{i}") for i in range(300)}
