@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import jsonscan, location, replies
 from siftstone.operators import chunk, filters, gate, select, union, workspace
-from siftstone.queries.adapters import cte, relation
+from siftstone.queries.adapters import cte, dealt, relation
 from siftstone.queries.findings import _FOLDED, _candidates
 from siftstone.session import shared_folder
 from siftstone.sources import checkpoint, files, keys, notes, payload, rules
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
 
 
 def _place(spark: SparkSession) -> str:
@@ -189,7 +189,7 @@ def chain_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def env_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A settings file for each customer."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey")
     text = F.concat(F.lit("# note\nexport NAME = '"), "c_name", F.lit("'\nnot a pair\n=x\nSEGMENT="), "c_mktsegment", F.lit("\nA=1\nQ=\""), F.col("c_nationkey").cast("string"), F.lit("\nA=b=c\n"))
     return c.select("c_custkey", F.inline(replies.env_pairs(text)))
 
