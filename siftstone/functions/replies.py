@@ -63,7 +63,7 @@ def reply_text(response: Column, shape: Column) -> Column:
 
 def env_pairs(text: Column) -> Column:
     """KEY=VALUE lines of a settings file as array<struct<key, value>>: comments and lines without ``=`` are left out, ``export`` and one layer of quotes dropped; the last of a key counts."""
-    from siftstone.functions.text import strip
+    from siftstone.functions.text import once, strip
 
     lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(strip(x), r"^export\s+", ""))
     kept = F.filter(lines, lambda x: ~x.startswith("#") & x.contains("=") & (strip(F.substring_index(x, "=", 1)) != ""))
@@ -73,5 +73,5 @@ def env_pairs(text: Column) -> Column:
         bare = F.regexp_replace(value, r"""(?s)^(?:"(.*)"|'(.*)')$""", "$1$2")
         return F.struct(strip(F.substring_index(x, "=", 1)).alias("key"), bare.alias("value"))
 
-    pairs = F.transform(kept, pair)
-    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    last = lambda pairs: F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return once(F.transform(kept, pair), last)
