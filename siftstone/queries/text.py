@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import coerce, endpoint, jsonscan, lines, location
 from siftstone.operators import chunk
-from siftstone.queries.adapters import cte, relation
+from siftstone.queries.adapters import cte, dealt, relation
 from siftstone.sources import notes
 from siftstone.sources.rules import DEFAULT
 
@@ -86,7 +86,7 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A candidate note for each event."""
-    rows = relation(spark, sf_dir, "candidates")
+    rows = dealt(relation(spark, sf_dir, "candidates"), "seq")
     status = F.when(F.col("seq") % 7 == 0, "Refuted").when(F.col("seq") % 7 == 1, "cleared").otherwise("open")
     place = F.when(F.col("seq") % 11 == 0, "").when(F.col("seq") % 11 == 1, "/etc/x.py").otherwise(F.concat("file", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("?"))))
     text = F.concat(F.lit("# "), "title", F.lit("\n\n- Status: "), status, F.lit("\n- Location: `"), place, F.lit("`\n- Class: "), "category", F.lit("\n- Risk: "), "severity", F.lit("\n\n## Evidence\n\nsee "), "file", F.lit(":7 and src/view.py:12 "), "evidence", F.lit("\n"))

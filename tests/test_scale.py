@@ -76,3 +76,10 @@ def test_texts_are_searched_in_pieces(spark, monkeypatch):
 def test_a_value_is_worked_out_once(spark):
     df = spark.range(3).select(text.once(F.col("id") + 1, lambda x: x * x).alias("x"))
     assert sorted(r["x"] for r in df.collect()) == [1, 4, 9]
+
+
+def test_note_fields_are_read_once(spark):
+    docs = spark.createDataFrame([("a", "# T\n\n- Status: open\n- Location: `src/a.py:3`\n- Class: x\n\n## Evidence\n\ne"), ("b", "no place"), ("c", "- Status: refuted\n- File: b.py")], "name string, text string")
+    got = notes.candidate_notes(docs)
+    assert plan(got).count("location|file|source location") == 1
+    assert [tuple(r) for r in got.select("name", "title", "category", "endpoint", "file", "line", "severity", "status").collect()] == [("a", "T", "x", "", "src/a.py", 3, "", "open")]
