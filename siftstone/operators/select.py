@@ -19,6 +19,8 @@ from siftstone.session import checkpointed
 TOP = 6
 #: Rows of knowledge that may be broadcast, and bytes of needles.
 LIMIT, BYTES = 10_000, 4_000_000
+#: Bytes of texts that are searched at once.
+PIECE = 4_000_000
 #: Impact ranks; an unknown impact ranks 1.
 IMPACT = {"critical": 3, "high": 2, "medium": 1, "low": 0}
 
@@ -48,6 +50,15 @@ def met(left: DataFrame, small: DataFrame, on: Callable[[], Column], limit: int
     return reduce(DataFrame.unionByName, (left.join(part, on()) for part in in_parts(small, limit)))
 
 
+def pieces(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Runs of rows, from and to, of at most so many bytes each, or of one row."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def contained(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", limit: int = LIMIT, most: int = BYTES) -> DataFrame:
     """(columns of texts but the text, columns of needles) for each row of texts and each needle that its text contains.
 
@@ -67,8 +78,10 @@ def contained(texts: DataFrame, needles: DataFrame, text: str = "text", needle:
                 column = batch.column(0).cast(pa.large_binary())
                 offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
                 data = column.buffers()[2]
-                row, found = automaton.value.found(data[offsets[0] : offsets[-1]].to_pybytes() if data else b"", offsets - offsets[0])
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns[1:]), pa.array(found.astype(np.int32))], [*rest, "_needle"])
+                # what is held is some bytes for each byte of a piece, whatever the size of the batch
+                for a, b in pieces(offsets):
+                    row, found = automaton.value.found(data[offsets[a] : offsets[b]].to_pybytes() if data else b"", offsets[a : b + 1] - offsets[a])
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row + a)) for c in batch.columns[1:]), pa.array(found.astype(np.int32))], [*rest, "_needle"])
 
         hits = texts.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), *rest).mapInArrow(search, StructType([*kinds, StructField("_needle", IntegerType())]))
         numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(part)], StructType([StructField("_number", IntegerType()), *needles.schema]))
