@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftstone.operators import callgraph, coverage, filters, select, usage
 from siftstone.queries.adapters import cte, relation
+from siftstone.session import checkpointed
 
 
 def _triggers(spark: SparkSession) -> DataFrame:
@@ -81,22 +82,28 @@ def suite_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relation(spark, sf_dir, "functions").groupBy("contract", "fn").agg(F.max(F.col("flag") == "R").alias("external_call"), F.max(F.col("line") == 7).alias("sends_eth"), F.lit(False).alias("can_reenter"), F.sum("quantity").cast("int").alias("n"))
+    """Functions by name, written once: a query reads them several times."""
+    rows = relation(spark, sf_dir, "functions").groupBy("fn", "contract").agg(F.max(F.col("flag") == "R").alias("external_call"), F.max(F.col("line") == 7).alias("sends_eth"), F.sum("quantity").cast("int").alias("n"))
+    rows = checkpointed(rows)
     start = F.pmod(F.col("n") * 7, F.lit(1000)).cast("int")
-    return rows.select("contract", "fn", F.concat(F.lit("src/"), "contract", F.lit(".sol")).alias("file"), F.lit("public").alias("visibility"), "external_call", "sends_eth", "can_reenter", F.when(F.col("n") % 10 != 0, start).alias("start"), F.when(F.col("n") % 10 != 0, start + F.col("n") * 10).alias("end"), "n")
+    return rows.select("contract", "fn", F.concat(F.lit("src/"), "contract", F.lit(".sol")).alias("file"), F.lit("public").alias("visibility"), "external_call", "sends_eth", F.lit(False).alias("can_reenter"), F.when(F.col("n") % 10 != 0, start).alias("start"), F.when(F.col("n") % 10 != 0, start + F.col("n") * 10).alias("end"), "n")
 
 
-def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _calls(functions: DataFrame) -> DataFrame:
     """A function calls the next two of its contract, by name."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("contract").orderBy("fn")
-    rows = _functions(spark, sf_dir).select("contract", "fn", F.lead("fn", 1).over(order).alias("a"), F.lead("fn", 2).over(order).alias("b"))
+    rows = functions.select("contract", "fn", F.lead("fn", 1).over(order).alias("a"), F.lead("fn", 2).over(order).alias("b"))
     return rows.select("contract", F.col("fn").alias("caller"), F.posexplode(F.array("a", "b")).alias("seq", "callee")).where("callee is not null")
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return callgraph.call_path_units(_functions(spark, sf_dir), _calls(spark, sf_dir), F.col("external_call") & F.col("sends_eth"), 2500)
+    return _units_of(_functions(spark, sf_dir))
+
+
+def _units_of(functions: DataFrame) -> DataFrame:
+    return callgraph.call_path_units(functions, _calls(functions), F.col("external_call") & F.col("sends_eth"), 2500)
 
 
 def call_path_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,21 +115,25 @@ def call_path_subsume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = callgraph.neighbours(_functions(spark, sf_dir), _calls(spark, sf_dir), F.col("external_call") & F.col("sends_eth"))
+    functions = _functions(spark, sf_dir)
+    rows = callgraph.neighbours(functions, _calls(functions), F.col("external_call") & F.col("sends_eth"))
     return rows.select("contract", "anchor", "fn", "hop", "seq", "size")
 
 
 def call_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return callgraph.fragments(_units(spark, sf_dir), _functions(spark, sf_dir))
+    functions = _functions(spark, sf_dir)
+    return callgraph.fragments(_units_of(functions), functions)
 
 
 def facts_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = callgraph.call_graph_blocks(_functions(spark, sf_dir), _calls(spark, sf_dir))
+    functions = _functions(spark, sf_dir)
+    rows = callgraph.call_graph_blocks(functions, _calls(functions))
     return rows.select("contract", "file", F.sha2("block", 256).alias("digest"))
 
 
 def facts_for_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = callgraph.call_graph_blocks(_functions(spark, sf_dir), _calls(spark, sf_dir)).select("file", "block")
+    functions = _functions(spark, sf_dir)
+    facts = callgraph.call_graph_blocks(functions, _calls(functions)).select("file", "block")
     units = facts.select(F.concat(F.lit("u-"), "file").alias("unit"), F.when(F.length("file") == 10, F.col("file")).otherwise(F.concat(F.lit("lib/"), F.substring_index("file", "/", -1))).alias("path"))
     return callgraph.facts_for_units(units, facts).select("unit", "path", F.length("block").alias("n"))
 

@@ -308,7 +308,8 @@ def evaluated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def call_path_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call-path units under the operator's own cap."""
-    rows = callgraph.call_path_units(k._functions(spark, sf_dir), k._calls(spark, sf_dir), F.col("external_call") & F.col("sends_eth"))
+    functions = k._functions(spark, sf_dir)
+    rows = callgraph.call_path_units(functions, k._calls(functions), F.col("external_call") & F.col("sends_eth"))
     return rows.select("contract", "anchor", F.size("fns").alias("n"), "chars")
 
 

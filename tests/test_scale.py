@@ -83,3 +83,21 @@ def test_note_fields_are_read_once(spark):
     got = notes.candidate_notes(docs)
     assert plan(got).count("location|file|source location") == 1
     assert [tuple(r) for r in got.select("name", "title", "category", "endpoint", "file", "line", "severity", "status").collect()] == [("a", "T", "x", "", "src/a.py", 3, "", "open")]
+
+
+def test_call_graph_reads_each_side_once(spark):
+    """Calls are read once for both of their ends, and a text of facts once for all that finds it."""
+    from siftstone.operators import callgraph
+
+    functions = spark.createDataFrame([("c", "a", "f", 0, 5, True), ("c", "b", "f", 5, 9, False), ("c", "d", "f", 9, 12, False)], "contract string, fn string, file string, start int, end int, risky boolean")
+    calls = spark.createDataFrame([("c", "a", "a", 4), ("c", "a", "b", None), ("c", "a", "b", 0), ("c", "b", "a", 1), ("c", "d", "a", 2), ("c", "a", None, 3)], "contract string, caller string, callee string, seq int")
+    marked = calls.join(spark.range(7_001, 7_002).select(F.lit("c").alias("contract")), "contract")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    got = callgraph.neighbours(functions, marked, F.col("risky"))
+    assert sorted(tuple(r) for r in got.select("anchor", "fn", "hop", "seq", "size").collect()) == [("a", "a", 0, 0, 5), ("a", "b", 1, None, 4), ("a", "d", 2, 2, 3)]
+    assert plan(got).count("Range (7001") == 1
+    facts = spark.createDataFrame([("x/f", "1"), ("x/f", "0"), ("a/f", "2"), ("a/g", "3")], "file string, block string")
+    units = spark.createDataFrame([("u", "x/f"), ("v", "q/f"), ("w", "q/g"), ("z", "none"), ("n", None)], "unit string, path string")
+    told = callgraph.facts_for_units(units, facts)
+    assert sorted(tuple(r) for r in told.collect()) == [("u", "x/f", "0\n\n1"), ("v", "q/f", "2"), ("w", "q/g", "3")]
+    assert plan(told).count("collect_list(block") == 1
