@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ WIDTH, CHANCE, SEED = 12, 0.98, 11
 SAMPLE, CELLS, BLOCK, LEAF, GROUP = 20_000, 4_096, 1_024, 64, 1_024
 #: Products on unit vectors that differ by less may be equal ones.
 SLACK = 1e-9
+#: Of a leaf's pairs of which more than one in this many pass, all are multiplied as matrices and those that don't pass are left out.
+DENSE = 16
 
 POINTS = "row long, vec_id long, v binary, p binary, cell int"
 BLOCKS = "block long, cell int, low array<double>, high array<double>, dim int, vectors binary, projections binary, edges binary, boxes binary, members binary, ids binary, named binary, rows binary"
@@ -235,6 +238,7 @@ def verified(q: np.ndarray, pq: np.ndarray, own: np.ndarray, bar: np.ndarray, x:
     best = np.full((len(q), k), -np.inf)
     away = _away(boxes, pq)
     by_distance = np.argsort(away, axis=1, kind="stable")
+    q_norms, p_norms = (pq**2).sum(axis=1), (p**2).sum(axis=1)
     active = np.arange(len(q))
     for step in range(len(boxes)):
         leaf = by_distance[active, step]
@@ -247,13 +251,22 @@ def verified(q: np.ndarray, pq: np.ndarray, own: np.ndarray, bar: np.ndarray, x:
         cuts = np.flatnonzero(np.diff(leaf[order])) + 1
         for part in np.split(order, cuts):
             who, here = active[part], slice(edges[leaf[part[0]]], edges[leaf[part[0]] + 1])
-            apart = (pq[who] ** 2).sum(axis=1)[:, None] + (p[here] ** 2).sum(axis=1) - 2 * pq[who] @ p[here].T
-            i, j = np.nonzero((apart <= reach[part][:, None]) & (own[who][:, None] != np.arange(here.start, here.stop)))
-            score = np.full(apart.shape, -np.inf)
-            score[i, j] = np.einsum("nd,nd->n", q[who[i]], x[here][j])
+            passed = q_norms[who, None] + p_norms[here] - 2 * (pq[who] @ p[here].T) <= reach[part][:, None]
+            at = own[who] - here.start
+            mine = np.flatnonzero((at >= 0) & (at < here.stop - here.start))
+            passed[mine, at[mine]] = False
+            if DENSE * np.count_nonzero(passed) > passed.size:
+                score = np.where(passed, q[who] @ x[here].T, -np.inf)
+            else:
+                i, j = np.nonzero(passed)
+                score = np.full(passed.shape, -np.inf)
+                score[i, j] = np.einsum("nd,nd->n", q[who[i]], x[here][j])
             out[who, here] = score
-            best[who] = np.partition(np.concatenate([best[who], score], axis=1), -k, axis=1)[:, -k:]
-            best[who] = np.sort(best[who], axis=1)
+            # only a product above the k-th so far changes the k best; the k-th is the first of them
+            risen = np.flatnonzero(score.max(axis=1) > best[who, 0])
+            if len(risen):
+                up = who[risen]
+                best[up] = np.partition(np.concatenate([best[up], score[risen]], axis=1), -k, axis=1)[:, -k:]
     return out
 
 
@@ -281,12 +294,13 @@ def _searcher(space: Space, kind: str, k: int, chance: float) -> Callable[[pa.Ta
             bar = queries["bar"].to_numpy() / size
             scores = verified(unit(q), space.of_queries(q), own, bar, x / space.norm, p, edges, boxes, k, within)
             kth = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(q), -np.inf)
+            members, ids, named, held, vectors = members.tolist(), ids.tolist(), named.tolist(), held.tolist(), x.tolist()
             for i, (query, query_id) in enumerate(zip(asked.tolist(), queries["query_id"].to_pylist(), strict=True)):
                 found, factors = [], q[i].tolist()
-                for j in np.flatnonzero((scores[i] >= max(kth[i], bar[i]) - SLACK) & (scores[i] > -np.inf)):
-                    score = math.fsum(map(float.__mul__, factors, x[j].tolist()))
+                for j in np.flatnonzero((scores[i] >= max(kth[i], bar[i]) - SLACK) & (scores[i] > -np.inf)).tolist():
+                    score = math.fsum(map(mul, factors, vectors[j]))
                     which = [m for m in range(members[j], min(members[j + 1], members[j] + k + 1)) if held[m] != query]
-                    found += [(-score, not named[m], int(ids[m]), int(held[m])) for m in which]
+                    found += [(-score, not named[m], ids[m], held[m]) for m in which]
                 rows += [(query, query_id, None if unnamed else vec_id, row, -score) for score, unnamed, vec_id, row in sorted(found)[:k]]
         names = [f.split()[0] for f in FOUND.split(", ")]
         kinds = [pa.int64()] * 4 + [pa.float64()]

@@ -76,6 +76,27 @@ def test_the_search_stops_early_in_clusters():
     assert (scores > -np.inf).mean() < 0.25
 
 
+def test_noise_is_multiplied_as_matrices(monkeypatch):
+    """Where nearly all pairs pass, vectors are not copied out pair by pair, and the same pairs are verified."""
+    gathered = []
+    einsum = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda spec, a, b: gathered.append(len(a)) or einsum(spec, a, b))
+    x = np.random.default_rng(5).normal(size=(512, 64))
+    x /= np.linalg.norm(x, axis=1).max()
+    space = nearest.Space(1.0, 64)
+    p = space.of_points(x)
+    order, edges = nearest.leaves_of(p, 32)
+    x, p = x[order], p[order]
+    boxes = np.stack([np.stack([p[a:b].min(axis=0), p[a:b].max(axis=0)]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    own = np.arange(0, 512, 4)
+    q = nearest.unit(x[own])
+    scores = nearest.verified(q, space.of_queries(x[own]), own, np.full(128, -np.inf), x, p, edges, boxes, 10, nearest.bound(0.98, 12))
+    seen = scores > -np.inf
+    assert seen.mean() > 0.5 and sum(gathered) < 0.05 * seen.sum()
+    assert not seen[np.arange(128), own].any()
+    assert np.allclose(scores[seen], (q @ x.T)[seen], atol=1e-12)
+
+
 def test_defined_cases(spark):
     one, two = [1.0, 0.0, 0.0], [0.5, 0.5, 0.0]
     rows = [(0, one), (20, two), (1, None), (2, []), (3, [0.0] * 3), (4, [1.0, None, 0.0]), (5, [math.nan, 1.0, 0.0]), (6, [math.inf, 0.0, 0.0]), (None, one), (7, one), (7, one), (8, [2.0]), (9, [0.0, 0.0, 0.0, 4.0]), (40, [-1.0, 0.0, 0.0]), (60, None), (10, [-1e-3, 1.0, 0.0])]
