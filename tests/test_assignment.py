@@ -102,3 +102,13 @@ def test_rows_alike_are_one_link(spark):
     assert score.match_classes(r, k).links.count() == 1
     assert score.match_pairs(r, k).count() == 120_000
     assert {(x["id"], x["name"]) for x in score.assign_classes(score.match_classes(r, k)).collect()} == {(f"k{i}", f"r{i}") for i in range(300)}
+
+
+def test_rows_that_are_there_twice_keep_their_pairs(spark):
+    reports = [("t", 0, "r0", "get /a", "x", ["a.py"], "calls f")] * 2 + [("t", 0, "r0", "", "x", ["a.py"], "calls f"), ("t", 1, "r1", "", "x", ["b.py"], "")]
+    key = [("t", "planted", 0, "k0", "GET /a", ["a.py"], "", ["f"])] * 3 + [("t", "planted", 1, "k1", "", ["a.py"], "", ["f"])]
+    r, k = spark.createDataFrame(reports, REPORT), spark.createDataFrame(key, KEY)
+    names = [(x["id"], x["name"]) for x in score.match_pairs(r, k).collect()]
+    # a pair for each two rows, however many ways they match
+    assert sorted(names) == [("k0", "r0")] * 9 + [("k1", "r0")] * 3
+    assert [tuple(x) for x in score.assign_classes(score.match_classes(r, k)).collect()] == [("t", "k0", "r0")]
