@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftstone.operators import score
+from siftstone.queries import scoring
 
 PAIRS = "target string, kind string, entry_seq long, id string, report_seq long, name string"
 
@@ -112,3 +114,41 @@ def test_rows_that_are_there_twice_keep_their_pairs(spark):
     # a pair for each two rows, however many ways they match
     assert sorted(names) == [("k0", "r0")] * 9 + [("k1", "r0")] * 3
     assert [tuple(x) for x in score.assign_classes(score.match_classes(r, k)).collect()] == [("t", "k0", "r0")]
+
+
+def test_parts_of_a_target_are_read_apart(spark):
+    reports, key = of_classes(5)
+    # more contents, of one target, that have nothing to do with one another
+    reports += [("t", i, f"q{i}", "", "x", [f"f{i % 20}.py"], "") for i in range(100, 160)]
+    key += [("t", "planted", i, f"p{i}", "", [f"f{i % 20}.py"], "x", []) for i in range(100, 140)]
+    found = score.match_classes(spark.createDataFrame(reports, REPORT), spark.createDataFrame(key, KEY))
+    whole = {tuple(x) for x in score.assign_classes(found).collect()}
+    got = score.assign_classes(found, many=0).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(whole) and {tuple(x)[:3] for x in got} == whole
+    assert len({x["task"] for x in got if x["id"].startswith("p")}) > 4
+
+
+@pytest.mark.parametrize("rounds", [8, 1])
+def test_what_hangs_together_has_one_number(spark, monkeypatch, rounds):
+    monkeypatch.setattr(score, "ROUNDS", rounds)
+    rng = random.Random(2)
+    names = [f"c{i}" for i in rng.sample(range(1_000), 60)]
+    rows = [("t", c, f"h{i + d}") for i, c in enumerate(names[:40]) for d in (0, 1)] + [("t", c, f"g{i // 2}") for i, c in enumerate(names[40:])] + [("u", c, "h") for c in names[:3]]
+    got = {(x["target"], x["report_class"]): x["_part_of"] for x in score._hanging_together(spark.createDataFrame(rows, "target string, report_class string, hub string")).collect()}
+    sets = [[("t", c) for c in names[:40]], *([("t", c) for c in names[i : i + 2]] for i in range(40, 60, 2)), [("u", c) for c in names[:3]]]
+    numbers = [{got[x] for x in s} for s in sets]
+    assert len(got) == 63 and all(len(n) == 1 for n in numbers)
+    # a chain that one round doesn't shorten enough leaves its target whole
+    assert len({min(n) for n in numbers[:-1]}) == (11 if rounds == 8 else 1)
+
+
+def test_labels_are_dealt_out_and_contents_written_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, 1, i % 3 // 2) for i in range(200)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    reports, key = scoring._reports(spark, str(tmp_path)), scoring._key(spark, str(tmp_path))
+    assert min(reports.rdd.getNumPartitions(), key.rdd.getNumPartitions()) >= 32
+    plans = []
+    real = score.checkpointed
+    monkeypatch.setattr(score, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    score.match_classes(reports, key)
+    # contents and rows of each side; what matches is found in what was written
+    assert [p.count("parquet") for p in plans] == [1, 1, 1, 1, 0]
