@@ -152,3 +152,12 @@ def test_labels_are_dealt_out_and_contents_written_once(spark, tmp_path, monkeyp
     score.match_classes(reports, key)
     # contents and rows of each side; what matches is found in what was written
     assert [p.count("parquet") for p in plans] == [1, 1, 1, 1, 0]
+
+
+def test_rows_without_a_target_have_no_outcome(spark):
+    reports = [("t", 0, "r0", "", "x", ["a.py"], "f"), (None, 1, "r1", "", "x", ["a.py"], "f"), (None, 2, None, "", "x", [], "")]
+    key = [("t", "planted", 0, "k0", "", ["a.py"], "x", []), (None, "planted", 1, "k1", "", ["a.py"], "x", []), (None, "safe", 2, None, "", [], "", [])]
+    r, k = spark.createDataFrame(reports, REPORT), spark.createDataFrame(key, KEY)
+    want = [("t", "k0", "found")]
+    assert [tuple(x) for x in score.outcomes(r, k).collect()] == want
+    assert [tuple(x) for x in score.outcomes(r, k, score.match_pairs(r, k)).collect()] == want
