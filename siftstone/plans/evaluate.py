@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,15 +20,21 @@ class Evaluation:
 
 
 def evaluate(runs: list[DataFrame], key: DataFrame, errors: list[int] | None = None) -> Evaluation:
-    """Runs of reports against a key, folded by strict majority. errors: failed steps of each run."""
-    parts, heads = [], []
+    """Runs of reports against a key, folded by strict majority. errors: failed steps of each run.
+
+    All runs are scored at once, each with a target of its own: ``<run>:<target>``.
+    """
+    own = lambda df, i: df.withColumn("target", F.concat(F.lit(f"{i}:"), F.col("target")))
+    heads, scored, keys = [], [], []
     for i, reports in enumerate(runs):
-        parts.append(score.outcomes(reports, key).withColumn("run", F.lit(i)))
         n = reports.groupBy("target").agg(F.count("*").alias("n_reports"))
         heads.append(n.select("target", F.lit(i).alias("run"), "n_reports", F.lit(errors[i] if errors else 0).alias("errors")))
-    outcomes, head = parts[0], heads[0]
-    for p, h in zip(parts[1:], heads[1:], strict=True):
-        outcomes, head = outcomes.unionByName(p), head.unionByName(h)
+        scored.append(own(reports.select("target", "seq", "name", "endpoint", "category", "files", "text"), i))
+        keys.append(own(key, i))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    outcomes, head = score.outcomes(union(scored), union(keys)), union(heads)
+    place = F.split("target", ":", 2)
+    outcomes = outcomes.select(place[1].alias("target"), "id", "outcome", place[0].cast("int").alias("run"))
     folded = score.fold_runs(outcomes).withColumn("runs", F.lit(len(runs)).cast("long"))
     return Evaluation(outcomes, score.folded_summary(folded, head))
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftstone.operators import score
+from siftstone.plans import evaluate
 from siftstone.queries import scoring
 
 PAIRS = "target string, kind string, entry_seq long, id string, report_seq long, name string"
@@ -161,3 +162,15 @@ def test_rows_without_a_target_have_no_outcome(spark):
     want = [("t", "k0", "found")]
     assert [tuple(x) for x in score.outcomes(r, k).collect()] == want
     assert [tuple(x) for x in score.outcomes(r, k, score.match_pairs(r, k)).collect()] == want
+
+
+def test_all_runs_are_classed_at_once(spark, monkeypatch):
+    reports, key = of_classes(7)
+    r, k = spark.createDataFrame(reports, REPORT), spark.createDataFrame(key, KEY)
+    calls = []
+    real = score.match_classes
+    monkeypatch.setattr(score, "match_classes", lambda *a: calls.append(1) or real(*a))
+    runs = [r, r.where("seq % 3 > 0")]
+    got = sorted(tuple(x) for x in evaluate.evaluate(runs, k).outcomes.select("target", "id", "outcome", "run").collect())
+    assert len(calls) == 1
+    assert got == sorted((*x, i) for i, part in enumerate(runs) for x in score.outcomes(part, k).select("target", "id", "outcome").collect())
