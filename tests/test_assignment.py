@@ -174,3 +174,11 @@ def test_all_runs_are_classed_at_once(spark, monkeypatch):
     got = sorted(tuple(x) for x in evaluate.evaluate(runs, k).outcomes.select("target", "id", "outcome", "run").collect())
     assert len(calls) == 1
     assert got == sorted((*x, i) for i, part in enumerate(runs) for x in score.outcomes(part, k).select("target", "id", "outcome").collect())
+
+
+def test_labels_of_any_quality_are_entries(spark, tmp_path):
+    # of one target, file and symbol: 0 and 120 were no entries, nor was 180, safe
+    spark.createDataFrame([(0, 0, 0), (60, 1, 0), (120, None, 0), (180, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {(r["id"], r["outcome"]) for r in scoring.score_outcomes(spark, str(tmp_path)).collect()}
+    assert got == {("k0", "found"), ("k60", "found"), ("k120", "found"), ("r180", "extra")}
+    assert "quality" not in scoring.SQL["score_outcomes"] and "quality = 1" in scoring.SQL["score_match"]
