@@ -117,6 +117,27 @@ def test_rows_that_are_there_twice_keep_their_pairs(spark):
     assert [tuple(x) for x in score.assign_classes(score.match_classes(r, k)).collect()] == [("t", "k0", "r0")]
 
 
+def test_tiles_give_each_pair_once(spark, monkeypatch):
+    reports, key = of_classes(3)
+    reports, key = reports + reports[:20], key + key[:9]
+    r, k = spark.createDataFrame(reports, REPORT), spark.createDataFrame(key, KEY)
+    whole = sorted(map(tuple, score.match_pairs(r, k).collect()))
+    monkeypatch.setattr(score, "TILE", 4)
+    monkeypatch.setattr(score, "BLOCK", 2)
+    monkeypatch.setattr(score, "PARTS", 1)
+    got = score.match_pairs(r, k)
+    # and the more pairs, the more tasks
+    assert sorted(map(tuple, got.collect())) == whole and got.rdd.getNumPartitions() == -(-len(whole) // 32) > 4
+
+
+def test_written_pairs_take_a_fraction_of_a_byte(spark, tmp_path):
+    r = spark.createDataFrame([("t", i, f"r{i}", "", "x", ["a.py"], "t") for i in range(9_000)], REPORT)
+    k = spark.createDataFrame([("t", "planted", i, f"k{i}", "", ["a.py"], "x", []) for i in range(200)], KEY)
+    score.match_pairs(r, k).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 1_800_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.6 * 1_800_000
+
+
 def test_parts_of_a_target_are_read_apart(spark):
     reports, key = of_classes(5)
     # more contents, of one target, that have nothing to do with one another
